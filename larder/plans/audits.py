@@ -1,3 +1,95 @@
-"""Registered audits queries."""
+"""Registered data-quality audits.
+
+The registered form is the per-rule summary (one row per rule, zero
+included) over the ten restaurant tables.  The oracle SQL is generated from
+the same fixed rule lists (the schema's constraints); the computation is
+plain SQL aggregates and anti-joins.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larder.operators import quality as Q
+from larder.plans.registry import register
+from larder.schemas import SCHEMAS, VARCHAR_LIMITS
+
+
+def _tables(t):
+    return {n: getattr(t, n) for n in SCHEMAS}
+
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _union(parts: list[str]) -> str:
+    return "\nUNION ALL\n".join(parts)
+
+
+_NOT_NULL_SQL = _union([
+    f"SELECT {_lit(t)} AS table_name, {_lit('not_null:' + f.name)} AS rule, "
+    f"CAST(count_if({f.name} IS NULL) AS BIGINT) AS violations FROM {t}"
+    for t, s in SCHEMAS.items() for f in s.fields if not f.nullable])
+
+_CHECK_SQL = _union([
+    f"SELECT {_lit(t)} AS table_name, {_lit('check:' + e)} AS rule, "
+    f"CAST(count_if(NOT ({e})) AS BIGINT) AS violations FROM {t}"
+    for t, e in Q.CHECKS])
+
+_LENGTH_SQL = _union([
+    f"SELECT {_lit(t)} AS table_name, {_lit(f'length:{c}<={n}')} AS rule, "
+    f"CAST(count_if(length({c}) > {n}) AS BIGINT) AS violations FROM {t}"
+    for t, cols in VARCHAR_LIMITS.items() for c, n in cols.items()])
+
+_UNIQUE_SQL = _union([
+    f"SELECT {_lit(t)} AS table_name, {_lit('unique:' + ','.join(k))} AS rule, "
+    f"CAST(count(*) AS BIGINT) AS violations FROM (SELECT {', '.join(k)} FROM {t} "
+    f"WHERE {' AND '.join(c + ' IS NOT NULL' for c in k)} GROUP BY {', '.join(k)} "
+    f"HAVING count(*) > 1)"
+    for t, keys in Q.UNIQUE_KEYS.items() for k in keys])
+
+_FK_SQL = _union([
+    f"SELECT {_lit(c)} AS table_name, {_lit(f'fk:{col}->{p}.{pc}')} AS rule, "
+    f"CAST(count(*) AS BIGINT) AS violations FROM {c} x WHERE x.{col} IS NOT NULL "
+    f"AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{pc} = x.{col})"
+    for c, col, p, pc in Q.FOREIGN_KEYS])
+
+
+@register("dq_not_null", _NOT_NULL_SQL)
+def _dq_not_null(t):
+    return Q.summary(_tables(t), "not_null")
+
+
+@register("dq_unique", _UNIQUE_SQL)
+def _dq_unique(t):
+    return Q.summary(_tables(t), "unique")
+
+
+@register("dq_check", _CHECK_SQL)
+def _dq_check(t):
+    return Q.summary(_tables(t), "check")
+
+
+@register("dq_foreign_key", _FK_SQL)
+def _dq_foreign_key(t):
+    return Q.summary(_tables(t), "fk")
+
+
+@register("dq_length", _LENGTH_SQL)
+def _dq_length(t):
+    return Q.summary(_tables(t), "length")
+
+
+@register("dq_form_rules", """
+SELECT seq, op,
+       CASE WHEN op = 'add' AND length(trim(coalesce(name, ''))) = 0 THEN 'name is empty'
+            WHEN NOT coalesce(price > 0, false) THEN 'price must be above 0'
+            WHEN NOT coalesce(discount >= 0 AND discount <= 100, false)
+              THEN 'discount must be 0..100' END AS reason
+FROM menu_changes WHERE op IN ('add', 'update')""")
+def _dq_form_rules(t):
+    c = t.menu_changes
+    adds = Q.with_reason(c.filter(F.col("op") == "add"), Q.menu_form_rules())
+    ups = Q.with_reason(c.filter(F.col("op") == "update"), Q.menu_update_rules())
+    return adds.unionByName(ups).select("seq", "op", "reason")

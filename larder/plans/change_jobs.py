@@ -1,3 +1,267 @@
-"""Registered change_jobs queries."""
+"""Registered change jobs (U1-U11) and window jobs."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larder.operators import changes as U
+from larder.operators import windows as W
+from larder.plans.registry import register
+
+D = "AS DOUBLE)"
+_ORDER_OUT = f"""o.order_id, o.customer_id, o.employee_id, o.order_date,
+       coalesce(l.status, o.status) AS status, CAST(o.total_amount {D} AS total_amount"""
+_VALID = "('Pending', 'Served', 'Paid', 'Cancelled')"
+
+# ------------------------------------------------------------------ U1
+
+
+@register("menu_insert", """
+SELECT seq, name,
+       CASE WHEN reason IS NULL THEN (SELECT max(menu_id) FROM menu_items)
+            + row_number() OVER (PARTITION BY reason IS NULL ORDER BY seq) END AS menu_id,
+       reason
+FROM f""", extra_ctes=""",
+a AS (SELECT seq, trim(name) AS name, price, discount FROM menu_changes WHERE op = 'add'),
+r AS (SELECT *, CASE WHEN length(trim(coalesce(name, ''))) = 0 THEN 'name is empty'
+                     WHEN NOT coalesce(price > 0, false) THEN 'price must be above 0'
+                     WHEN NOT coalesce(discount >= 0 AND discount <= 100, false)
+                       THEN 'discount must be 0..100'
+                     WHEN name IN (SELECT name FROM menu_items) THEN 'name exists' END AS r0
+      FROM a),
+f AS (SELECT *, CASE WHEN r0 IS NULL AND seq > min(CASE WHEN r0 IS NULL THEN seq END)
+                                           OVER (PARTITION BY name)
+                     THEN 'duplicate name in batch' ELSE r0 END AS reason FROM r)""")
+def _menu_insert(t):
+    adds = t.menu_changes.filter(F.col("op") == "add")
+    _, outcomes = U.menu_insert(t.menu_items, adds)
+    return outcomes
+
+
+# ------------------------------------------------------------------ U2
+
+@register("menu_update", f"""
+SELECT m.menu_id, m.name, m.category, CAST(coalesce(l.price, m.price) {D} AS price,
+       CAST(CASE WHEN l.menu_id IS NULL THEN m.discount ELSE l.discount END {D} AS discount,
+       CASE WHEN l.menu_id IS NULL THEN m.is_available ELSE coalesce(l.is_available, 0) END
+         AS is_available
+FROM menu_items m LEFT JOIN l ON m.menu_id = l.menu_id""", extra_ctes=""",
+u AS (SELECT * FROM menu_changes WHERE op = 'update' AND coalesce(price > 0, false)
+      AND coalesce(discount >= 0 AND discount <= 100, false)),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY menu_id ORDER BY seq DESC) AS rn
+                     FROM u) WHERE rn = 1)""")
+def _menu_update(t):
+    return U.menu_update(t.menu_items, t.menu_changes.filter(F.col("op") == "update"))
+
+
+# ------------------------------------------------------------------ U3
+
+@register("category_price_up", f"""
+SELECT menu_id, name, category,
+       CAST(CASE WHEN category = 'PROMO' THEN CAST(price * 1.10 AS DECIMAL(10,2)) ELSE price END
+            {D} AS price,
+       CAST(discount {D} AS discount, is_available
+FROM menu_items""")
+def _category_price_up(t):
+    return U.category_price_up(t.menu_items, "PROMO")
+
+
+# ------------------------------------------------------------------ U4
+
+@register("menu_delete", """
+SELECT seq, menu_id,
+       CASE WHEN menu_id NOT IN (SELECT menu_id FROM menu_items) THEN 'not found'
+            WHEN menu_id IN (SELECT menu_id FROM order_items) THEN 'refused: sold before'
+            ELSE 'deleted' END AS outcome
+FROM menu_changes WHERE op = 'delete'""")
+def _menu_delete(t):
+    req = t.menu_changes.filter(F.col("op") == "delete").select("seq", "menu_id")
+    _, _, out = U.menu_delete(t.menu_items, t.recipes, t.order_items, req)
+    return out
+
+
+# ------------------------------------------------------------------ U5
+
+@register("ingredient_change", f"""
+SELECT ingredient_id, name, unit, CAST(quantity {D} AS quantity,
+       CAST(reorder_level {D} AS reorder_level, CAST(unit_price {D} AS unit_price, supplier_id
+FROM t2 WHERE ingredient_id NOT IN (SELECT ingredient_id FROM gone)""", extra_ctes=""",
+adds AS (SELECT seq, trim(name) AS name, unit, quantity, reorder_level, unit_price, supplier_id
+         FROM ingredient_changes WHERE op = 'add'),
+ar AS (SELECT *, CASE WHEN length(trim(coalesce(name, ''))) = 0 THEN 'name is empty'
+                      WHEN NOT coalesce(quantity >= 0, false) THEN 'quantity'
+                      WHEN NOT coalesce(unit_price >= 0, false) THEN 'unit_price'
+                      WHEN name IN (SELECT name FROM ingredients) THEN 'name exists' END AS r0
+       FROM adds),
+af AS (SELECT *, CASE WHEN r0 IS NULL AND seq > min(CASE WHEN r0 IS NULL THEN seq END)
+                                            OVER (PARTITION BY name)
+                      THEN 'duplicate' ELSE r0 END AS reason FROM ar),
+acc AS (SELECT (SELECT max(ingredient_id) FROM ingredients) + row_number() OVER (ORDER BY seq)
+                 AS ingredient_id, name, unit, quantity, reorder_level, unit_price, supplier_id
+        FROM af WHERE reason IS NULL),
+t1 AS (SELECT ingredient_id, name, unit, quantity, reorder_level, unit_price, supplier_id
+       FROM ingredients UNION ALL SELECT * FROM acc),
+ups AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY seq DESC)
+                              AS rn
+                       FROM ingredient_changes
+                       WHERE op = 'update' AND coalesce(quantity >= 0, false)
+                         AND coalesce(reorder_level >= 0, false)
+                         AND coalesce(unit_price >= 0, false)) WHERE rn = 1),
+t2 AS (SELECT t.ingredient_id, t.name, t.unit, coalesce(u.quantity, t.quantity) AS quantity,
+              coalesce(u.reorder_level, t.reorder_level) AS reorder_level,
+              coalesce(u.unit_price, t.unit_price) AS unit_price, t.supplier_id
+       FROM t1 t LEFT JOIN ups u ON t.ingredient_id = u.ingredient_id),
+gone AS (SELECT ingredient_id FROM ingredient_changes
+         WHERE op = 'delete' AND ingredient_id IN (SELECT ingredient_id FROM t2)
+           AND ingredient_id NOT IN (SELECT ingredient_id FROM purchases)
+           AND ingredient_id NOT IN (SELECT ingredient_id FROM recipes))""")
+def _ingredient_change(t):
+    table, _ = U.ingredient_change(t.ingredients, t.purchases, t.recipes, t.ingredient_changes)
+    return table
+
+
+# ------------------------------------------------------------------ U6 / U7 / W3
+
+@register("order_status_update", f"""
+SELECT {_ORDER_OUT}
+FROM orders o LEFT JOIN l ON o.order_id = l.order_id""", extra_ctes=f""",
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY seq DESC) AS rn
+                     FROM status_changes WHERE actor = 'staff' AND status IN {_VALID})
+      WHERE rn = 1)""")
+def _order_status_update(t):
+    return U.order_status_update(t.orders, t.status_changes)
+
+
+_CANCEL_CTES = f""",
+st AS (SELECT order_id, seq, status FROM status_changes
+       WHERE actor = 'staff' AND status IN {_VALID}),
+cc AS (SELECT seq, order_id, customer_id, status AS req FROM status_changes
+       WHERE actor = 'customer'),
+valid AS (SELECT cc.* FROM cc JOIN orders o ON o.order_id = cc.order_id
+          WHERE cc.req = 'Cancelled' AND cc.customer_id = o.customer_id),
+seg AS (SELECT v.*, (SELECT max(s.seq) FROM st s WHERE s.order_id = v.order_id AND s.seq < v.seq)
+                      AS sseq
+        FROM valid v),
+based AS (SELECT g.*, coalesce((SELECT s.status FROM st s
+                                WHERE s.order_id = g.order_id AND s.seq = g.sseq),
+                               (SELECT o.status FROM orders o WHERE o.order_id = g.order_id))
+                        AS base
+          FROM seg g),
+firsts AS (SELECT order_id, coalesce(sseq, -1) AS sk, min(seq) AS fseq FROM based GROUP BY 1, 2),
+ok AS (SELECT b.order_id, b.seq FROM based b
+       JOIN firsts f ON f.order_id = b.order_id AND f.sk = coalesce(b.sseq, -1) AND f.fseq = b.seq
+       WHERE b.base = 'Pending')"""
+
+
+@register("order_cancel", """
+SELECT cc.seq, cc.order_id, cc.customer_id, (ok.seq IS NOT NULL) AS changed
+FROM cc LEFT JOIN ok ON ok.order_id = cc.order_id AND ok.seq = cc.seq""",
+          extra_ctes=_CANCEL_CTES)
+def _order_cancel(t):
+    return W.cancel_outcomes(t.orders, t.status_changes).select(
+        "seq", "order_id", "customer_id", "changed")
+
+
+@register("status_fold", f"""
+SELECT {_ORDER_OUT}, CAST(coalesce(na.n, 0) AS BIGINT) AS cancel_applied
+FROM orders o LEFT JOIN l ON o.order_id = l.order_id LEFT JOIN na ON o.order_id = na.order_id""",
+          extra_ctes=_CANCEL_CTES + """,
+ev AS (SELECT order_id, seq, status FROM st UNION ALL SELECT order_id, seq, 'Cancelled' FROM ok),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY seq DESC) AS rn
+                     FROM ev) WHERE rn = 1),
+na AS (SELECT order_id, count(*) AS n FROM ok GROUP BY 1)""")
+def _status_fold(t):
+    return W.status_fold(t.orders, t.status_changes)
+
+
+# ------------------------------------------------------------------ U8
+
+@register("cart_merge", """
+SELECT f.cart_id, f.menu_id,
+       CAST(coalesce((SELECT e.qty FROM e WHERE e.cart_id = s.cart_id AND e.menu_id = s.menu_id
+                                        AND e.seq = s.s), 0)
+            + coalesce((SELECT sum(greatest(1, coalesce(e.qty, 0))) FROM e
+                        WHERE e.cart_id = f.cart_id AND e.menu_id = f.menu_id AND e.op = 'add'
+                          AND e.av AND e.seq > coalesce(s.s, f.f - 1)), 0) AS INTEGER) AS qty
+FROM f LEFT JOIN s ON s.cart_id = f.cart_id AND s.menu_id = f.menu_id""", extra_ctes=""",
+e AS (SELECT ce.*, ce.menu_id IN (SELECT menu_id FROM menu_items WHERE is_available = 1) AS av
+      FROM cart_events ce),
+k AS (SELECT cart_id, menu_id,
+             max(CASE WHEN op = 'remove' OR (op = 'set' AND coalesce(qty, 0) <= 0) THEN seq END)
+               AS r
+      FROM e GROUP BY 1, 2),
+f AS (SELECT e.cart_id, e.menu_id, min(e.seq) AS f FROM e
+      JOIN k ON k.cart_id = e.cart_id AND k.menu_id = e.menu_id
+      WHERE e.op = 'add' AND e.av AND e.seq > coalesce(k.r, -4611686018427387904)
+      GROUP BY 1, 2),
+s AS (SELECT e.cart_id, e.menu_id, max(e.seq) AS s FROM e
+      JOIN f ON f.cart_id = e.cart_id AND f.menu_id = e.menu_id
+      WHERE e.op = 'set' AND e.qty > 0 AND e.seq > f.f GROUP BY 1, 2)""")
+def _cart_merge(t):
+    return U.cart_merge(t.cart_events, t.menu_items)
+
+
+# ------------------------------------------------------------------ U9-U11
+
+@register("delete_cascade", """
+SELECT user_id, username, password, role, customer_id FROM users
+WHERE customer_id IS NULL OR customer_id NOT IN (SELECT customer_id FROM customer_deletes)""")
+def _delete_cascade(t):
+    _, users, _ = U.delete_customers(t.customers, t.users, t.orders, t.customer_deletes)
+    return users
+
+
+@register("delete_set_null", """
+SELECT ingredient_id, name,
+       CASE WHEN supplier_id IN (SELECT supplier_id FROM gone) THEN NULL ELSE supplier_id END
+         AS supplier_id
+FROM ingredients""", extra_ctes=""",
+gone AS (SELECT supplier_id FROM supplier_deletes
+         WHERE supplier_id IN (SELECT supplier_id FROM suppliers)
+           AND supplier_id NOT IN (SELECT supplier_id FROM purchases))""")
+def _delete_set_null(t):
+    _, ing, _ = U.delete_suppliers(t.suppliers, t.ingredients, t.purchases, t.supplier_deletes)
+    return ing.select("ingredient_id", "name", "supplier_id")
+
+
+@register("delete_restrict", """
+SELECT supplier_id,
+       CASE WHEN supplier_id NOT IN (SELECT supplier_id FROM suppliers) THEN 'not found'
+            WHEN supplier_id IN (SELECT supplier_id FROM purchases)
+              THEN 'refused: referenced by purchases'
+            ELSE 'deleted' END AS outcome
+FROM supplier_deletes""")
+def _delete_restrict(t):
+    _, _, out = U.delete_suppliers(t.suppliers, t.ingredients, t.purchases, t.supplier_deletes)
+    return out
+
+
+# ------------------------------------------------------------------ W1, W2
+
+@register("stock_ledger", f"""
+SELECT r.ingredient_id, r.ts, r.kind, r.ref, CAST(r.delta {D} AS delta,
+       CAST(coalesce(i.quantity, 0) + r.moved - r.delta {D} AS before,
+       CAST(coalesce(i.quantity, 0) + r.moved {D} AS after
+FROM run r LEFT JOIN ingredients i ON i.ingredient_id = r.ingredient_id""", extra_ctes=""",
+buys AS (SELECT ingredient_id, CAST(purchase_date AS TIMESTAMP) AS ts, 0 AS kind,
+                purchase_id AS ref, CAST(quantity AS DECIMAL(20,2)) AS delta FROM purchases),
+used AS (SELECT oi.order_id, r.ingredient_id, sum(r.qty_required * oi.quantity) AS used
+         FROM order_items oi JOIN recipes r ON r.menu_id = oi.menu_id GROUP BY 1, 2),
+sales AS (SELECT u.ingredient_id, o.order_date AS ts, 1 AS kind, u.order_id AS ref,
+                 CAST(-u.used AS DECIMAL(20,2)) AS delta
+          FROM used u JOIN orders o ON o.order_id = u.order_id),
+mv AS (SELECT * FROM buys UNION ALL SELECT * FROM sales),
+run AS (SELECT *, sum(delta) OVER (PARTITION BY ingredient_id ORDER BY ts, kind, ref
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS moved
+        FROM mv)""")
+def _stock_ledger(t):
+    moves = W.movements(t.purchases, t.order_items, t.orders, t.recipes)
+    return W.stock_ledger(t.ingredients, moves)
+
+
+@register("assign_ids", """
+SELECT purchase_id, row_number() OVER (ORDER BY purchase_date, purchase_id) AS id
+FROM purchases""")
+def _assign_ids(t):
+    return W.assign_ids(t.purchases.select("purchase_id", "purchase_date"),
+                        ["purchase_date", "purchase_id"]).select("purchase_id", "id")

@@ -61,6 +61,20 @@ bill_requests AS (
   SELECT o_orderkey AS order_id,
          CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS customer_id
   FROM orders),
+status_changes AS (
+  -- reads the driver's orders view, so it precedes the derived orders CTE
+  SELECT o_orderkey * 4 + 1 AS seq, o_orderkey AS order_id, 'staff' AS actor,
+         CAST(NULL AS BIGINT) AS customer_id,
+         CASE WHEN o_orderkey % 35 = 0 THEN 'Done' WHEN o_orderkey % 10 = 0 THEN 'Pending'
+              ELSE 'Paid' END AS status
+  FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL
+  SELECT o_orderkey * 4 + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 2 END, o_orderkey, 'customer',
+         CASE WHEN o_orderkey % 9 = 0 THEN o_custkey + 1 ELSE o_custkey END, 'Cancelled'
+  FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL
+  SELECT o_orderkey * 4 + 3, o_orderkey, 'customer', o_custkey, 'Cancelled'
+  FROM orders WHERE o_orderkey % 6 = 0),
 employees AS (
   SELECT CAST(n_nationkey AS BIGINT) AS employee_id, n_name AS name,
          CASE n_nationkey % 4 WHEN 0 THEN 'Manager' WHEN 1 THEN 'Chef'
@@ -102,7 +116,70 @@ login_attempts AS (
               ELSE lower(c_name) END AS username,
          CASE WHEN c_custkey % 3 = 0 THEN 'wrong' ELSE 'pw' || CAST(c_custkey AS VARCHAR) END
            AS password
-  FROM customer)
+  FROM customer),
+menu_changes AS (
+  SELECT p_partkey AS seq,
+         CASE WHEN p_partkey % 11 IN (0, 5) THEN 'update' WHEN p_partkey % 11 IN (1, 2) THEN 'add'
+              WHEN p_partkey % 11 = 3 THEN 'delete' END AS op,
+         CASE WHEN p_partkey % 11 IN (0, 3) THEN p_partkey
+              WHEN p_partkey % 11 = 5 THEN p_partkey - 5 END AS menu_id,
+         CASE WHEN p_partkey % 11 = 1 THEN (CASE WHEN p_partkey % 55 = 1 THEN '  '
+                                                 ELSE p_name || ' special' END)
+              WHEN p_partkey % 11 = 2 THEN p_name END AS name,
+         CASE WHEN p_partkey % 11 IN (1, 2) THEN p_type END AS category,
+         CAST(CASE WHEN p_partkey % 11 = 0 THEN (CASE WHEN p_partkey % 77 = 0 THEN 0
+                                                      ELSE p_retailprice + p_size END)
+                   WHEN p_partkey % 11 = 5 THEN p_retailprice + 1
+                   WHEN p_partkey % 11 IN (1, 2) THEN p_retailprice END AS DECIMAL(10,2)) AS price,
+         CAST(CASE WHEN p_partkey % 11 = 0 THEN (CASE WHEN p_partkey % 121 = 0 THEN 150
+                                                      ELSE (p_size % 3) * 10 END)
+                   WHEN p_partkey % 11 = 5 THEN 5
+                   WHEN p_partkey % 11 IN (1, 2) THEN (CASE WHEN p_partkey % 33 = 1 THEN -5
+                                                            ELSE (p_size % 4) * 5 END)
+              END AS DECIMAL(5,2)) AS discount,
+         CAST(CASE WHEN p_partkey % 11 = 0 THEN (CASE WHEN p_size % 2 = 0 THEN 1 END)
+                   WHEN p_partkey % 11 = 5 THEN 1 END AS INTEGER) AS is_available
+  FROM part WHERE p_partkey % 11 IN (0, 1, 2, 3, 5)),
+ingredient_changes AS (
+  SELECT p_partkey AS seq,
+         CASE p_partkey % 13 WHEN 0 THEN 'update' WHEN 1 THEN 'add' WHEN 2 THEN 'delete' END AS op,
+         CASE WHEN p_partkey % 13 IN (0, 2) THEN p_partkey END AS ingredient_id,
+         CASE WHEN p_partkey % 13 = 1 THEN (CASE WHEN p_partkey % 26 = 1 THEN 'new ' || p_name
+              ELSE 'new ' || p_name || ' #' || CAST(p_partkey AS VARCHAR) END) END AS name,
+         CASE WHEN p_partkey % 13 = 1 THEN 'kg' END AS unit,
+         CAST(CASE WHEN p_partkey % 13 = 0 THEN p_size + 5 WHEN p_partkey % 13 = 1 THEN p_size END
+              AS DECIMAL(10,2)) AS quantity,
+         CAST(CASE WHEN p_partkey % 13 = 0 THEN 12 WHEN p_partkey % 13 = 1 THEN 5 END
+              AS DECIMAL(10,2)) AS reorder_level,
+         CAST(CASE WHEN p_partkey % 13 = 0 THEN (CASE WHEN p_partkey % 39 = 0 THEN -1
+                                                      ELSE p_retailprice END)
+                   WHEN p_partkey % 13 = 1 THEN p_retailprice END AS DECIMAL(10,2)) AS unit_price,
+         CASE WHEN p_partkey % 13 = 1 AND p_partkey % 3 <> 0 THEN p_partkey % 100 END AS supplier_id
+  FROM part WHERE p_partkey % 13 IN (0, 1, 2)),
+cart_events AS (
+  SELECT l_orderkey AS cart_id, row_id AS seq,
+         CASE WHEN l_linenumber % 4 = 3 THEN 'set' WHEN l_linenumber % 6 = 5 THEN 'remove'
+              ELSE 'add' END AS op,
+         l_partkey % 50 AS menu_id,
+         CAST(CASE WHEN l_linenumber % 4 = 3 THEN CAST(l_quantity AS INTEGER) - 20
+                   WHEN l_linenumber % 6 = 5 THEN NULL
+                   ELSE CAST(l_quantity AS INTEGER) % 7 END AS INTEGER) AS qty
+  FROM li_ids),
+customer_deletes AS (
+  SELECT c_custkey AS customer_id FROM customer WHERE c_custkey % 9 = 4),
+supplier_deletes AS (
+  SELECT s_suppkey * 2 AS supplier_id FROM supplier WHERE s_suppkey % 4 = 1),
+price_log AS (
+  SELECT p_partkey AS menu_id, TIMESTAMP '1990-01-01 00:00:00' AS valid_from,
+         CAST(p_retailprice AS DECIMAL(10,2)) AS price, CAST(0 AS DECIMAL(5,2)) AS discount,
+         1 AS is_available FROM part
+  UNION ALL
+  SELECT p_partkey, TIMESTAMP '1997-01-01 00:00:00', CAST(p_retailprice + 10 AS DECIMAL(10,2)),
+         CAST(0 AS DECIMAL(5,2)), 1 FROM part WHERE p_partkey % 3 = 0
+  UNION ALL
+  SELECT p_partkey, TIMESTAMP '1999-06-01 00:00:00', CAST(p_retailprice AS DECIMAL(10,2)),
+         CAST(20 AS DECIMAL(5,2)), CASE WHEN p_partkey % 35 = 0 THEN 0 ELSE 1 END
+  FROM part WHERE p_partkey % 5 = 0)
 """
 
 

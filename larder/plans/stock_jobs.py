@@ -1,3 +1,176 @@
-"""Registered stock_jobs queries."""
+"""Registered stock jobs (T1-T7) and the statement runner."""
 
 from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from larder.operators import stock as T
+from larder.plans.registry import register
+from larder.session import scratch_path
+from larder.sources import catalog, sinks
+from larder.streaming import stock_stream as S
+
+D = "AS DOUBLE)"
+
+
+@register("apply_purchases", f"""
+SELECT i.ingredient_id, CAST(i.quantity + coalesce(p.q, 0) {D} AS quantity
+FROM ingredients i
+LEFT JOIN (SELECT ingredient_id, sum(quantity) AS q FROM purchases GROUP BY 1) p
+  ON p.ingredient_id = i.ingredient_id""")
+def _apply_purchases(t):
+    return T.apply_purchases(t.ingredients, t.purchases).select("ingredient_id", "quantity")
+
+
+@register("apply_order_items", f"""
+SELECT i.ingredient_id, CAST(i.quantity - coalesce(u.used, 0) {D} AS quantity
+FROM ingredients i
+LEFT JOIN (SELECT r.ingredient_id, sum(r.qty_required * s.q) AS used
+           FROM (SELECT menu_id, sum(quantity) AS q FROM order_items GROUP BY 1) s
+           JOIN recipes r ON r.menu_id = s.menu_id GROUP BY 1) u
+  ON u.ingredient_id = i.ingredient_id""")
+def _apply_order_items(t):
+    ing, _ = T.apply_order_items(t.ingredients, t.orders, t.order_items, t.recipes)
+    return ing.select("ingredient_id", "quantity")
+
+
+def order_requests(t):
+    """Requests to place: one per Pending order's cart, in order-id sequence."""
+    o = t.orders.filter(F.col("status") == "Pending").select(
+        F.col("order_id").alias("cart_id"), "customer_id", F.col("order_date").alias("ts"))
+    return (o.join(t.carts, "cart_id", "left")
+             .select(F.col("cart_id").alias("seq"), "customer_id", "ts", "cart"))
+
+
+@register("place_orders")  # iterative admission: checked against a serial loop in tests
+def _place_orders(t):
+    opening = T.apply_purchases(t.ingredients, t.purchases)
+    res = T.place_orders(order_requests(t), t.menu_items, t.recipes, opening, t.employees,
+                         t.orders, t.order_items)
+    return res["outcomes"]
+
+
+@register("price_as_of", f"""
+SELECT v.order_item_id, v.menu_id, v.order_date,
+       CAST(CASE WHEN p.is_available = 1 THEN round(p.price - p.price * p.discount * 0.01, 2) END
+            {D} AS price,
+       coalesce(p.is_available = 1, false) AS available
+FROM v LEFT JOIN price_log p ON p.menu_id = v.menu_id AND p.valid_from = v.vf""", extra_ctes=""",
+l AS (SELECT oi.order_item_id, oi.menu_id, o.order_date
+      FROM order_items oi JOIN orders o ON o.order_id = oi.order_id),
+v AS (SELECT l.*, (SELECT max(p.valid_from) FROM price_log p
+                   WHERE p.menu_id = l.menu_id AND p.valid_from <= l.order_date) AS vf FROM l)""")
+def _price_as_of(t):
+    lines = t.order_items.select("order_item_id", "order_id", "menu_id").join(
+        t.orders.select("order_id", "order_date"), "order_id")
+    return T.price_as_of(lines, t.price_log)
+
+
+# ------------------------------------------------------------------ streams over `events`
+
+def _event_moves(t):
+    """Streaming movements from the events table: 'purchase' adds value,
+    'click' takes it away, keyed by user_id as the ingredient."""
+    spark = t.spark
+    schema = t.source("events").schema
+    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+          .parquet(t.sf_dir))
+    ev = ev.filter(F.col("event_type").isin("purchase", "click"))
+    amount = F.col("value").cast("decimal(12,2)")
+    return ev.select(F.col("user_id").alias("ingredient_id"), "ts",
+                     F.col("event_id").alias("ref"),
+                     F.when(F.col("event_type") == "purchase", amount).otherwise(-amount)
+                      .alias("delta"))
+
+
+def _run_dir(t, name):
+    return scratch_path(t.spark, f"streams/{name}-{uuid.uuid4().hex}")
+
+
+def _empty_opening(t):
+    return t.spark.createDataFrame([], "ingredient_id long, quantity decimal(20,2)")
+
+
+_MOVES_SQL = """,
+m AS (SELECT user_id AS ingredient_id, ts, event_id AS ref,
+             CAST(CASE WHEN event_type = 'purchase' THEN CAST(value AS DECIMAL(12,2))
+                       ELSE -CAST(value AS DECIMAL(12,2)) END AS DECIMAL(12,2)) AS delta
+      FROM events WHERE event_type IN ('purchase', 'click'))"""
+
+
+@register("stream_stock", f"""
+SELECT ingredient_id, CAST(sum(delta) {D} AS quantity FROM m GROUP BY 1""",
+          extra_ctes=_MOVES_SQL)
+def _stream_stock(t):
+    base = _run_dir(t, "stock")
+    q = S.stream_stock(_event_moves(t), _empty_opening(t), f"{base}/state", f"{base}/ckpt")
+    q.awaitTermination()
+    return sinks.read_latest(t.spark, f"{base}/state").select(
+        "ingredient_id", "quantity")
+
+
+@register("stream_daily_sales", f"""
+SELECT CAST(ts AS DATE) AS day, count(*) AS total_orders,
+       CAST(sum(CAST(value AS DECIMAL(12,2))) {D} AS total_sales
+FROM events WHERE event_type = 'purchase' GROUP BY 1""")
+def _stream_daily_sales(t):
+    base = _run_dir(t, "daily")
+    spark = t.spark
+    schema = t.source("events").schema
+    sales = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+             .parquet(t.sf_dir).filter(F.col("event_type") == "purchase")
+             .select("ts", F.col("value").cast("decimal(12,2)").alias("amount")))
+    q = S.stream_daily_sales(sales, f"{base}/state", f"{base}/ckpt")
+    q.awaitTermination()
+    return sinks.read_latest(spark, f"{base}/state")
+
+
+def _levels(t):
+    """Reorder level per user-as-ingredient: 100 + 50 × (user_id mod 5)."""
+    return (t.source("events").select(F.col("user_id").alias("ingredient_id")).distinct()
+             .select("ingredient_id",
+                     (F.lit(100) + F.col("ingredient_id") % 5 * 50).cast("decimal(10,2)")
+                     .alias("reorder_level")))
+
+
+@register("stream_low_stock", f"""
+SELECT ingredient_id, ts, ref, CAST(after - delta {D} AS before, CAST(after {D} AS after,
+       CAST(100 + ingredient_id % 5 * 50 {D} AS reorder_level
+FROM r
+WHERE after - delta > 100 + ingredient_id % 5 * 50 AND after <= 100 + ingredient_id % 5 * 50""",
+          extra_ctes=_MOVES_SQL + """,
+r AS (SELECT *, sum(delta) OVER (PARTITION BY ingredient_id ORDER BY ts, ref
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after
+      FROM m)""")
+def _stream_low_stock(t):
+    base = _run_dir(t, "low")
+    q = S.stream_low_stock(_event_moves(t), _levels(t), _empty_opening(t), f"{base}/state",
+                           f"{base}/alerts", f"{base}/ckpt")
+    q.awaitTermination()
+    return t.spark.read.parquet(f"{base}/alerts").drop("batch")
+
+
+# ------------------------------------------------------------------ S7
+
+_SCRIPT = """
+CREATE OR REPLACE TEMP VIEW paid_orders AS SELECT * FROM orders WHERE status = 'Paid';
+-- a comment; with a semicolon
+SELECT employee_id, count(*) AS n, CAST(sum(total_amount) AS DOUBLE) AS total,
+       'a;b' AS note
+FROM paid_orders GROUP BY employee_id
+"""
+
+
+@register("sql_script", """
+SELECT employee_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(total_amount) AS DOUBLE) AS total,
+       'a;b' AS note
+FROM orders WHERE status = 'Paid' GROUP BY employee_id""")
+def _sql_script(t):
+    catalog.register_tables(t.spark, {"orders": t.orders})
+    results = catalog.sql_script(t.spark, _SCRIPT)
+    errors = [r.error for r in results if r.error]
+    if errors:
+        raise RuntimeError(errors[0])
+    return results[-1].frame

@@ -220,11 +220,138 @@ def bill_requests(spark, d):
                      .otherwise(F.col("o_custkey")).alias("customer_id"))
 
 
+# ---------------------------------------------------------------- change inputs
+# Rows in the shape of the admin/customer forms, one row per submitted form.
+
+def _null(t):
+    return F.lit(None).cast(t)
+
+
+def menu_changes(spark, d):
+    """(seq, op, menu_id, name, category, price, discount, is_available):
+    updates (some invalid, some ids updated twice), adds (blank names,
+    duplicates inside the batch and of existing names) and deletes."""
+    p = read_source(spark, d, "part")
+    k, g = F.col("p_partkey"), F.col("p_partkey") % 11
+    op = (F.when(g.isin(0, 5), "update").when(g.isin(1, 2), "add").when(g == 3, "delete"))
+    name = (F.when(g == 1, F.when(k % 55 == 1, F.lit("  "))
+                   .otherwise(F.concat(F.col("p_name"), F.lit(" special"))))
+             .when(g == 2, F.col("p_name")))
+    price = (F.when(g == 0, F.when(k % 77 == 0, F.lit(0)).otherwise(F.col("p_retailprice")
+                                                                    + F.col("p_size")))
+              .when(g == 5, F.col("p_retailprice") + 1)
+              .when(g.isin(1, 2), F.col("p_retailprice")))
+    disc = (F.when(g == 0, F.when(k % 121 == 0, F.lit(150)).otherwise((F.col("p_size") % 3) * 10))
+             .when(g == 5, F.lit(5))
+             .when(g.isin(1, 2), F.when(k % 33 == 1, F.lit(-5)).otherwise((F.col("p_size") % 4) * 5)))
+    avail = (F.when(g == 0, F.when(F.col("p_size") % 2 == 0, F.lit(1))).when(g == 5, F.lit(1)))
+    menu_id = F.when(g.isin(0, 3), k).when(g == 5, k - 5)
+    return p.filter(g.isin(0, 1, 2, 3, 5)).select(
+        k.alias("seq"), op.alias("op"), menu_id.alias("menu_id"), name.alias("name"),
+        F.when(g.isin(1, 2), F.col("p_type")).alias("category"),
+        price.cast("decimal(10,2)").alias("price"), disc.cast("decimal(5,2)").alias("discount"),
+        avail.cast("int").alias("is_available"))
+
+
+def ingredient_changes(spark, d):
+    """(seq, op, ingredient_id, name, unit, quantity, reorder_level,
+    unit_price, supplier_id): updates (some negative), adds (some duplicate
+    names, some without supplier) and deletes."""
+    p = read_source(spark, d, "part")
+    k, g = F.col("p_partkey"), F.col("p_partkey") % 13
+    op = F.when(g == 0, "update").when(g == 1, "add").when(g == 2, "delete")
+    name = F.when(g == 1, F.when(k % 26 == 1, F.concat(F.lit("new "), F.col("p_name")))
+                  .otherwise(F.concat(F.lit("new "), F.col("p_name"), F.lit(" #"),
+                                      k.cast("string"))))
+    return p.filter(g.isin(0, 1, 2)).select(
+        k.alias("seq"), op.alias("op"),
+        F.when(g.isin(0, 2), k).alias("ingredient_id"), name.alias("name"),
+        F.when(g == 1, F.lit("kg")).alias("unit"),
+        F.when(g == 0, F.col("p_size") + 5).when(g == 1, F.col("p_size"))
+         .cast("decimal(10,2)").alias("quantity"),
+        F.when(g == 0, F.lit(12)).when(g == 1, F.lit(5)).cast("decimal(10,2)")
+         .alias("reorder_level"),
+        F.when(g == 0, F.when(k % 39 == 0, F.lit(-1)).otherwise(F.col("p_retailprice")))
+         .when(g == 1, F.col("p_retailprice")).cast("decimal(10,2)").alias("unit_price"),
+        F.when((g == 1) & (k % 3 != 0), k % 100).cast("long").alias("supplier_id"))
+
+
+def status_changes(spark, d):
+    """(seq, order_id, actor, customer_id, status): staff changes (one value
+    not allowed), customer cancels (some by another customer), repeats."""
+    o = read_source(spark, d, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    staff = o.filter(k % 5 == 0).select(
+        (k * 4 + 1).alias("seq"), k.alias("order_id"), F.lit("staff").alias("actor"),
+        _null("long").alias("customer_id"),
+        F.when(k % 35 == 0, "Done").when(k % 10 == 0, "Pending").otherwise("Paid").alias("status"))
+    cancel = o.filter(k % 3 == 0).select(
+        (k * 4 + F.when(k % 2 == 0, 0).otherwise(2)).alias("seq"), k.alias("order_id"),
+        F.lit("customer").alias("actor"),
+        F.when(k % 9 == 0, c + 1).otherwise(c).alias("customer_id"),
+        F.lit("Cancelled").alias("status"))
+    again = o.filter(k % 6 == 0).select(
+        (k * 4 + 3).alias("seq"), k.alias("order_id"), F.lit("customer").alias("actor"),
+        c.alias("customer_id"), F.lit("Cancelled").alias("status"))
+    return staff.unionByName(cancel).unionByName(again)
+
+
+def cart_events(spark, d):
+    """(cart_id, seq, op, menu_id, qty): add / set / remove clicks."""
+    li = _id_within_order(read_source(spark, d, "lineitem"))
+    n = F.col("l_linenumber")
+    op = F.when(n % 4 == 3, "set").when(n % 6 == 5, "remove").otherwise("add")
+    q = F.col("l_quantity").cast("int")
+    qty = F.when(n % 4 == 3, q - 20).when(n % 6 == 5, _null("int")).otherwise(q % 7)
+    return li.select(F.col("l_orderkey").alias("cart_id"), F.col("_row_id").alias("seq"),
+                     op.alias("op"), (F.col("l_partkey") % 50).alias("menu_id"),
+                     qty.cast("int").alias("qty"))
+
+
+def customer_deletes(spark, d):
+    """(customer_id): customers removed by an admin."""
+    c = read_source(spark, d, "customer")
+    return c.filter(F.col("c_custkey") % 9 == 4).select(F.col("c_custkey").alias("customer_id"))
+
+
+def supplier_deletes(spark, d):
+    """(supplier_id): supplier delete requests, including unknown ids."""
+    s = read_source(spark, d, "supplier")
+    return s.filter(F.col("s_suppkey") % 4 == 1).select(
+        (F.col("s_suppkey") * 2).alias("supplier_id"))
+
+
+def price_log(spark, d):
+    """(menu_id, valid_from, price, discount, is_available): the menu's
+    price history — an opening version and later changes."""
+    p = read_source(spark, d, "part")
+    k = F.col("p_partkey")
+    base = p.select(k.alias("menu_id"), F.lit("1990-01-01 00:00:00").cast("timestamp_ntz")
+                    .alias("valid_from"), F.col("p_retailprice").alias("price"),
+                    F.lit(0).alias("discount"), F.lit(1).alias("is_available"))
+    up = p.filter(k % 3 == 0).select(
+        k.alias("menu_id"), F.lit("1997-01-01 00:00:00").cast("timestamp_ntz").alias("valid_from"),
+        (F.col("p_retailprice") + 10).alias("price"), F.lit(0).alias("discount"),
+        F.lit(1).alias("is_available"))
+    promo = p.filter(k % 5 == 0).select(
+        k.alias("menu_id"), F.lit("1999-06-01 00:00:00").cast("timestamp_ntz").alias("valid_from"),
+        F.col("p_retailprice").alias("price"), F.lit(20).alias("discount"),
+        F.when(k % 35 == 0, 0).otherwise(1).alias("is_available"))
+    out = base.unionByName(up).unionByName(promo)
+    return out.select("menu_id", "valid_from", F.col("price").cast("decimal(10,2)").alias("price"),
+                      F.col("discount").cast("decimal(5,2)").alias("discount"),
+                      F.col("is_available").cast("int").alias("is_available"))
+
+
 _BUILDERS = {
     "suppliers": suppliers, "ingredients": ingredients, "purchases": purchases,
     "menu_items": menu_items, "recipes": recipes, "customers": customers,
     "employees": employees, "orders": orders, "order_items": order_items, "users": users,
     "carts": carts, "login_attempts": login_attempts, "bill_requests": bill_requests,
+    "menu_changes": menu_changes, "ingredient_changes": ingredient_changes,
+    "status_changes": status_changes, "cart_events": cart_events,
+    "customer_deletes": customer_deletes, "supplier_deletes": supplier_deletes,
+    "price_log": price_log,
 }
 
 
