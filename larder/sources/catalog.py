@@ -26,11 +26,25 @@ def load_rows(spark: SparkSession, table: str, rows: list[dict]) -> DataFrame:
     """
     schema = SCHEMAS[table]
     defaults = DEFAULTS.get(table, {})
-    full = [tuple(r.get(f.name, defaults.get(f.name)) for f in schema.fields) for r in rows]
+    full = [tuple(_coerce(r[f.name], f.dataType) if f.name in r
+                  else _coerce(defaults.get(f.name), f.dataType) for f in schema.fields)
+            for r in rows]
     raw = spark.createDataFrame(full, schema=_loose(schema))
     return conform(raw, table)
 
 
+def _coerce(v, dtype):
+    """Plain Python literals to the declared type (e.g. 0 -> Decimal('0'))."""
+    from decimal import Decimal
+
+    from pyspark.sql import types as T
+    if v is None:
+        return None
+    if isinstance(dtype, T.DecimalType) and not isinstance(v, Decimal):
+        return Decimal(str(v))
+    return v
+
+
 def _loose(schema):
     from pyspark.sql import types as T
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
