@@ -26,6 +26,20 @@ def _as_list(x):
     return [x] if isinstance(x, str) else list(x)
 
 
+def _join_on_chunk(big: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join per-chunk carries back on (keys, _chunk) with null-safe equality.
+
+    Null-safe equality keeps NULL keys as their own group (as a window does)
+    and adds no inferred IS NOT NULL filter to one side only, so both
+    branches over the same input stay identical and Spark reuses their
+    shuffles instead of computing the input twice.
+    """
+    s = small.select(*[F.col(c).alias(f"_j_{c}") for c in [*keys, "_chunk"]],
+                     *[c for c in small.columns if c not in (*keys, "_chunk")])
+    cond = [big[c].eqNullSafe(s[f"_j_{c}"]) for c in [*keys, "_chunk"]]
+    return big.join(s, cond, how).drop(*[f"_j_{c}" for c in [*keys, "_chunk"]])
+
+
 def running_total(df: DataFrame, keys, order: list[str], value, chunk: Column,
                   out=None) -> DataFrame:
     """Inclusive running sum of ``value`` (one name or a list) per ``keys`` in
@@ -49,7 +63,7 @@ def running_total(df: DataFrame, keys, order: list[str], value, chunk: Column,
     carry = per_chunk.select(*keys, "_chunk", *[
         F.coalesce(F.sum(f"_tot{i}").over(before), F.lit(0)).alias(f"_carry{i}")
         for i in range(len(values))])
-    d = d.join(carry, [*keys, "_chunk"])
+    d = _join_on_chunk(d, carry, keys, "inner")
     for i, o in enumerate(outs):
         d = d.withColumn(o, F.col(f"_carry{i}") + F.coalesce(F.col(f"_in{i}"), F.lit(0)))
     return d.drop("_chunk", *[f"_in{i}" for i in range(len(values))],
@@ -77,11 +91,11 @@ def asof_last(df: DataFrame, keys, order: list[str], value: str, chunk: Column,
         Window.unboundedPreceding, -1)
     # chunks without any non-NULL value still need the carry from before them
     chunks = d.select(*keys, "_chunk").distinct()
-    all_chunks = chunks.join(last_in_chunk, [*keys, "_chunk"], "left")
+    all_chunks = _join_on_chunk(chunks, last_in_chunk, keys, "left")
     carry = all_chunks.select(
         *keys, "_chunk",
         F.last("_last", ignorenulls=True).over(before).alias("_c"))
-    return (d.join(carry, [*keys, "_chunk"], "left")
+    return (_join_on_chunk(d, carry, keys, "left")
              .withColumn(out, F.coalesce("_in", "_c"))
              .drop("_chunk", "_in", "_c"))
 

@@ -33,7 +33,8 @@ SELECT i.name, CAST(i.quantity {D} AS quantity, i.unit, CAST(i.reorder_level {D}
 FROM ingredients i LEFT JOIN suppliers s ON i.supplier_id = s.supplier_id
 WHERE i.quantity <= i.reorder_level""")
 def _view_low_stock(t):
-    catalog.register_views(t.spark, t.as_dict())
+    catalog.register_views(t.spark, {"ingredients": t.ingredients, "suppliers": t.suppliers,
+                                     "orders": t.orders})
     return t.spark.table("v_low_stock")
 
 
@@ -42,7 +43,8 @@ SELECT CAST(order_date AS DATE) AS day, count(*) AS total_orders,
        CAST(sum(total_amount) {D} AS total_sales
 FROM orders WHERE status = 'Paid' GROUP BY 1""")
 def _view_daily_sales(t):
-    catalog.register_views(t.spark, t.as_dict())
+    catalog.register_views(t.spark, {"ingredients": t.ingredients, "suppliers": t.suppliers,
+                                     "orders": t.orders})
     return t.spark.table("v_daily_sales")
 
 
