@@ -64,7 +64,7 @@ def apply_order_items(ingredients: DataFrame, orders: DataFrame, order_items: Da
 def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
                  ingredients: DataFrame, employees: DataFrame, orders: DataFrame,
                  order_items: DataFrame, restocks: DataFrame | None = None,
-                 chunk_size: int = 1 << 16, max_rounds: int | None = None) -> dict:
+                 chunk_size: int = 1 << 16, max_rounds: int | None = None) -> "Placement":
     """Order requests -> accepted orders, their lines, stock after; or a
     rejection with a reason.
 
@@ -82,7 +82,9 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
     certainly rejected when upper − need < 0 for one.  Each round is two
     running sums per ingredient (two-level, skew-safe) and an aggregate per
     order; the earliest undecided order is always decided, so rounds end.
-    When no order oversells, round one accepts all.  Rounds are
+    A round only reads movements of ingredients that undecided orders use
+    (the verdict of u depends on u's ingredients alone), so after round one
+    the rounds are small.  When no order oversells, round one accepts all.  Rounds are
     checkpointed to the shared folder.
     """
     lines = cart_lines(requests.withColumnRenamed("seq", "cart_id")) \
@@ -118,13 +120,18 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"place_orders: undecided orders after {rounds} rounds")
         rounds += 1
-        nrows = needs.join(status, "seq").filter(F.col("st") != "R")
+        # only ingredients of still-undecided orders matter for this round's
+        # verdicts; after round one that is a small slice of the movements
+        live = (needs.join(status.filter(F.col("st") == "U"), "seq", "left_semi")
+                     .select("ingredient_id").distinct())
+        nrows = (needs.join(live, "ingredient_id", "left_semi")
+                      .join(status, "seq").filter(F.col("st") != "R"))
         mv = nrows.select("ingredient_id", "seq", F.lit(1).alias("kind"), "st", "need",
                           (-F.col("need")).alias("v_low"),
                           F.when(F.col("st") == "A", -F.col("need")).otherwise(F.lit(0))
                            .alias("v_up"))
         if rs is not None:
-            mv = mv.unionByName(rs.select(
+            mv = mv.unionByName(rs.join(live, "ingredient_id", "left_semi").select(
                 "ingredient_id", "seq", F.lit(0).alias("kind"), F.lit("S").alias("st"),
                 F.lit(None).cast(mv.schema["need"].dataType).alias("need"),
                 F.col("q").alias("v_low"), F.col("q").alias("v_up")), allowMissingColumns=False)
@@ -149,33 +156,55 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
                   .withColumn("accepted", F.col("reason").isNull()))
     acc = outcome.filter("accepted")
     acc = assign_ids(acc, ["seq"], start=next_id_base(orders, "order_id"), out="order_id")
-    waiter = first_waiter(employees).select("employee_id").scalar()  # scalar subquery
-    new_orders = (acc.select("order_id", "customer_id", waiter.alias("employee_id"),
-                             F.col("ts").cast("timestamp_ntz").alias("order_date"),
-                             F.lit("Pending").alias("status"),
-                             X.to_money("total").alias("total_amount")))
-    new_lines = (lj.join(acc.select("seq", "order_id"), "seq")
-                   .select("order_id", "menu_id", F.col("qty").cast("int").alias("quantity"),
-                           X.to_money("unit_price").alias("price"), "seq"))
-    new_lines = assign_ids(new_lines, ["seq", "menu_id"],
-                           start=next_id_base(order_items, "order_item_id"),
-                           out="order_item_id").drop("seq")
-    used = (needs.join(acc.select("seq"), "seq", "left_semi")
-                 .groupBy("ingredient_id").agg(F.sum("need").alias("_u")))
-    stock = ingredients.join(used, "ingredient_id", "left")
-    if rs is not None:
-        stock = stock.join(rs.groupBy("ingredient_id").agg(F.sum("q").alias("_r")),
-                           "ingredient_id", "left")
-    else:
-        stock = stock.withColumn("_r", F.lit(0))
-    stock = stock.withColumn("quantity", X.to_money(
-        F.col("quantity") + F.coalesce("_r", F.lit(0)) - F.coalesce("_u", F.lit(0)))) \
-        .select(*ingredients.columns)
+
+    def new_orders():
+        waiter = first_waiter(employees).select("employee_id").scalar()  # scalar subquery
+        return acc.select("order_id", "customer_id", waiter.alias("employee_id"),
+                          F.col("ts").cast("timestamp_ntz").alias("order_date"),
+                          F.lit("Pending").alias("status"),
+                          X.to_money("total").alias("total_amount"))
+
+    def new_lines():
+        lines_ = (lj.join(acc.select("seq", "order_id"), "seq")
+                    .select("order_id", "menu_id", F.col("qty").cast("int").alias("quantity"),
+                            X.to_money("unit_price").alias("price"), "seq"))
+        return assign_ids(lines_, ["seq", "menu_id"],
+                          start=next_id_base(order_items, "order_item_id"),
+                          out="order_item_id").drop("seq")
+
+    def stock_after():
+        used = (needs.join(acc.select("seq"), "seq", "left_semi")
+                     .groupBy("ingredient_id").agg(F.sum("need").alias("_u")))
+        st = ingredients.join(used, "ingredient_id", "left")
+        if rs is not None:
+            st = st.join(rs.groupBy("ingredient_id").agg(F.sum("q").alias("_r")),
+                         "ingredient_id", "left")
+        else:
+            st = st.withColumn("_r", F.lit(0))
+        return st.withColumn("quantity", X.to_money(
+            F.col("quantity") + F.coalesce("_r", F.lit(0)) - F.coalesce("_u", F.lit(0)))) \
+            .select(*ingredients.columns)
+
     out = outcome.join(acc.select("seq", "order_id"), "seq", "left").select(
         "seq", "customer_id", "accepted", "reason", "order_id",
         F.when(F.col("accepted"), F.col("total")).alias("total"))
-    return {"outcomes": out, "orders": new_orders, "order_items": new_lines,
-            "ingredients": stock, "rounds": rounds}
+    return Placement(out, rounds, {"orders": new_orders, "order_items": new_lines,
+                                   "ingredients": stock_after})
+
+
+class Placement:
+    """Result of ``place_orders``: ``outcomes`` and ``rounds`` at once; the new
+    ``orders``, ``order_items`` (with ids) and ``ingredients`` (stock after)
+    are built on first access."""
+
+    def __init__(self, outcomes: DataFrame, rounds: int, lazy: dict):
+        self._parts = {"outcomes": outcomes, "rounds": rounds}
+        self._lazy = lazy
+
+    def __getitem__(self, key):
+        if key not in self._parts:
+            self._parts[key] = self._lazy[key]()
+        return self._parts[key]
 
 
 # ------------------------------------------------------------------ T6
