@@ -209,11 +209,14 @@ def status_fold(orders: DataFrame, changes: DataFrame, chunk_size: int = 1 << 16
                     .select("order_id", "seq", "status"))
     applied = (cancel_outcomes(orders, changes, chunk_size).filter("changed")
                .select("order_id", "seq"))
-    # final status: the last effective event (a staff change or an applied cancel)
-    events = staff.unionByName(applied.withColumn("status", F.lit("Cancelled")))
-    last = events.groupBy("order_id").agg(F.max_by("status", "seq").alias("_new"))
-    n_applied = applied.groupBy("order_id").agg(F.count(F.lit(1)).alias("cancel_applied"))
-    return (orders.join(last, "order_id", "left").join(n_applied, "order_id", "left")
+    # final status: the last effective event (a staff change or an applied
+    # cancel); one aggregate gives it and the number of applied cancels
+    events = (staff.withColumn("_c", F.lit(0))
+                   .unionByName(applied.withColumn("status", F.lit("Cancelled"))
+                                       .withColumn("_c", F.lit(1))))
+    last = events.groupBy("order_id").agg(F.max_by("status", "seq").alias("_new"),
+                                          F.sum("_c").alias("cancel_applied"))
+    return (orders.join(last, "order_id", "left")
                   .withColumn("status", F.coalesce("_new", "status"))
                   .withColumn("cancel_applied",
                               F.coalesce("cancel_applied", F.lit(0)).cast("long"))
@@ -221,31 +224,37 @@ def status_fold(orders: DataFrame, changes: DataFrame, chunk_size: int = 1 << 16
 
 
 def cancel_outcomes(orders: DataFrame, changes: DataFrame, chunk_size: int = 1 << 16):
-    """U7 detail: every customer cancel request with changed yes/no."""
+    """U7 detail: every customer cancel request with changed yes/no.
+
+    One as-of pass gives each valid cancel the last staff change before it
+    (its segment: seq and status together); then the first cancel per
+    segment applies iff the segment's base status is Pending.
+    """
     staff = (changes.filter((F.col("actor") == "staff") & F.col("status").isin(ORDER_STATUSES))
-                    .select("order_id", "seq", F.col("status").alias("_st"),
-                            F.col("seq").alias("_sseq")))
+                    .select("order_id", "seq", F.struct(F.col("seq").alias("s"),
+                                                        F.col("status").alias("st"))
+                            .alias("_staff")))
     reqs = changes.filter(F.col("actor") == "customer").select(
         "order_id", "seq", "customer_id", F.col("status").alias("_req"))
     owners = orders.select("order_id", F.col("customer_id").alias("_owner"),
                            F.col("status").alias("_init"))
-    r = reqs.join(owners, "order_id", "left")
-    valid = r.filter((F.col("_req") == "Cancelled") & (F.col("customer_id") == F.col("_owner")))
-    both = staff.unionByName(valid.select("order_id", "seq",
-                                          F.lit(None).cast("string").alias("_st"),
-                                          F.lit(None).cast("long").alias("_sseq")))
-    seg = asof_last(both, "order_id", ["seq"], "_sseq", seq_chunk("seq", chunk_size),
+    valid = (reqs.join(owners, "order_id")
+                 .filter((F.col("_req") == "Cancelled") & (F.col("customer_id") == F.col("_owner")))
+                 .select("order_id", "seq", "_init"))
+    both = staff.select("order_id", "seq", "_staff", F.lit(None).cast("string").alias("_init")) \
+        .unionByName(valid.select("order_id", "seq",
+                                  F.lit(None).cast(staff.schema["_staff"].dataType)
+                                   .alias("_staff"), "_init"))
+    seg = asof_last(both, "order_id", ["seq"], "_staff", seq_chunk("seq", chunk_size),
                     out="_seg", inclusive=False)
-    seg = asof_last(seg, "order_id", ["seq"], "_st", seq_chunk("seq", chunk_size),
-                    out="_base", inclusive=False)
-    c = (seg.filter(F.col("_st").isNull())
-            .join(owners.select("order_id", "_init"), "order_id")
-            .withColumn("_base", F.coalesce("_base", "_init"))
-            .withColumn("_segk", F.coalesce("_seg", F.lit(-1))))
-    firsts = c.groupBy("order_id", "_segk").agg(F.min("seq").alias("_first"))
-    c = c.join(firsts, ["order_id", "_segk"])
-    ok = c.filter((F.col("seq") == F.col("_first")) & (F.col("_base") == "Pending")) \
-          .select("order_id", "seq").withColumn("changed", F.lit(True))
+    c = (seg.filter(F.col("_staff").isNull())
+            .withColumn("_base", F.coalesce(F.col("_seg.st"), F.col("_init")))
+            .withColumn("_segk", F.coalesce(F.col("_seg.s"), F.lit(-1))))
+    firsts = c.groupBy("order_id", "_segk").agg(F.min("seq").alias("_first"),
+                                                F.max("_base").alias("_b"))
+    ok = (firsts.filter(F.col("_b") == "Pending")
+                .select("order_id", F.col("_first").alias("seq"))
+                .withColumn("changed", F.lit(True)))
     return (reqs.select("seq", "order_id", "customer_id")
                 .join(ok, ["order_id", "seq"], "left")
                 .withColumn("changed", F.coalesce("changed", F.lit(False))))

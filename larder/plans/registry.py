@@ -2,8 +2,9 @@
 
 A job takes a ``Tables`` (lazy restaurant tables over one driver directory)
 and returns a DataFrame.  For the oracle comparison, decimal outputs are cast
-to double at the very end (the oracle casts the same way); the jobs
-themselves compute in exact decimals.
+to double and DATE outputs to a midnight TIMESTAMP at the very end (the
+oracle casts the same way; both render identically in every client); the
+jobs themselves compute in exact decimals and return DATE.
 """
 
 from __future__ import annotations
@@ -33,11 +34,15 @@ def register(key: str, sql: str | None = None, extra_ctes: str = ""):
     return deco
 
 
-def decimals_to_double(df: DataFrame) -> DataFrame:
-    cols = [F.col(f"`{f.name}`").cast("double").alias(f.name)
-            if isinstance(f.dataType, T.DecimalType) else F.col(f"`{f.name}`")
-            for f in df.schema.fields]
-    return df.select(*cols)
+def for_compare(df: DataFrame) -> DataFrame:
+    def conv(f):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.DecimalType):
+            return c.cast("double").alias(f.name)
+        if isinstance(f.dataType, T.DateType):
+            return c.cast("timestamp_ntz").alias(f.name)
+        return c
+    return df.select(*[conv(f) for f in df.schema.fields])
 
 
 def _load_all() -> None:
@@ -49,7 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load_all()
 
     def bind(fn):
-        return lambda spark, sf_dir: decimals_to_double(fn(from_driver(spark, sf_dir)))
+        return lambda spark, sf_dir: for_compare(fn(from_driver(spark, sf_dir)))
     return {k: bind(fn) for k, fn in JOBS.items()}
 
 

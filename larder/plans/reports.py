@@ -39,7 +39,7 @@ def _view_low_stock(t):
 
 
 @register("view_daily_sales", f"""
-SELECT CAST(order_date AS DATE) AS day, count(*) AS total_orders,
+SELECT CAST(CAST(order_date AS DATE) AS TIMESTAMP) AS day, count(*) AS total_orders,
        CAST(sum(total_amount) {D} AS total_sales
 FROM orders WHERE status = 'Paid' GROUP BY 1""")
 def _view_daily_sales(t):
@@ -273,7 +273,7 @@ def _order_listing(t):
 
 @register("purchase_history", f"""
 SELECT p.purchase_id, s.name AS supplier, i.name AS ingredient, CAST(p.quantity {D} AS quantity,
-       i.unit, CAST(p.cost {D} AS cost, p.purchase_date
+       i.unit, CAST(p.cost {D} AS cost, CAST(p.purchase_date AS TIMESTAMP) AS purchase_date
 FROM purchases p JOIN suppliers s ON p.supplier_id = s.supplier_id
 JOIN ingredients i ON p.ingredient_id = i.ingredient_id
 ORDER BY p.purchase_id DESC, supplier, ingredient, p.quantity, p.cost, p.purchase_date
@@ -359,7 +359,7 @@ def _dashboard_kpis(t):
 
 
 @register("daily_sales", f"""
-SELECT CAST(order_date AS DATE) AS day, count(*) AS total_orders,
+SELECT CAST(CAST(order_date AS DATE) AS TIMESTAMP) AS day, count(*) AS total_orders,
        CAST(sum(total_amount) {D} AS total_sales
 FROM orders WHERE status = 'Paid' GROUP BY 1""")
 def _daily_sales(t):

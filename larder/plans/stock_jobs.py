@@ -112,7 +112,7 @@ def _stream_stock(t):
 
 
 @register("stream_daily_sales", f"""
-SELECT CAST(ts AS DATE) AS day, count(*) AS total_orders,
+SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, count(*) AS total_orders,
        CAST(sum(CAST(value AS DECIMAL(12,2))) {D} AS total_sales
 FROM events WHERE event_type = 'purchase' GROUP BY 1""")
 def _stream_daily_sales(t):

@@ -377,5 +377,14 @@ class Tables:
         return {n: getattr(self, n) for n in _BUILDERS}
 
 
+_MEMO: dict[tuple[int, str], Tables] = {}
+
+
 def from_driver(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(spark, sf_dir)
+    """Tables over ``sf_dir``, shared by all queries of one session (frames are
+    immutable and lazy, so sharing only saves plan construction)."""
+    key = (id(spark), sf_dir.rstrip("/"))
+    t = _MEMO.get(key)
+    if t is None or t.spark is not spark:
+        t = _MEMO[key] = Tables(spark, sf_dir)
+    return t
