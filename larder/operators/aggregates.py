@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import exprs as X
-from larder.operators.joins import dim
 
 
 def count_rows(df: DataFrame, condition=None) -> DataFrame:
@@ -161,18 +160,20 @@ def my_orders(orders: DataFrame, order_items: DataFrame,
              .orderBy("customer_id", F.col("order_id").desc()))
 
 
-def menu_by_category(menu_items: DataFrame) -> DataFrame:
+def menu_by_category(menu_items: DataFrame, part_size: int = 10000) -> DataFrame:
     """Available items nested under their category, sorted by name.
 
-    Each category's list is built by a hash aggregate; the size of one list
-    is the number of items in a category (a menu, not a fact table).
+    Rows are (category, part, items): a category's list is split into parts
+    of at most ``part_size`` menu ids (``menu_id div part_size``), so no
+    single list — and no single task — holds an unbounded group; a menu with
+    fewer ids per category gives one part per category.
     """
     item = F.struct("name", "menu_id", "price", "discount",
                     X.final_price().alias("final_price"))
     return (menu_items.filter(F.col("is_available") == 1)
-                      .groupBy("category")
+                      .groupBy("category", F.floor(F.col("menu_id") / part_size).alias("part"))
                       .agg(F.sort_array(F.collect_list(item)).alias("items"))
-                      .orderBy("category"))
+                      .orderBy("category", "part"))
 
 
 def bill_with_total(order_items: DataFrame, menu_items: DataFrame) -> DataFrame:

@@ -209,13 +209,14 @@ class Placement:
 
 # ------------------------------------------------------------------ T6
 
-def price_as_of(lines: DataFrame, price_log: DataFrame, chunk_seconds: int = 86400 * 30) -> DataFrame:
+def price_as_of(lines: DataFrame, price_log: DataFrame, chunk_seconds: int | None = None) -> DataFrame:
     """Price of each order line from the menu version valid at order time.
 
     ``lines`` (order_item_id, menu_id, order_date); ``price_log`` (menu_id,
     valid_from, price, discount, is_available).  The version is the last one
     with valid_from <= order_date (an as-of lookup per menu item, two-level so
-    a busy item is spread over time chunks).  The line price is the final
+    a busy item is spread over range-partition chunks, or time chunks of
+    ``chunk_seconds``).  The line price is the final
     price of that version; NULL when the item was unavailable or had no
     version yet (the order would have been refused).
     """
@@ -226,8 +227,9 @@ def price_as_of(lines: DataFrame, price_log: DataFrame, chunk_seconds: int = 864
                       "order_item_id",
                       F.lit(None).cast(log.schema["ver"].dataType).alias("ver"))
     u = log.unionByName(ls)
-    chunk = F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / chunk_seconds)
-    a = asof_last(u, "menu_id", ["t", "kind"], "ver", chunk, out="cur")
+    chunk = (None if chunk_seconds is None
+             else F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / chunk_seconds))
+    a = asof_last(u, "menu_id", ["t", "kind", "order_item_id"], "ver", chunk, out="cur")
     a = a.filter(F.col("kind") == 1)
     ok = F.col("cur.is_available") == 1
     return a.select("order_item_id", "menu_id", F.col("t").alias("order_date"),

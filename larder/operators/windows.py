@@ -40,18 +40,40 @@ def _join_on_chunk(big: DataFrame, small: DataFrame, keys: list[str], how: str)
     return big.join(s, cond, how).drop(*[f"_j_{c}" for c in [*keys, "_chunk"]])
 
 
-def running_total(df: DataFrame, keys, order: list[str], value, chunk: Column,
+def with_chunks(df: DataFrame, keys: list[str], order: list[str],
+                chunk: Column | None) -> DataFrame:
+    """Add ``_chunk``: the given monotone chunk column, or — when None — the
+    partition id after a range partitioning on (keys, order).
+
+    Range partitioning splits a hot key over as many partitions as its rows
+    need, and for one key the partition id grows with the order, so every
+    chunk holds at most one partition's rows whatever the skew (a parallel
+    prefix over a distributed sort).  Partition ids are only stable for one
+    computation of the exchange (range bounds are sampled), so the chunked
+    frame is checkpointed to the shared folder (eager) and both levels read
+    that one copy.
+    """
+    if chunk is not None:
+        return df.withColumn("_chunk", chunk)
+    from larder.session import cut_lineage
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(n, *keys, *order)
+                         .withColumn("_chunk", F.spark_partition_id().cast("long")))
+
+
+def running_total(df: DataFrame, keys, order: list[str], value, chunk: Column | None = None,
                   out=None) -> DataFrame:
     """Inclusive running sum of ``value`` (one name or a list) per ``keys`` in
     ``order``; result columns ``out`` (default ``running`` / ``<v>_run``).
 
-    ``chunk`` must be monotone in ``order`` (a coarser version of it).
+    ``chunk`` must be monotone in ``order`` (a coarser version of it); None
+    uses range-partition chunks (see ``with_chunks``).
     """
     keys = _as_list(keys)
     values = _as_list(value)
     outs = _as_list(out) if out is not None else (
         ["running"] if len(values) == 1 else [f"{v}_run" for v in values])
-    d = df.withColumn("_chunk", chunk)
+    d = with_chunks(df, keys, order, chunk)
     inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     for i, v in enumerate(values):
@@ -70,7 +92,7 @@ def running_total(df: DataFrame, keys, order: list[str], value, chunk: Column,
                   *[f"_carry{i}" for i in range(len(values))])
 
 
-def asof_last(df: DataFrame, keys, order: list[str], value: str, chunk: Column,
+def asof_last(df: DataFrame, keys, order: list[str], value: str, chunk: Column | None = None,
               out: str | None = None, inclusive: bool = True) -> DataFrame:
     """For each row, the last non-NULL ``value`` at or before it (``inclusive``)
     or strictly before it, within ``keys`` in ``order`` — an as-of lookup
@@ -78,7 +100,7 @@ def asof_last(df: DataFrame, keys, order: list[str], value: str, chunk: Column,
     """
     keys = _as_list(keys)
     out = out or f"{value}_asof"
-    d = df.withColumn("_chunk", chunk)
+    d = with_chunks(df, keys, order, chunk)
     upper = Window.currentRow if inclusive else -1
     inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, upper)
@@ -135,16 +157,18 @@ def movements(purchases: DataFrame, order_items: DataFrame, orders: DataFrame,
     return buys.unionByName(sales)
 
 
-def stock_ledger(opening: DataFrame, moves: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def stock_ledger(opening: DataFrame, moves: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """Stock before -> after each movement, per ingredient.
 
     ``opening`` (ingredient_id, quantity) is the stock before the first
     movement; ``moves`` (ingredient_id, ts, kind, ref, delta).  Order within
     an ingredient: ts, then purchases (kind 0) before sales (kind 1), then
-    ref.
+    ref.  Chunks are range partitions (``bucket_seconds`` None) or time
+    buckets.
     """
-    run = running_total(moves, "ingredient_id", ["ts", "kind", "ref"], "delta",
-                        time_chunk("ts", bucket_seconds), out="moved")
+    chunk = None if bucket_seconds is None else time_chunk("ts", bucket_seconds)
+    run = running_total(moves, "ingredient_id", ["ts", "kind", "ref"], "delta", chunk,
+                        out="moved")
     o = opening.select("ingredient_id", F.col("quantity").alias("opening"))
     j = run.join(o, "ingredient_id", "left")
     base = F.coalesce(F.col("opening"), F.lit(0))

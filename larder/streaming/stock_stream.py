@@ -88,13 +88,14 @@ def stream_daily_sales(sales: DataFrame, state_dir: str, checkpoint: str,
 
 
 def stream_low_stock(moves: DataFrame, levels: DataFrame, opening: DataFrame, state_dir: str,
-                     alerts_dir: str, checkpoint: str, bucket_seconds: int = 3600,
+                     alerts_dir: str, checkpoint: str, bucket_seconds: int | None = None,
                      available_now: bool = True) -> StreamingQuery:
     """Emit an alert when an ingredient's balance falls to or below its
     reorder level (a crossing: before > level and after <= level).
 
     Per batch: balance before the batch (snapshot), plus the batch's running
-    sum per ingredient (two-level, skew-safe) gives before/after for every
+    sum per ingredient (two-level over range-partition chunks, skew-safe)
+    gives before/after for every
     movement; crossings go to ``alerts_dir/batch=N`` (overwritten on retry),
     balances to the next snapshot version.
     """
@@ -102,8 +103,8 @@ def stream_low_stock(moves: DataFrame, levels: DataFrame, opening: DataFrame, st
 
     def batch(df: DataFrame, batch_id: int) -> None:
         prev = _prev_balances(spark, state_dir, batch_id, opening)
-        run = running_total(df, "ingredient_id", ["ts", "ref"], "delta",
-                            time_chunk("ts", bucket_seconds), out="moved")
+        chunk = None if bucket_seconds is None else time_chunk("ts", bucket_seconds)
+        run = running_total(df, "ingredient_id", ["ts", "ref"], "delta", chunk, out="moved")
         j = (run.join(prev.withColumnRenamed("quantity", "_p"), "ingredient_id", "left")
                 .join(levels.select("ingredient_id", "reorder_level"), "ingredient_id", "left"))
         after = F.coalesce("_p", F.lit(0)) + F.col("moved")

@@ -202,9 +202,13 @@ def test_account_directory_display_name(seed):
 
 
 def test_menu_by_category_nested(seed):
-    got = {r[0]: [x["name"] for x in r[1]] for r in rows(A.menu_by_category(seed["menu_items"]))}
+    got = {r.category: [x["name"] for x in r.items]
+           for r in A.menu_by_category(seed["menu_items"]).collect()}
     assert got == {"Drinks": ["Milk Tea"], "Main": ["Beef Curry", "Chicken Biryani", "Plain Rice"],
                    "Snacks": ["Cheese Burger", "French Fries"]}
+    parts = A.menu_by_category(seed["menu_items"], part_size=3).collect()
+    assert max(len(r.items) for r in parts) <= 3
+    assert sum(len(r.items) for r in parts) == 6
 
 
 def test_bill_with_total(seed):
