@@ -251,3 +251,15 @@ def test_scalar_text_functions(spark):
     got = rows(df.select(X.money_text("a"), X.percent_text("p"), X.tolerant_int("t", 1),
                          X.tolerant_number("t", 0.0)))
     assert got == [("1,234.50", "10", 3, 3.7), ("5.00", "12.5", 1, 0.0)]
+
+
+def test_ingredient_without_supplier_kept_by_left_joins(spark, seed):
+    from larder.sources.catalog import load_rows
+    ing = seed["ingredients"].unionByName(load_rows(spark, "ingredients", [dict(
+        ingredient_id=11, name="Salt", unit="kg", quantity=d(1), reorder_level=d(2),
+        unit_price=d(20))]))
+    inv = {r.name: r.supplier for r in J.inventory_list(ing, seed["suppliers"]).collect()}
+    assert "Salt" in inv and inv["Salt"] is None
+    low = {r.name: r.supplier for r in J.low_stock_supplier(ing, seed["suppliers"]).collect()}
+    assert low["Salt"] is None
+    assert "Salt" not in {r.ingredient for r in J.join_inner(ing, seed["suppliers"]).collect()}
