@@ -105,10 +105,9 @@ SELECT ingredient_id, CAST(sum(delta) {D} AS quantity FROM m GROUP BY 1""",
           extra_ctes=_MOVES_SQL)
 def _stream_stock(t):
     base = _run_dir(t, "stock")
-    q = S.stream_stock(_event_moves(t), _empty_opening(t), f"{base}/state", f"{base}/ckpt")
+    q = S.stream_stock(_event_moves(t), f"{base}/state", f"{base}/ckpt")
     q.awaitTermination()
-    return sinks.read_latest(t.spark, f"{base}/state").select(
-        "ingredient_id", "quantity")
+    return S.read_balances(t.spark, f"{base}/state", _empty_opening(t))
 
 
 @register("stream_daily_sales", f"""

@@ -37,26 +37,41 @@ def _merge_balances(prev: DataFrame, delta: DataFrame) -> DataFrame:
                         .cast("decimal(20,2)").alias("quantity")))
 
 
-def stream_stock(moves: DataFrame, opening: DataFrame, state_dir: str, checkpoint: str,
+def stream_stock(moves: DataFrame, state_dir: str, checkpoint: str,
                  available_now: bool = True) -> StreamingQuery:
-    """T4: balance per ingredient kept live: opening + Σ movements.
+    """T4: balance per ingredient kept live.
 
     ``moves`` is a streaming frame (ingredient_id, ts, ref, delta) — purchases
-    positive, recipe use of sold items negative.  Per batch: one aggregate of
-    the batch's deltas, joined with the previous snapshot.
+    positive, recipe use of sold items negative.  The running sum per
+    ingredient lives in Spark's state store (a streaming aggregation in
+    update mode, restored from ``checkpoint`` after a failure); each
+    micro-batch emits only the ingredients it changed, written to
+    ``state_dir/changes/batch=N`` (overwritten if the batch is retried).
+    ``read_balances`` adds the latest total per ingredient to the opening
+    stock.
     """
-    spark = moves.sparkSession
+    totals = moves.groupBy("ingredient_id").agg(F.sum("delta").alias("moved"))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        d = df.groupBy("ingredient_id").agg(F.sum("delta").alias("d"))
-        new = _merge_balances(_prev_balances(spark, state_dir, batch_id, opening), d)
-        sinks.commit_version(new, state_dir, batch_id)
+        df.write.mode("overwrite").parquet(f"{state_dir}/changes/batch={batch_id}")
 
-    w = moves.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    w = (totals.writeStream.outputMode("update").foreachBatch(batch)
+               .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
+def read_balances(spark: SparkSession, state_dir: str, opening: DataFrame) -> DataFrame:
+    """Current balances: opening stock + the latest running total per
+    ingredient (the highest batch that changed it)."""
+    ch = spark.read.parquet(f"{state_dir}/changes")
+    latest = ch.groupBy("ingredient_id").agg(F.max_by("moved", "batch").alias("moved"))
+    return (opening.select("ingredient_id", "quantity").join(latest, "ingredient_id", "full")
+                   .select("ingredient_id",
+                           (F.coalesce("quantity", F.lit(0)) + F.coalesce("moved", F.lit(0)))
+                           .cast("decimal(20,2)").alias("quantity")))
+
+
 def stream_daily_sales(sales: DataFrame, state_dir: str, checkpoint: str,
                        watermark: str = "1 day", available_now: bool = True) -> StreamingQuery:
     """T5: v_daily_sales kept live.

@@ -78,15 +78,31 @@ def test_stream_stock_equals_batch(spark):
     data = [(i % 3, t0 + dt.timedelta(minutes=i), i, Decimal(i % 7 - 3)) for i in range(60)]
     opening = spark.createDataFrame([(0, Decimal(10)), (5, Decimal(1))],
                                     "ingredient_id long, quantity decimal(20,2)")
-    q = S.stream_stock(_moves(spark, f"{base}/in", data), opening, f"{base}/state", f"{base}/ck")
+    q = S.stream_stock(_moves(spark, f"{base}/in", data), f"{base}/state", f"{base}/ck")
     q.awaitTermination()
-    got = dict(rows(sinks.read_latest(spark, f"{base}/state")))
+    got = dict(rows(S.read_balances(spark, f"{base}/state", opening)))
     want = {0: Decimal(10), 5: Decimal(1)}
     for k, _, _, v in data:
         want[k] = want.get(k, 0) + v
     assert got == want
 
 
+def test_stream_stock_restarts_from_checkpoint(spark):
+    base = tempfile.mkdtemp(prefix="larder-st2-")
+    t0 = dt.datetime(2026, 8, 1)
+    schema = "ingredient_id long, ts timestamp_ntz, ref long, delta decimal(12,2)"
+    first = [(1, t0, 1, Decimal(5)), (2, t0, 2, Decimal(7))]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(f"{base}/in/p1")
+    src = lambda: spark.readStream.schema(schema).parquet(f"{base}/in/*")
+    opening = spark.createDataFrame([], "ingredient_id long, quantity decimal(20,2)")
+    S.stream_stock(src(), f"{base}/state", f"{base}/ck").awaitTermination()
+    second = [(1, t0, 3, Decimal(-2)), (3, t0, 4, Decimal(1))]
+    spark.createDataFrame(second, schema).coalesce(1).write.parquet(f"{base}/in/p2")
+    S.stream_stock(src(), f"{base}/state", f"{base}/ck").awaitTermination()
+    got = dict(rows(S.read_balances(spark, f"{base}/state", opening)))
+    assert got == {1: d(3), 2: d(7), 3: d(1)}
+
+
 def test_stream_low_stock_crossings(spark):
     base = tempfile.mkdtemp(prefix="larder-low-")
     t0 = dt.datetime(2026, 8, 1)
