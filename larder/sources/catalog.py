@@ -130,6 +130,13 @@ def sql_script(spark: SparkSession, script: str) -> list[StatementResult]:
     return results
 
 
+def run_bound(spark: SparkSession, sql: str, **args) -> DataFrame:
+    """P13 as SQL: a statement with named parameters (``:name``) bound to
+    values, as the reference's prepared statements do — values never go into
+    the SQL text."""
+    return spark.sql(sql, args=args)
+
+
 def rows_of(df: DataFrame) -> DataFrame:
     """Row count of a statement's result as a frame (for the runner's footer)."""
     return df.agg(F.count(F.lit(1)).alias("rows"))

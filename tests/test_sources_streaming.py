@@ -65,6 +65,16 @@ def test_sql_script_errors_do_not_stop(spark, seed):
     assert catalog.sql_script(spark, "  ")[0].error == "empty statement"
 
 
+def test_bound_parameters(spark, seed):
+    catalog.register_tables(spark, seed)
+    df = catalog.run_bound(spark, "SELECT m.name, oi.quantity FROM order_items oi JOIN menu_items m "
+                                  "ON m.menu_id = oi.menu_id WHERE oi.order_id = :oid", oid=1)
+    assert sorted(rows(df)) == [("Chicken Biryani", 2), ("Milk Tea", 1)]
+    injected = catalog.run_bound(spark, "SELECT * FROM customers WHERE name = :n",
+                                 n="x' OR '1'='1")
+    assert injected.count() == 0
+
+
 def _moves(spark, folder, data):
     df = spark.createDataFrame(data, "ingredient_id long, ts timestamp_ntz, ref long, "
                                      "delta decimal(12,2)")
