@@ -22,6 +22,26 @@ _DEFAULTS = {
 }
 
 
+def scale_settings(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for ``input_bytes`` of parquet input.
+
+    One shuffle partition per ``partition_bytes`` of input (shuffles here
+    are at most the size of the fact tables they read, usually much less
+    after map-side aggregation), so a partition fits in executor memory and
+    spills rarely; AQE then coalesces the small ones.  At 100 TB and 256 MB
+    that is ~400k partitions.  Scan splits are the same size; skewed
+    partitions above 4x the median and 512 MB are split by AQE.
+    """
+    n = max(1, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * partition_bytes),
+    }
+
+
 def build_session(master: str | None = None, app: str = "larder",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:

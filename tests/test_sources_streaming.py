@@ -165,3 +165,10 @@ def test_registered_query_small_sf(spark):
     import __spark_entry__ as E
     df = E.queries()["daily_sales"](spark, "/root/testdata/sf0.001")
     assert df.filter(F.col("total_orders") <= 0).count() == 0 and df.count() > 0
+
+
+def test_scale_settings():
+    from larder.session import scale_settings
+    s = scale_settings(100 * (1 << 40))
+    assert int(s["spark.sql.shuffle.partitions"]) == 409600
+    assert scale_settings(1)["spark.sql.shuffle.partitions"] == "1"
