@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from larder.functions import exprs as X
 from larder.operators.aggregates import cart_lines
 from larder.operators.filters import first_waiter
-from larder.operators.windows import asof_last, assign_ids, next_id_base, running_total, seq_chunk
+from larder.operators.windows import (asof_last, assign_ids, next_id_base, running_total,
+                                      seq_chunk, wall_seconds)
 from larder.session import cut_lineage
 
 
@@ -228,7 +229,7 @@ def price_as_of(lines: DataFrame, price_log: DataFrame, chunk_seconds: int | Non
                       F.lit(None).cast(log.schema["ver"].dataType).alias("ver"))
     u = log.unionByName(ls)
     chunk = (None if chunk_seconds is None
-             else F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / chunk_seconds))
+             else F.floor(wall_seconds("t") / chunk_seconds))
     a = asof_last(u, "menu_id", ["t", "kind", "order_item_id"], "ver", chunk, out="cur")
     a = a.filter(F.col("kind") == 1)
     ok = F.col("cur.is_available") == 1

@@ -122,9 +122,18 @@ def asof_last(df: DataFrame, keys, order: list[str], value: str, chunk: Column |
              .drop("_chunk", "_in", "_c"))
 
 
+def wall_seconds(ts) -> Column:
+    """Seconds since 1970-01-01 00:00 of the wall clock of ``ts`` (whole
+    seconds).  For TIMESTAMP_NTZ this does not depend on the session time
+    zone (a cast to TIMESTAMP would), and it is monotone in ``ts``."""
+    c = F.col(ts) if isinstance(ts, str) else ts
+    return (F.unix_date(F.to_date(c)).cast("long") * 86400 + F.hour(c) * 3600
+            + F.minute(c) * 60 + F.second(c))
+
+
 def time_chunk(ts: str, seconds: int = 3600) -> Column:
     """Chunk id = time bucket of ``seconds`` (monotone in ``ts``)."""
-    return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
+    return F.floor(wall_seconds(ts) / seconds)
 
 
 def seq_chunk(seq: str, size: int = 1 << 16) -> Column:

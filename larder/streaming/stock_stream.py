@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from larder.operators.windows import running_total, time_chunk
+from larder.operators.windows import running_total, time_chunk, wall_seconds
 from larder.sources import sinks
 
 MOVEMENT_COLS = ["ingredient_id", "ts", "ref", "delta"]
@@ -76,18 +76,22 @@ def stream_daily_sales(sales: DataFrame, state_dir: str, checkpoint: str,
                        watermark: str = "1 day", available_now: bool = True) -> StreamingQuery:
     """T5: v_daily_sales kept live.
 
-    ``sales`` (ts, amount) are paid sales.  ``ts`` is cast to TIMESTAMP
-    (session zone UTC) for the watermark; rows later than the watermark are
-    dropped.  Update mode: each batch yields the days it changed, which
-    replace those days in the snapshot.
+    ``sales`` (ts, amount) are paid sales.  The watermark needs a TIMESTAMP,
+    so the wall clock of ``ts`` is turned into an instant by epoch
+    arithmetic (not by a cast, which would shift days by the session time
+    zone); windows are whole wall-clock days and map back to dates the same
+    way.  Rows later than the watermark are dropped.  Update mode: each
+    batch yields the days it changed, which replace those days in the
+    snapshot.
     """
     spark = sales.sparkSession
-    agg = (sales.withColumn("ts", F.col("ts").cast("timestamp"))
-                .withWatermark("ts", watermark)
-                .groupBy(F.window("ts", "1 day"))
+    start_day = F.floor(F.unix_seconds(F.col("window.start")) / 86400).cast("int")
+    agg = (sales.withColumn("_t", F.timestamp_seconds(wall_seconds("ts")))
+                .withWatermark("_t", watermark)
+                .groupBy(F.window("_t", "1 day"))
                 .agg(F.count(F.lit(1)).alias("total_orders"),
                      F.sum("amount").alias("total_sales"))
-                .select(F.to_date(F.col("window.start")).alias("day"), "total_orders",
+                .select(F.date_from_unix_date(start_day).alias("day"), "total_orders",
                         "total_sales"))
 
     def batch(df: DataFrame, batch_id: int) -> None:

@@ -172,3 +172,21 @@ def test_scale_settings():
     s = scale_settings(100 * (1 << 40))
     assert int(s["spark.sql.shuffle.partitions"]) == 409600
     assert scale_settings(1)["spark.sql.shuffle.partitions"] == "1"
+
+
+def test_stream_daily_sales_ignores_session_zone(spark):
+    base = tempfile.mkdtemp(prefix="larder-tz-")
+    data = [(dt.datetime(2026, 8, 1, 1, 0), Decimal(1)), (dt.datetime(2026, 8, 1, 23, 0), Decimal(2)),
+            (dt.datetime(2026, 8, 2, 0, 30), Decimal(4))]
+    df = spark.createDataFrame(data, "ts timestamp_ntz, amount decimal(12,2)")
+    df.coalesce(1).write.parquet(f"{base}/in")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        src = spark.readStream.schema(df.schema).parquet(f"{base}/in")
+        S.stream_daily_sales(src, f"{base}/state", f"{base}/ck").awaitTermination()
+        got = sorted((str(r.day), r.total_orders)
+                     for r in sinks.read_latest(spark, f"{base}/state").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [("2026-08-01", 2), ("2026-08-02", 1)]
