@@ -169,6 +169,16 @@ customer_deletes AS (
   SELECT c_custkey AS customer_id FROM customer WHERE c_custkey % 9 = 4),
 supplier_deletes AS (
   SELECT s_suppkey * 2 AS supplier_id FROM supplier WHERE s_suppkey % 4 = 1),
+new_purchases AS (
+  SELECT l_orderkey * 64 + row_number() OVER (
+           PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+                                            l_quantity, l_extendedprice, l_shipdate) AS seq,
+         l_suppkey AS supplier_id, l_partkey AS ingredient_id,
+         CAST(l_quantity - 3 AS DECIMAL(10,2)) AS quantity,
+         CAST(CASE WHEN l_orderkey % 50 = 0 THEN -l_extendedprice ELSE l_extendedprice END
+              AS DECIMAL(10,2)) AS cost,
+         CAST(l_shipdate AS DATE) AS purchase_date
+  FROM lineitem WHERE l_returnflag = 'A'),
 price_log AS (
   SELECT p_partkey AS menu_id, TIMESTAMP '1990-01-01 00:00:00' AS valid_from,
          CAST(p_retailprice AS DECIMAL(10,2)) AS price, CAST(0 AS DECIMAL(5,2)) AS discount,

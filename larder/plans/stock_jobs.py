@@ -6,7 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from larder.operators import quality as Q
 from larder.operators import stock as T
+from larder.operators.windows import assign_ids, next_id_base
+from larder.schemas import conform
 from larder.plans.registry import register
 from larder.session import scratch_path
 from larder.sources import catalog, sinks
@@ -173,3 +176,43 @@ def _sql_script(t):
     if errors:
         raise RuntimeError(errors[0])
     return results[-1].frame
+
+
+# ------------------------------------------------------------------ S8, S9
+
+@register("sink_append", f"""
+SELECT purchase_id, supplier_id, ingredient_id, CAST(quantity {D} AS quantity,
+       CAST(cost {D} AS cost, CAST(purchase_date AS TIMESTAMP) AS purchase_date
+FROM purchases
+UNION ALL
+SELECT (SELECT max(purchase_id) FROM purchases) + row_number() OVER (ORDER BY seq),
+       supplier_id, ingredient_id, CAST(quantity {D}, CAST(cost {D},
+       CAST(purchase_date AS TIMESTAMP)
+FROM new_purchases WHERE coalesce(quantity > 0, false) AND coalesce(cost >= 0, false)""")
+def _sink_append(t):
+    """The purchases table is written, a batch of purchase forms is
+    validated (D5), given ids (W2) and appended; the table is read back with
+    its declared schema."""
+    path = _run_dir(t, "append") + "/purchases"
+    sinks.append(t.purchases, path)
+    ok = Q.with_reason(t.new_purchases, Q.purchase_form_rules()).filter(F.col("reason").isNull())
+    ok = assign_ids(ok, ["seq"], start=next_id_base(t.purchases, "purchase_id"),
+                    out="purchase_id")
+    sinks.append(conform(ok, "purchases"), path)
+    return catalog.read_table(t.spark, path, "purchases")
+
+
+@register("sink_snapshot", f"""
+SELECT i.ingredient_id, CAST(i.quantity + coalesce(p.q, 0) {D} AS quantity
+FROM ingredients i
+LEFT JOIN (SELECT ingredient_id, sum(quantity) AS q FROM purchases GROUP BY 1) p
+  ON p.ingredient_id = i.ingredient_id""")
+def _sink_snapshot(t):
+    """Version 0 = ingredients; version 1 = version 0 after the purchases
+    (T1), written as a new version while version 0 is its input; readers get
+    the latest committed version."""
+    base = _run_dir(t, "snapshot")
+    sinks.commit_version(t.ingredients, base, 0)
+    v0 = sinks.read_latest(t.spark, base)
+    sinks.commit_version(T.apply_purchases(v0, t.purchases), base, 1)
+    return sinks.read_latest(t.spark, base).select("ingredient_id", "quantity")

@@ -321,6 +321,20 @@ def supplier_deletes(spark, d):
         (F.col("s_suppkey") * 2).alias("supplier_id"))
 
 
+def new_purchases(spark, d):
+    """(seq, supplier_id, ingredient_id, quantity, cost, purchase_date): a
+    batch of purchase forms (lines with return flag 'A'); some quantities are
+    not above 0 and every 50th order's costs are negative (form rules)."""
+    li = _id_within_order(read_source(spark, d, "lineitem").filter(F.col("l_returnflag") == "A"))
+    cost = F.when(F.col("l_orderkey") % 50 == 0, -F.col("l_extendedprice")) \
+        .otherwise(F.col("l_extendedprice"))
+    return li.select(F.col("_row_id").alias("seq"), F.col("l_suppkey").alias("supplier_id"),
+                     F.col("l_partkey").alias("ingredient_id"),
+                     (F.col("l_quantity") - 3).cast("decimal(10,2)").alias("quantity"),
+                     cost.cast("decimal(10,2)").alias("cost"),
+                     F.to_date("l_shipdate").alias("purchase_date"))
+
+
 def price_log(spark, d):
     """(menu_id, valid_from, price, discount, is_available): the menu's
     price history — an opening version and later changes."""
@@ -351,7 +365,7 @@ _BUILDERS = {
     "menu_changes": menu_changes, "ingredient_changes": ingredient_changes,
     "status_changes": status_changes, "cart_events": cart_events,
     "customer_deletes": customer_deletes, "supplier_deletes": supplier_deletes,
-    "price_log": price_log,
+    "price_log": price_log, "new_purchases": new_purchases,
 }
 
 
