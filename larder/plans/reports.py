@@ -386,9 +386,9 @@ def _best_sellers_revenue(t):
 @register("supplier_cost_having", f"""
 SELECT s.supplier_id, s.name, CAST(sum(p.cost) {D} AS total_cost
 FROM suppliers s JOIN purchases p ON s.supplier_id = p.supplier_id
-GROUP BY s.supplier_id, s.name HAVING sum(p.cost) > 7500000""")
+GROUP BY s.supplier_id, s.name HAVING sum(p.cost) > 10500000""")
 def _supplier_cost_having(t):
-    return A.supplier_cost_having(t.suppliers, t.purchases, 7500000)
+    return A.supplier_cost_having(t.suppliers, t.purchases, 10500000)
 
 
 @register("employee_sales", f"""
