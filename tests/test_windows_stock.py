@@ -236,3 +236,23 @@ def test_range_chunks_split_hot_key_and_stay_exact(spark):
             last[k] = v
         want2.append((k, s, last.get(k)))
     assert sorted(got2, key=str) == sorted(want2, key=str)
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows_=st.lists(st.tuples(st.integers(0, 3), st.integers(-20, 20)), min_size=1,
+                      max_size=120),
+       size=st.one_of(st.none(), st.integers(1, 9)))
+def test_running_total_property(spark, rows_, size):
+    data = [(k, i, v) for i, (k, v) in enumerate(rows_)]
+    df = spark.createDataFrame(data, "k long, seq long, v long")
+    chunk = None if size is None else W.seq_chunk("seq", size)
+    got = sorted(rows(W.running_total(df, "k", ["seq"], "v", chunk), "k", "seq", "running"))
+    acc, want = defaultdict(int), []
+    for k, s, v in data:
+        acc[k] += v
+        want.append((k, s, acc[k]))
+    assert got == sorted(want)
