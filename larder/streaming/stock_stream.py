@@ -1,11 +1,13 @@
 """Live stock keeping and daily sales with Structured Streaming.
 
 Sources are streaming DataFrames (file source over parquet here; Kafka or a
-table stream on a cluster).  Each micro-batch is handled in ``foreachBatch``
-with ordinary batch DataFrame jobs and written as a new snapshot version
-numbered by the batch id (``larder.sources.sinks``), so a retried batch
-rewrites the same version: the sink is idempotent and restartable from the
-checkpoint.
+table stream on a cluster).  T4 keeps its running sums in Spark's state
+store (streaming aggregation, update mode) and appends each micro-batch's
+changed rows under the batch id; T5 is a watermarked window aggregation;
+T7 runs batch DataFrame jobs per micro-batch in ``foreachBatch``.  Every
+sink writes under the micro-batch id (``larder.sources.sinks`` versions or
+``batch=N`` folders), so a retried batch rewrites the same output: sinks are
+idempotent and the queries restart from their checkpoints.
 
 Order across micro-batches is arrival order; within a batch, event time
 (then ``ref``).
