@@ -266,13 +266,19 @@ def cart_merge(events: DataFrame, menu_items: DataFrame) -> DataFrame:
     is_set = (F.col("op") == "set") & (F.col("qty") > 0)
     r = e.groupBy(*k).agg(F.max(F.when(is_drop, F.col("seq"))).alias("_r"))
     e = e.join(r, k).withColumn("_r", F.coalesce("_r", F.lit(-(1 << 62))))
-    f = e.filter(is_add & (F.col("seq") > F.col("_r"))).groupBy(*k).agg(
-        F.min("seq").alias("_f"))
-    e = e.join(f, k)  # no available add after the last drop -> not in the cart
-    s = e.filter(is_set & (F.col("seq") > F.col("_f"))).groupBy(*k).agg(
-        F.max_by("qty", "seq").alias("_sq"), F.max("seq").alias("_s"))
-    e = e.join(s, k, "left")
-    start = F.coalesce(F.col("_s"), F.col("_f") - 1)
+    after_r = F.col("seq") > F.col("_r")
+    # one pass: first available add after r, and the last positive set after r
+    # (it counts only if it comes after that add; earlier sets found no item)
+    fs = e.groupBy(*k).agg(
+        F.min(F.when(is_add & after_r, F.col("seq"))).alias("_f"),
+        F.max_by(F.when(is_set & after_r, F.struct(F.col("seq").alias("s"), "qty")),
+                 F.when(is_set & after_r, F.col("seq"))).alias("_s"))
+    fs = fs.filter(F.col("_f").isNotNull())  # no add after the last drop: not in the cart
+    set_counts = F.col("_s.s") > F.col("_f")
+    fs = fs.select(*k, "_f", F.when(set_counts, F.col("_s.s")).alias("_sseq"),
+                   F.when(set_counts, F.col("_s.qty")).alias("_sq"))
+    e = e.join(fs, k)
+    start = F.coalesce(F.col("_sseq"), F.col("_f") - 1)
     return (e.groupBy(*k)
              .agg(F.max(F.coalesce("_sq", F.lit(0))).alias("_base"),
                   F.sum(F.when(is_add & (F.col("seq") > start),
