@@ -190,3 +190,11 @@ def test_stream_daily_sales_ignores_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == [("2026-08-01", 2), ("2026-08-02", 1)]
+
+
+def test_checkpoint_dir_read_from_session(spark):
+    from larder.session import checkpoint_dir, cut_lineage
+    d_ = checkpoint_dir(spark)
+    assert d_ and "larder-test-ckpt-" in d_
+    df = cut_lineage(spark.range(10))
+    assert df.count() == 10
