@@ -198,3 +198,21 @@ def test_checkpoint_dir_read_from_session(spark):
     assert d_ and "larder-test-ckpt-" in d_
     df = cut_lineage(spark.range(10))
     assert df.count() == 10
+
+
+def test_stream_low_stock_across_batches(spark):
+    base = tempfile.mkdtemp(prefix="larder-low2-")
+    t0 = dt.datetime(2026, 8, 1)
+    schema = "ingredient_id long, ts timestamp_ntz, ref long, delta decimal(12,2)"
+    levels = spark.createDataFrame([(1, Decimal(10))], "ingredient_id long, reorder_level decimal(10,2)")
+    opening = spark.createDataFrame([(1, Decimal(12))], "ingredient_id long, quantity decimal(20,2)")
+    src = lambda: spark.readStream.schema(schema).parquet(f"{base}/in/*")
+    run = lambda: S.stream_low_stock(src(), levels, opening, f"{base}/state",
+                                     f"{base}/alerts", f"{base}/ck").awaitTermination()
+    spark.createDataFrame([(1, t0, 1, Decimal(8))], schema).write.parquet(f"{base}/in/p1")
+    run()   # 12 -> 20: no alert
+    spark.createDataFrame([(1, t0 + dt.timedelta(hours=1), 2, Decimal(-11))], schema) \
+        .write.parquet(f"{base}/in/p2")
+    run()   # 20 -> 9: crossing, with the balance carried from the first batch
+    got = rows(spark.read.parquet(f"{base}/alerts"), "ref", "before", "after")
+    assert got == [(2, d(20), d(9))]
