@@ -112,7 +112,8 @@ def in_list(df: DataFrame, col: str, values: list) -> DataFrame:
 
 def key_param_filter(df: DataFrame, key: str, keys) -> DataFrame:
     """Rows whose ``key`` matches a bound value, or — for many keys — a
-    key table (left semi join, a broadcast when the key table is small)."""
+    key table (left semi join; Spark broadcasts the key table when its
+    measured size is under the broadcast threshold)."""
     if isinstance(keys, DataFrame):
         return df.join(keys.select(key), key, "left_semi")
     return df.filter(F.col(key) == F.lit(keys))
