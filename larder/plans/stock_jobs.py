@@ -47,7 +47,66 @@ def order_requests(t):
              .select(F.col("cart_id").alias("seq"), "customer_id", "ts", "cart"))
 
 
-@register("place_orders")  # iterative admission: checked against a serial loop in tests
+# Oracle for admission: a plain serial simulation in SQL.  Only "contended"
+# ingredients (opening stock below the total demand of all candidate orders)
+# can refuse an order, so the recursive walk visits just the orders that use
+# one, in seq order, carrying their balances in a map.
+_T3_EXTRA = """,
+req AS (SELECT order_id AS seq, customer_id FROM orders WHERE status = 'Pending'),
+lines AS (SELECT cart_id AS seq, menu_id, qty FROM cart_lines),
+chk AS (SELECT r.seq, count(l.menu_id) AS nlines,
+               count_if(m.menu_id IS NULL OR m.is_available <> 1) AS nbad,
+               sum(round(m.price - m.price * m.discount * 0.01, 2) * l.qty) AS total
+        FROM req r LEFT JOIN lines l ON l.seq = r.seq
+        LEFT JOIN menu_items m ON m.menu_id = l.menu_id
+        GROUP BY r.seq),
+cand AS (SELECT seq FROM chk WHERE nlines > 0 AND nbad = 0),
+needs AS (SELECT l.seq, r.ingredient_id, sum(r.qty_required * l.qty) AS need
+          FROM lines l JOIN cand c ON c.seq = l.seq JOIN recipes r ON r.menu_id = l.menu_id
+          GROUP BY 1, 2),
+opening AS (SELECT i.ingredient_id, i.quantity + coalesce(p.q, 0) AS q FROM ingredients i
+            LEFT JOIN (SELECT ingredient_id, sum(quantity) AS q FROM purchases GROUP BY 1) p
+              ON p.ingredient_id = i.ingredient_id),
+contended AS (SELECT t.ingredient_id, CAST(coalesce(o.q, 0) AS DECIMAL(18,4)) AS q
+              FROM (SELECT ingredient_id, sum(need) AS total FROM needs GROUP BY 1) t
+              LEFT JOIN opening o ON o.ingredient_id = t.ingredient_id
+              WHERE coalesce(o.q, 0) < t.total),
+creq AS (SELECT seq, row_number() OVER (ORDER BY seq) AS rn
+         FROM (SELECT DISTINCT seq FROM needs
+               WHERE ingredient_id IN (SELECT ingredient_id FROM contended))),
+cn AS (SELECT c.rn, n.ingredient_id, CAST(n.need AS DECIMAL(18,4)) AS need
+       FROM needs n JOIN creq c ON c.seq = n.seq
+       WHERE n.ingredient_id IN (SELECT ingredient_id FROM contended)),
+sim AS (
+  WITH RECURSIVE s(rn, bal, ok) AS (
+    SELECT 0, (SELECT map_from_entries(list({'k': ingredient_id, 'v': q})) FROM contended), true
+    UNION ALL
+    SELECT s.rn + 1,
+           CASE WHEN (SELECT bool_and(s.bal[cn.ingredient_id] - cn.need >= 0) FROM cn
+                      WHERE cn.rn = s.rn + 1)
+                THEN map_concat(s.bal, (SELECT map_from_entries(list({'k': cn.ingredient_id,
+                       'v': CAST(s.bal[cn.ingredient_id] - cn.need AS DECIMAL(18,4))}))
+                                        FROM cn WHERE cn.rn = s.rn + 1))
+                ELSE s.bal END,
+           (SELECT bool_and(s.bal[cn.ingredient_id] - cn.need >= 0) FROM cn
+            WHERE cn.rn = s.rn + 1)
+    FROM s WHERE s.rn < (SELECT count(*) FROM creq))
+  SELECT c.seq, s.ok FROM s JOIN creq c ON c.rn = s.rn),
+outc AS (SELECT r.seq, r.customer_id,
+                CASE WHEN k.nlines = 0 THEN 'empty cart'
+                     WHEN k.nbad > 0 THEN 'item not available'
+                     WHEN sim.ok = false THEN 'not enough stock' END AS reason, k.total
+         FROM req r JOIN chk k ON k.seq = r.seq LEFT JOIN sim ON sim.seq = r.seq)"""
+
+_T3_SELECT = """
+SELECT seq, customer_id, reason IS NULL AS accepted, reason,
+       CASE WHEN reason IS NULL THEN (SELECT max(order_id) FROM orders)
+            + row_number() OVER (PARTITION BY reason IS NULL ORDER BY seq) END AS order_id,
+       CAST(CASE WHEN reason IS NULL THEN total END AS DOUBLE) AS total
+FROM outc"""
+
+
+@register("place_orders", _T3_SELECT, extra_ctes=_T3_EXTRA)
 def _place_orders(t):
     opening = T.apply_purchases(t.ingredients, t.purchases)
     res = T.place_orders(order_requests(t), t.menu_items, t.recipes, opening, t.employees,
