@@ -4,11 +4,11 @@ Built-in parquet tables cannot UPDATE / DELETE / MERGE, so each change is
 ``DataFrame -> DataFrame`` (the table after the change, plus per-request
 outcomes); ``larder.sources.sinks`` persists a new version atomically.
 
-Batch semantics of a change table: rows are requests in ``seq`` order.
-Within one batch, inserts are applied first, then updates (last valid
-request per key wins), then deletes.  Requests on different keys never
-interact; for the same key this equals the serial order except that an
-insert cannot reuse a name freed by a delete of the same batch.
+Batch semantics of a change table: rows are requests in ``seq`` order, and
+the result equals applying them one by one wherever they interact: the last
+valid update per key wins, a repeated delete finds nothing, a delete frees a
+name for later inserts, and requests on a row inserted in the batch count
+only after the insert (see ``ingredient_change`` for the one case left out).
 """
 
 from __future__ import annotations
@@ -23,23 +23,35 @@ from larder.operators.windows import assign_ids, next_id_base
 from larder.schemas import ORDER_STATUSES, conform
 
 
-def _first_per_name(a: DataFrame, existing_names: DataFrame) -> DataFrame:
+def _first_per_name(a: DataFrame, existing: DataFrame, freed: DataFrame | None = None,
+                    id_col: str | None = None) -> DataFrame:
     """Reason 'name exists' / 'duplicate name in batch' for insert requests.
 
-    Only requests that pass their form rules compete for a name; the first
-    (lowest seq) wins.  Both steps are aggregates/joins on the name.
+    A name exists for a request at ``seq`` when a row of ``existing`` has it
+    and — if ``freed`` (id_col, _del) is given — that row was not deleted by
+    an earlier request of the batch.  Only requests that pass their form
+    rules compete for a name; the first (lowest seq) wins.  All steps are
+    aggregates and joins on the name.
     """
-    names = existing_names.select("name").distinct().withColumn("_exists", F.lit(True))
+    if freed is None:
+        names = (existing.select("name").distinct()
+                         .select("name", F.lit(True).alias("_kept"),
+                                 F.lit(None).cast("long").alias("_free")))
+    else:
+        e = existing.select(id_col, "name").join(freed, id_col, "left")
+        names = e.groupBy("name").agg((F.count_if(F.col("_del").isNull()) > 0).alias("_kept"),
+                                      F.max("_del").alias("_free"))
     a = a.join(names, "name", "left")
-    a = a.withColumn("reason", F.coalesce("reason", F.when(F.col("_exists"),
-                                                           F.lit("name exists"))))
+    exists = F.coalesce(F.col("_kept"), F.lit(False)) | \
+        F.coalesce(F.col("_free") > F.col("seq"), F.lit(False))
+    a = a.withColumn("reason", F.coalesce("reason", F.when(exists, F.lit("name exists"))))
     first = (a.filter(F.col("reason").isNull()).groupBy("name")
               .agg(F.min("seq").alias("_first")))
     a = a.join(first, "name", "left")
     return (a.withColumn("reason", F.coalesce(
                 "reason", F.when(F.col("seq") != F.col("_first"),
                                  F.lit("duplicate name in batch"))))
-             .drop("_exists", "_first"))
+             .drop("_kept", "_free", "_first"))
 
 
 def _insert_with_ids(table: DataFrame, accepted: DataFrame, id_col: str) -> DataFrame:
@@ -191,34 +203,67 @@ def ingredient_change(ingredients: DataFrame, purchases: DataFrame, recipes: Dat
     add: trimmed name, form rules, name unique; supplier NULL when blank.
     update: quantity, reorder_level, unit_price (all >= 0); last valid wins.
     delete: refused when used by a purchase or a recipe.
+
+    Order within the batch follows ``seq`` where it matters: a delete of an
+    existing ingredient frees its name for adds after it; a repeated delete
+    finds nothing; updates and deletes of an ingredient added in the batch
+    count only after its add.  (A name freed by deleting an ingredient that
+    was itself added in the same batch is not reused.)
     """
+    restrict = [(purchases, "ingredient_id", "used by purchases"),
+                (recipes, "ingredient_id", "used by recipes")]
+    pre_ids = ingredients.select("ingredient_id").distinct()
+    dels = changes.filter(F.col("op") == "delete").select("seq", "ingredient_id")
+
+    # deletes of ingredients that exist before the batch (independent of adds)
+    d_pre = delete_requests(ingredients, "ingredient_id",
+                            dels.join(pre_ids, "ingredient_id", "left_semi"), restrict)
+    first_del = (d_pre.filter(F.col("outcome") == "deleted").groupBy("ingredient_id")
+                      .agg(F.min("seq").alias("_del")))
+    d_pre = (d_pre.join(first_del, "ingredient_id", "left")
+                  .withColumn("outcome", F.when((F.col("outcome") == "deleted")
+                                                & (F.col("seq") != F.col("_del")),
+                                                F.lit("not found")).otherwise(F.col("outcome")))
+                  .drop("_del"))
+
     adds = changes.filter(F.col("op") == "add").select(
         "seq", F.trim("name").alias("name"), "unit", "quantity", "reorder_level", "unit_price",
         "supplier_id")
     adds = Q.with_reason(adds, Q.ingredient_form_rules("add"))
-    adds = _first_per_name(adds, ingredients)
+    adds = _first_per_name(adds, ingredients, first_del, "ingredient_id")
     ok = _insert_with_ids(ingredients, adds.filter(F.col("reason").isNull()), "ingredient_id")
-    table = ingredients.unionByName(conform(ok, "ingredients"))
+    new_ids = ok.select("ingredient_id", F.col("seq").alias("_add"))
+
+    # deletes of ingredients added in this batch: only after their add
+    d_new = (dels.join(pre_ids, "ingredient_id", "left_anti")
+                 .join(new_ids, "ingredient_id", "left")
+                 .withColumn("_ok", F.coalesce(F.col("seq") > F.col("_add"), F.lit(False))))
+    first_new = (d_new.filter("_ok").groupBy("ingredient_id")
+                      .agg(F.min("seq").alias("_del")))
+    d_new = (d_new.join(first_new, "ingredient_id", "left")
+                  .select("seq", "ingredient_id",
+                          F.when(F.col("_ok") & (F.col("seq") == F.col("_del")),
+                                 F.lit("deleted")).otherwise(F.lit("not found"))
+                           .alias("outcome")))
+    gone = first_del.select("ingredient_id").unionByName(first_new.select("ingredient_id"))
 
     ups = Q.with_reason(changes.filter(F.col("op") == "update"),
                         Q.ingredient_form_rules("update"))
-    last = (ups.filter(F.col("reason").isNull()).groupBy("ingredient_id")
-               .agg(F.max_by(F.struct("quantity", "reorder_level", "unit_price"), "seq")
-                    .alias("_u")))
+    valid = (ups.filter(F.col("reason").isNull()).join(new_ids, "ingredient_id", "left")
+                .filter(F.col("_add").isNull() | (F.col("seq") > F.col("_add"))))
+    last = (valid.groupBy("ingredient_id")
+                 .agg(F.max_by(F.struct("quantity", "reorder_level", "unit_price"), "seq")
+                      .alias("_u")))
+    table = ingredients.unionByName(conform(ok, "ingredients"))
     j = table.join(last, "ingredient_id", "left")
     hit = F.col("_u").isNotNull()
     table = j.select(*[
         (F.when(hit, F.col(f"_u.{c}")).otherwise(F.col(c)).cast("decimal(10,2)").alias(c)
          if c in ("quantity", "reorder_level", "unit_price") else F.col(c))
         for c in ingredients.columns])
-
-    dels = changes.filter(F.col("op") == "delete").select("seq", "ingredient_id")
-    dout = delete_requests(table, "ingredient_id", dels,
-                           [(purchases, "ingredient_id", "used by purchases"),
-                            (recipes, "ingredient_id", "used by recipes")])
-    gone = dout.filter(F.col("outcome") == "deleted").select("ingredient_id")
     table = remove_keys(table, "ingredient_id", gone)
 
+    dout = d_pre.select("seq", "ingredient_id", "outcome").unionByName(d_new)
     outcomes = (adds.join(ok.select("seq", "ingredient_id"), "seq", "left")
                     .select("seq", F.lit("add").alias("op"), "ingredient_id", "reason")
                 .unionByName(ups.select("seq", F.lit("update").alias("op"), "ingredient_id",

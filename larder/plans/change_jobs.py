@@ -86,35 +86,52 @@ def _menu_delete(t):
 SELECT ingredient_id, name, unit, CAST(quantity {D} AS quantity,
        CAST(reorder_level {D} AS reorder_level, CAST(unit_price {D} AS unit_price, supplier_id
 FROM t2 WHERE ingredient_id NOT IN (SELECT ingredient_id FROM gone)""", extra_ctes=""",
+pre_del AS (SELECT ingredient_id, min(seq) AS del_seq FROM ingredient_changes
+            WHERE op = 'delete' AND ingredient_id IN (SELECT ingredient_id FROM ingredients)
+              AND ingredient_id NOT IN (SELECT ingredient_id FROM purchases)
+              AND ingredient_id NOT IN (SELECT ingredient_id FROM recipes)
+            GROUP BY 1),
 adds AS (SELECT seq, trim(name) AS name, unit, quantity, reorder_level, unit_price, supplier_id
          FROM ingredient_changes WHERE op = 'add'),
 ar AS (SELECT *, CASE WHEN length(trim(coalesce(name, ''))) = 0 THEN 'name is empty'
                       WHEN NOT coalesce(quantity >= 0, false) THEN 'quantity'
                       WHEN NOT coalesce(unit_price >= 0, false) THEN 'unit_price'
-                      WHEN name IN (SELECT name FROM ingredients) THEN 'name exists' END AS r0
+                      WHEN EXISTS (SELECT 1 FROM ingredients i
+                                   LEFT JOIN pre_del d ON d.ingredient_id = i.ingredient_id
+                                   WHERE i.name = adds.name
+                                     AND (d.del_seq IS NULL OR d.del_seq > adds.seq))
+                        THEN 'name exists' END AS r0
        FROM adds),
 af AS (SELECT *, CASE WHEN r0 IS NULL AND seq > min(CASE WHEN r0 IS NULL THEN seq END)
                                             OVER (PARTITION BY name)
                       THEN 'duplicate' ELSE r0 END AS reason FROM ar),
 acc AS (SELECT (SELECT max(ingredient_id) FROM ingredients) + row_number() OVER (ORDER BY seq)
-                 AS ingredient_id, name, unit, quantity, reorder_level, unit_price, supplier_id
+                 AS ingredient_id, seq AS add_seq, name, unit, quantity, reorder_level,
+               unit_price, supplier_id
         FROM af WHERE reason IS NULL),
 t1 AS (SELECT ingredient_id, name, unit, quantity, reorder_level, unit_price, supplier_id
-       FROM ingredients UNION ALL SELECT * FROM acc),
-ups AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY seq DESC)
-                              AS rn
-                       FROM ingredient_changes
-                       WHERE op = 'update' AND coalesce(quantity >= 0, false)
-                         AND coalesce(reorder_level >= 0, false)
-                         AND coalesce(unit_price >= 0, false)) WHERE rn = 1),
+       FROM ingredients
+       UNION ALL
+       SELECT ingredient_id, name, unit, quantity, reorder_level, unit_price, supplier_id
+       FROM acc),
+ups AS (SELECT * FROM (SELECT u.seq, u.ingredient_id, u.quantity, u.reorder_level, u.unit_price,
+                              row_number() OVER (PARTITION BY u.ingredient_id
+                                                 ORDER BY u.seq DESC) AS rn
+                       FROM ingredient_changes u
+                       LEFT JOIN acc a ON a.ingredient_id = u.ingredient_id
+                       WHERE u.op = 'update' AND coalesce(u.quantity >= 0, false)
+                         AND coalesce(u.reorder_level >= 0, false)
+                         AND coalesce(u.unit_price >= 0, false)
+                         AND (a.add_seq IS NULL OR u.seq > a.add_seq)) WHERE rn = 1),
 t2 AS (SELECT t.ingredient_id, t.name, t.unit, coalesce(u.quantity, t.quantity) AS quantity,
               coalesce(u.reorder_level, t.reorder_level) AS reorder_level,
               coalesce(u.unit_price, t.unit_price) AS unit_price, t.supplier_id
        FROM t1 t LEFT JOIN ups u ON t.ingredient_id = u.ingredient_id),
-gone AS (SELECT ingredient_id FROM ingredient_changes
-         WHERE op = 'delete' AND ingredient_id IN (SELECT ingredient_id FROM t2)
-           AND ingredient_id NOT IN (SELECT ingredient_id FROM purchases)
-           AND ingredient_id NOT IN (SELECT ingredient_id FROM recipes))""")
+new_del AS (SELECT d.ingredient_id FROM ingredient_changes d
+            JOIN acc a ON a.ingredient_id = d.ingredient_id
+            WHERE d.op = 'delete' AND d.seq > a.add_seq
+              AND d.ingredient_id NOT IN (SELECT ingredient_id FROM ingredients)),
+gone AS (SELECT ingredient_id FROM pre_del UNION SELECT ingredient_id FROM new_del)""")
 def _ingredient_change(t):
     table, _ = U.ingredient_change(t.ingredients, t.purchases, t.recipes, t.ingredient_changes)
     return table

@@ -226,3 +226,27 @@ def test_form_reasons(spark):
                                "name string, price decimal(10,2), discount decimal(5,2)")
     got = [r.reason for r in Q.with_reason(df, Q.menu_form_rules()).collect()]
     assert got == ["name is empty", "price must be above 0", None, "price must be above 0"]
+
+
+def test_ingredient_change_follows_request_order(spark, seed):
+    extra = load_rows(spark, "ingredients", [dict(ingredient_id=11, name="Salt", unit="kg",
+                                                  unit_price=d(5))])  # used by nothing
+    ing = seed["ingredients"].unionByName(extra)
+    ch = spark.createDataFrame([
+        (1, "add", None, "Salt", "kg", d(1), d(1), d(1), None),      # exists yet
+        (2, "delete", 11, None, None, None, None, None, None),       # frees "Salt"
+        (3, "add", None, "Salt", "kg", d(2), d(1), d(6), None),      # accepted -> id 12
+        (4, "delete", 11, None, None, None, None, None, None),       # already gone
+        (5, "update", 13, None, None, d(9), d(9), d(9), None),       # before 13 exists
+        (6, "add", None, "Sugar", "kg", d(3), d(1), d(4), None),     # -> id 13
+        (7, "delete", 12, None, None, None, None, None, None),       # new id, after its add
+        (8, "update", 13, None, None, d(7), d(1), d(4), None),       # after the add
+    ], "seq long, op string, ingredient_id long, name string, unit string, "
+       "quantity decimal(10,2), reorder_level decimal(10,2), unit_price decimal(10,2), "
+       "supplier_id long")
+    table, out = U.ingredient_change(ing, seed["purchases"], seed["recipes"], ch)
+    t = {r.ingredient_id: (r.name, r.quantity) for r in table.collect()}
+    assert 11 not in t and 12 not in t and t[13] == ("Sugar", d(7))
+    reasons = {r.seq: r.reason for r in out.collect()}
+    assert reasons[1] == "name exists" and reasons[2] is None and reasons[3] is None
+    assert reasons[4] == "not found" and reasons[7] is None
