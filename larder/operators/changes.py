@@ -119,8 +119,9 @@ def delete_requests(parent: DataFrame, key: str, requests: DataFrame,
 
     ``restrict`` lists (child, child column, label): a parent referenced by
     any child is refused (ON DELETE RESTRICT).  Outcome is 'deleted',
-    'refused: <label>' or 'not found'.  Each check is a semi join of the
-    requested keys against the child's keys.
+    'refused: <label>' or 'not found' — with a ``seq`` column, a repeated
+    delete of a key already deleted is 'not found'.  Each check is a semi
+    join of the requested keys against the child's keys.
     """
     found = parent.select(key).distinct().withColumn("_f", F.lit(True))
     r = requests.join(found, key, "left")
@@ -133,7 +134,17 @@ def delete_requests(parent: DataFrame, key: str, requests: DataFrame,
         outcome = outcome.when(F.col(f"_r{i}"), F.lit(f"refused: {label}"))
     outcome = outcome.otherwise(F.lit("deleted"))
     keep = [c for c in requests.columns]
-    return r.select(*keep, outcome.alias("outcome"))
+    out = r.select(*keep, outcome.alias("outcome"))
+    if "seq" not in requests.columns:
+        return out
+    # in request order only the first successful delete of a key finds it
+    first = (out.filter(F.col("outcome") == "deleted").groupBy(key)
+                .agg(F.min("seq").alias("_first")))
+    return (out.join(first, key, "left")
+               .withColumn("outcome", F.when((F.col("outcome") == "deleted")
+                                             & (F.col("seq") != F.col("_first")),
+                                             F.lit("not found")).otherwise(F.col("outcome")))
+               .select(*keep, "outcome"))
 
 
 def remove_keys(df: DataFrame, col: str, deleted: DataFrame, key: str | None = None) -> DataFrame:

@@ -72,8 +72,10 @@ def _category_price_up(t):
 SELECT seq, menu_id,
        CASE WHEN menu_id NOT IN (SELECT menu_id FROM menu_items) THEN 'not found'
             WHEN menu_id IN (SELECT menu_id FROM order_items) THEN 'refused: sold before'
+            WHEN seq > (SELECT min(d2.seq) FROM menu_changes d2
+                        WHERE d2.op = 'delete' AND d2.menu_id = d.menu_id) THEN 'not found'
             ELSE 'deleted' END AS outcome
-FROM menu_changes WHERE op = 'delete'""")
+FROM menu_changes d WHERE op = 'delete'""")
 def _menu_delete(t):
     req = t.menu_changes.filter(F.col("op") == "delete").select("seq", "menu_id")
     _, _, out = U.menu_delete(t.menu_items, t.recipes, t.order_items, req)

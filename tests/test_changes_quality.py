@@ -57,10 +57,10 @@ def test_q4_category_price_up(seed):
 
 
 def test_menu_delete_requests_and_statement(spark, seed):
-    req = spark.createDataFrame([(1, 7), (2, 1), (3, 42)], "seq long, menu_id long")
+    req = spark.createDataFrame([(1, 7), (2, 1), (3, 42), (4, 7)], "seq long, menu_id long")
     menu, rec, out = U.menu_delete(seed["menu_items"], seed["recipes"], seed["order_items"], req)
-    assert dict(rows(out, "menu_id", "outcome")) == {7: "deleted", 1: "refused: sold before",
-                                                    42: "not found"}
+    assert dict(rows(out, "seq", "outcome")) == {1: "deleted", 2: "refused: sold before",
+                                                3: "not found", 4: "not found"}
     assert menu.count() == 6 and rec.count() == 15  # Cold Coffee has no recipe
     # Q5: DELETE ... WHERE is_available = 0 touches only unsold Cold Coffee
     m2, _, blocked = U.menu_delete_where(seed["menu_items"], seed["recipes"], seed["order_items"],
