@@ -263,3 +263,17 @@ def test_ingredient_without_supplier_kept_by_left_joins(spark, seed):
     low = {r.name: r.supplier for r in J.low_stock_supplier(ing, seed["suppliers"]).collect()}
     assert low["Salt"] is None
     assert "Salt" not in {r.ingredient for r in J.join_inner(ing, seed["suppliers"]).collect()}
+
+
+def test_parameterised_variants(spark, seed):
+    me = spark.createDataFrame([(1,)], "customer_id long")
+    mine = rows(A.my_orders(seed["orders"], seed["order_items"], me), "order_id", "items")
+    assert mine == [(5, 1), (1, 2)]  # newest first
+    assert P.key_param_filter(seed["order_items"], "order_id", 1).count() == 2
+    req = spark.createDataFrame([(1, 1), (2, 1), (4, 3)], "order_id long, customer_id long")
+    bill = rows(J.owner_bill(seed["order_items"], seed["menu_items"], seed["orders"], req),
+                "order_id", "name")
+    assert sorted(bill) == [(1, "Chicken Biryani"), (1, "Milk Tea"), (4, "Chicken Biryani")]
+    admin = P.menu_listing(seed["menu_items"], admin=True)
+    assert admin.count() == 7 and "is_available" in admin.columns
+    assert P.menu_listing(seed["menu_items"]).count() == 6
