@@ -207,84 +207,107 @@ def delete_suppliers(suppliers: DataFrame, ingredients: DataFrame, purchases: Da
 
 # ------------------------------------------------------------------ U5
 
-def ingredient_change(ingredients: DataFrame, purchases: DataFrame, recipes: DataFrame,
-                      changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Add / update / delete ingredients.  Returns (table after, outcomes).
-
-    add: trimmed name, form rules, name unique; supplier NULL when blank.
-    update: quantity, reorder_level, unit_price (all >= 0); last valid wins.
-    delete: refused when used by a purchase or a recipe.
-
-    Order within the batch follows ``seq`` where it matters: a delete of an
-    existing ingredient frees its name for adds after it; a repeated delete
-    finds nothing; updates and deletes of an ingredient added in the batch
-    count only after its add.  (A name freed by deleting an ingredient that
-    was itself added in the same batch is not reused.)
+def apply_batch(table: DataFrame, table_name: str, key: str, changes: DataFrame,
+                add_rules: list, update_rules: list, update_cols: dict[str, Column],
+                restrict: list[tuple[DataFrame, str, str]],
+                add_defaults: dict[str, Column] | None = None
+                ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Apply one batch of add / update / delete requests to ``table``.
+
+    Returns (table after, deleted keys, outcomes(seq, op, key, reason)).
+    Request order (``seq``) is followed wherever requests interact: a delete
+    of an existing row frees its name for later adds and a repeated delete
+    finds nothing; adds are checked for a free name (first add per name
+    wins) and get ids max+1.. in seq order; updates and deletes of a row added
+    in the batch count only after its add; the last valid update wins.  (A
+    name freed by deleting a row added in the same batch is not reused.)
     """
-    restrict = [(purchases, "ingredient_id", "used by purchases"),
-                (recipes, "ingredient_id", "used by recipes")]
-    pre_ids = ingredients.select("ingredient_id").distinct()
-    dels = changes.filter(F.col("op") == "delete").select("seq", "ingredient_id")
-
-    # deletes of ingredients that exist before the batch (independent of adds)
-    d_pre = delete_requests(ingredients, "ingredient_id",
-                            dels.join(pre_ids, "ingredient_id", "left_semi"), restrict)
-    first_del = (d_pre.filter(F.col("outcome") == "deleted").groupBy("ingredient_id")
-                      .agg(F.min("seq").alias("_del")))
-    d_pre = (d_pre.join(first_del, "ingredient_id", "left")
-                  .withColumn("outcome", F.when((F.col("outcome") == "deleted")
-                                                & (F.col("seq") != F.col("_del")),
-                                                F.lit("not found")).otherwise(F.col("outcome")))
-                  .drop("_del"))
+    pre_ids = table.select(key).distinct()
+    dels = changes.filter(F.col("op") == "delete").select("seq", key)
+    d_pre = delete_requests(table, key, dels.join(pre_ids, key, "left_semi"), restrict)
+    first_del = (d_pre.filter(F.col("outcome") == "deleted")
+                      .select(key, F.col("seq").alias("_del")))
 
+    schema_cols = [c for c in table.columns if c != key]
     adds = changes.filter(F.col("op") == "add").select(
-        "seq", F.trim("name").alias("name"), "unit", "quantity", "reorder_level", "unit_price",
-        "supplier_id")
-    adds = Q.with_reason(adds, Q.ingredient_form_rules("add"))
-    adds = _first_per_name(adds, ingredients, first_del, "ingredient_id")
-    ok = _insert_with_ids(ingredients, adds.filter(F.col("reason").isNull()), "ingredient_id")
-    new_ids = ok.select("ingredient_id", F.col("seq").alias("_add"))
-
-    # deletes of ingredients added in this batch: only after their add
-    d_new = (dels.join(pre_ids, "ingredient_id", "left_anti")
-                 .join(new_ids, "ingredient_id", "left")
+        "seq", *[F.trim("name").alias("name") if c == "name" else F.col(c)
+                 for c in schema_cols if c in changes.columns])
+    adds = Q.with_reason(adds, add_rules)
+    adds = _first_per_name(adds, table, first_del, key)
+    ok = _insert_with_ids(table, adds.filter(F.col("reason").isNull()), key)
+    if add_defaults:
+        ok = ok.withColumns(add_defaults)
+    new_ids = ok.select(key, F.col("seq").alias("_add"))
+
+    d_new = (dels.join(pre_ids, key, "left_anti").join(new_ids, key, "left")
                  .withColumn("_ok", F.coalesce(F.col("seq") > F.col("_add"), F.lit(False))))
-    first_new = (d_new.filter("_ok").groupBy("ingredient_id")
-                      .agg(F.min("seq").alias("_del")))
-    d_new = (d_new.join(first_new, "ingredient_id", "left")
-                  .select("seq", "ingredient_id",
-                          F.when(F.col("_ok") & (F.col("seq") == F.col("_del")),
-                                 F.lit("deleted")).otherwise(F.lit("not found"))
-                           .alias("outcome")))
-    gone = first_del.select("ingredient_id").unionByName(first_new.select("ingredient_id"))
-
-    ups = Q.with_reason(changes.filter(F.col("op") == "update"),
-                        Q.ingredient_form_rules("update"))
-    valid = (ups.filter(F.col("reason").isNull()).join(new_ids, "ingredient_id", "left")
+    first_new = d_new.filter("_ok").groupBy(key).agg(F.min("seq").alias("_del"))
+    d_new = (d_new.join(first_new, key, "left")
+                  .select("seq", key, F.when(F.col("_ok") & (F.col("seq") == F.col("_del")),
+                                             F.lit("deleted")).otherwise(F.lit("not found"))
+                          .alias("outcome")))
+    gone = first_del.select(key).unionByName(first_new.select(key))
+
+    ups = Q.with_reason(changes.filter(F.col("op") == "update"), update_rules)
+    valid = (ups.filter(F.col("reason").isNull()).join(new_ids, key, "left")
                 .filter(F.col("_add").isNull() | (F.col("seq") > F.col("_add"))))
-    last = (valid.groupBy("ingredient_id")
-                 .agg(F.max_by(F.struct("quantity", "reorder_level", "unit_price"), "seq")
-                      .alias("_u")))
-    table = ingredients.unionByName(conform(ok, "ingredients"))
-    j = table.join(last, "ingredient_id", "left")
+    last = valid.groupBy(key).agg(F.max_by(
+        F.struct(*[c.alias(n) for n, c in update_cols.items()]), "seq").alias("_u"))
+    after = table.unionByName(conform(ok, table_name)).join(last, key, "left")
     hit = F.col("_u").isNotNull()
-    table = j.select(*[
-        (F.when(hit, F.col(f"_u.{c}")).otherwise(F.col(c)).cast("decimal(10,2)").alias(c)
-         if c in ("quantity", "reorder_level", "unit_price") else F.col(c))
-        for c in ingredients.columns])
-    table = remove_keys(table, "ingredient_id", gone)
-
-    dout = d_pre.select("seq", "ingredient_id", "outcome").unionByName(d_new)
-    outcomes = (adds.join(ok.select("seq", "ingredient_id"), "seq", "left")
-                    .select("seq", F.lit("add").alias("op"), "ingredient_id", "reason")
-                .unionByName(ups.select("seq", F.lit("update").alias("op"), "ingredient_id",
-                                        "reason"))
-                .unionByName(dout.select("seq", F.lit("delete").alias("op"), "ingredient_id",
+    types = {f.name: f.dataType for f in table.schema.fields}
+    after = after.select(*[
+        (F.when(hit, F.col(f"_u.{c}")).otherwise(F.col(c)).cast(types[c]).alias(c)
+         if c in update_cols else F.col(c)) for c in table.columns])
+    after = remove_keys(after, key, gone)
+
+    dout = d_pre.select("seq", key, "outcome").unionByName(d_new)
+    outcomes = (adds.join(ok.select("seq", key), "seq", "left")
+                    .select("seq", F.lit("add").alias("op"), key, "reason")
+                .unionByName(ups.select("seq", F.lit("update").alias("op"), key, "reason"))
+                .unionByName(dout.select("seq", F.lit("delete").alias("op"), key,
                                          F.when(F.col("outcome") != "deleted", F.col("outcome"))
                                           .alias("reason"))))
+    return after, gone, outcomes
+
+
+def ingredient_change(ingredients: DataFrame, purchases: DataFrame, recipes: DataFrame,
+                      changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add / update / delete ingredients.  Returns (table after, outcomes).
+
+    add: trimmed name, form rules, name unique; supplier NULL when blank.
+    update: quantity, reorder_level, unit_price (all >= 0); last valid wins.
+    delete: refused when used by a purchase or a recipe.  Request order as in
+    ``apply_batch``.
+    """
+    table, _, outcomes = apply_batch(
+        ingredients, "ingredients", "ingredient_id", changes,
+        Q.ingredient_form_rules("add"), Q.ingredient_form_rules("update"),
+        {c: F.col(c) for c in ("quantity", "reorder_level", "unit_price")},
+        [(purchases, "ingredient_id", "used by purchases"),
+         (recipes, "ingredient_id", "used by recipes")])
     return table, outcomes
 
 
+def apply_menu_changes(menu_items: DataFrame, recipes: DataFrame, order_items: DataFrame,
+                       changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """U1 + U2 + U4 as one batch (the admin food page's forms in request order).
+
+    add: form rules, free name, new id, available; update: price, discount,
+    availability (unticked = 0), last valid wins; delete: refused when the
+    item was sold, recipes cascade.  Returns (menu after, recipes after,
+    outcomes).
+    """
+    menu, gone, outcomes = apply_batch(
+        menu_items, "menu_items", "menu_id", changes,
+        Q.menu_form_rules(), Q.menu_update_rules(),
+        {"price": F.col("price"), "discount": F.col("discount"),
+         "is_available": F.coalesce(F.col("is_available"), F.lit(0))},
+        [(order_items, "menu_id", "sold before")],
+        add_defaults={"is_available": F.lit(1)})
+    return menu, remove_keys(recipes, "menu_id", gone), outcomes
+
+
 # ------------------------------------------------------------------ U6
 
 def order_status_update(orders: DataFrame, changes: DataFrame) -> DataFrame:

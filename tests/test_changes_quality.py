@@ -250,3 +250,24 @@ def test_ingredient_change_follows_request_order(spark, seed):
     reasons = {r.seq: r.reason for r in out.collect()}
     assert reasons[1] == "name exists" and reasons[2] is None and reasons[3] is None
     assert reasons[4] == "not found" and reasons[7] is None
+
+
+def test_apply_menu_changes_in_request_order(spark, seed):
+    ch = _menu_changes(spark, [
+        (1, "add", None, "Cold Coffee", "Drinks", d(100), d(0), None),   # name still taken
+        (2, "delete", 7, None, None, None, None, None),                  # unsold: deleted
+        (3, "add", None, "Cold Coffee", "Drinks", d(100), d(5), None),   # name free -> id 8
+        (4, "update", 8, None, None, d(120), d(10), None),               # unticked -> 0
+        (5, "delete", 1, None, None, None, None, None),                  # sold: refused
+        (6, "delete", 7, None, None, None, None, None),                  # already gone
+        (7, "update", 2, None, None, d(-5), d(0), 1),                    # invalid
+    ])
+    menu, rec, out = U.apply_menu_changes(seed["menu_items"], seed["recipes"],
+                                          seed["order_items"], ch)
+    m = {r.menu_id: (r.name, r.price, r.discount, r.is_available) for r in menu.collect()}
+    assert 7 not in m and m[8] == ("Cold Coffee", d(120), d(10), 0) and 1 in m
+    assert m[2][1] == d(350) and rec.count() == 15
+    reasons = {r.seq: r.reason for r in out.collect()}
+    assert reasons[1] == "name exists" and reasons[3] is None
+    assert reasons[5] == "refused: sold before" and reasons[6] == "not found"
+    assert reasons[7] == "price must be above 0"
