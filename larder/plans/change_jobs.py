@@ -139,6 +139,59 @@ def _ingredient_change(t):
     return table
 
 
+@register("apply_menu_changes", f"""
+SELECT menu_id, name, category, CAST(price {D} AS price, CAST(discount {D} AS discount,
+       is_available
+FROM t2 WHERE menu_id NOT IN (SELECT menu_id FROM gone)""", extra_ctes=""",
+pre_del AS (SELECT menu_id, min(seq) AS del_seq FROM menu_changes
+            WHERE op = 'delete' AND menu_id IN (SELECT menu_id FROM menu_items)
+              AND menu_id NOT IN (SELECT menu_id FROM order_items)
+            GROUP BY 1),
+a AS (SELECT seq, trim(name) AS name, category, price, discount FROM menu_changes
+      WHERE op = 'add'),
+r AS (SELECT *, CASE WHEN length(trim(coalesce(name, ''))) = 0 THEN 'name is empty'
+                     WHEN NOT coalesce(price > 0, false) THEN 'price must be above 0'
+                     WHEN NOT coalesce(discount >= 0 AND discount <= 100, false)
+                       THEN 'discount must be 0..100'
+                     WHEN EXISTS (SELECT 1 FROM menu_items m
+                                  LEFT JOIN pre_del d ON d.menu_id = m.menu_id
+                                  WHERE m.name = a.name
+                                    AND (d.del_seq IS NULL OR d.del_seq > a.seq))
+                       THEN 'name exists' END AS r0
+      FROM a),
+f AS (SELECT *, CASE WHEN r0 IS NULL AND seq > min(CASE WHEN r0 IS NULL THEN seq END)
+                                           OVER (PARTITION BY name)
+                     THEN 'duplicate' ELSE r0 END AS reason FROM r),
+acc AS (SELECT (SELECT max(menu_id) FROM menu_items) + row_number() OVER (ORDER BY seq)
+                 AS menu_id, seq AS add_seq, name, category, price, discount,
+               1 AS is_available
+        FROM f WHERE reason IS NULL),
+t1 AS (SELECT menu_id, name, category, price, discount, is_available FROM menu_items
+       UNION ALL
+       SELECT menu_id, name, category, price, discount, is_available FROM acc),
+ups AS (SELECT * FROM (SELECT u.seq, u.menu_id, u.price, u.discount,
+                              coalesce(u.is_available, 0) AS is_available,
+                              row_number() OVER (PARTITION BY u.menu_id ORDER BY u.seq DESC)
+                                AS rn
+                       FROM menu_changes u LEFT JOIN acc x ON x.menu_id = u.menu_id
+                       WHERE u.op = 'update' AND coalesce(u.price > 0, false)
+                         AND coalesce(u.discount >= 0 AND u.discount <= 100, false)
+                         AND (x.add_seq IS NULL OR u.seq > x.add_seq)) WHERE rn = 1),
+t2 AS (SELECT t.menu_id, t.name, t.category,
+              CASE WHEN u.menu_id IS NULL THEN t.price ELSE u.price END AS price,
+              CASE WHEN u.menu_id IS NULL THEN t.discount ELSE u.discount END AS discount,
+              CASE WHEN u.menu_id IS NULL THEN t.is_available ELSE u.is_available END
+                AS is_available
+       FROM t1 t LEFT JOIN ups u ON u.menu_id = t.menu_id),
+new_del AS (SELECT d.menu_id FROM menu_changes d JOIN acc x ON x.menu_id = d.menu_id
+            WHERE d.op = 'delete' AND d.seq > x.add_seq
+              AND d.menu_id NOT IN (SELECT menu_id FROM menu_items)),
+gone AS (SELECT menu_id FROM pre_del UNION SELECT menu_id FROM new_del)""")
+def _apply_menu_changes(t):
+    menu, _, _ = U.apply_menu_changes(t.menu_items, t.recipes, t.order_items, t.menu_changes)
+    return menu
+
+
 # ------------------------------------------------------------------ U6 / U7 / W3
 
 @register("order_status_update", f"""
