@@ -16,7 +16,8 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 # these run actions (checkpoints, streams, admission rounds) while planning
 EAGER = {"place_orders", "assign_ids", "menu_insert", "ingredient_change", "stream_stock",
-         "stream_daily_sales", "stream_low_stock", "stock_ledger", "price_as_of"}
+         "stream_daily_sales", "stream_low_stock", "stock_ledger", "price_as_of",
+         "apply_menu_changes", "sink_append", "sink_snapshot"}
 
 
 def _plan(df) -> str:
