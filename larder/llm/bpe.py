@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from larder.llm.text import batch_udf, block_udf, only
 
-ENCODE_BLOCK = 16 << 20      # texts that share one pair index
-KEEP_WORDS = 400_000         # encoded words a task keeps from block to block
+ENCODE_BLOCK = 4 << 20      # texts that share one pair index
+KEEP_WORDS = 300_000         # encoded words a task keeps from block to block
 
 
 def byte_chars() -> list[str]:
@@ -231,15 +231,11 @@ def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out: str =
         strings = pa.array(Vocabulary(held.value).tokens, pa.string())
 
         def text(ids: pa.Array) -> pa.Array:
-            out = []
-            for lo in range(0, len(ids), 256):
-                part = ids.slice(lo, 256)
-                raw = [b"" if x is None else x for x in part.to_pylist()]
-                flat = strings.take(pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int64)))
-                offs = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offs, pa.int32()), flat), " ")
-                out.append(pc.if_else(part.is_null(), None, joined))
-            return pa.concat_arrays(out) if out else pa.array([], pa.string())
+            raw = [b"" if x is None else x for x in ids.to_pylist()]
+            flat = strings.take(pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int64)))
+            offs = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offs, pa.int32()), flat), " ")
+            return pc.if_else(ids.is_null(), None, joined)
         return text
     return tokens.withColumn(out, batch_udf("string", make)(F.col(ids_col)))
 

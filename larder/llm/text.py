@@ -43,18 +43,20 @@ def block_udf(return_type: str, make: Callable[[], Callable[[pa.Array], pa.Array
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fn = make()
         for batch in batches:
-            parts = [fn(part) for part in blocks(batch, block_bytes)]
-            yield pa.concat_arrays(parts) if len(parts) != 1 else parts[0]
+            for part in blocks(batch, block_bytes):
+                yield fn(part)
     return run.asNondeterministic()
 
 
-def batch_udf(return_type: str, make: Callable[[], Callable[..., pa.Array]]):
-    """A column function evaluated per Arrow batch; ``make`` runs once per task."""
+def batch_udf(return_type: str, make: Callable[[], Callable[..., pa.Array]], rows: int = 256):
+    """A column function evaluated on slices of ``rows`` rows; ``make`` runs once
+    per task."""
     @F.arrow_udf(return_type)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fn = make()
         for batch in batches:
-            yield fn(batch)
+            for lo in range(0, max(len(batch), 1), rows):
+                yield fn(batch.slice(lo, rows))
     return run.asNondeterministic()
 
 
@@ -214,6 +216,12 @@ def struct_array(schema: dict[str, pa.DataType], **columns) -> pa.Array:
         fields=[pa.field(k, schema[k]) for k in columns])
 
 
+def remove(spark, path: str) -> None:
+    """Delete a written table by Spark's own file system access."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def remainder(id_col, modulus: int) -> Column:
     """crc32(id as text) mod ``modulus``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col) % modulus
