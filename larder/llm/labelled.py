@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,10 +10,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.text import block_ranges, only, remainder
-from larder.session import cut_lineage
+from larder.llm.text import batch_udf, block_ranges, only, remainder, remove
+from larder.session import scratch_path
 
 MAX_TEXT = 1 << 16     # longest text in bytes that the fitting sample takes
+FILTER_BITS = 1 << 25  # bits of the filter of labelled ids
+
+
+def maybe_labelled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs(id, ...)`` without most rows whose id is not in ``ids(id)``: a bitmap of
+    FILTER_BITS hashed ids (4 MB, whatever the number of ids) is broadcast.  It
+    only spares rows the shuffle of the join that follows; it never loses one.
+    """
+    word = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(word.alias("p")).groupBy((F.col("p") / 63).cast("int").alias("w")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(p % 63 AS int)))").alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS // 63 + 1, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def make():
+        return lambda p: pa.array((held.value[p.to_numpy() // 63] >> (p.to_numpy() % 63)) & 1 == 1)
+    return docs.filter(batch_udf("boolean", make, 1 << 16)(word))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int,
@@ -31,7 +50,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     point = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
     known = known.withColumn("fit", point < share)
     d = only(docs, id=id_col, text=text_col).filter("id is not null")
-    return d.join(known, "id").select(F.coalesce("text", F.lit("")).alias("text"), "y", "fit")
+    d = maybe_labelled(d, known.select("id"))
+    # the texts are not sorted for the join; labels are the small, hashed side
+    return d.join(known.hint("shuffle_hash"), "id").select(
+        F.coalesce("text", F.lit("")).alias("text"), "y", "fit")
 
 
 STATS = "slot int, n0 long, n1 long, y int, sample binary"
@@ -76,7 +98,10 @@ def statistics(rows: DataFrame, slots: int,
             [pa.array(slot, pa.int32()), pa.array(n0), pa.array(n1),
              pa.nulls(len(slot), pa.int32()), pa.nulls(len(slot), pa.binary())],
             names=["slot", "n0", "n1", "y", "sample"])
-    out = cut_lineage(rows.mapInArrow(run, STATS))
+    # both parts are read once, so they are written once, and removed after
+    path = scratch_path(rows.sparkSession, f"labelled-{uuid.uuid4().hex}")
+    rows.mapInArrow(run, STATS).write.parquet(path)
+    out = rows.sparkSession.read.parquet(path)
     t = out.filter("slot is not null").groupBy("slot").agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     slot = t.column("slot").to_numpy()
@@ -86,6 +111,7 @@ def statistics(rows: DataFrame, slots: int,
     docs = n[:, slot == -1].sum(axis=1)
     s = out.filter("y is not null").select("y", "sample").toArrow().to_pylist()
     s.sort(key=lambda r: (r["y"], r["sample"]))      # the order of arrival must not matter
+    remove(rows.sparkSession, path)
     return counts, docs, [r["y"] for r in s], [r["sample"] for r in s]
 
 
