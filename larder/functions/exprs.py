@@ -41,6 +41,11 @@ def is_low(quantity="quantity", reorder_level="reorder_level") -> Column:
     return _c(quantity) <= _c(reorder_level)
 
 
+def to_total(c) -> Column:
+    """A sum of money or stock: two decimals, wide enough for any corpus total."""
+    return _c(c).cast("decimal(20,2)")
+
+
 def to_money(c) -> Column:
     """Cast back to the stored DECIMAL(10,2) (ANSI: overflow raises)."""
     return _c(c).cast(MONEY)

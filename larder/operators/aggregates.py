@@ -36,7 +36,7 @@ def dashboard_kpis(menu_items: DataFrame, orders: DataFrame, ingredients: DataFr
     """A4: six KPIs in three scans (one conditional aggregate per table).
 
     Each side is a single-row global aggregate; the three one-row results are
-    put side by side.
+    united (each with its own columns) and folded into one row.
     """
     m = menu_items.agg(F.count(F.lit(1)).alias("total_food"),
                        F.count_if(F.col("discount") > 0).alias("offer_count"))
@@ -45,12 +45,9 @@ def dashboard_kpis(menu_items: DataFrame, orders: DataFrame, ingredients: DataFr
                               F.lit(0)).alias("total_sales"))
     i = ingredients.agg(X.sum_or_zero(X.stock_value()).alias("stock_value"),
                         F.count_if(X.is_low()).alias("low_count"))
-    # one-row frames: joining on a constant key keeps the plan an equi-join
-    k = F.lit(1).alias("_k")
-    return (m.select(k, "*").join(o.select(k, "*"), "_k").join(i.select(k, "*"), "_k")
-             .select(F.col("total_food").cast("long"), F.col("offer_count").cast("long"),
-                     F.col("total_orders").cast("long"), "total_sales", "stock_value",
-                     F.col("low_count").cast("long")))
+    one = m.unionByName(o, allowMissingColumns=True).unionByName(i, allowMissingColumns=True)
+    return one.agg(*[F.max(c).alias(c) for c in (
+        "total_food", "offer_count", "total_orders", "total_sales", "stock_value", "low_count")])
 
 
 def daily_sales(orders: DataFrame) -> DataFrame:
@@ -160,20 +157,21 @@ def my_orders(orders: DataFrame, order_items: DataFrame,
              .orderBy("customer_id", F.col("order_id").desc()))
 
 
-def menu_by_category(menu_items: DataFrame, part_size: int = 10000) -> DataFrame:
-    """Available items nested under their category, sorted by name.
+def menu_by_category(menu_items: DataFrame) -> DataFrame:
+    """Available items under their category in name order, as flat rows
+    (category, position, name, menu_id, price, discount, final_price).
 
-    Rows are (category, part, items): a category's list is split into parts
-    of at most ``part_size`` menu ids (``menu_id div part_size``), so no
-    single list — and no single task — holds an unbounded group; a menu with
-    fewer ids per category gives one part per category.
+    ``position`` counts from 1 within the category by name (then id).  It is
+    a two-level running count, so a category of any size is never one list
+    or one task.
     """
-    item = F.struct("name", "menu_id", "price", "discount",
-                    X.final_price().alias("final_price"))
-    return (menu_items.filter(F.col("is_available") == 1)
-                      .groupBy("category", F.floor(F.col("menu_id") / part_size).alias("part"))
-                      .agg(F.sort_array(F.collect_list(item)).alias("items"))
-                      .orderBy("category", "part"))
+    from larder.operators.windows import running_total
+    items = (menu_items.filter(F.col("is_available") == 1)
+             .select("category", "name", "menu_id", "price", "discount",
+                     X.final_price().alias("final_price"), F.lit(1).cast("long").alias("_one")))
+    run = running_total(items, "category", ["name", "menu_id"], "_one", out="position")
+    return run.select("category", "position", "name", "menu_id", "price", "discount",
+                      "final_price")
 
 
 def bill_with_total(order_items: DataFrame, menu_items: DataFrame) -> DataFrame:

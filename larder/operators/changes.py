@@ -5,10 +5,10 @@ Built-in parquet tables cannot UPDATE / DELETE / MERGE, so each change is
 outcomes); ``larder.sources.sinks`` persists a new version atomically.
 
 Batch semantics of a change table: rows are requests in ``seq`` order, and
-the result equals applying them one by one wherever they interact: the last
-valid update per key wins, a repeated delete finds nothing, a delete frees a
-name for later inserts, and requests on a row inserted in the batch count
-only after the insert (see ``ingredient_change`` for the one case left out).
+the result equals applying them one by one: the last valid update per key
+wins, a repeated delete finds nothing, a delete frees a name for later
+inserts, and requests on a row inserted in the batch count only after the
+insert.
 """
 
 from __future__ import annotations
@@ -19,39 +19,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators import quality as Q
-from larder.operators.windows import assign_ids, next_id_base
+from larder.operators.windows import asof_last, assign_ids, next_id_base
 from larder.schemas import ORDER_STATUSES, conform
+from larder.session import cut_lineage
 
+_NEVER = 1 << 62          # the seq of a delete that does not happen
 
-def _first_per_name(a: DataFrame, existing: DataFrame, freed: DataFrame | None = None,
-                    id_col: str | None = None) -> DataFrame:
+
+def _first_per_name(a: DataFrame, existing: DataFrame) -> DataFrame:
     """Reason 'name exists' / 'duplicate name in batch' for insert requests.
 
-    A name exists for a request at ``seq`` when a row of ``existing`` has it
-    and — if ``freed`` (id_col, _del) is given — that row was not deleted by
-    an earlier request of the batch.  Only requests that pass their form
-    rules compete for a name; the first (lowest seq) wins.  All steps are
-    aggregates and joins on the name.
+    Only requests that pass their form rules compete for a name; the first
+    (lowest seq) wins.  All steps are aggregates and joins on the name.
     """
-    if freed is None:
-        names = (existing.select("name").distinct()
-                         .select("name", F.lit(True).alias("_kept"),
-                                 F.lit(None).cast("long").alias("_free")))
-    else:
-        e = existing.select(id_col, "name").join(freed, id_col, "left")
-        names = e.groupBy("name").agg((F.count_if(F.col("_del").isNull()) > 0).alias("_kept"),
-                                      F.max("_del").alias("_free"))
+    names = existing.select("name").distinct().withColumn("_kept", F.lit(True))
     a = a.join(names, "name", "left")
-    exists = F.coalesce(F.col("_kept"), F.lit(False)) | \
-        F.coalesce(F.col("_free") > F.col("seq"), F.lit(False))
-    a = a.withColumn("reason", F.coalesce("reason", F.when(exists, F.lit("name exists"))))
+    a = a.withColumn("reason", F.coalesce("reason", F.when(F.col("_kept"), F.lit("name exists"))))
     first = (a.filter(F.col("reason").isNull()).groupBy("name")
               .agg(F.min("seq").alias("_first")))
     a = a.join(first, "name", "left")
     return (a.withColumn("reason", F.coalesce(
                 "reason", F.when(F.col("seq") != F.col("_first"),
                                  F.lit("duplicate name in batch"))))
-             .drop("_kept", "_free", "_first"))
+             .drop("_kept", "_first"))
 
 
 def _insert_with_ids(table: DataFrame, accepted: DataFrame, id_col: str) -> DataFrame:
@@ -127,8 +117,8 @@ def delete_requests(parent: DataFrame, key: str, requests: DataFrame,
     r = requests.join(found, key, "left")
     outcome = F.when(F.col("_f").isNull(), F.lit("not found"))
     for i, (child, col, label) in enumerate(restrict):
-        refs = (child.select(F.col(col).alias(key)).filter(F.col(key).isNotNull())
-                     .join(requests.select(key), key, "left_semi").distinct()
+        refs = (child.select(F.col(col).alias(key)).filter(F.col(key).isNotNull()).distinct()
+                     .join(requests.select(key).distinct(), key, "left_semi")
                      .withColumn(f"_r{i}", F.lit(True)))
         r = r.join(refs, key, "left")
         outcome = outcome.when(F.col(f"_r{i}"), F.lit(f"refused: {label}"))
@@ -179,7 +169,7 @@ def menu_delete_where(menu_items: DataFrame, recipes: DataFrame, order_items: Da
     fails and nothing is deleted.  Returns (menu after, recipes after,
     blocked flag as a scalar Column)."""
     targets = menu_items.filter(condition).select("menu_id")
-    blocked = (targets.join(order_items.select("menu_id"), "menu_id", "left_semi")
+    blocked = (targets.join(order_items.select("menu_id").distinct(), "menu_id", "left_semi")
                       .select(F.count(F.lit(1)) > 0).scalar())
     gone = targets.filter(~blocked)
     return (remove_keys(menu_items, "menu_id", gone), remove_keys(recipes, "menu_id", gone),
@@ -205,8 +195,99 @@ def delete_suppliers(suppliers: DataFrame, ingredients: DataFrame, purchases: Da
             set_null_keys(ingredients, "supplier_id", gone), out)
 
 
+def delete_orders(orders: DataFrame, order_items: DataFrame,
+                  deleted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Order delete: its lines cascade."""
+    return (remove_keys(orders, "order_id", deleted),
+            remove_keys(order_items, "order_id", deleted))
+
+
+def delete_employees(employees: DataFrame, orders: DataFrame,
+                     requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Employee delete: refused while an order names the employee."""
+    out = delete_requests(employees, "employee_id", requests,
+                          [(orders, "employee_id", "referenced by orders")])
+    gone = out.filter(F.col("outcome") == "deleted").select("employee_id")
+    return remove_keys(employees, "employee_id", gone), out
+
+
+def purchase_insert(purchases: DataFrame, suppliers: DataFrame, ingredients: DataFrame,
+                    requests: DataFrame, run_date) -> tuple[DataFrame, DataFrame]:
+    """Purchase forms (D5, D4, W2): (accepted rows with ids, outcomes(seq, reason)).
+
+    Form rules first, then the supplier and the ingredient must exist; a
+    missing purchase date becomes ``run_date`` (the day of the run, given by
+    the caller so that a rerun gives the same rows).
+    """
+    r = Q.with_reason(requests, Q.purchase_form_rules())
+    for parent, col, label in ((suppliers, "supplier_id", "supplier not found"),
+                               (ingredients, "ingredient_id", "ingredient not found")):
+        keys = parent.select(col).distinct().withColumn("_f", F.lit(True))
+        r = r.join(keys, col, "left").withColumn("reason", F.coalesce(
+            "reason", F.when(F.col("_f").isNull(), F.lit(label)))).drop("_f")
+    r = r.withColumn("purchase_date", F.coalesce("purchase_date", F.lit(run_date).cast("date")))
+    ok = assign_ids(r.filter(F.col("reason").isNull()), ["seq"],
+                    start=next_id_base(purchases, "purchase_id"), out="purchase_id")
+    return conform(ok, "purchases"), r.select("seq", "reason")
+
+
 # ------------------------------------------------------------------ U5
 
+def _batch_adds(table: DataFrame, key: str, adds: DataFrame, freed: DataFrame,
+                dels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted adds with ids and the seq of their delete (``_del``, or NULL), and
+    every add with its reason.
+
+    ``adds`` carry a form-rule ``reason``; ``freed`` (key, _del) are existing rows deleted in
+    the batch; ``dels`` (seq, key) are deletes of ids that do not exist yet.  An
+    add finds its name taken by an existing row not yet deleted, or by the last
+    accepted add of the name before it unless that row was deleted in
+    between.  Which ids the adds get decides which deletes hit them, so the
+    accepted set is recomputed from the one before until it stays: once, if no
+    delete can hit a new row, else once more per link of
+    add - delete - add chains.
+    """
+    e = table.select(key, "name").join(freed, key, "left")
+    names = e.groupBy("name").agg((F.count_if(F.col("_del").isNull()) > 0).alias("_kept"),
+                                  F.max("_del").alias("_free"))
+    a = adds.join(names, "name", "left")
+    exists = F.coalesce(F.col("_kept"), F.lit(False)) | \
+        F.coalesce(F.col("_free") > F.col("seq"), F.lit(False))
+    a = cut_lineage(a.withColumn("reason", F.coalesce(
+        "reason", F.when(exists, F.lit("name exists")))).drop("_kept", "_free"))
+    cand = a.filter(F.col("reason").isNull())
+    base = next_id_base(table, key)
+
+    def with_ids(ok: DataFrame) -> DataFrame:
+        ok = assign_ids(ok, ["seq"], start=base, out=key)
+        hit = (dels.withColumnRenamed("seq", "_d")
+                   .join(ok.select(key, F.col("seq").alias("_a")), key)
+                   .filter(F.col("_d") > F.col("_a")).groupBy(key).agg(F.min("_d").alias("_del")))
+        return ok.join(hit, key, "left")
+
+    first = cand.groupBy("name").agg(F.min("seq").alias("_first"))
+    ok = with_ids(cand.join(first, "name").filter(F.col("seq") == F.col("_first")).drop("_first"))
+    if dels.limit(1).count():
+        seen = None
+        while True:
+            ok = cut_lineage(ok)
+            now = tuple(ok.agg(F.count(F.lit(1)),
+                               F.sum(F.xxhash64("seq", "_del").cast("decimal(38,0)"))).first())
+            if now == seen:
+                break
+            seen = now
+            held = ok.select("seq", F.struct(F.coalesce("_del", F.lit(_NEVER)).alias("d"))
+                             .alias("_hold"))
+            last = asof_last(cand.join(held, "seq", "left"), "name", ["seq"], "_hold",
+                             out="_prev", inclusive=False)
+            free = last.filter(F.col("_prev").isNull() | (F.col("_prev.d") < F.col("seq")))
+            ok = with_ids(free.drop("_hold", "_prev"))
+    taken = ok.select("seq", F.lit(True).alias("_ok"))
+    a = a.join(taken, "seq", "left").withColumn("reason", F.coalesce(
+        "reason", F.when(F.col("_ok").isNull(), F.lit("duplicate name in batch")))).drop("_ok")
+    return ok, a
+
+
 def apply_batch(table: DataFrame, table_name: str, key: str, changes: DataFrame,
                 add_rules: list, update_rules: list, update_cols: dict[str, Column],
                 restrict: list[tuple[DataFrame, str, str]],
@@ -215,37 +296,33 @@ def apply_batch(table: DataFrame, table_name: str, key: str, changes: DataFrame,
     """Apply one batch of add / update / delete requests to ``table``.
 
     Returns (table after, deleted keys, outcomes(seq, op, key, reason)).
-    Request order (``seq``) is followed wherever requests interact: a delete
-    of an existing row frees its name for later adds and a repeated delete
-    finds nothing; adds are checked for a free name (first add per name
-    wins) and get ids max+1.. in seq order; updates and deletes of a row added
-    in the batch count only after its add; the last valid update wins.  (A
-    name freed by deleting a row added in the same batch is not reused.)
+    The result is that of applying the requests one by one in ``seq`` order: a delete
+    frees its row's name for later adds and a repeated delete
+    finds nothing; adds are checked for a free name and get ids max+1.. in seq
+    order; updates and deletes of a row added in the batch count only after
+    its add; the last valid update wins.
     """
     pre_ids = table.select(key).distinct()
     dels = changes.filter(F.col("op") == "delete").select("seq", key)
     d_pre = delete_requests(table, key, dels.join(pre_ids, key, "left_semi"), restrict)
-    first_del = (d_pre.filter(F.col("outcome") == "deleted")
-                      .select(key, F.col("seq").alias("_del")))
+    first_del = cut_lineage(d_pre.filter(F.col("outcome") == "deleted")
+                            .select(key, F.col("seq").alias("_del")))
 
     schema_cols = [c for c in table.columns if c != key]
     adds = changes.filter(F.col("op") == "add").select(
         "seq", *[F.trim("name").alias("name") if c == "name" else F.col(c)
                  for c in schema_cols if c in changes.columns])
-    adds = Q.with_reason(adds, add_rules)
-    adds = _first_per_name(adds, table, first_del, key)
-    ok = _insert_with_ids(table, adds.filter(F.col("reason").isNull()), key)
+    later = dels.filter(F.col(key) >= next_id_base(table, key))
+    ok, adds = _batch_adds(table, key, Q.with_reason(adds, add_rules), first_del, later)
+    ok = cut_lineage(ok)
     if add_defaults:
         ok = ok.withColumns(add_defaults)
     new_ids = ok.select(key, F.col("seq").alias("_add"))
 
-    d_new = (dels.join(pre_ids, key, "left_anti").join(new_ids, key, "left")
-                 .withColumn("_ok", F.coalesce(F.col("seq") > F.col("_add"), F.lit(False))))
-    first_new = d_new.filter("_ok").groupBy(key).agg(F.min("seq").alias("_del"))
-    d_new = (d_new.join(first_new, key, "left")
-                  .select("seq", key, F.when(F.col("_ok") & (F.col("seq") == F.col("_del")),
-                                             F.lit("deleted")).otherwise(F.lit("not found"))
-                          .alias("outcome")))
+    first_new = ok.filter(F.col("_del").isNotNull()).select(key, "_del")
+    d_new = (dels.join(pre_ids, key, "left_anti").join(first_new, key, "left")
+                 .select("seq", key, F.when(F.col("seq") == F.col("_del"), F.lit("deleted"))
+                         .otherwise(F.lit("not found")).alias("outcome")))
     gone = first_del.select(key).unionByName(first_new.select(key))
 
     ups = Q.with_reason(changes.filter(F.col("op") == "update"), update_rules)

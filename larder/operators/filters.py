@@ -134,8 +134,8 @@ def scalar_subquery(menu_items: DataFrame) -> DataFrame:
 def in_subquery(ingredients: DataFrame, recipes: DataFrame, menu_keys: DataFrame) -> DataFrame:
     """Ingredients used in the recipe of any menu item in ``menu_keys``
     (``ingredient_id IN (SELECT ... FROM recipes WHERE menu_id IN ...)``)."""
-    used = recipes.join(menu_keys.select("menu_id"), "menu_id", "left_semi")
-    return ingredients.join(used.select("ingredient_id"), "ingredient_id", "left_semi")
+    used = recipes.join(menu_keys.select("menu_id").distinct(), "menu_id", "left_semi")
+    return ingredients.join(used.select("ingredient_id").distinct(), "ingredient_id", "left_semi")
 
 
 def correlated_scalar(order_items: DataFrame, recipes: DataFrame) -> DataFrame:

@@ -1,7 +1,6 @@
 """Joins (J1-J15).
 
-Physical strategy: dimension sides are joined without hints unless their size
-has a fixed bound; AQE (enabled in ``build_session``) then turns a sort-merge
+Physical strategy: sides are joined without hints; AQE (enabled in ``build_session``) then turns a sort-merge
 join into a broadcast-hash join from *runtime* sizes
 (``spark.sql.adaptive.autoBroadcastJoinThreshold``), and splits skewed
 partitions of the large side when a hot key holds many rows.  That is the
@@ -16,16 +15,6 @@ from pyspark.sql import functions as F
 
 from larder.functions import exprs as X
 
-# Tables whose row count has a fixed bound in the reference's model and may be
-# broadcast by hint: staff (one row per employee).
-BOUNDED = {"employees"}
-
-
-def dim(df: DataFrame, table: str) -> DataFrame:
-    """Hint a broadcast only for a table with a fixed bound (see BOUNDED)."""
-    return F.broadcast(df) if table in BOUNDED else df
-
-
 def join_inner(ingredients: DataFrame, suppliers: DataFrame) -> DataFrame:
     """J1 (Q6): ingredient with its supplier name; supplier-less rows drop."""
     i, s = ingredients.alias("i"), suppliers.alias("s")
@@ -115,11 +104,11 @@ def recent_orders(orders: DataFrame, customers: DataFrame, employees: DataFrame,
     """Latest ``n`` orders by id with customer ('Walk-in') and staff name.
 
     The inner join with staff can drop orders, so it is applied first as a
-    semi join against the bounded staff table; then the top-k runs
+    semi join against the staff keys; then the top-k runs
     (TakeOrderedAndProject keeps n rows per task) and only n rows reach the
     remaining joins.
     """
-    e = dim(employees, "employees").select("employee_id", F.col("name").alias("staff"))
+    e = employees.select("employee_id", F.col("name").alias("staff"))
     top = (orders.join(e.select("employee_id"), "employee_id", "left_semi")
                  .orderBy(F.col("order_id").desc()).limit(n))
     c = customers.select("customer_id", F.col("name").alias("cname"))
@@ -134,14 +123,14 @@ def order_listing(orders: DataFrame, customers: DataFrame, employees: DataFrame,
     """All orders with customer ('Walk-in'), staff and item count.
 
     Items are counted per order before the left join (one row per order
-    leaves the aggregation), the status filter is applied to orders before
-    any join, and employees are a bounded broadcast.
+    leaves the aggregation) and the status filter is applied to orders before
+    any join.
     """
     o = orders if status not in ("Pending", "Served", "Paid", "Cancelled") else \
         orders.filter(F.col("status") == status)
     items = order_items.groupBy("order_id").agg(F.count("menu_id").alias("items"))
     c = customers.select("customer_id", F.col("name").alias("cname"))
-    e = dim(employees, "employees").select("employee_id", F.col("name").alias("staff"))
+    e = employees.select("employee_id", F.col("name").alias("staff"))
     return (o.join(c, "customer_id", "left").join(e, "employee_id")
              .join(items, "order_id", "left")
              .select("order_id", X.or_label("cname", "Walk-in").alias("customer"), "staff",
@@ -153,17 +142,19 @@ def purchase_history(purchases: DataFrame, suppliers: DataFrame, ingredients: Da
                      n: int = 15) -> DataFrame:
     """Latest ``n`` purchases (by id) with supplier, ingredient and unit.
 
-    Inner joins drop purchases whose supplier or ingredient is missing, so the
-    joins run before the top-k; the top-k itself keeps n rows per task.
+    Purchases whose supplier or ingredient is missing drop out by semi joins
+    on the keys alone; the top-k then keeps n rows per task, and only those n
+    rows fetch their names.
     """
+    top = (purchases.join(suppliers.select("supplier_id").distinct(), "supplier_id", "left_semi")
+           .join(ingredients.select("ingredient_id").distinct(), "ingredient_id", "left_semi")
+           .orderBy(F.col("purchase_id").desc()).limit(n))
     s = suppliers.select("supplier_id", F.col("name").alias("supplier"))
     i = ingredients.select("ingredient_id", F.col("name").alias("ingredient"), "unit")
-    return (purchases.join(s, "supplier_id").join(i, "ingredient_id")
+    return (top.join(s, "supplier_id").join(i, "ingredient_id")
             .select("purchase_id", "supplier", "ingredient", "quantity", "unit", "cost",
                     "purchase_date")
-            .orderBy(F.col("purchase_id").desc(), "supplier", "ingredient", "quantity",
-                     "cost", "purchase_date")
-            .limit(n))
+            .orderBy(F.col("purchase_id").desc()))
 
 
 def recipe_report(recipes: DataFrame, menu_items: DataFrame, ingredients: DataFrame) -> DataFrame:
@@ -199,8 +190,10 @@ def login_audit(attempts: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def join_semi(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
-    """Parents that have at least one child."""
-    return parents.join(children.select(key).filter(F.col(key).isNotNull()), key, "left_semi")
+    """Parents that have at least one child.  The child keys are made
+    distinct first (map-side combined), so a hot key shuffles as one row per task."""
+    keys = children.select(key).filter(F.col(key).isNotNull()).distinct()
+    return parents.join(keys, key, "left_semi")
 
 
 def join_anti(children: DataFrame, parents: DataFrame, key: str,

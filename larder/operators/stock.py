@@ -22,7 +22,7 @@ def apply_purchases(ingredients: DataFrame, purchases: DataFrame) -> DataFrame:
     aggregate, then a join of one row per ingredient)."""
     add = purchases.groupBy("ingredient_id").agg(F.sum("quantity").alias("_add"))
     j = ingredients.join(add, "ingredient_id", "left")
-    return j.withColumn("quantity", X.to_money(F.col("quantity") + F.coalesce("_add", F.lit(0)))) \
+    return j.withColumn("quantity", X.to_total(F.col("quantity") + F.coalesce("_add", F.lit(0)))) \
             .select(*ingredients.columns)
 
 
@@ -49,30 +49,56 @@ def apply_order_items(ingredients: DataFrame, orders: DataFrame, order_items: Da
     """
     use = recipe_use(order_items, recipes)
     ing = (ingredients.join(use, "ingredient_id", "left")
-                      .withColumn("quantity", (F.col("quantity") - F.coalesce("used", F.lit(0)))
-                                  .cast("decimal(12,2)"))
+                      .withColumn("quantity",
+                                  X.to_total(F.col("quantity") - F.coalesce("used", F.lit(0))))
                       .select(*ingredients.columns))
     add = order_items.groupBy("order_id").agg(F.sum(X.line_subtotal()).alias("_add"))
     o = (orders.join(add, "order_id", "left")
                .withColumn("total_amount",
-                           X.to_money(F.col("total_amount") + F.coalesce("_add", F.lit(0))))
+                           X.to_total(F.col("total_amount") + F.coalesce("_add", F.lit(0))))
                .select(*orders.columns))
     return ing, o
 
 
 # ------------------------------------------------------------------ T3
 
+# need rows (order x ingredient) that one task may decide in request order
+SERIAL_ROWS = 100_000
+
+
+def _decide_in_order(rows: DataFrame) -> DataFrame:
+    """(seq, st) for a bounded prefix of undecided need rows (seq, ingredient_id,
+    need, up), in request order: an order is accepted iff ``up`` less what
+    earlier orders of the prefix took covers each of its needs."""
+    def run(batches):
+        import pandas as pd
+        parts = list(batches)
+        if not parts:
+            return
+        seqs, states, taken = [], [], {}
+        for seq, own in pd.concat(parts).groupby("seq", sort=True):
+            lines = list(zip(own["ingredient_id"], own["need"], own["up"]))
+            ok = all(up - taken.get(i, 0) - need >= 0 for i, need, up in lines)
+            if ok:
+                for i, need, _ in lines:
+                    taken[i] = taken.get(i, 0) + need
+            seqs.append(seq)
+            states.append("A" if ok else "R")
+        yield pd.DataFrame({"seq": seqs, "st": states})
+    return rows.repartition(1).mapInPandas(run, "seq long, st string")
+
+
 def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
                  ingredients: DataFrame, employees: DataFrame, orders: DataFrame,
                  order_items: DataFrame, restocks: DataFrame | None = None,
-                 chunk_size: int = 1 << 16, max_rounds: int | None = None) -> "Placement":
+                 chunk_size: int = 1 << 16, serial_rows: int = SERIAL_ROWS) -> "Placement":
     """Order requests -> accepted orders, their lines, stock after; or a
     rejection with a reason.
 
     ``requests`` (seq, customer_id, ts, cart map<menu_id, struct<name, qty>>)
     are handled in ``seq`` order, as the reference's transaction would:
     an empty cart places nothing; a missing or unavailable item rejects the
-    whole order; an order that would take any ingredient below 0 is rejected
+    whole order; so does a quantity of 0 or less; an order that would take any ingredient below 0 is rejected
     whole and uses nothing.  ``restocks`` (seq, ingredient_id, quantity)
     arrive between orders.
 
@@ -80,13 +106,15 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
       lower = opening + restocks − needs of (accepted ∪ undecided) before u
       upper = opening + restocks − needs of accepted before u.
     u is certainly accepted when lower − need ≥ 0 for all its ingredients,
-    certainly rejected when upper − need < 0 for one.  Each round is two
-    running sums per ingredient (two-level, skew-safe) and an aggregate per
-    order; the earliest undecided order is always decided, so rounds end.
-    A round only reads movements of ingredients that undecided orders use
-    (the verdict of u depends on u's ingredients alone), so after round one
-    the rounds are small.  When no order oversells, round one accepts all.  Rounds are
-    checkpointed to the shared folder.
+    certainly rejected when upper − need < 0 for one.  A round is two running
+    sums per ingredient (two-level, skew-safe) and an aggregate per order;
+    when no order oversells, round one accepts all.  From round two on (or at
+    once when they are few) the first ``serial_rows`` undecided need rows are also
+    decided in request order in one bounded task, so a chain of dependent
+    orders takes length / serial_rows rounds.  After a round everything before an
+    ingredient's first undecided order is folded into its opening balance, and
+    ingredients without undecided orders are dropped: a round reads only what
+    is still open.  Rounds are checkpointed to the shared folder.
     """
     lines = cart_lines(requests.withColumnRenamed("seq", "cart_id")) \
         .withColumnRenamed("cart_id", "seq")
@@ -94,10 +122,12 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
     lj = lines.join(m, "menu_id", "left")
     per_req = lj.groupBy("seq").agg(
         F.count_if(F.coalesce(F.col("is_available"), F.lit(0)) != 1).alias("_bad"),
+        F.count_if(~F.coalesce(F.col("qty") > 0, F.lit(False))).alias("_neg"),
         F.sum(F.col("unit_price") * F.col("qty")).alias("total"))
     req = requests.select("seq", "customer_id", "ts").join(per_req, "seq", "left")
     reason0 = (F.when(F.col("_bad").isNull(), F.lit("empty cart"))
-                .when(F.col("_bad") > 0, F.lit("item not available")))
+                .when(F.col("_bad") > 0, F.lit("item not available"))
+                .when(F.col("_neg") > 0, F.lit("quantity must be above 0")))
     req = req.withColumn("reason", reason0)
 
     cand = req.filter(F.col("reason").isNull()).select("seq")
@@ -106,50 +136,66 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
                .groupBy("seq", "ingredient_id")
                .agg(F.sum(F.col("qty_required") * F.col("qty")).alias("need")))
     needs = cut_lineage(needs)
-    opening = ingredients.select("ingredient_id", F.col("quantity").alias("opening"))
     rs = (restocks.select("seq", "ingredient_id", F.col("quantity").alias("q"))
           if restocks is not None else None)
 
-    # U undecided, A accepted, R rejected; an order that needs no stock is accepted
-    has_need = needs.select("seq").distinct().withColumn("_hn", F.lit(True))
-    status = cut_lineage(cand.join(has_need, "seq", "left").select(
-        "seq", F.when(F.col("_hn"), F.lit("U")).otherwise(F.lit("A")).alias("st")))
-    rounds = 0
+    # open movements (kind 0 restock, 1 order need), U undecided / A accepted / S stock
+    kind = "decimal(20,4)"
+    state = needs.select("ingredient_id", "seq", F.lit(1).alias("kind"), F.lit("U").alias("st"),
+                         (-F.col("need")).cast(kind).alias("v"))
+    opening = ingredients.join(needs.select("ingredient_id").distinct(), "ingredient_id",
+                               "right").select(
+        "ingredient_id", F.coalesce("quantity", F.lit(0)).cast(kind).alias("base"))
+    if rs is not None:
+        used = needs.select("ingredient_id").distinct()
+        state = state.unionByName(rs.join(used, "ingredient_id", "left_semi").select(
+            "ingredient_id", "seq", F.lit(0).alias("kind"), F.lit("S").alias("st"),
+            F.col("q").cast(kind).alias("v")))
+    # an order that needs no stock is accepted
+    done = cand.join(needs.select("seq").distinct(), "seq", "left_anti").select(
+        "seq", F.lit("A").alias("st"))
+    rounds = []
     while True:
-        if status.filter(F.col("st") == "U").limit(1).count() == 0:
+        n = state.agg(F.count_if(F.col("st") == "U"), F.count(F.lit(1))).first()
+        if not n[0]:
             break
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError(f"place_orders: undecided orders after {rounds} rounds")
-        rounds += 1
-        # only ingredients of still-undecided orders matter for this round's
-        # verdicts; after round one that is a small slice of the movements
-        live = (needs.join(status.filter(F.col("st") == "U"), "seq", "left_semi")
-                     .select("ingredient_id").distinct())
-        nrows = (needs.join(live, "ingredient_id", "left_semi")
-                      .join(status, "seq").filter(F.col("st") != "R"))
-        mv = nrows.select("ingredient_id", "seq", F.lit(1).alias("kind"), "st", "need",
-                          (-F.col("need")).alias("v_low"),
-                          F.when(F.col("st") == "A", -F.col("need")).otherwise(F.lit(0))
-                           .alias("v_up"))
-        if rs is not None:
-            mv = mv.unionByName(rs.join(live, "ingredient_id", "left_semi").select(
-                "ingredient_id", "seq", F.lit(0).alias("kind"), F.lit("S").alias("st"),
-                F.lit(None).cast(mv.schema["need"].dataType).alias("need"),
-                F.col("q").alias("v_low"), F.col("q").alias("v_up")), allowMissingColumns=False)
-        run = running_total(mv, "ingredient_id", ["seq", "kind"], ["v_low", "v_up"],
-                            seq_chunk("seq", chunk_size), out=["low_run", "up_run"])
-        run = run.filter(F.col("st") == "U").join(opening, "ingredient_id", "left")
-        base = F.coalesce(F.col("opening"), F.lit(0))
-        low_after = base + F.col("low_run")                      # own need included
-        up_after = base + F.col("up_run") - F.col("need")        # own need counted once
-        verdict = run.groupBy("seq").agg(F.min(low_after).alias("_lo"),
-                                         F.min(up_after).alias("_up"))
+        rounds.append(n[1])
+        run = running_total(
+            state.withColumn("v_up", F.when(F.col("st") == "U", F.lit(0).cast(kind))
+                             .otherwise(F.col("v"))),
+            "ingredient_id", ["seq", "kind"], ["v", "v_up"], seq_chunk("seq", chunk_size),
+            out=["low_run", "up_run"])
+        und = run.filter(F.col("st") == "U").join(opening, "ingredient_id").select(
+            "seq", "ingredient_id", (-F.col("v")).alias("need"),
+            (F.col("base") + F.col("low_run")).alias("low"),          # own need included
+            (F.col("base") + F.col("up_run")).alias("up"))            # before the own need
+        verdict = und.groupBy("seq").agg(F.min("low").alias("_lo"),
+                                         F.min(F.col("up") - F.col("need")).alias("_up"))
         decided = verdict.select(
-            "seq", F.when(F.col("_lo") >= 0, "A").when(F.col("_up") < 0, "R").alias("_new"))
-        status = (status.join(decided, "seq", "left")
-                        .select("seq", F.when(F.col("st") == "U", F.coalesce("_new", F.lit("U")))
-                                         .otherwise(F.col("st")).alias("st")))
-        status = cut_lineage(status)
+            "seq", F.when(F.col("_lo") >= 0, "A").when(F.col("_up") < 0, "R").alias("st")) \
+            .filter(F.col("st").isNotNull())
+        if len(rounds) > 1 or n[0] <= serial_rows:
+            last = und.select("seq").orderBy("seq").limit(serial_rows).agg(F.max("seq")).first()[0]
+            prefix = und.filter(F.col("seq") <= last).select("seq", "ingredient_id", "need", "up")
+            decided = _decide_in_order(prefix).unionByName(decided.filter(F.col("seq") > last))
+        decided = cut_lineage(decided)
+        done = done.unionByName(decided)
+        state = (state.join(decided.withColumnRenamed("st", "_new"), "seq", "left")
+                      .withColumn("st", F.when(F.col("st") == "U", F.coalesce("_new", "st"))
+                                  .otherwise(F.col("st")))
+                      .filter(F.col("st") != "R").drop("_new"))
+        first = (state.filter(F.col("st") == "U").groupBy("ingredient_id")
+                      .agg(F.min("seq").alias("_f")))
+        state = cut_lineage(state.join(first, "ingredient_id"))
+        folded = (state.filter(F.col("seq") < F.col("_f")).groupBy("ingredient_id")
+                       .agg(F.sum("v").alias("_v")))
+        opening = cut_lineage(
+            opening.join(state.select("ingredient_id").distinct(), "ingredient_id", "left_semi")
+                   .join(folded, "ingredient_id", "left")
+                   .select("ingredient_id",
+                           (F.col("base") + F.coalesce("_v", F.lit(0))).cast(kind).alias("base")))
+        state = state.filter(F.col("seq") >= F.col("_f")).drop("_f")
+    status = done
 
     outcome = (req.join(status, "seq", "left")
                   .withColumn("reason", F.coalesce(
@@ -163,7 +209,7 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
         return acc.select("order_id", "customer_id", waiter.alias("employee_id"),
                           F.col("ts").cast("timestamp_ntz").alias("order_date"),
                           F.lit("Pending").alias("status"),
-                          X.to_money("total").alias("total_amount"))
+                          X.to_total("total").alias("total_amount"))
 
     def new_lines():
         lines_ = (lj.join(acc.select("seq", "order_id"), "seq")
@@ -182,7 +228,7 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
                          "ingredient_id", "left")
         else:
             st = st.withColumn("_r", F.lit(0))
-        return st.withColumn("quantity", X.to_money(
+        return st.withColumn("quantity", X.to_total(
             F.col("quantity") + F.coalesce("_r", F.lit(0)) - F.coalesce("_u", F.lit(0)))) \
             .select(*ingredients.columns)
 
@@ -194,11 +240,11 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
 
 
 class Placement:
-    """Result of ``place_orders``: ``outcomes`` and ``rounds`` at once; the new
+    """Result of ``place_orders``: ``outcomes`` and ``rounds`` (movements read per round) at once; the new
     ``orders``, ``order_items`` (with ids) and ``ingredients`` (stock after)
     are built on first access."""
 
-    def __init__(self, outcomes: DataFrame, rounds: int, lazy: dict):
+    def __init__(self, outcomes: DataFrame, rounds: list[int], lazy: dict):
         self._parts = {"outcomes": outcomes, "rounds": rounds}
         self._lazy = lazy
 

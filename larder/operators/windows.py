@@ -11,7 +11,8 @@ that task gets a third of the data.  The primitives here are two-level:
    the last value), computed over the chunk table, which is ``size`` times
    smaller than the data, and joined back on (key, chunk).
 
-Both levels are exact.
+Both levels are exact.  Chunks cost a second exchange, so only keys that hold
+more than HOT_ROWS rows are chunked; all others take the plain window, one exchange.
 """
 
 from __future__ import annotations
@@ -61,18 +62,51 @@ def with_chunks(df: DataFrame, keys: list[str], order: list[str],
                          .withColumn("_chunk", F.spark_partition_id().cast("long")))
 
 
+HOT_ROWS = 1 << 20        # rows of one key that one task's window may sort
+
+
+def split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of keys above ``hot_rows`` or None).
+
+    The frame is checkpointed once, the rows per key are counted on that copy
+    (one partial aggregate), and the hot keys (at most rows / ``hot_rows``)
+    split it.  Which way a key goes never changes its result.
+    """
+    from larder.session import cut_lineage
+    d = cut_lineage(df)
+    hot = cut_lineage(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+                       .filter(F.col("_n") > hot_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
+    if not hot.limit(1).count():
+        return d, None
+    same = [d[k].eqNullSafe(hot[f"_h_{k}"]) for k in keys]
+    return d.join(hot, same, "left_anti"), d.join(hot, same, "left_semi")
+
+
 def running_total(df: DataFrame, keys, order: list[str], value, chunk: Column | None = None,
-                  out=None) -> DataFrame:
+                  out=None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inclusive running sum of ``value`` (one name or a list) per ``keys`` in
     ``order``; result columns ``out`` (default ``running`` / ``<v>_run``).
 
     ``chunk`` must be monotone in ``order`` (a coarser version of it); None
-    uses range-partition chunks (see ``with_chunks``).
+    takes a plain window for keys up to ``hot_rows`` rows and range-partition chunks
+    (see ``with_chunks``) for the others.
     """
     keys = _as_list(keys)
     values = _as_list(value)
     outs = _as_list(out) if out is not None else (
         ["running"] if len(values) == 1 else [f"{v}_run" for v in values])
+    if chunk is None:
+        plain, hot = split_hot(df, keys, hot_rows)
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        done = plain.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(o)
+                                   for v, o in zip(values, outs)])
+        return done if hot is None else done.unionByName(_chunked_total(hot, keys, order, values, None, outs))
+    return _chunked_total(df, keys, order, values, chunk, outs)
+
+
+def _chunked_total(df: DataFrame, keys: list[str], order: list[str], values: list[str],
+                   chunk: Column | None, outs: list[str]) -> DataFrame:
     d = with_chunks(df, keys, order, chunk)
     inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -93,13 +127,28 @@ def running_total(df: DataFrame, keys, order: list[str], value, chunk: Column |
 
 
 def asof_last(df: DataFrame, keys, order: list[str], value: str, chunk: Column | None = None,
-              out: str | None = None, inclusive: bool = True) -> DataFrame:
+              out: str | None = None, inclusive: bool = True,
+              hot_rows: int = HOT_ROWS) -> DataFrame:
     """For each row, the last non-NULL ``value`` at or before it (``inclusive``)
-    or strictly before it, within ``keys`` in ``order`` — an as-of lookup
-    without a per-key window over all rows.
+    or strictly before it, within ``keys`` in ``order`` — an as-of lookup.
+
+    ``chunk`` as in ``running_total``: None takes a plain window for ordinary keys
+    and chunks for hot ones.
     """
     keys = _as_list(keys)
     out = out or f"{value}_asof"
+    if chunk is None:
+        plain, hot = split_hot(df, keys, hot_rows)
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+        done = plain.withColumn(out, F.last(value, ignorenulls=True).over(w))
+        return done if hot is None else done.unionByName(
+            _chunked_last(hot, keys, order, value, None, out, inclusive))
+    return _chunked_last(df, keys, order, value, chunk, out, inclusive)
+
+
+def _chunked_last(df: DataFrame, keys: list[str], order: list[str], value: str,
+                  chunk: Column | None, out: str, inclusive: bool) -> DataFrame:
     d = with_chunks(df, keys, order, chunk)
     upper = Window.currentRow if inclusive else -1
     inner = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(
@@ -199,7 +248,6 @@ def assign_ids(df: DataFrame, order: list[str], start: Column | int = 1,
     single-partition window.
     """
     from larder.session import cut_lineage
-    spark = df.sparkSession
     sorted_df = cut_lineage(df.orderBy(*order).withColumn("_pid", F.spark_partition_id())
                               .withColumn("_mid", F.monotonically_increasing_id()))
     counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"),
@@ -208,9 +256,7 @@ def assign_ids(df: DataFrame, order: list[str], start: Column | int = 1,
     offsets = counts.select("_pid", "_first",
                             F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     s = start if isinstance(start, Column) else F.lit(start)
-    del spark
-    # offsets has one row per partition: a bounded broadcast
-    return (sorted_df.join(F.broadcast(offsets), "_pid")
+    return (sorted_df.join(offsets, "_pid")
                      .withColumn(out, s + F.col("_off") + (F.col("_mid") - F.col("_first")))
                      .drop("_pid", "_mid", "_first", "_off"))
 
@@ -222,7 +268,7 @@ def next_id_base(existing: DataFrame, id_col: str) -> Column:
 
 # ------------------------------------------------------------------ W3
 
-def status_fold(orders: DataFrame, changes: DataFrame, chunk_size: int = 1 << 16) -> DataFrame:
+def status_fold(orders: DataFrame, changes: DataFrame, chunk_size: int | None = None) -> DataFrame:
     """Current status of every order from a change log.
 
     ``changes`` (seq, order_id, actor, customer_id, status): staff set any of
@@ -256,7 +302,7 @@ def status_fold(orders: DataFrame, changes: DataFrame, chunk_size: int = 1 << 16
                   .drop("_new"))
 
 
-def cancel_outcomes(orders: DataFrame, changes: DataFrame, chunk_size: int = 1 << 16):
+def cancel_outcomes(orders: DataFrame, changes: DataFrame, chunk_size: int | None = None):
     """U7 detail: every customer cancel request with changed yes/no.
 
     One as-of pass gives each valid cancel the last staff change before it
@@ -278,8 +324,8 @@ def cancel_outcomes(orders: DataFrame, changes: DataFrame, chunk_size: int = 1 <
         .unionByName(valid.select("order_id", "seq",
                                   F.lit(None).cast(staff.schema["_staff"].dataType)
                                    .alias("_staff"), "_init"))
-    seg = asof_last(both, "order_id", ["seq"], "_staff", seq_chunk("seq", chunk_size),
-                    out="_seg", inclusive=False)
+    chunk = None if chunk_size is None else seq_chunk("seq", chunk_size)
+    seg = asof_last(both, "order_id", ["seq"], "_staff", chunk, out="_seg", inclusive=False)
     c = (seg.filter(F.col("_staff").isNull())
             .withColumn("_base", F.coalesce(F.col("_seg.st"), F.col("_init")))
             .withColumn("_segk", F.coalesce(F.col("_seg.s"), F.lit(-1))))

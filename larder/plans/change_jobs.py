@@ -308,6 +308,79 @@ def _delete_restrict(t):
     return out
 
 
+@register("delete_cascade_order_items", f"""
+SELECT order_item_id, order_id, menu_id, quantity, CAST(price {D} AS price FROM order_items
+WHERE order_id NOT IN (SELECT order_id FROM order_deletes)""")
+def _delete_cascade_order_items(t):
+    return U.delete_orders(t.orders, t.order_items, t.order_deletes)[1]
+
+
+@register("delete_set_null_orders", f"""
+SELECT order_id, CASE WHEN customer_id IN (SELECT customer_id FROM customer_deletes) THEN NULL
+                      ELSE customer_id END AS customer_id, CAST(total_amount {D} AS total_amount
+FROM orders""")
+def _delete_set_null_orders(t):
+    _, _, orders = U.delete_customers(t.customers, t.users, t.orders, t.customer_deletes)
+    return orders.select("order_id", "customer_id", "total_amount")
+
+
+@register("delete_restrict_employees", """
+SELECT employee_id,
+       CASE WHEN employee_id NOT IN (SELECT employee_id FROM employees) THEN 'not found'
+            WHEN employee_id IN (SELECT employee_id FROM orders) THEN 'refused: referenced by orders'
+            ELSE 'deleted' END AS outcome
+FROM employee_deletes""")
+def _delete_restrict_employees(t):
+    return U.delete_employees(t.employees, t.orders, t.employee_deletes)[1]
+
+
+@register("delete_restrict_ingredients", """
+SELECT ingredient_id,
+       CASE WHEN ingredient_id NOT IN (SELECT ingredient_id FROM ingredients) THEN 'not found'
+            WHEN ingredient_id IN (SELECT ingredient_id FROM purchases)
+              THEN 'refused: used by purchases'
+            WHEN ingredient_id IN (SELECT ingredient_id FROM recipes) THEN 'refused: used by recipes'
+            ELSE 'deleted' END AS outcome
+FROM ingredient_deletes""")
+def _delete_restrict_ingredients(t):
+    return U.delete_requests(t.ingredients, "ingredient_id", t.ingredient_deletes,
+                             [(t.purchases, "ingredient_id", "used by purchases"),
+                              (t.recipes, "ingredient_id", "used by recipes")])
+
+
+@register("menu_delete_recipes", f"""
+SELECT menu_id, ingredient_id, CAST(qty_required {D} AS qty_required FROM recipes
+WHERE menu_id NOT IN (SELECT menu_id FROM menu_changes WHERE op = 'delete')
+   OR menu_id IN (SELECT menu_id FROM order_items)""")
+def _menu_delete_recipes(t):
+    req = t.menu_changes.filter(F.col("op") == "delete").select("seq", "menu_id")
+    return U.menu_delete(t.menu_items, t.recipes, t.order_items, req)[1]
+
+
+@register("menu_delete_where", f"""
+SELECT 'sold' AS statement, menu_id, name FROM menu_items
+WHERE (SELECT count(*) FROM order_items WHERE menu_id IN
+         (SELECT menu_id FROM menu_items WHERE category = 'PROMO')) > 0 OR category <> 'PROMO'
+UNION ALL
+SELECT 'unsold', menu_id, name FROM menu_items
+WHERE (SELECT count(*) FROM order_items WHERE menu_id IN
+         (SELECT menu_id FROM menu_items WHERE price < 0 OR menu_id % 29 = 3 AND menu_id NOT IN
+            (SELECT menu_id FROM order_items))) > 0
+   OR NOT (menu_id % 29 = 3 AND menu_id NOT IN (SELECT menu_id FROM order_items))""")
+def _menu_delete_where(t):
+    """Q5 twice: a statement that hits sold items changes nothing; one that hits
+    only unsold items deletes them."""
+    sold, _, _ = U.menu_delete_where(t.menu_items, t.recipes, t.order_items,
+                                     F.col("category") == "PROMO")
+    unsold_ids = t.menu_items.join(t.order_items.select("menu_id").distinct(), "menu_id", "left_anti") \
+        .filter(F.col("menu_id") % 29 == 3).select("menu_id", F.lit(True).alias("_hit"))
+    marked = t.menu_items.join(unsold_ids, "menu_id", "left")
+    unsold, _, _ = U.menu_delete_where(marked, t.recipes, t.order_items,
+                                       F.coalesce("_hit", F.lit(False)))
+    return sold.select(F.lit("sold").alias("statement"), "menu_id", "name").unionByName(
+        unsold.select(F.lit("unsold").alias("statement"), "menu_id", "name"))
+
+
 # ------------------------------------------------------------------ W1, W2
 
 @register("stock_ledger", f"""

@@ -28,12 +28,12 @@ ingredients AS (
               ELSE p_partkey % ((SELECT count(*) FROM supplier) + 5) END AS supplier_id
   FROM part),
 li_ids AS (
-  SELECT *, l_orderkey * 64 + row_number() OVER (
+  SELECT *, l_orderkey * 1048576 + row_number() OVER (
            PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
                                             l_quantity, l_extendedprice, l_shipdate) AS row_id
   FROM lineitem),
 purchases AS (
-  SELECT l_orderkey * 64 + row_number() OVER (
+  SELECT l_orderkey * 1048576 + row_number() OVER (
            PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
                                             l_quantity, l_extendedprice, l_shipdate) AS purchase_id,
          l_suppkey AS supplier_id, l_partkey AS ingredient_id,
@@ -61,6 +61,9 @@ bill_requests AS (
   SELECT o_orderkey AS order_id,
          CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS customer_id
   FROM orders),
+order_deletes AS (
+  -- reads the driver's orders view, so it precedes the derived orders CTE
+  SELECT o_orderkey AS order_id FROM orders WHERE o_orderkey % 11 = 5),
 status_changes AS (
   -- reads the driver's orders view, so it precedes the derived orders CTE
   SELECT o_orderkey * 4 + 1 AS seq, o_orderkey AS order_id, 'staff' AS actor,
@@ -107,8 +110,7 @@ users AS (
   FROM customer),
 cart_lines AS (
   SELECT order_id AS cart_id, menu_id, CAST(sum(quantity) AS INTEGER) AS qty
-  FROM order_items WHERE order_id IN (SELECT order_id FROM orders WHERE status = 'Pending')
-  GROUP BY order_id, menu_id),
+  FROM order_items GROUP BY order_id, menu_id),
 login_attempts AS (
   SELECT c_custkey AS seq,
          CASE WHEN c_custkey % 7 = 0 THEN lower(c_name) || 'x'
@@ -160,7 +162,7 @@ cart_events AS (
   SELECT l_orderkey AS cart_id, row_id AS seq,
          CASE WHEN l_linenumber % 4 = 3 THEN 'set' WHEN l_linenumber % 6 = 5 THEN 'remove'
               ELSE 'add' END AS op,
-         l_partkey % 50 AS menu_id,
+         l_partkey AS menu_id,
          CAST(CASE WHEN l_linenumber % 4 = 3 THEN CAST(l_quantity AS INTEGER) - 20
                    WHEN l_linenumber % 6 = 5 THEN NULL
                    ELSE CAST(l_quantity AS INTEGER) % 7 END AS INTEGER) AS qty
@@ -170,15 +172,19 @@ customer_deletes AS (
 supplier_deletes AS (
   SELECT s_suppkey * 2 AS supplier_id FROM supplier WHERE s_suppkey % 4 = 1),
 new_purchases AS (
-  SELECT l_orderkey * 64 + row_number() OVER (
+  SELECT l_orderkey * 1048576 + row_number() OVER (
            PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
                                             l_quantity, l_extendedprice, l_shipdate) AS seq,
-         l_suppkey AS supplier_id, l_partkey AS ingredient_id,
+         CASE WHEN l_orderkey % 41 = 0 THEN -l_suppkey - 1 ELSE l_suppkey END AS supplier_id,
+         CASE WHEN l_orderkey % 43 = 0 THEN -l_partkey - 1 ELSE l_partkey END AS ingredient_id,
          CAST(l_quantity - 3 AS DECIMAL(10,2)) AS quantity,
          CAST(CASE WHEN l_orderkey % 50 = 0 THEN -l_extendedprice ELSE l_extendedprice END
               AS DECIMAL(10,2)) AS cost,
-         CAST(l_shipdate AS DATE) AS purchase_date
+         CASE WHEN l_orderkey % 7 <> 0 THEN CAST(l_shipdate AS DATE) END AS purchase_date
   FROM lineitem WHERE l_returnflag = 'A'),
+employee_deletes AS (SELECT CAST(n_nationkey * 2 AS BIGINT) AS employee_id FROM nation),
+ingredient_deletes AS (
+  SELECT p_partkey + p_partkey % 2 * 1000000 AS ingredient_id FROM part WHERE p_partkey % 3 = 1),
 price_log AS (
   SELECT p_partkey AS menu_id, TIMESTAMP '1990-01-01 00:00:00' AS valid_from,
          CAST(p_retailprice AS DECIMAL(10,2)) AS price, CAST(0 AS DECIMAL(5,2)) AS discount,

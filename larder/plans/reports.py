@@ -438,14 +438,12 @@ def _my_orders(t):
 
 
 @register("menu_by_category", f"""
-SELECT category, name, menu_id, CAST(price {D} AS price, CAST(discount {D} AS discount,
+SELECT category, row_number() OVER (PARTITION BY category ORDER BY name, menu_id) AS position,
+       name, menu_id, CAST(price {D} AS price, CAST(discount {D} AS discount,
        {_FINAL} AS final_price
 FROM menu_items WHERE is_available = 1""")
 def _menu_by_category(t):
-    # compared flat: one row per item of the nested lists
-    nested = A.menu_by_category(t.menu_items)
-    return nested.select("category", F.explode("items").alias("it")).select(
-        "category", "it.name", "it.menu_id", "it.price", "it.discount", "it.final_price")
+    return A.menu_by_category(t.menu_items)
 
 
 @register("bill_with_total", f"""

@@ -6,10 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from larder.operators import quality as Q
+from larder.operators import changes as U
 from larder.operators import stock as T
-from larder.operators.windows import assign_ids, next_id_base
-from larder.schemas import conform
 from larder.plans.registry import register
 from larder.session import scratch_path
 from larder.sources import catalog, sinks
@@ -39,10 +37,19 @@ def _apply_order_items(t):
     return ing.select("ingredient_id", "quantity")
 
 
+@register("apply_order_items_totals", f"""
+SELECT o.order_id, CAST(o.total_amount + coalesce(l.s, 0) {D} AS total_amount
+FROM orders o LEFT JOIN (SELECT order_id, sum(price * quantity) AS s FROM order_items GROUP BY 1) l
+  ON l.order_id = o.order_id""")
+def _apply_order_items_totals(t):
+    _, orders = T.apply_order_items(t.ingredients, t.orders, t.order_items, t.recipes)
+    return orders.select("order_id", "total_amount")
+
+
 def order_requests(t):
-    """Requests to place: one per Pending order's cart, in order-id sequence."""
-    o = t.orders.filter(F.col("status") == "Pending").select(
-        F.col("order_id").alias("cart_id"), "customer_id", F.col("order_date").alias("ts"))
+    """Requests to place: one per order's cart, in order-id sequence."""
+    o = t.orders.select(F.col("order_id").alias("cart_id"), "customer_id",
+                        F.col("order_date").alias("ts"))
     return (o.join(t.carts, "cart_id", "left")
              .select(F.col("cart_id").alias("seq"), "customer_id", "ts", "cart"))
 
@@ -52,15 +59,16 @@ def order_requests(t):
 # can refuse an order, so the recursive walk visits just the orders that use
 # one, in seq order, carrying their balances in a map.
 _T3_EXTRA = """,
-req AS (SELECT order_id AS seq, customer_id FROM orders WHERE status = 'Pending'),
+req AS (SELECT order_id AS seq, customer_id, order_date AS ts FROM orders),
 lines AS (SELECT cart_id AS seq, menu_id, qty FROM cart_lines),
 chk AS (SELECT r.seq, count(l.menu_id) AS nlines,
                count_if(m.menu_id IS NULL OR m.is_available <> 1) AS nbad,
+               count_if(l.menu_id IS NOT NULL AND NOT coalesce(l.qty > 0, false)) AS nneg,
                sum(round(m.price - m.price * m.discount * 0.01, 2) * l.qty) AS total
         FROM req r LEFT JOIN lines l ON l.seq = r.seq
         LEFT JOIN menu_items m ON m.menu_id = l.menu_id
         GROUP BY r.seq),
-cand AS (SELECT seq FROM chk WHERE nlines > 0 AND nbad = 0),
+cand AS (SELECT seq FROM chk WHERE nlines > 0 AND nbad = 0 AND nneg = 0),
 needs AS (SELECT l.seq, r.ingredient_id, sum(r.qty_required * l.qty) AS need
           FROM lines l JOIN cand c ON c.seq = l.seq JOIN recipes r ON r.menu_id = l.menu_id
           GROUP BY 1, 2),
@@ -92,9 +100,10 @@ sim AS (
             WHERE cn.rn = s.rn + 1)
     FROM s WHERE s.rn < (SELECT count(*) FROM creq))
   SELECT c.seq, s.ok FROM s JOIN creq c ON c.rn = s.rn),
-outc AS (SELECT r.seq, r.customer_id,
+outc AS (SELECT r.seq, r.customer_id, r.ts,
                 CASE WHEN k.nlines = 0 THEN 'empty cart'
                      WHEN k.nbad > 0 THEN 'item not available'
+                     WHEN k.nneg > 0 THEN 'quantity must be above 0'
                      WHEN sim.ok = false THEN 'not enough stock' END AS reason, k.total
          FROM req r JOIN chk k ON k.seq = r.seq LEFT JOIN sim ON sim.seq = r.seq)"""
 
@@ -106,12 +115,53 @@ SELECT seq, customer_id, reason IS NULL AS accepted, reason,
 FROM outc"""
 
 
+def _placed(t):
+    opening = T.apply_purchases(t.ingredients, t.purchases)
+    return T.place_orders(order_requests(t), t.menu_items, t.recipes, opening, t.employees,
+                          t.orders, t.order_items)
+
+
 @register("place_orders", _T3_SELECT, extra_ctes=_T3_EXTRA)
 def _place_orders(t):
-    opening = T.apply_purchases(t.ingredients, t.purchases)
-    res = T.place_orders(order_requests(t), t.menu_items, t.recipes, opening, t.employees,
-                         t.orders, t.order_items)
-    return res["outcomes"]
+    return _placed(t)["outcomes"]
+
+
+_T3_IDS = _T3_EXTRA + """,
+acc AS (SELECT seq, customer_id, ts, total, (SELECT max(order_id) FROM orders)
+               + row_number() OVER (ORDER BY seq) AS order_id FROM outc WHERE reason IS NULL)"""
+
+
+@register("place_orders_orders", f"""
+SELECT order_id, customer_id,
+       (SELECT min(employee_id) FROM employees WHERE role = 'Waiter') AS employee_id,
+       ts AS order_date, 'Pending' AS status, CAST(total {D} AS total_amount FROM acc""",
+          extra_ctes=_T3_IDS)
+def _place_orders_orders(t):
+    return _placed(t)["orders"]
+
+
+@register("place_orders_lines", f"""
+SELECT (SELECT max(order_item_id) FROM order_items) + row_number() OVER (ORDER BY a.seq, l.menu_id)
+         AS order_item_id,
+       a.order_id, l.menu_id, l.qty AS quantity,
+       CAST(round(m.price - m.price * m.discount * 0.01, 2) {D} AS price
+FROM acc a JOIN lines l ON l.seq = a.seq JOIN menu_items m ON m.menu_id = l.menu_id""",
+          extra_ctes=_T3_IDS)
+def _place_orders_lines(t):
+    return _placed(t)["order_items"].select("order_item_id", "order_id", "menu_id", "quantity",
+                                            "price")
+
+
+@register("place_orders_stock", f"""
+SELECT i.ingredient_id,
+       CAST(i.quantity + coalesce(p.q, 0) - coalesce(u.used, 0) {D} AS quantity
+FROM ingredients i
+LEFT JOIN (SELECT ingredient_id, sum(quantity) AS q FROM purchases GROUP BY 1) p
+  ON p.ingredient_id = i.ingredient_id
+LEFT JOIN (SELECT n.ingredient_id, sum(n.need) AS used FROM needs n JOIN acc ON acc.seq = n.seq
+           GROUP BY 1) u ON u.ingredient_id = i.ingredient_id""", extra_ctes=_T3_IDS)
+def _place_orders_stock(t):
+    return _placed(t)["ingredients"].select("ingredient_id", "quantity")
 
 
 @register("price_as_of", f"""
@@ -132,14 +182,17 @@ def _price_as_of(t):
 
 # ------------------------------------------------------------------ streams over `events`
 
+def _stream_events(t):
+    """The events table as a stream, whether one file or a folder of files (a
+    plain path must be a folder for the file source; a pattern may match either)."""
+    return (t.spark.readStream.schema(t.source("events").schema)
+            .parquet(f"{t.sf_dir.rstrip('/')}/events.parque[t]"))
+
+
 def _event_moves(t):
     """Streaming movements from the events table: 'purchase' adds value,
     'click' takes it away, keyed by user_id as the ingredient."""
-    spark = t.spark
-    schema = t.source("events").schema
-    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-          .parquet(t.sf_dir))
-    ev = ev.filter(F.col("event_type").isin("purchase", "click"))
+    ev = _stream_events(t).filter(F.col("event_type").isin("purchase", "click"))
     amount = F.col("value").cast("decimal(12,2)")
     return ev.select(F.col("user_id").alias("ingredient_id"), "ts",
                      F.col("event_id").alias("ref"),
@@ -178,14 +231,11 @@ SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, count(*) AS total_orders,
 FROM events WHERE event_type = 'purchase' GROUP BY 1""")
 def _stream_daily_sales(t):
     base = _run_dir(t, "daily")
-    spark = t.spark
-    schema = t.source("events").schema
-    sales = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-             .parquet(t.sf_dir).filter(F.col("event_type") == "purchase")
+    sales = (_stream_events(t).filter(F.col("event_type") == "purchase")
              .select("ts", F.col("value").cast("decimal(12,2)").alias("amount")))
     q = S.stream_daily_sales(sales, f"{base}/state", f"{base}/ckpt")
     q.awaitTermination()
-    return sinks.read_latest(spark, f"{base}/state")
+    return S.read_daily_sales(t.spark, f"{base}/state")
 
 
 def _levels(t):
@@ -210,7 +260,7 @@ def _stream_low_stock(t):
     q = S.stream_low_stock(_event_moves(t), _levels(t), _empty_opening(t), f"{base}/state",
                            f"{base}/alerts", f"{base}/ckpt")
     q.awaitTermination()
-    return t.spark.read.parquet(f"{base}/alerts").drop("batch")
+    return S.read_alerts(t.spark, f"{base}/alerts")
 
 
 # ------------------------------------------------------------------ S7
@@ -239,6 +289,9 @@ def _sql_script(t):
 
 # ------------------------------------------------------------------ S8, S9
 
+RUN_DATE = "2026-01-31"      # the day of the run, an input of the purchase job
+
+
 @register("sink_append", f"""
 SELECT purchase_id, supplier_id, ingredient_id, CAST(quantity {D} AS quantity,
        CAST(cost {D} AS cost, CAST(purchase_date AS TIMESTAMP) AS purchase_date
@@ -246,21 +299,33 @@ FROM purchases
 UNION ALL
 SELECT (SELECT max(purchase_id) FROM purchases) + row_number() OVER (ORDER BY seq),
        supplier_id, ingredient_id, CAST(quantity {D}, CAST(cost {D},
-       CAST(purchase_date AS TIMESTAMP)
-FROM new_purchases WHERE coalesce(quantity > 0, false) AND coalesce(cost >= 0, false)""")
+       CAST(coalesce(purchase_date, DATE '{RUN_DATE}') AS TIMESTAMP)
+FROM new_purchases WHERE coalesce(quantity > 0, false) AND coalesce(cost >= 0, false)
+  AND supplier_id IN (SELECT supplier_id FROM suppliers)
+  AND ingredient_id IN (SELECT ingredient_id FROM ingredients)""")
 def _sink_append(t):
-    """The purchases table is written, a batch of purchase forms is
-    validated (D5), given ids (W2) and appended; the table is read back with
-    its declared schema."""
+    """The purchases table is written, a batch of purchase forms is checked
+    (rules, keys), given ids and appended — twice, as a retried job would;
+    the table is read back with its declared schema."""
     path = _run_dir(t, "append") + "/purchases"
-    sinks.append(t.purchases, path)
-    ok = Q.with_reason(t.new_purchases, Q.purchase_form_rules()).filter(F.col("reason").isNull())
-    ok = assign_ids(ok, ["seq"], start=next_id_base(t.purchases, "purchase_id"),
-                    out="purchase_id")
-    sinks.append(conform(ok, "purchases"), path)
+    sinks.append(t.purchases, path, batch="0")
+    ok, _ = U.purchase_insert(t.purchases, t.suppliers, t.ingredients, t.new_purchases, RUN_DATE)
+    for _ in range(2):
+        sinks.append(ok, path, batch="1")
     return catalog.read_table(t.spark, path, "purchases")
 
 
+@register("purchase_outcomes", """
+SELECT seq, CASE WHEN NOT coalesce(quantity > 0, false) THEN 'quantity must be above 0'
+                 WHEN NOT coalesce(cost >= 0, false) THEN 'cost must be >= 0'
+                 WHEN supplier_id NOT IN (SELECT supplier_id FROM suppliers) THEN 'supplier not found'
+                 WHEN ingredient_id NOT IN (SELECT ingredient_id FROM ingredients)
+                   THEN 'ingredient not found' END AS reason
+FROM new_purchases""")
+def _purchase_outcomes(t):
+    return U.purchase_insert(t.purchases, t.suppliers, t.ingredients, t.new_purchases, RUN_DATE)[1]
+
+
 @register("sink_snapshot", f"""
 SELECT i.ingredient_id, CAST(i.quantity + coalesce(p.q, 0) {D} AS quantity
 FROM ingredients i

@@ -24,23 +24,28 @@ _DEFAULTS = {
 }
 
 
+MAX_SHUFFLE_PARTITIONS = 50_000
+
+
 def scale_settings(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings sized for ``input_bytes`` of parquet input.
 
-    One shuffle partition per ``partition_bytes`` of input (shuffles here
-    are at most the size of the fact tables they read, usually much less
-    after map-side aggregation), so a partition fits in executor memory and
-    spills rarely; AQE then coalesces the small ones.  At 100 TB and 256 MB
-    that is ~400k partitions.  Scan splits are the same size; skewed
-    partitions above 4x the median and 512 MB are split by AQE.
+    One shuffle partition per ``partition_bytes`` of input, at most
+    MAX_SHUFFLE_PARTITIONS: the driver tracks map tasks x partitions, so very
+    large inputs get larger partitions instead (2 GB at 100 TB, which Spark
+    sorts and aggregates with spilling).  Scan splits grow alike, so map
+    tasks stay in the same range.  Shuffles here are at most the size of the fact tables they read,
+    usually much less after map-side aggregation; AQE coalesces the small ones and splits
+    skewed ones.  The settings change the layout of the work, never a result.
     """
-    n = max(1, -(-input_bytes // partition_bytes))
+    n = min(MAX_SHUFFLE_PARTITIONS, max(1, -(-input_bytes // partition_bytes)))
+    size = max(partition_bytes, -(-input_bytes // n))
     return {
         "spark.sql.shuffle.partitions": str(n),
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(size),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * size),
     }
 
 
@@ -70,8 +75,9 @@ def build_session(master: str | None = None, app: str = "larder",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names it (a folder every executor can reach).  Only when it is
-    unset — local runs and tests — a scratch folder is created here.
+    A cluster names it (a folder every executor can reach).  Only on a local
+    master (one process, as in tests) an unset folder is created here; on a
+    cluster it is an error, since a folder of this machine would not be shared.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -80,6 +86,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="larder-ckpt-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named

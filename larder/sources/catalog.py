@@ -3,6 +3,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,13 @@ from pyspark.sql import functions as F
 from larder.operators.aggregates import daily_sales
 from larder.operators.joins import low_stock_supplier
 from larder.schemas import DEFAULTS, SCHEMAS, conform
+from larder.session import scratch_path
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Read a stored table with its declared schema (no inference)."""
-    return spark.read.schema(SCHEMAS[table]).parquet(path)
+    """Read a stored table with its declared schema (no inference); a
+    partition column of the folder layout is left out."""
+    return spark.read.schema(SCHEMAS[table]).parquet(path).select(*SCHEMAS[table].names)
 
 
 def load_rows(spark: SparkSession, table: str, rows: list[dict]) -> DataFrame:
@@ -76,29 +79,39 @@ def catalog_tables(spark: SparkSession) -> list[str]:
 
 
 def split_statements(script: str) -> list[str]:
-    """Split on ``;`` outside quotes and comments; empty pieces dropped."""
-    out, buf, quote, i = [], [], None, 0
+    """Split on ``;`` outside quotes and comments; empty pieces dropped.
+
+    Comments are ``-- to the line's end`` and (nested) ``/* ... */``; inside
+    quotes a doubled quote or a backslash keeps the quote open.
+    """
+    out, buf, quote, depth, i = [], [], None, 0, 0
     while i < len(script):
-        ch = script[i]
+        ch, two = script[i], script[i:i + 2]
+        if depth:
+            step = 2 if two in ("/*", "*/") else 1
+            depth += (two == "/*") - (two == "*/")
+            i += step
+            continue
         if quote:
-            buf.append(ch)
-            if ch == quote:
-                if i + 1 < len(script) and script[i + 1] == quote:  # doubled quote
-                    buf.append(script[i + 1])
-                    i += 1
-                else:
-                    quote = None
-        elif ch in ("'", '"', "`"):
-            quote = ch
-            buf.append(ch)
-        elif ch == "-" and script.startswith("--", i):
+            pair = (ch == "\\" and quote != "`" and len(two) == 2) or two == quote * 2
+            buf.append(two if pair else ch)
+            if not pair and ch == quote:
+                quote = None
+            i += 2 if pair else 1
+            continue
+        if two == "--":
             j = script.find("\n", i)
             i = len(script) if j < 0 else j
             continue
-        elif ch == ";":
+        if two == "/*":
+            depth, i = 1, i + 2
+            buf.append(" ")
+            continue
+        if ch == ";":
             out.append("".join(buf))
             buf = []
         else:
+            quote = ch if ch in ("'", '"', "`") else None
             buf.append(ch)
         i += 1
     out.append("".join(buf))
@@ -114,9 +127,14 @@ class StatementResult:
 
 
 def sql_script(spark: SparkSession, script: str) -> list[StatementResult]:
-    """Run ``;``-separated statements; each yields a lazy frame or an
-    error, and an error does not stop the later statements.  An empty script
-    is an error."""
+    """Run ``;``-separated statements; each yields its rows or an error,
+    and an error does not stop the later statements.  An empty script is an
+    error.
+
+    A statement with rows is run at once: its result is written to the shared
+    scratch folder and read back, so run-time errors (a division by zero, a
+    bad cast) belong to the statement that caused them.
+    """
     stmts = split_statements(script or "")
     if not stmts:
         return [StatementResult(sql="", error="empty statement")]
@@ -124,12 +142,26 @@ def sql_script(spark: SparkSession, script: str) -> list[StatementResult]:
     for s in stmts:
         try:
             df = spark.sql(s)
-            results.append(StatementResult(sql=s, columns=df.columns, frame=df))
+            columns = df.columns
+            results.append(StatementResult(sql=s, columns=columns,
+                                           frame=_stored(df) if columns else df))
         except Exception as e:  # noqa: BLE001 — reported per statement
             results.append(StatementResult(sql=s, error=f"{type(e).__name__}: {e}"))
     return results
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` as a written table (columns by position: names may repeat; untyped
+    nulls become strings)."""
+    columns = df.columns
+    flat = df.toDF(*[f"c{i}" for i in range(len(columns))])
+    flat = flat.select(*[F.col(c).cast("string").alias(c) if t == "void" else F.col(c)
+                         for c, t in flat.dtypes])
+    path = scratch_path(df.sparkSession, f"statements/{uuid.uuid4().hex}")
+    flat.write.parquet(path)
+    return df.sparkSession.read.schema(flat.schema).parquet(path).toDF(*columns)
+
+
 def run_bound(spark: SparkSession, sql: str, **args) -> DataFrame:
     """P13 as SQL: a statement with named parameters (``:name``) bound to
     values, as the reference's prepared statements do — values never go into

@@ -1,59 +1,96 @@
 """Sinks: append (S8) and atomic versioned snapshots.
 
-A snapshot table is a folder with ``data/version=N`` sub-folders and a tiny
-``commits`` table of committed versions.  A version is written completely
-first; only then is its number appended to ``commits`` — the pointer swap.
-Readers take the highest committed version, so a half-written or retried
-version is never seen and the input being read is never overwritten.
-Everything goes through the DataFrame writer, so it works on any shared
-file system the cluster names.
+A snapshot table is a folder with data folders and a tiny ``commits`` table
+(version, folder, batch).  Every attempt writes a folder of its own; only
+then is it recorded in ``commits`` — the pointer swap.  Readers take the
+highest committed version, so a half-written attempt is never seen, and data
+a reader may hold is never overwritten.  Everything goes through the
+DataFrame writer, so it works on any shared file system the cluster names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
+_COMMITS = "version long, folder string, batch string, committed_at timestamp"
+
+
+def append(df: DataFrame, path: str, batch: str, partition_by: list[str] | None = None) -> None:
+    """Append the rows of one batch (e.g. the accepted rows of a change job).
 
-def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Append rows (e.g. the accepted rows of a change job)."""
-    w = df.write.mode("append")
+    A batch's rows live in ``path/batch=<batch>``, replaced when the same
+    batch is written again, so a retried append adds nothing twice.
+    """
+    w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    w.parquet(f"{path}/batch={batch}")
 
 
-def commit_version(df: DataFrame, table_dir: str, version: int) -> None:
-    """Write ``df`` as ``version`` and then record the commit.
+def commit_version(df: DataFrame, table_dir: str, version: int, batch: str | None = None) -> None:
+    """Write ``df`` to a new folder and then record it as ``version``.
 
-    Re-running the same version (a retried micro-batch) rewrites the same
-    folder with the same content and records the same number again.
+    A version that is already committed is refused, unless the same ``batch``
+    committed it (a retried job or micro-batch): then the committed data stay
+    and nothing is written.
     """
-    df.write.mode("overwrite").parquet(f"{table_dir}/data/version={version}")
     spark = df.sparkSession
+    done = _commits(spark, table_dir).filter(F.col("version") == version).select("batch").first()
+    if done is not None:
+        if batch is not None and done.batch == batch:
+            return
+        raise ValueError(f"version {version} of {table_dir} is already committed")
+    folder = f"data/v{version}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{table_dir}/{folder}")
     (spark.range(1).select(F.lit(version).cast("long").alias("version"),
+                           F.lit(folder).alias("folder"), F.lit(batch).cast("string").alias("batch"),
                            F.current_timestamp().alias("committed_at"))
-          .write.mode("append").parquet(f"{table_dir}/commits"))
+          .coalesce(1).write.mode("append").parquet(f"{table_dir}/commits"))
 
 
-def latest_version(spark: SparkSession, table_dir: str, before: int | None = None) -> int | None:
-    """Highest committed version (optionally below ``before``), or None."""
+def _commits(spark: SparkSession, table_dir: str) -> DataFrame:
     try:
-        c = spark.read.parquet(f"{table_dir}/commits")
+        return spark.read.schema(_COMMITS).parquet(f"{table_dir}/commits")
     except AnalysisException:
-        return None
+        return spark.createDataFrame([], _COMMITS)
+
+
+def latest_version(spark: SparkSession, table_dir: str, before: int | None = None) -> int | None:
+    """Highest committed version (optionally below ``before``), or None."""
+    c = _commits(spark, table_dir)
     if before is not None:
         c = c.filter(F.col("version") < before)
-    row = c.agg(F.max("version").alias("v")).first()
-    return None if row is None or row["v"] is None else int(row["v"])
+    return c.agg(F.max("version")).first()[0]
 
 
 def read_version(spark: SparkSession, table_dir: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{table_dir}/data/version={version}")
+    """A committed version; of several commits of one version (racing writers)
+    the first counts."""
+    row = (_commits(spark, table_dir).filter(F.col("version") == version)
+           .orderBy("committed_at", "folder").first())
+    return spark.read.parquet(f"{table_dir}/{row.folder}")
 
 
 def read_latest(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame | None:
     """S9 read side: the newest committed snapshot (or None)."""
     v = latest_version(spark, table_dir, before)
     return None if v is None else read_version(spark, table_dir, v)
+
+
+def drop_old_versions(spark: SparkSession, table_dir: str, keep: int = 2) -> list[int]:
+    """Delete the data of all but the newest ``keep`` versions (returns their numbers).
+    Their commit records stay, so their numbers are never given again."""
+    rows = _commits(spark, table_dir).orderBy(F.desc("version")).collect()
+    newest = sorted({r.version for r in rows}, reverse=True)[:keep]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    gone = []
+    for r in rows:
+        if r.version not in newest:
+            path = hadoop(f"{table_dir}/{r.folder}")
+            if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True):
+                gone.append(r.version)
+    return sorted(gone)

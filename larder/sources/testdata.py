@@ -23,12 +23,16 @@ SOURCE_TABLES = ["region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events"]
 
 
+ORDER_STRIDE = 1 << 20
+
+
 def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _id_within_order(df: DataFrame) -> DataFrame:
-    """Unique row id for lineitem rows: order key * 64 + position in the order.
+    """Unique row id for lineitem rows: order key * 2^20 + position in the order
+    (an order with 2^20 lines or more raises instead of colliding).
 
     (l_orderkey, l_linenumber) is not unique in the driver data, so the
     position is a row_number within the order over all columns.  The window is
@@ -38,7 +42,9 @@ def _id_within_order(df: DataFrame) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_shipdate")
-    return df.withColumn("_row_id", F.col("l_orderkey") * 64 + F.row_number().over(w))
+    n = F.row_number().over(w)
+    return df.withColumn("_row_id", F.when(n < ORDER_STRIDE, F.col("l_orderkey") * ORDER_STRIDE + n)
+                         .otherwise(F.raise_error(F.lit("an order has too many lines"))))
 
 
 def suppliers(spark, d):
@@ -185,9 +191,8 @@ def users(spark, d):
 
 def carts(spark, d):
     """Session carts (cart_id, map<menu_id, struct<name, qty>>): one per
-    Pending order, holding that order's lines."""
-    o = orders(spark, d).filter(F.col("status") == "Pending").select("order_id")
-    lines = (order_items(spark, d).join(o, "order_id", "left_semi")
+    order, holding that order's lines."""
+    lines = (order_items(spark, d)
              .groupBy("order_id", "menu_id").agg(F.sum("quantity").alias("qty")))
     m = menu_items(spark, d).select("menu_id", "name")
     return (lines.join(m, "menu_id")
@@ -304,7 +309,7 @@ def cart_events(spark, d):
     q = F.col("l_quantity").cast("int")
     qty = F.when(n % 4 == 3, q - 20).when(n % 6 == 5, _null("int")).otherwise(q % 7)
     return li.select(F.col("l_orderkey").alias("cart_id"), F.col("_row_id").alias("seq"),
-                     op.alias("op"), (F.col("l_partkey") % 50).alias("menu_id"),
+                     op.alias("op"), F.col("l_partkey").alias("menu_id"),
                      qty.cast("int").alias("qty"))
 
 
@@ -324,15 +329,39 @@ def supplier_deletes(spark, d):
 def new_purchases(spark, d):
     """(seq, supplier_id, ingredient_id, quantity, cost, purchase_date): a
     batch of purchase forms (lines with return flag 'A'); some quantities are
-    not above 0 and every 50th order's costs are negative (form rules)."""
+    not above 0, every 50th order's costs are negative, every 41st order names
+    an unknown supplier, every 43rd an unknown ingredient, every 7th no date."""
     li = _id_within_order(read_source(spark, d, "lineitem").filter(F.col("l_returnflag") == "A"))
     cost = F.when(F.col("l_orderkey") % 50 == 0, -F.col("l_extendedprice")) \
         .otherwise(F.col("l_extendedprice"))
-    return li.select(F.col("_row_id").alias("seq"), F.col("l_suppkey").alias("supplier_id"),
-                     F.col("l_partkey").alias("ingredient_id"),
+    k = F.col("l_orderkey")
+    return li.select(F.col("_row_id").alias("seq"),
+                     F.when(k % 41 == 0, -F.col("l_suppkey") - 1).otherwise(F.col("l_suppkey"))
+                      .alias("supplier_id"),
+                     F.when(k % 43 == 0, -F.col("l_partkey") - 1).otherwise(F.col("l_partkey"))
+                      .alias("ingredient_id"),
                      (F.col("l_quantity") - 3).cast("decimal(10,2)").alias("quantity"),
                      cost.cast("decimal(10,2)").alias("cost"),
-                     F.to_date("l_shipdate").alias("purchase_date"))
+                     F.when(k % 7 != 0, F.to_date("l_shipdate")).alias("purchase_date"))
+
+
+def order_deletes(spark, d):
+    """(order_id): orders removed by an admin."""
+    o = read_source(spark, d, "orders")
+    return o.filter(F.col("o_orderkey") % 11 == 5).select(F.col("o_orderkey").alias("order_id"))
+
+
+def employee_deletes(spark, d):
+    """(employee_id): staff delete requests, including unknown ids."""
+    n = read_source(spark, d, "nation")
+    return n.select((F.col("n_nationkey") * 2).cast("long").alias("employee_id"))
+
+
+def ingredient_deletes(spark, d):
+    """(ingredient_id): ingredient delete requests, including unknown ids."""
+    p = read_source(spark, d, "part")
+    return p.filter(F.col("p_partkey") % 3 == 1).select(
+        (F.col("p_partkey") + F.col("p_partkey") % 2 * 1_000_000).alias("ingredient_id"))
 
 
 def price_log(spark, d):
@@ -365,7 +394,8 @@ _BUILDERS = {
     "menu_changes": menu_changes, "ingredient_changes": ingredient_changes,
     "status_changes": status_changes, "cart_events": cart_events,
     "customer_deletes": customer_deletes, "supplier_deletes": supplier_deletes,
-    "price_log": price_log, "new_purchases": new_purchases,
+    "price_log": price_log, "new_purchases": new_purchases, "order_deletes": order_deletes,
+    "employee_deletes": employee_deletes, "ingredient_deletes": ingredient_deletes,
 }
 
 

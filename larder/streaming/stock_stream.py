@@ -1,42 +1,80 @@
 """Live stock keeping and daily sales with Structured Streaming.
 
 Sources are streaming DataFrames (file source over parquet here; Kafka or a
-table stream on a cluster).  T4 keeps its running sums in Spark's state
-store (streaming aggregation, update mode) and appends each micro-batch's
-changed rows under the batch id; T5 is a watermarked window aggregation;
-T7 runs batch DataFrame jobs per micro-batch in ``foreachBatch``.  Every
-sink writes under the micro-batch id (``larder.sources.sinks`` versions or
-``batch=N`` folders), so a retried batch rewrites the same output: sinks are
-idempotent and the queries restart from their checkpoints.
+table stream on a cluster).  T4 and T5 keep their sums in Spark's state store
+(streaming aggregation, update mode); T7 runs batch DataFrame jobs per
+micro-batch in ``foreachBatch``.  Each micro-batch writes only the keys it
+changed, under its batch id (``changes/batch=N``, replaced if the batch is
+retried), and every FOLD_EVERY batches the changes are folded into a
+versioned snapshot (``larder.sources.sinks``), so a read covers one snapshot and a
+bounded number of change folders.  Sinks are idempotent and the queries
+restart from their checkpoints.
 
 Order across micro-batches is arrival order; within a batch, event time
-(then ``ref``).
+(then ``ref``).  No row is ever too late: sums per ingredient and per day
+take every row whenever it arrives.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from larder.operators.windows import running_total, time_chunk, wall_seconds
+from larder.operators.windows import running_total, time_chunk
 from larder.sources import sinks
 
 MOVEMENT_COLS = ["ingredient_id", "ts", "ref", "delta"]
+FOLD_EVERY = 50
+
+
+def _write_changes(df: DataFrame, state_dir: str, batch_id: int, key: str) -> None:
+    """The latest row of each changed key, under the batch id; now and then all
+    latest rows as a snapshot."""
+    df.write.mode("overwrite").parquet(f"{state_dir}/changes/batch={batch_id}")
+    if batch_id % FOLD_EVERY == FOLD_EVERY - 1:
+        spark = df.sparkSession
+        sinks.commit_version(read_changes(spark, state_dir, key, df.schema), f"{state_dir}/folded",
+                             batch_id, batch=f"batch-{batch_id}")
+
+
+def read_changes(spark: SparkSession, state_dir: str, key: str, schema,
+                 before: int | None = None) -> DataFrame:
+    """The latest row per key (of batches below ``before``): the newest snapshot and
+    the change folders after it.  Empty when nothing has been written."""
+    folded, last = f"{state_dir}/folded", -1
+    v = sinks.latest_version(spark, folded, before)
+    parts = []
+    if v is not None:
+        last = v
+        parts.append(sinks.read_version(spark, folded, v).withColumn("batch", F.lit(v)))
+    try:
+        ch = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema) \
+            .option("basePath", f"{state_dir}/changes").parquet(f"{state_dir}/changes")
+        ch = ch.filter(F.col("batch") > last)
+        parts.append(ch if before is None else ch.filter(F.col("batch") < before))
+    except AnalysisException:
+        pass
+    if not parts:
+        return spark.createDataFrame([], schema)
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    value = [c for c in rows.columns if c not in (key, "batch")]
+    return (rows.groupBy(key).agg(F.max_by(F.struct(*value), "batch").alias("_v"))
+                .select(key, *[F.col(f"_v.{c}").alias(c) for c in value]))
+
+
+def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
+    w = writer.option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
 
 
-def _prev_balances(spark: SparkSession, state_dir: str, batch_id: int,
-                   opening: DataFrame) -> DataFrame:
-    prev = sinks.read_latest(spark, state_dir, before=batch_id)
-    return prev if prev is not None else opening.select("ingredient_id", "quantity")
+_MOVED = "ingredient_id long, moved decimal(30,2)"
 
 
-def _merge_balances(prev: DataFrame, delta: DataFrame) -> DataFrame:
-    """prev (ingredient_id, quantity) + delta (ingredient_id, d); new keys kept."""
-    return (prev.join(delta, "ingredient_id", "full")
-                .select("ingredient_id",
-                        (F.coalesce("quantity", F.lit(0)) + F.coalesce("d", F.lit(0)))
-                        .cast("decimal(20,2)").alias("quantity")))
+def _schema(spark: SparkSession, ddl: str):
+    return spark.createDataFrame([], ddl).schema
 
 
 def stream_stock(moves: DataFrame, state_dir: str, checkpoint: str,
@@ -47,65 +85,57 @@ def stream_stock(moves: DataFrame, state_dir: str, checkpoint: str,
     positive, recipe use of sold items negative.  The running sum per
     ingredient lives in Spark's state store (a streaming aggregation in
     update mode, restored from ``checkpoint`` after a failure); each
-    micro-batch emits only the ingredients it changed, written to
-    ``state_dir/changes/batch=N`` (overwritten if the batch is retried).
-    ``read_balances`` adds the latest total per ingredient to the opening
-    stock.
+    micro-batch emits only the ingredients it changed.  ``read_balances`` adds
+    the latest total per ingredient to the opening stock.
     """
-    totals = moves.groupBy("ingredient_id").agg(F.sum("delta").alias("moved"))
+    totals = moves.groupBy("ingredient_id").agg(
+        F.sum("delta").cast("decimal(30,2)").alias("moved"))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{state_dir}/changes/batch={batch_id}")
-
-    w = (totals.writeStream.outputMode("update").foreachBatch(batch)
-               .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+        _write_changes(df, state_dir, batch_id, "ingredient_id")
+    return _start(totals.writeStream.outputMode("update").foreachBatch(batch), checkpoint,
+                  available_now)
 
 
 def read_balances(spark: SparkSession, state_dir: str, opening: DataFrame) -> DataFrame:
-    """Current balances: opening stock + the latest running total per
-    ingredient (the highest batch that changed it)."""
-    ch = spark.read.parquet(f"{state_dir}/changes")
-    latest = ch.groupBy("ingredient_id").agg(F.max_by("moved", "batch").alias("moved"))
+    """Current balances: opening stock + the latest running total per ingredient
+    (just the opening stock when nothing has arrived)."""
+    latest = read_changes(spark, state_dir, "ingredient_id", _schema(spark, _MOVED))
     return (opening.select("ingredient_id", "quantity").join(latest, "ingredient_id", "full")
                    .select("ingredient_id",
                            (F.coalesce("quantity", F.lit(0)) + F.coalesce("moved", F.lit(0)))
-                           .cast("decimal(20,2)").alias("quantity")))
+                           .cast("decimal(30,2)").alias("quantity")))
+
+
+_DAYS = "day date, total_orders long, total_sales decimal(30,2)"
 
 
 def stream_daily_sales(sales: DataFrame, state_dir: str, checkpoint: str,
-                       watermark: str = "1 day", available_now: bool = True) -> StreamingQuery:
+                       available_now: bool = True) -> StreamingQuery:
     """T5: v_daily_sales kept live.
 
-    ``sales`` (ts, amount) are paid sales.  The watermark needs a TIMESTAMP,
-    so the wall clock of ``ts`` is turned into an instant by epoch
-    arithmetic (not by a cast, which would shift days by the session time
-    zone); windows are whole wall-clock days and map back to dates the same
-    way.  Rows later than the watermark are dropped.  Update mode: each
-    batch yields the days it changed, which replace those days in the
-    snapshot.
+    ``sales`` (ts, amount) are paid sales, ``ts`` a TIMESTAMP_NTZ (its calendar
+    day does not depend on the session time zone).  One state row per day,
+    without a watermark: a sale that arrives late still counts on its day, as
+    in the view.  Each micro-batch writes the days it changed.
     """
-    spark = sales.sparkSession
-    start_day = F.floor(F.unix_seconds(F.col("window.start")) / 86400).cast("int")
-    agg = (sales.withColumn("_t", F.timestamp_seconds(wall_seconds("ts")))
-                .withWatermark("_t", watermark)
-                .groupBy(F.window("_t", "1 day"))
-                .agg(F.count(F.lit(1)).alias("total_orders"),
-                     F.sum("amount").alias("total_sales"))
-                .select(F.date_from_unix_date(start_day).alias("day"), "total_orders",
-                        "total_sales"))
+    days = (sales.groupBy(F.to_date("ts").alias("day"))
+                 .agg(F.count(F.lit(1)).alias("total_orders"),
+                      F.sum("amount").cast("decimal(30,2)").alias("total_sales")))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        prev = sinks.read_latest(spark, state_dir, before=batch_id)
-        new = df if prev is None else prev.join(df.select("day"), "day", "left_anti") \
-            .unionByName(df)
-        sinks.commit_version(new, state_dir, batch_id)
+        _write_changes(df, state_dir, batch_id, "day")
+    return _start(days.writeStream.outputMode("update").foreachBatch(batch), checkpoint,
+                  available_now)
 
-    w = (agg.writeStream.outputMode("update").foreachBatch(batch)
-            .option("checkpointLocation", checkpoint))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+
+def read_daily_sales(spark: SparkSession, state_dir: str) -> DataFrame:
+    """T5 read side: (day, total_orders, total_sales); empty before the first sale."""
+    return read_changes(spark, state_dir, "day", _schema(spark, _DAYS))
+
+
+_ALERTS = ("ingredient_id long, ts timestamp_ntz, ref long, before decimal(30,2), after decimal(30,2), "
+           "reorder_level decimal(10,2)")
 
 
 def stream_low_stock(moves: DataFrame, levels: DataFrame, opening: DataFrame, state_dir: str,
@@ -114,30 +144,43 @@ def stream_low_stock(moves: DataFrame, levels: DataFrame, opening: DataFrame, st
     """Emit an alert when an ingredient's balance falls to or below its
     reorder level (a crossing: before > level and after <= level).
 
-    Per batch: balance before the batch (snapshot), plus the batch's running
-    sum per ingredient (two-level over range-partition chunks, skew-safe)
-    gives before/after for every
-    movement; crossings go to ``alerts_dir/batch=N`` (overwritten on retry),
-    balances to the next snapshot version.
+    Per batch (read once): the total moved before the batch, plus the batch's
+    running sum per ingredient (two-level over range-partition chunks,
+    skew-safe) gives before/after for every movement; crossings go to
+    ``alerts_dir/batch=N`` (replaced on retry), the new totals of the
+    ingredients that moved to the changes.  ``read_balances`` reads the state.
     """
     spark = moves.sparkSession
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        prev = _prev_balances(spark, state_dir, batch_id, opening)
+        df = df.persist()
+        d = df.groupBy("ingredient_id").agg(F.sum("delta").alias("d"))
+        prev = read_changes(spark, state_dir, "ingredient_id", _schema(spark, _MOVED), before=batch_id)
+        was = (d.join(prev, "ingredient_id", "left")
+                .join(opening.select("ingredient_id", "quantity"), "ingredient_id", "left")
+                .select("ingredient_id", "d", F.coalesce("moved", F.lit(0)).alias("_m"),
+                        F.coalesce("quantity", F.lit(0)).alias("_o")))
         chunk = None if bucket_seconds is None else time_chunk("ts", bucket_seconds)
         run = running_total(df, "ingredient_id", ["ts", "ref"], "delta", chunk, out="moved")
-        j = (run.join(prev.withColumnRenamed("quantity", "_p"), "ingredient_id", "left")
+        j = (run.join(was, "ingredient_id")
                 .join(levels.select("ingredient_id", "reorder_level"), "ingredient_id", "left"))
-        after = F.coalesce("_p", F.lit(0)) + F.col("moved")
+        after = F.col("_o") + F.col("_m") + F.col("moved")
         before = after - F.col("delta")
-        alerts = (j.select("ingredient_id", "ts", "ref", before.alias("before"),
-                           after.alias("after"), "reorder_level")
+        alerts = (j.select("ingredient_id", "ts", "ref", before.cast("decimal(30,2)").alias("before"),
+                           after.cast("decimal(30,2)").alias("after"), "reorder_level")
                    .filter((F.col("before") > F.col("reorder_level"))
                            & (F.col("after") <= F.col("reorder_level"))))
         alerts.write.mode("overwrite").parquet(f"{alerts_dir}/batch={batch_id}")
-        d = df.groupBy("ingredient_id").agg(F.sum("delta").alias("d"))
-        sinks.commit_version(_merge_balances(prev, d), state_dir, batch_id)
-
-    w = moves.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+        now = was.select("ingredient_id", (F.col("_m") + F.col("d")).cast("decimal(30,2)").alias("moved"))
+        _write_changes(now, state_dir, batch_id, "ingredient_id")
+        df.unpersist()
+    return _start(moves.writeStream.foreachBatch(batch), checkpoint, available_now)
+
+
+def read_alerts(spark: SparkSession, alerts_dir: str) -> DataFrame:
+    """T7 read side: all alerts; empty before the first batch."""
+    schema = _schema(spark, _ALERTS)
+    try:
+        return spark.read.schema(schema).parquet(alerts_dir).select(*schema.names)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)

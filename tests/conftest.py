@@ -32,10 +32,10 @@ def d(x) -> Decimal:
 # phones of people and companies are invented; amounts, quantities, prices,
 # dates and keys are the reference's.
 SUPPLIERS = [
-    (1, "Green Farm Co", "0100000001", "farm@example.com", "North"),
-    (2, "Butcher Hub", "0100000002", "meat@example.com", "West"),
-    (3, "Milk Works", "0100000003", "dairy@example.com", "East"),
-    (4, "Spice Hall", "0100000004", None, "Old Town"),
+    (1, "Supplier 1", "0100000001", "farm@example.com", "North"),
+    (2, "Supplier 2", "0100000002", "meat@example.com", "West"),
+    (3, "Supplier 3", "0100000003", "dairy@example.com", "East"),
+    (4, "Supplier 4", "0100000004", None, "Old Town"),
 ]
 INGREDIENTS = [
     (1, "Rice", "kg", 50, 20, 75, 1), (2, "Chicken", "kg", 12, 15, 280, 2),
@@ -64,14 +64,14 @@ RECIPES = [
     (5, 9, 0.15), (5, 2, 0.15), (5, 8, 0.05),
     (6, 7, 0.15),
 ]
-CUSTOMERS = [(1, "Ana Rahman", "0200000001"), (2, "Ben Karim", "0200000002"),
-             (3, "Cara Jahan", "0200000003"), (4, "Dev Ahmed", "0200000004")]
+CUSTOMERS = [(1, "Customer A", "0200000001"), (2, "Customer B", "0200000002"),
+             (3, "Customer C", "0200000003"), (4, "Customer D", "0200000004")]
 EMPLOYEES = [
-    (1, "Eve Islam", "Manager", "0300000001", 45000, "2024-01-10"),
-    (2, "Finn Hamid", "Chef", "0300000002", 35000, "2024-03-15"),
-    (3, "Gia Hasan", "Waiter", "0300000003", 18000, "2025-01-05"),
-    (4, "Hal Khan", "Waiter", "0300000004", 18000, "2025-06-20"),
-    (5, "Ivy Arnob", "Cashier", "0300000005", 22000, "2025-09-01"),
+    (1, "Staff A", "Manager", "0300000001", 45000, "2024-01-10"),
+    (2, "Staff B", "Chef", "0300000002", 35000, "2024-03-15"),
+    (3, "Staff C", "Waiter", "0300000003", 18000, "2025-01-05"),
+    (4, "Staff D", "Waiter", "0300000004", 18000, "2025-06-20"),
+    (5, "Staff E", "Cashier", "0300000005", 22000, "2025-09-01"),
 ]
 ORDERS = [
     (1, 1, 3, "2026-08-01 13:20:00", "Paid", 600), (2, 2, 3, "2026-08-01 19:45:00", "Paid", 350),

@@ -271,3 +271,67 @@ def test_apply_menu_changes_in_request_order(spark, seed):
     assert reasons[1] == "name exists" and reasons[3] is None
     assert reasons[5] == "refused: sold before" and reasons[6] == "not found"
     assert reasons[7] == "price must be above 0"
+
+
+def _serial_batch(names, requests, used=()):
+    """Plain loop: names {id: name}; requests (seq, op, id, name)."""
+    names, top, out = dict(names), max(names), {}
+    for seq, op, i, name in sorted(requests):
+        if op == "add":
+            if not name.strip():
+                out[seq] = "name is empty"
+            elif name.strip() in names.values():
+                out[seq] = "taken"
+            else:
+                top += 1
+                names[top], out[seq] = name.strip(), None
+        elif op == "delete":
+            out[seq] = "not found" if i not in names else "refused" if i in used else None
+            if out[seq] is None:
+                del names[i]
+    return names, out
+
+
+def test_batches_equal_a_serial_loop(spark):
+    """Random adds and deletes, names reused after deletes of rows that the batch
+    itself added: table and outcomes equal a loop over the requests."""
+    import random
+    rnd = random.Random(11)
+    start = {i: f"n{i}" for i in range(1, 6)}
+    ing = load_rows(spark, "ingredients", [dict(ingredient_id=i, name=n, unit="kg", quantity=d(1), unit_price=d(1))
+                                           for i, n in start.items()])
+    none = spark.createDataFrame([], "ingredient_id long")
+    used = spark.createDataFrame([(2,)], "ingredient_id long")
+    cases = [[(1, "add", None, "x"), (2, "delete", 6, None), (3, "add", None, "x")],
+             [(1, "add", None, "x"), (2, "delete", 6, None), (3, "add", None, "x"),
+              (4, "delete", 7, None), (5, "add", None, "x"), (6, "add", None, "x")]]
+    for _ in range(3):
+        reqs = []
+        for seq in range(1, 31):
+            if rnd.random() < 0.55:
+                reqs.append((seq, "add", None, rnd.choice(["a", "b", " a ", "n1", "n3", ""])))
+            else:
+                reqs.append((seq, "delete", rnd.randrange(1, 14), None))
+        cases.append(reqs)
+    for reqs in cases:
+        ch = spark.createDataFrame(
+            [(s, op, i, n, "kg", d(1), d(1), d(1), None) for s, op, i, n in reqs],
+            "seq long, op string, ingredient_id long, name string, unit string, quantity decimal(10,2), "
+            "reorder_level decimal(10,2), unit_price decimal(10,2), supplier_id long")
+        table, out = U.ingredient_change(ing, used, none, ch)
+        want, reasons = _serial_batch(start, reqs, used={2})
+        assert {r.ingredient_id: r.name for r in table.collect()} == want
+        short = {None: None, "name exists": "taken", "duplicate name in batch": "taken",
+                 "refused: used by purchases": "refused"}
+        assert {r.seq: short.get(r.reason, r.reason) for r in out.collect()} == reasons
+
+
+def test_order_and_employee_deletes(spark, seed):
+    gone = spark.createDataFrame([(1,)], "order_id long")
+    orders, lines = U.delete_orders(seed["orders"], seed["order_items"], gone)
+    assert orders.count() == 5 and lines.filter("order_id = 1").count() == 0
+    reqs = spark.createDataFrame([(1,), (3,), (99,)], "employee_id long")
+    left, out = U.delete_employees(seed["employees"], seed["orders"], reqs)
+    assert {r.employee_id: r.outcome for r in out.collect()} == {
+        1: "deleted", 3: "refused: referenced by orders", 99: "not found"}
+    assert left.count() == 4
