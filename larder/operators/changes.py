@@ -15,11 +15,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.operators import quality as Q
-from larder.operators.windows import asof_last, assign_ids, next_id_base
+from larder.operators.windows import HOT_ROWS, asof_last, assign_ids, next_id_base, split_hot
 from larder.schemas import ORDER_STATUSES, conform
 from larder.session import cut_lineage
 
@@ -399,7 +399,7 @@ def order_status_update(orders: DataFrame, changes: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ U8
 
-def cart_merge(events: DataFrame, menu_items: DataFrame) -> DataFrame:
+def cart_merge(events: DataFrame, menu_items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """U8: fold add / set / remove events into carts -> (cart_id, menu_id, qty).
 
     Per (cart, item) in seq order: add puts max(1, qty) on top (only for an
@@ -409,8 +409,9 @@ def cart_merge(events: DataFrame, menu_items: DataFrame) -> DataFrame:
     Closed form instead of a per-group fold: after the last drop r, the item
     re-enters at the first available add f after r; after f it stays, so the
     result is (quantity of the last positive set s after f, else 0) + the adds
-    after max(s, f-1).  r, f and s are max/min aggregates (map-side
-    combined), so a hot cart or item is never collected into one task.
+    after max(s, f-1).  For (cart, item) pairs up to ``hot_rows`` events r, f and s are window
+    aggregates over one exchange; for others they are map-side combined
+    aggregates joined back, so a hot pair never lands in one task.
     """
     k = ["cart_id", "menu_id"]
     avail = menu_items.filter(F.col("is_available") == 1).select("menu_id").distinct() \
@@ -418,25 +419,35 @@ def cart_merge(events: DataFrame, menu_items: DataFrame) -> DataFrame:
     e = events.join(avail, "menu_id", "left")
     is_drop = (F.col("op") == "remove") | ((F.col("op") == "set")
                                            & (F.coalesce(F.col("qty"), F.lit(0)) <= 0))
-    is_add = (F.col("op") == "add") & F.coalesce(F.col("_av"), F.lit(False))
-    is_set = (F.col("op") == "set") & (F.col("qty") > 0)
-    r = e.groupBy(*k).agg(F.max(F.when(is_drop, F.col("seq"))).alias("_r"))
-    e = e.join(r, k).withColumn("_r", F.coalesce("_r", F.lit(-(1 << 62))))
-    after_r = F.col("seq") > F.col("_r")
-    # one pass: first available add after r, and the last positive set after r
-    # (it counts only if it comes after that add; earlier sets found no item)
-    fs = e.groupBy(*k).agg(
-        F.min(F.when(is_add & after_r, F.col("seq"))).alias("_f"),
-        F.max_by(F.when(is_set & after_r, F.struct(F.col("seq").alias("s"), "qty")),
-                 F.when(is_set & after_r, F.col("seq"))).alias("_s"))
-    fs = fs.filter(F.col("_f").isNotNull())  # no add after the last drop: not in the cart
-    set_counts = F.col("_s.s") > F.col("_f")
-    fs = fs.select(*k, "_f", F.when(set_counts, F.col("_s.s")).alias("_sseq"),
-                   F.when(set_counts, F.col("_s.qty")).alias("_sq"))
-    e = e.join(fs, k)
-    start = F.coalesce(F.col("_sseq"), F.col("_f") - 1)
+    e = e.select(*k, "seq", "qty", F.coalesce(is_drop, F.lit(False)).alias("_drop"),
+                 ((F.col("op") == "add") & F.coalesce(F.col("_av"), F.lit(False))).alias("_add"),
+                 ((F.col("op") == "set") & F.coalesce(F.col("qty") > 0, F.lit(False))).alias("_set"))
+    plain, hot = split_hot(e, k, hot_rows)
+    whole = Window.partitionBy(*k)
+    out = _fold_cart(plain, k, lambda d, **aggs: d.select(
+        "*", *[c.over(whole).alias(n) for n, c in aggs.items()]))
+    if hot is None:
+        return out
+
+    def joined(d: DataFrame, **aggs: Column) -> DataFrame:
+        return d.join(d.groupBy(*k).agg(*[c.alias(n) for n, c in aggs.items()]), k)
+    return out.unionByName(_fold_cart(hot, k, joined))
+
+
+def _fold_cart(e: DataFrame, k: list[str], per_key) -> DataFrame:
+    """The closed form of ``cart_merge``; ``per_key(frame, name=aggregate)`` adds
+    aggregates of each key to its rows."""
+    e = per_key(e, _r=F.max(F.when(F.col("_drop"), F.col("seq"))))
+    after = F.col("seq") > F.coalesce(F.col("_r"), F.lit(-(1 << 62)))
+    # first available add after r, and the last positive set after r (it
+    # counts only if it comes after that add; earlier sets found no item)
+    e = per_key(e, _f=F.min(F.when(F.col("_add") & after, F.col("seq"))),
+                _s=F.max(F.when(F.col("_set") & after, F.struct("seq", "qty"))))
+    e = e.filter(F.col("_f").isNotNull())      # no add after the last drop: not in the cart
+    late = F.coalesce(F.col("_s.seq") > F.col("_f"), F.lit(False))
+    start = F.when(late, F.col("_s.seq")).otherwise(F.col("_f") - 1)
     return (e.groupBy(*k)
-             .agg(F.max(F.coalesce("_sq", F.lit(0))).alias("_base"),
-                  F.sum(F.when(is_add & (F.col("seq") > start),
+             .agg(F.max(F.when(late, F.col("_s.qty")).otherwise(F.lit(0))).alias("_base"),
+                  F.sum(F.when(F.col("_add") & (F.col("seq") > start),
                                F.greatest(F.lit(1), F.coalesce("qty", F.lit(0))))).alias("_adds"))
              .select(*k, (F.col("_base") + F.coalesce("_adds", F.lit(0))).cast("int").alias("qty")))

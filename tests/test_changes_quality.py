@@ -160,10 +160,11 @@ def test_status_fold_matches_serial_loop(spark):
     c_df = spark.createDataFrame(changes, "seq long, order_id long, actor string, "
                                           "customer_id long, status string")
     want_status, want_changed = _serial_status(orders, changes)
-    got = dict(rows(W.status_fold(o_df, c_df, chunk_size=8), "order_id", "status"))
-    assert got == want_status
-    got_c = dict(rows(W.cancel_outcomes(o_df, c_df, chunk_size=8), "seq", "changed"))
-    assert got_c == want_changed
+    for size in (8, None):
+        got = dict(rows(W.status_fold(o_df, c_df, chunk_size=size), "order_id", "status"))
+        assert got == want_status
+        got_c = dict(rows(W.cancel_outcomes(o_df, c_df, chunk_size=size), "seq", "changed"))
+        assert got_c == want_changed
 
 
 def _serial_cart(events, available):
@@ -188,8 +189,10 @@ def test_cart_merge_matches_serial_loop(spark, seed):
     ev = [(rnd.choice([1, 1, 1, 2]), s, rnd.choice(["add", "add", "set", "remove"]),
            rnd.choice([1, 6, 7, 42]), rnd.choice([None, -1, 0, 1, 3, 5])) for s in range(500)]
     df = spark.createDataFrame(ev, "cart_id long, seq long, op string, menu_id long, qty int")
-    got = {(r.cart_id, r.menu_id): r.qty for r in U.cart_merge(df, seed["menu_items"]).collect()}
-    assert got == _serial_cart(ev, {1, 2, 3, 4, 5, 6})
+    for n in (0, 100, 1 << 20):                  # every pair hot, some, none
+        got = {(r.cart_id, r.menu_id): r.qty
+               for r in U.cart_merge(df, seed["menu_items"], hot_rows=n).collect()}
+        assert got == _serial_cart(ev, {1, 2, 3, 4, 5, 6})
 
 
 # ---------------------------------------------------------------- audits

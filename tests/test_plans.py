@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 EAGER = {"place_orders", "assign_ids", "menu_insert", "ingredient_change", "stream_stock",
          "stream_daily_sales", "stream_low_stock", "stock_ledger", "price_as_of",
          "apply_menu_changes", "sink_append", "sink_snapshot", "menu_by_category", "sql_script",
-         "order_cancel", "status_fold", "place_orders_orders", "place_orders_lines", "place_orders_stock", "purchase_outcomes"}
+         "order_cancel", "status_fold", "cart_merge", "place_orders_orders", "place_orders_lines", "place_orders_stock", "purchase_outcomes"}
 
 
 def _plan(df) -> str:
