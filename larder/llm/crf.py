@@ -26,7 +26,7 @@ from larder.llm.text import (LOWER, WORD_CHARS, SpanHash, block_udf, mix, only,
                              struct_array, utf8)
 
 SLOTS = 1 << 20
-PER_CLASS = 1500        # rows per class in the fitting sample
+PER_CLASS = 500         # rows per class in the fitting sample
 THRESHOLD = 0.5
 MODULUS, HELD_OUT = 5, 0
 _PREFIXES = (3, 4, 5, 6, 7, 8)      # bytes
@@ -198,8 +198,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     _, _, _, _, bounds, slots = tokens(arr)
     doc = np.repeat(np.arange(len(y)), np.diff(bounds))
     tag = (tied_slots(counts, n)[slots].any(axis=1) & (y[doc] == 1)).astype(np.float64)
-    used, local = np.unique(slots, return_inverse=True)
-    local = local.reshape(slots.shape)
+    used = np.flatnonzero(np.bincount(slots.ravel(), minlength=SLOTS))
+    place = np.zeros(SLOTS, np.int32)
+    place[used] = np.arange(len(used))
+    local = [place[slots[:, k]] for k in range(_N)]
     opens = np.zeros(len(doc), bool)
     opens[bounds[:-1][np.diff(bounds) > 0]] = True
     inner = np.flatnonzero(~opens)
@@ -209,9 +211,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     m, v = np.zeros(len(used) + 5), np.zeros(len(used) + 5)
     scale = max(1.0, tag.sum())
     for t in range(1, steps + 1):                   # Adam on the log-likelihood with a small ridge
-        p, pairs = marginals(w[local].sum(axis=1) + bias, pair, bounds)
+        unary = np.full(len(tag), bias)
+        for column in local:
+            unary += w[column]
+        p, pairs = marginals(unary, pair, bounds)
         diff = (p - tag) / scale
-        g = np.bincount(local.ravel(), weights=np.repeat(diff, _N), minlength=len(used)) + 1e-5 * w
+        g = 1e-5 * w
+        for column in local:
+            g += np.bincount(column, weights=diff, minlength=len(used))
         g = np.concatenate([g, [diff.sum()], ((pairs.sum(axis=0) - seen) / scale).ravel()])
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
