@@ -8,6 +8,7 @@ per document.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.session import scratch_path
+
 BLOCK_BYTES = 2 << 20
 
 # fixed byte classes of the contracts
@@ -45,6 +48,7 @@ def block_udf(return_type: str, make: Callable[[], Callable[[pa.Array], pa.Array
         for batch in batches:
             for part in blocks(batch, block_bytes):
                 yield fn(part)
+        pa.default_memory_pool().release_unused()      # Spark keeps the worker for later tasks
     return run.asNondeterministic()
 
 
@@ -216,6 +220,14 @@ def struct_array(schema: dict[str, pa.DataType], **columns) -> pa.Array:
         fields=[pa.field(k, schema[k]) for k in columns])
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: cuts lineage as a
+    checkpoint does, in compressed columns."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark, path: str) -> None:
     """Delete a written table by Spark's own file system access."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
