@@ -194,3 +194,12 @@ def test_kneser_ney_is_a_distribution():
     for ctx in (1 | 2 << 6 | 1 << 12, 60 | 2 << 6 | 3 << 12, 61 | 61 << 6 | 61 << 12):
         p = np.exp(m.log_prob((ctx << 6) + np.arange(64))[0])
         assert abs(p.sum() - 1) < 1e-9
+
+
+def test_filter_of_labelled_ids_loses_no_row(spark):
+    from larder.llm import labelled
+    docs = spark.range(0, 20_000).withColumn("text", F.lit("x"))
+    ids = spark.range(0, 20_000, 7).union(spark.createDataFrame([(-5,), (1 << 60,)], "id long"))
+    kept = {r.id for r in labelled.maybe_labelled(docs, ids).collect()}
+    assert {i for i in range(0, 20_000, 7)} <= kept and len(kept) < 4000
+    assert labelled.maybe_labelled(docs, ids.limit(0)).count() == 0
