@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from larder.llm.text import batch_udf, block_udf, only
 
 ENCODE_BLOCK = 4 << 20      # texts that share one pair index
-KEEP_WORDS = 300_000         # encoded words a task keeps from block to block
+KEEP_WORDS = 150_000         # encoded words a task keeps from block to block
 
 
 def byte_chars() -> list[str]:
