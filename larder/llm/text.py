@@ -8,6 +8,7 @@ per document.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,10 +49,19 @@ def block_udf(return_type: str, make: Callable[[], Callable[[pa.Array], pa.Array
         for batch in batches:
             for part in blocks(batch, block_bytes):
                 yield fn(part)
-        pa.default_memory_pool().release_unused()      # Spark keeps the worker for later tasks
+            give_back()
     return run.asNondeterministic()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later
+    tasks, and what their allocators hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def batch_udf(return_type: str, make: Callable[[], Callable[..., pa.Array]], rows: int = 256):
     """A column function evaluated on slices of ``rows`` rows; ``make`` runs once
     per task."""
@@ -147,7 +157,7 @@ class SpanHash:
     @classmethod
     def _grow(cls, n: int) -> None:
         if len(cls._power) < n:
-            size = 1 << max(16, (n - 1).bit_length())
+            size = -(-n >> 16 << 16)           # in steps of 65,536: the tables stay in the worker
 
             def table(base: int) -> np.ndarray:
                 t = np.full(size, base, np.uint64)
