@@ -20,8 +20,10 @@ from larder.llm.text import (NON_SPACE, SpanHash, block_udf, cover, mix, only, p
                              struct_array, utf8, window_hash, window_ok)
 
 MIN_WORDS = 10          # shortest repeat that counts
-MAX_COVERED = 0.5       # largest part of the words that repeats may cover
-MAX_REPEAT = 200        # longest repeat in words that a document may hold
+MAX_COVERED = 0.25      # largest part of the words that repeats may cover; words in such repeats lie in repeated
+                        # 3-word windows too, so at BASE_MAX_REPEAT or above it could never reject.  A repeat is
+                        # shorter than what it covers, so this bounds the longest one by the text's length as well
+MAX_REPEAT = 50         # longest repeat in words that a document may hold
 BASE_MIN_WORDS = 50     # base rule: fewer words fail
 BASE_MAX_REPEAT = 0.5   # base rule: larger part in repeated 3-word windows fails
 

@@ -93,6 +93,22 @@ def test_repetition_brute_force(spark, docs, odd, none):
     assert repetition.report(none).count() == 0
 
 
+def test_repetition_rejects_what_the_base_rules_pass(spark):
+    """By coverage alone, by one long repeat alone, and neither (limits written out)."""
+    def words(tag, n):
+        return " ".join(f"{tag}{i}" for i in range(n))
+
+    def text(passage, times, n):
+        p = words("p", passage)
+        return " ".join(f"{p} {words(f'{k}x', (n - passage * times) // times)}" for k in range(times))
+    rows = [(1, text(100, 4, 900)), (2, text(40, 6, 600)), (3, text(60, 2, 1200)), (4, text(40, 2, 800))]
+    got = {r.doc_id: r for r in repetition.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [(got[i].n_words, got[i].n_covered, got[i].longest_repeat) for i in (1, 2, 3, 4)] == [
+        (900, 400, 100), (600, 240, 40), (1200, 120, 60), (800, 80, 40)]
+    assert [got[i].kept for i in (1, 2, 3, 4)] == [False, False, False, True]
+
+
 def test_repeated_spans_are_the_repeats():
     p = " ".join(f"w{i}" for i in range(15))
     got = repetition.measure(pa.array([f"{p} x y {p} z", "a b"])).to_pylist()
