@@ -4,9 +4,11 @@ Token labels come from the labelled documents: a token of a toxic document is
 toxic if one of its features (word, prefixes, suffix) is tied to toxic documents
 over all labelled rows.  The field has a weight per hashed feature and tag, and
 one per pair of neighbouring tags; it is fitted by gradient steps on the
-log-likelihood of a bounded sample.  Forward-backward marginals give each
-token's probability; they aggregate to a document score, and runs of probable
-tokens are the offending spans.
+log-likelihood of a bounded sample.  How strongly a token's features are tied is
+a feature of the token itself, so what all labelled rows say of a word counts
+when texts are scored, whether or not the sample holds that word.
+Forward-backward marginals give each token's probability; they aggregate to a
+document score, and runs of probable tokens are the offending spans.
 
 All documents of a block form one chain: the step into a document's first token
 does not depend on the state before it, so the documents stay independent.
@@ -22,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.labelled import platt, sigmoid, statistics, training_rows
-from larder.llm.text import (LOWER, WORD_CHARS, SpanHash, block_udf, mix, only, per_doc, remainder, runs,
-                             struct_array, utf8)
+from larder.llm.text import (LOWER, WORD_CHARS, SpanHash, block_ranges, block_udf, mix, only, per_doc, remainder,
+                             runs, struct_array, utf8)
 
 SLOTS = 1 << 20
-PER_CLASS = 500         # rows per class in the fitting sample
+PER_CLASS = 1500        # rows per class in the fitting sample
+FIT_TEXT = 1 << 20      # bytes of the sample's texts in a block, whose gradients are added up
+TIE_STEPS = 24          # levels of a tie's strength for one unit of log-odds
 THRESHOLD = 0.5
 MODULUS, HELD_OUT = 5, 0
 _PREFIXES = (3, 4, 5, 6, 7, 8)      # bytes
@@ -141,9 +145,14 @@ class Model:
     bias: float
     pair: np.ndarray        # 2x2
     scale: np.ndarray       # document calibration
+    tie: np.ndarray | None = None       # per slot: strength of its tie to toxic documents (0: none)
+    tie_weight: np.ndarray | None = None    # for being tied, and for the strength
 
     def token_probs(self, slots: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return marginals(self.weight[slots].sum(axis=1, dtype=np.float64) + self.bias, self.pair, bounds)[0]
+        unary = self.weight[slots].sum(axis=1, dtype=np.float64) + self.bias
+        if self.tie is not None:
+            unary += tie_features(self.tie, slots) @ self.tie_weight
+        return marginals(unary, self.pair, bounds)[0]
 
     def column(self, arr: pa.Array) -> pa.Array:
         raw, offs, s, e, bounds, slots = tokens(arr)
@@ -180,12 +189,42 @@ def tied_slots(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return (pos >= 3) & (pos >= neg) & (pos - chance >= 4.5 * np.sqrt(chance + 0.25))
 
 
+def tie_levels(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Per slot, 0 if it is not tied to toxic documents, else 1 to 255 by how far the
+    log-odds of its documents exceed those of all documents."""
+    neg, pos = counts
+    far = np.log((pos + 0.5) / (neg + 0.5)) - np.log((docs[1] + 0.5) / (docs[0] + 0.5))
+    return np.where(tied_slots(counts, docs), np.clip(far * TIE_STEPS, 1, 255), 0).astype(np.uint8)
+
+
+def tie_features(tie: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Per token: whether one of its slots is tied, and the strongest tie (0 to 1)."""
+    level = tie[slots].max(axis=1, initial=0)
+    return np.column_stack([level > 0, level / 255])
+
+
+class _Adam:
+    def __init__(self, size: int):
+        self.m, self.v, self.t = np.zeros(size), np.zeros(size), 0
+
+    def move(self, g: np.ndarray) -> np.ndarray:
+        self.t += 1
+        self.m = 0.9 * self.m + 0.1 * g
+        self.v = 0.99 * self.v + 0.01 * g * g
+        return 0.3 * (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.99 ** self.t)) + 1e-6)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id",
         text_col: str = "text", per_class: int = PER_CLASS, steps: int = 40) -> Model:
     """Fit on labelled rows that are not held out (crc32(id) mod 5 is not 0): the
     ties of features to toxic documents over all of them, the field's weights on
     a sample bounded by ``per_class`` rows a class (texts up to 64 KB).  Labels of
     one class only, or none, give the share of label 1 as every score.
+
+    Bias, tag pairs and the weights of the ties are fitted first and then kept, so a
+    token whose slots the sample lacks is judged by its ties alone; slots in the
+    sample get weights on top.  The sample goes through block by block, and the
+    blocks' gradients are added up.
     """
     rows = training_rows(docs, labels, label, MODULUS, HELD_OUT, per_class, id_col, text_col)
     counts, n, ys, texts = statistics(rows, SLOTS, features, lambda a: [t.encode() for t in a.to_pylist()])
@@ -194,42 +233,54 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         share = (n[1] + 1) / (n.sum() + 2)
         return Model(np.zeros(SLOTS, np.float32), 0.0, np.zeros((2, 2)),
                      np.array([0.0, 0.0, np.log(share / (1 - share))]))
+    tie = tie_levels(counts, n)
     arr = pa.array([t.decode() for t in texts], pa.large_string())
-    _, _, _, _, bounds, slots = tokens(arr)
-    doc = np.repeat(np.arange(len(y)), np.diff(bounds))
-    tag = (tied_slots(counts, n)[slots].any(axis=1) & (y[doc] == 1)).astype(np.float64)
-    used = np.flatnonzero(np.bincount(slots.ravel(), minlength=SLOTS))
+    parts, used = [], np.zeros(SLOTS, bool)
+    for lo, hi in block_ranges(arr, FIT_TEXT):
+        _, _, _, _, bounds, slots = tokens(arr.slice(lo, hi - lo))
+        toxic = np.repeat(y[lo:hi] == 1, np.diff(bounds))
+        ties = tie_features(tie, slots)
+        tag = ((ties[:, 0] > 0) & toxic).astype(np.float64)
+        opens = np.zeros(len(tag), bool)
+        opens[bounds[:-1][np.diff(bounds) > 0]] = True
+        inner = np.flatnonzero(~opens)
+        seen = np.zeros((2, 2))
+        np.add.at(seen, (tag[inner - 1].astype(int), tag[inner].astype(int)), 1.0)
+        used[slots.ravel()] = True
+        parts.append((bounds, slots, ties, tag, seen))
+    used = np.flatnonzero(used)
     place = np.zeros(SLOTS, np.int32)
     place[used] = np.arange(len(used))
-    local = [place[slots[:, k]] for k in range(_N)]
-    opens = np.zeros(len(doc), bool)
-    opens[bounds[:-1][np.diff(bounds) > 0]] = True
-    inner = np.flatnonzero(~opens)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (tag[inner - 1].astype(int), tag[inner].astype(int)), 1.0)
-    w, bias, pair = np.zeros(len(used)), -3.0, np.zeros((2, 2))
-    m, v = np.zeros(len(used) + 5), np.zeros(len(used) + 5)
-    scale = max(1.0, tag.sum())
-    for t in range(1, steps + 1):                   # Adam on the log-likelihood with a small ridge
-        unary = np.full(len(tag), bias)
-        for column in local:
-            unary += w[column]
-        p, pairs = marginals(unary, pair, bounds)
-        diff = (p - tag) / scale
+    for _, slots, _, _, _ in parts:
+        slots[...] = place[slots]
+    scale = max(1.0, sum(tag.sum() for *_, tag, _ in parts))
+    # Adam on the log-likelihood: bias, pairs and ties
+    few = np.concatenate([[-3.0], np.zeros(6)])
+    adam = _Adam(len(few))
+    for _ in range(steps):
+        g = 1e-5 * few
+        for bounds, _, ties, tag, seen in parts:
+            p, pairs = marginals(ties @ few[5:] + few[0], few[1:5].reshape(2, 2), bounds)
+            diff = (p - tag) / scale
+            g += np.concatenate([[diff.sum()], ((pairs.sum(axis=0) - seen) / scale).ravel(), ties.T @ diff])
+        few -= adam.move(g)
+    bias, pair, tie_weight = float(few[0]), few[1:5].reshape(2, 2), few[5:]
+    # then the slots, with a small ridge
+    w, adam = np.zeros(len(used)), _Adam(len(used))
+    for _ in range(steps):
         g = 1e-5 * w
-        for column in local:
-            g += np.bincount(column, weights=diff, minlength=len(used))
-        g = np.concatenate([g, [diff.sum()], ((pairs.sum(axis=0) - seen) / scale).ravel()])
-        m = 0.9 * m + 0.1 * g
-        v = 0.99 * v + 0.01 * g * g
-        move = 0.3 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-6)
-        w -= move[: len(used)]
-        bias -= move[len(used)]
-        pair -= move[len(used) + 1:].reshape(2, 2)
+        for bounds, slots, ties, tag, _ in parts:
+            unary = ties @ tie_weight + bias
+            for k in range(_N):
+                unary += w[slots[:, k]]
+            diff = (marginals(unary, pair, bounds)[0] - tag) / scale
+            for k in range(_N):
+                g += np.bincount(slots[:, k], weights=diff, minlength=len(used))
+        w -= adam.move(g)
     weight = np.zeros(SLOTS, np.float32)
     weight[used] = w
-    model = Model(weight, bias, pair, np.zeros(3))
-    x = aggregate(model.token_probs(slots, bounds), bounds)
+    model = Model(weight, bias, pair, np.zeros(3), tie, tie_weight)
+    x = np.concatenate([aggregate(model.token_probs(used[slots], bounds), bounds) for bounds, slots, *_ in parts])
     share = np.array([n[v] / max(1, (y == v).sum()) for v in y])
     model.scale = platt(x, y.astype(float), share / share.mean(), ridge=0.05)
     return model
@@ -239,7 +290,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
     """``docs`` with a struct column ``out``: document score and offending spans
     (code points, with the token's probability).  Null and empty texts have no
     token and get the score of a text without toxic tokens.  The model has a
-    fixed size (4 MB) and is broadcast."""
+    fixed size (5 MB) and is broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def make():

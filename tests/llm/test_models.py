@@ -110,6 +110,29 @@ def test_crf_spans_point_at_the_words(spark):
     assert got[0] == got[2] and got[0]["spans"] == []
 
 
+def test_crf_knows_toxic_words_outside_its_sample(spark):
+    """Rare toxic words, most of them in no sampled text: all labelled rows tell them."""
+    import random
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    bad, common = [word() for _ in range(60)], [word() for _ in range(300)]
+    rows = []
+    for i in range(6000):
+        t = [rng.choice(common) for _ in range(12)]
+        if i < 600:
+            t[rng.randrange(12)] = bad[i % 60]
+        rows.append((i, " ".join(t), int(i < 600)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = crf.fit(df, df, per_class=40)
+    got = crf.score(df.filter("crc32(cast(doc_id as string)) % 5 = 0"), model).collect()
+    toxic = [r for r in got if r.toxic]
+    found = [r for r in toxic if r.toxicity.score >= 0.5
+             and [r.text[s.start:s.stop] for s in r.toxicity.spans] == [w for w in r.text.split() if w in bad]]
+    assert len(toxic) > 80 and len(found) >= 0.95 * len(toxic)
+    assert sum(r.toxicity.score >= 0.5 for r in got if not r.toxic) <= 0.01 * len(got)
+
+
 # -- 5 ---------------------------------------------------------------------------
 
 def words(t):
