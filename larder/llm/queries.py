@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import bpe, crf, decontaminate, langid, mixing, nbsvm, repetition, secrets, sharding, simhash
+from larder.llm import (bpe, crf, decontaminate, langid, licenses, mixing, nbsvm, repetition, secrets, sharding,
+                        simhash, whitening)
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -56,10 +57,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_simhash, op4_quality, op5_context_mixing,
-                                    op6_language, op7_sharding, op8_repetition, op9_secrets, op10_toxicity)}
+                                    op6_language, op7_sharding, op8_repetition, op9_secrets, op10_toxicity,
+                                    op11_licenses, op12_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.sql(), "op8_repetition": repetition.sql()}
+    return {"op2_decontamination": decontaminate.sql(), "op8_repetition": repetition.sql(),
+            "op11_licenses": licenses.sql()}
