@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm import (bpe, crf, decontaminate, langid, licenses, mixing, nbsvm, repetition, secrets, sharding,
-                        simhash, whitening)
+                        simhash, trie, whitening)
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -65,12 +65,16 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.report(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_simhash, op4_quality, op5_context_mixing,
                                     op6_language, op7_sharding, op8_repetition, op9_secrets, op10_toxicity,
-                                    op11_licenses, op12_whitening)}
+                                    op11_licenses, op12_whitening, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_decontamination": decontaminate.sql(), "op8_repetition": repetition.sql(),
-            "op11_licenses": licenses.sql()}
+            "op11_licenses": licenses.sql(), "op13_prefix_trie": trie.sql()}
