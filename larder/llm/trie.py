@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from larder.llm.text import only, stored
 
 GROUP, HEADS = 100, 6        # fixed values of the contract: c - c%100 and crc32(c) % 6
-LIGHT = 1024                 # members of a shard root at most (or a 1/4,096 of all conversations)
+LIGHT = 32                   # members of a shard root at most (or a 1/4,096 of all conversations)
 HEAVY_SHARE = 4096           # so at most this many heavy nodes a level
 BAND = 1 << 20               # levels that one shard may have
 QUEUE = 1 << 17              # messages that a queue holds in memory
