@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from larder.operators import changes as U
 from larder.operators import stock as T
-from larder.plans.registry import register
+from larder.plans.oracle_sql import PREFIX
+from larder.plans.registry import SQL, register
 from larder.session import scratch_path
-from larder.sources import catalog, sinks
+from larder.sources import catalog, sinks, testdata
 from larder.streaming import stock_stream as S
 
 D = "AS DOUBLE)"
@@ -182,11 +183,15 @@ def _price_as_of(t):
 
 # ------------------------------------------------------------------ streams over `events`
 
-def _stream_events(t):
-    """The events table as a stream, whether one file or a folder of files (a
+def _stream(t, table):
+    """A driver table as a stream, whether one file or a folder of files (a
     plain path must be a folder for the file source; a pattern may match either)."""
-    return (t.spark.readStream.schema(t.source("events").schema)
-            .parquet(f"{t.sf_dir.rstrip('/')}/events.parque[t]"))
+    return (t.spark.readStream.schema(t.source(table).schema)
+            .parquet(f"{t.sf_dir.rstrip('/')}/{table}.parque[t]"))
+
+
+def _stream_events(t):
+    return _stream(t, "events")
 
 
 def _event_moves(t):
@@ -225,6 +230,59 @@ def _stream_stock(t):
     return S.read_balances(t.spark, f"{base}/state", _empty_opening(t))
 
 
+def _sales(t):
+    """The state of a run over raw purchases and order lines."""
+    base = _run_dir(t, "sales")
+    S.stream_sales(testdata.buys_of(_stream(t, "lineitem")), testdata.lines_of(_stream(t, "lineitem")), t.recipes,
+                   f"{base}/state", f"{base}/ckpt").awaitTermination()
+    return f"{base}/state"
+
+
+@register("stream_stock_raw", f"""
+SELECT i.ingredient_id, CAST(i.quantity + coalesce(p.q, 0) - coalesce(u.used, 0) {D} AS quantity
+FROM ingredients i
+LEFT JOIN (SELECT ingredient_id, sum(quantity) AS q FROM purchases GROUP BY 1) p
+  ON p.ingredient_id = i.ingredient_id
+LEFT JOIN (SELECT r.ingredient_id, sum(r.qty_required * s.q) AS used
+           FROM (SELECT menu_id, sum(quantity) AS q FROM order_items GROUP BY 1) s
+           JOIN recipes r ON r.menu_id = s.menu_id GROUP BY 1) u
+  ON u.ingredient_id = i.ingredient_id""")
+def _stream_stock_raw(t):
+    return S.read_stock(t.spark, _sales(t), t.ingredients).select("ingredient_id", "quantity")
+
+
+@register("stream_order_totals", SQL["apply_order_items_totals"].removeprefix(PREFIX))
+def _stream_order_totals(t):
+    return S.read_order_totals(t.spark, _sales(t), t.orders).select("order_id", "total_amount")
+
+
+@register("stream_sales_view", f"""
+SELECT CAST(CAST(order_date AS DATE) AS TIMESTAMP) AS day, count(*) AS total_orders,
+       CAST(sum(total_amount) {D} AS total_sales
+FROM fold WHERE status = 'Paid' GROUP BY 1""", extra_ctes=""",
+ev AS (SELECT o.order_id, c.seq, c.status AS st, o.status AS init, c.actor = 'staff' AS staff
+       FROM status_changes c JOIN orders o ON o.order_id = c.order_id
+       WHERE (c.actor = 'staff' AND c.status IN ('Pending', 'Served', 'Paid', 'Cancelled'))
+          OR (c.actor = 'customer' AND c.status = 'Cancelled' AND c.customer_id = o.customer_id)),
+step AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY seq) AS k FROM ev),
+walk AS (
+  WITH RECURSIVE w AS (
+    SELECT order_id, k, CASE WHEN staff THEN st WHEN init = 'Pending' THEN 'Cancelled' ELSE init END AS status
+    FROM step WHERE k = 1
+    UNION ALL
+    SELECT s.order_id, s.k, CASE WHEN s.staff THEN s.st WHEN w.status = 'Pending' THEN 'Cancelled' ELSE w.status END
+    FROM w JOIN step s ON s.order_id = w.order_id AND s.k = w.k + 1)
+  SELECT * FROM w),
+fold AS (SELECT o.order_id, o.order_date, o.total_amount, coalesce(l.status, o.status) AS status
+         FROM orders o LEFT JOIN (SELECT order_id, max_by(status, k) AS status FROM walk GROUP BY 1) l
+           ON l.order_id = o.order_id)""")
+def _stream_sales_view(t):
+    base = _run_dir(t, "view")
+    events = S.order_events(testdata.orders_of(_stream(t, "orders")), testdata.status_changes_of(_stream(t, "orders")))
+    S.stream_sales_view(events, f"{base}/state", f"{base}/ckpt").awaitTermination()
+    return S.read_sales_view(t.spark, f"{base}/state")
+
+
 @register("stream_daily_sales", f"""
 SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, count(*) AS total_orders,
        CAST(sum(CAST(value AS DECIMAL(12,2))) {D} AS total_sales

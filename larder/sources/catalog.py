@@ -13,11 +13,15 @@ from larder.operators.aggregates import daily_sales
 from larder.operators.joins import low_stock_supplier
 from larder.schemas import DEFAULTS, SCHEMAS, conform
 from larder.session import scratch_path
+from larder.sources import commits, sinks
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Read a stored table with its declared schema (no inference); a
-    partition column of the folder layout is left out."""
+    partition column of the folder layout is left out.  A table that batches are
+    appended to (S8) is read by its commit records."""
+    if commits.exists(spark, f"{path}/_commits"):
+        return sinks.read_appended(spark, path, SCHEMAS[table])
     return spark.read.schema(SCHEMAS[table]).parquet(path).select(*SCHEMAS[table].names)
 
 

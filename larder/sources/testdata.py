@@ -146,7 +146,11 @@ def employees(spark, d):
 
 
 def orders(spark, d):
-    o = read_source(spark, d, "orders")
+    return orders_of(read_source(spark, d, "orders"))
+
+
+def orders_of(o):
+    """Orders from the driver's rows, stored or as a stream."""
     key = F.col("o_orderkey")
     status = (F.when(key % 17 == 0, "Cancelled")
                .when(F.col("o_orderstatus") == "F", "Paid")
@@ -163,17 +167,27 @@ def orders(spark, d):
     ), "orders")
 
 
-def order_items(spark, d):
-    li = _id_within_order(read_source(spark, d, "lineitem"))
+def _line_columns():
     price = F.round(F.col("l_extendedprice").cast("decimal(12,2)")
                     * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")), 2)
-    return conform(li.select(
-        F.col("_row_id").alias("order_item_id"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("menu_id"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        price.cast(MONEY).alias("price"),
-    ), "order_items")
+    return [F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("menu_id"),
+            F.col("l_quantity").cast("int").alias("quantity"), price.cast(MONEY).alias("price")]
+
+
+def order_items(spark, d):
+    li = _id_within_order(read_source(spark, d, "lineitem"))
+    return conform(li.select(F.col("_row_id").alias("order_item_id"), *_line_columns()), "order_items")
+
+
+def lines_of(li):
+    """Order lines without ids from a stream of the driver's rows."""
+    return li.select(*_line_columns())
+
+
+def buys_of(li):
+    """Purchases without ids from a stream of the driver's rows."""
+    return li.filter(F.col("l_returnflag") == "R").select(
+        F.col("l_partkey").alias("ingredient_id"), F.col("l_quantity").cast(MONEY).alias("quantity"))
 
 
 def users(spark, d):
@@ -284,7 +298,10 @@ def ingredient_changes(spark, d):
 def status_changes(spark, d):
     """(seq, order_id, actor, customer_id, status): staff changes (one value
     not allowed), customer cancels (some by another customer), repeats."""
-    o = read_source(spark, d, "orders")
+    return status_changes_of(read_source(spark, d, "orders"))
+
+
+def status_changes_of(o):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     staff = o.filter(k % 5 == 0).select(
         (k * 4 + 1).alias("seq"), k.alias("order_id"), F.lit("staff").alias("actor"),

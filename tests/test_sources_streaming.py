@@ -132,7 +132,7 @@ def test_stream_low_stock_crossings(spark):
     levels = spark.createDataFrame([(1, Decimal(10))], "ingredient_id long, reorder_level decimal(10,2)")
     opening = spark.createDataFrame([], "ingredient_id long, quantity decimal(20,2)")
     q = S.stream_low_stock(_moves(spark, f"{base}/in", data), levels, opening, f"{base}/state",
-                           f"{base}/alerts", f"{base}/ck", bucket_seconds=3 * 3600)
+                           f"{base}/alerts", f"{base}/ck")
     q.awaitTermination()
     got = sorted(rows(spark.read.parquet(f"{base}/alerts"), "ref", "before", "after"))
     assert got == [(2, d(15), d(5)), (4, d(25), d(-5))]
