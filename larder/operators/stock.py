@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from larder.functions import exprs as X
 from larder.operators.aggregates import cart_lines
+from larder.operators.components import components
 from larder.operators.filters import first_waiter
 from larder.operators.windows import (asof_last, assign_ids, next_id_base, running_total,
                                       seq_chunk, wall_seconds)
 from larder.session import cut_lineage
+from larder.sources.commits import Store
 
 
 # ------------------------------------------------------------------ T1
@@ -62,36 +64,72 @@ def apply_order_items(ingredients: DataFrame, orders: DataFrame, order_items: Da
 
 # ------------------------------------------------------------------ T3
 
-# need rows (order x ingredient) that one task may decide in request order
+# need rows (order x ingredient) that are decided as one component at once
 SERIAL_ROWS = 100_000
+# rounds of bounds at most before the rest is decided by components
+BOUND_ROUNDS = 4
+
+
+def _conflicts(und: DataFrame, serial_rows: int, n_rows: int) -> DataFrame:
+    """Undecided rows (seq, ingredient_id, need, low, up) with the ``component`` of their
+    order: orders that share an ingredient which may refuse someone are in one.
+
+    An ingredient whose lower bound never falls below 0 refuses nobody, so its rows
+    neither connect orders nor decide anything.  ``serial_rows`` or fewer rows are one
+    component at once (it changes no result).
+    """
+    scarce = und.groupBy("ingredient_id").agg(F.min("low").alias("_lo")).filter("_lo < 0").select("ingredient_id")
+    rows = cut_lineage(und.join(scarce, "ingredient_id", "left_semi").select("seq", "ingredient_id", "need", "up"))
+    if n_rows <= serial_rows:
+        return rows.withColumn("component", F.lit(0).cast("long"))
+    first = rows.groupBy("seq").agg(F.min("ingredient_id").alias("b"))
+    edges = rows.select("seq", F.col("ingredient_id").alias("a")).join(first, "seq").select("a", "b").distinct()
+    label = components(edges).select(F.col("node").alias("ingredient_id"), "component")
+    return rows.join(label, "ingredient_id")
 
 
 def _decide_in_order(rows: DataFrame) -> DataFrame:
-    """(seq, st) for a bounded prefix of undecided need rows (seq, ingredient_id,
-    need, up), in request order: an order is accepted iff ``up`` less what
-    earlier orders of the prefix took covers each of its needs."""
+    """(seq, st) of the orders in ``rows`` (component, seq, ingredient_id, need, up), each component in request order
+    in one task: an order is accepted iff ``up`` less what earlier orders of its component
+    took covers each of its needs.  Rows are streamed in order; a task remembers what was
+    taken of the ingredients of one component."""
     def run(batches):
-        import pandas as pd
-        parts = list(batches)
-        if not parts:
-            return
-        seqs, states, taken = [], [], {}
-        for seq, own in pd.concat(parts).groupby("seq", sort=True):
-            lines = list(zip(own["ingredient_id"], own["need"], own["up"]))
+        import pyarrow as pa
+        component = seq = None
+        taken: dict = {}
+        lines: list = []
+
+        def decided():
             ok = all(up - taken.get(i, 0) - need >= 0 for i, need, up in lines)
             if ok:
                 for i, need, _ in lines:
                     taken[i] = taken.get(i, 0) + need
-            seqs.append(seq)
-            states.append("A" if ok else "R")
-        yield pd.DataFrame({"seq": seqs, "st": states})
-    return rows.repartition(1).mapInPandas(run, "seq long, st string")
+            return "A" if ok else "R"
+        for b in batches:
+            seqs, states = [], []
+            for c, s, i, need, up in zip(*[b.column(x).to_pylist() for x in (
+                    "component", "seq", "ingredient_id", "need", "up")]):
+                if (c, s) != (component, seq):
+                    if lines:
+                        seqs.append(seq)
+                        states.append(decided())
+                    if c != component:
+                        taken.clear()
+                    component, seq = c, s
+                    lines.clear()
+                lines.append((i, need, up))
+            yield pa.RecordBatch.from_pydict({"seq": pa.array(seqs, pa.int64()), "st": pa.array(states, pa.string())})
+        if lines:
+            yield pa.RecordBatch.from_pydict({"seq": pa.array([seq], pa.int64()), "st": pa.array([decided()])})
+    return (rows.select("component", "seq", "ingredient_id", "need", "up").repartition("component")
+                .sortWithinPartitions("component", "seq", "ingredient_id").mapInArrow(run, "seq long, st string"))
 
 
 def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
                  ingredients: DataFrame, employees: DataFrame, orders: DataFrame,
                  order_items: DataFrame, restocks: DataFrame | None = None,
-                 chunk_size: int = 1 << 16, serial_rows: int = SERIAL_ROWS) -> "Placement":
+                 chunk_size: int = 1 << 16, serial_rows: int = SERIAL_ROWS,
+                 first_order_id: int | None = None, first_line_id: int | None = None) -> "Placement":
     """Order requests -> accepted orders, their lines, stock after; or a
     rejection with a reason.
 
@@ -102,19 +140,19 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
     whole and uses nothing.  ``restocks`` (seq, ingredient_id, quantity)
     arrive between orders.
 
-    Exact and distributed: stock before an undecided order u lies between
+    Exact and distributed.  An ingredient whose opening stock covers all demand (and
+    all negative restocks) refuses nobody and is left out.  For the others, stock before an undecided order u lies between
       lower = opening + restocks − needs of (accepted ∪ undecided) before u
       upper = opening + restocks − needs of accepted before u.
     u is certainly accepted when lower − need ≥ 0 for all its ingredients,
     certainly rejected when upper − need < 0 for one.  A round is two running
-    sums per ingredient (two-level, skew-safe) and an aggregate per order;
-    when no order oversells, round one accepts all.  From round two on (or at
-    once when they are few) the first ``serial_rows`` undecided need rows are also
-    decided in request order in one bounded task, so a chain of dependent
-    orders takes length / serial_rows rounds.  After a round everything before an
-    ingredient's first undecided order is folded into its opening balance, and
-    ingredients without undecided orders are dropped: a round reads only what
-    is still open.  Rounds are checkpointed to the shared folder.
+    sums per ingredient (two-level, skew-safe) and an aggregate per order.  After a
+    round everything before an ingredient's first undecided order is folded into its
+    opening balance, and ingredients without undecided orders are dropped.  When a round no longer
+    halves what is open (BOUND_ROUNDS at most), the rest is decided at once:
+    orders that compete for an ingredient, directly or through others, are one
+    component, and every component is decided in request order in its own task, so the
+    number of rounds does not grow with the data.  Rounds are checkpointed to the shared folder.
     """
     lines = cart_lines(requests.withColumnRenamed("seq", "cart_id")) \
         .withColumnRenamed("cart_id", "seq")
@@ -139,27 +177,35 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
     rs = (restocks.select("seq", "ingredient_id", F.col("quantity").alias("q"))
           if restocks is not None else None)
 
+    # ingredients that can refuse an order
+    demand = needs.select("ingredient_id", F.col("need").alias("_d"))
+    if rs is not None:
+        demand = demand.unionByName(rs.select("ingredient_id", F.greatest(-F.col("q"), F.lit(0)).alias("_d")))
+    demand = demand.groupBy("ingredient_id").agg(F.sum("_d").alias("_d"))
+    scarce = (demand.join(ingredients.select("ingredient_id", "quantity"), "ingredient_id", "left")
+                    .filter(F.col("_d") > F.coalesce("quantity", F.lit(0))).select("ingredient_id"))
+    contended = cut_lineage(needs.join(scarce, "ingredient_id", "left_semi"))
+
     # open movements (kind 0 restock, 1 order need), U undecided / A accepted / S stock
     kind = "decimal(20,4)"
-    state = needs.select("ingredient_id", "seq", F.lit(1).alias("kind"), F.lit("U").alias("st"),
-                         (-F.col("need")).cast(kind).alias("v"))
-    opening = ingredients.join(needs.select("ingredient_id").distinct(), "ingredient_id",
-                               "right").select(
+    state = contended.select("ingredient_id", "seq", F.lit(1).alias("kind"), F.lit("U").alias("st"),
+                             (-F.col("need")).cast(kind).alias("v"))
+    used = contended.select("ingredient_id").distinct()
+    opening = ingredients.join(used, "ingredient_id", "right").select(
         "ingredient_id", F.coalesce("quantity", F.lit(0)).cast(kind).alias("base"))
     if rs is not None:
-        used = needs.select("ingredient_id").distinct()
         state = state.unionByName(rs.join(used, "ingredient_id", "left_semi").select(
             "ingredient_id", "seq", F.lit(0).alias("kind"), F.lit("S").alias("st"),
             F.col("q").cast(kind).alias("v")))
-    # an order that needs no stock is accepted
-    done = cand.join(needs.select("seq").distinct(), "seq", "left_anti").select(
+    # an order that competes for nothing is accepted
+    done = cand.join(contended.select("seq").distinct(), "seq", "left_anti").select(
         "seq", F.lit("A").alias("st"))
-    rounds = []
+    rounds, before = [], None
     while True:
-        n = state.agg(F.count_if(F.col("st") == "U"), F.count(F.lit(1))).first()
-        if not n[0]:
+        n, n_open = state.agg(F.count(F.lit(1)), F.count_if(F.col("st") == "U")).first()
+        if not n_open:
             break
-        rounds.append(n[1])
+        rounds.append(n)
         run = running_total(
             state.withColumn("v_up", F.when(F.col("st") == "U", F.lit(0).cast(kind))
                              .otherwise(F.col("v"))),
@@ -169,16 +215,18 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
             "seq", "ingredient_id", (-F.col("v")).alias("need"),
             (F.col("base") + F.col("low_run")).alias("low"),          # own need included
             (F.col("base") + F.col("up_run")).alias("up"))            # before the own need
+        if n_open <= serial_rows or len(rounds) > BOUND_ROUNDS or (before is not None and n_open > before / 2):
+            und = cut_lineage(und)
+            rest = cut_lineage(_decide_in_order(_conflicts(und, serial_rows, n_open)))
+            free = und.select("seq").distinct().join(rest, "seq", "left_anti")
+            done = done.unionByName(rest).unionByName(free.select("seq", F.lit("A").alias("st")))
+            break
+        before = n_open
         verdict = und.groupBy("seq").agg(F.min("low").alias("_lo"),
                                          F.min(F.col("up") - F.col("need")).alias("_up"))
-        decided = verdict.select(
-            "seq", F.when(F.col("_lo") >= 0, "A").when(F.col("_up") < 0, "R").alias("st")) \
-            .filter(F.col("st").isNotNull())
-        if len(rounds) > 1 or n[0] <= serial_rows:
-            last = und.select("seq").orderBy("seq").limit(serial_rows).agg(F.max("seq")).first()[0]
-            prefix = und.filter(F.col("seq") <= last).select("seq", "ingredient_id", "need", "up")
-            decided = _decide_in_order(prefix).unionByName(decided.filter(F.col("seq") > last))
-        decided = cut_lineage(decided)
+        decided = cut_lineage(verdict.select(
+            "seq", F.when(F.col("_lo") >= 0, "A").when(F.col("_up") < 0, "R").alias("st"))
+            .filter(F.col("st").isNotNull()))
         done = done.unionByName(decided)
         state = (state.join(decided.withColumnRenamed("st", "_new"), "seq", "left")
                       .withColumn("st", F.when(F.col("st") == "U", F.coalesce("_new", "st"))
@@ -195,14 +243,15 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
                    .select("ingredient_id",
                            (F.col("base") + F.coalesce("_v", F.lit(0))).cast(kind).alias("base")))
         state = state.filter(F.col("seq") >= F.col("_f")).drop("_f")
-    status = done
+    status = cut_lineage(done)
 
     outcome = (req.join(status, "seq", "left")
                   .withColumn("reason", F.coalesce(
                       "reason", F.when(F.col("st") == "R", F.lit("not enough stock"))))
                   .withColumn("accepted", F.col("reason").isNull()))
     acc = outcome.filter("accepted")
-    acc = assign_ids(acc, ["seq"], start=next_id_base(orders, "order_id"), out="order_id")
+    acc = assign_ids(acc, ["seq"], out="order_id",
+                     start=next_id_base(orders, "order_id") if first_order_id is None else first_order_id)
 
     def new_orders():
         waiter = first_waiter(employees).select("employee_id").scalar()  # scalar subquery
@@ -215,9 +264,9 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
         lines_ = (lj.join(acc.select("seq", "order_id"), "seq")
                     .select("order_id", "menu_id", F.col("qty").cast("int").alias("quantity"),
                             X.to_money("unit_price").alias("price"), "seq"))
-        return assign_ids(lines_, ["seq", "menu_id"],
-                          start=next_id_base(order_items, "order_item_id"),
-                          out="order_item_id").drop("seq")
+        return assign_ids(lines_, ["seq", "menu_id"], out="order_item_id",
+                          start=next_id_base(order_items, "order_item_id") if first_line_id is None
+                          else first_line_id).drop("seq")
 
     def stock_after():
         used = (needs.join(acc.select("seq"), "seq", "left_semi")
@@ -254,6 +303,29 @@ class Placement:
         return self._parts[key]
 
 
+def commit_orders(store: Store, requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
+                  employees: DataFrame, batch: str, restocks: DataFrame | None = None, attempts: int = 5) -> int:
+    """T3 with one commit (S9): place ``requests`` against the newest ``ingredients`` of the store
+    and make its new ``orders``, ``order_items`` and stock visible together, with the outcomes
+    in table ``outcomes``; the number of the commit.
+
+    Ids go on from the highest ever given out (W2).  If another writer changed the stock or
+    the ids meanwhile, the requests are placed again on what that one left; a batch
+    that is already committed changes nothing.
+    """
+    def job(s):
+        if batch in s.batches:
+            return {"batch": batch}
+        ids = {"orders": s.next_id("orders", "order_id"), "order_items": s.next_id("order_items", "order_item_id")}
+        p = place_orders(requests, menu_items, recipes, s.read("ingredients"), employees, s.read("orders"),
+                         s.read("order_items"), restocks, first_order_id=ids["orders"], first_line_id=ids["order_items"])
+        orders, lines = cut_lineage(p["orders"]), cut_lineage(p["order_items"])
+        last = {"orders": ids["orders"] - 1 + orders.count(), "order_items": ids["order_items"] - 1 + lines.count()}
+        return {"append": {"orders": orders, "order_items": lines, "outcomes": p["outcomes"]},
+                "replace": {"ingredients": p["ingredients"]}, "last_ids": last, "batch": batch}
+    return store.transact(job, attempts)
+
+
 # ------------------------------------------------------------------ T6
 
 def price_as_of(lines: DataFrame, price_log: DataFrame, chunk_seconds: int | None = None) -> DataFrame:

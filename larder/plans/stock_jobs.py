@@ -11,7 +11,7 @@ from larder.operators import stock as T
 from larder.plans.oracle_sql import PREFIX
 from larder.plans.registry import SQL, register
 from larder.session import scratch_path
-from larder.sources import catalog, sinks, testdata
+from larder.sources import catalog, commits, sinks, testdata
 from larder.streaming import stock_stream as S
 
 D = "AS DOUBLE)"
@@ -117,14 +117,26 @@ FROM outc"""
 
 
 def _placed(t):
-    opening = T.apply_purchases(t.ingredients, t.purchases)
-    return T.place_orders(order_requests(t), t.menu_items, t.recipes, opening, t.employees,
-                          t.orders, t.order_items)
+    """The tables after one committed run of order admission over all carts.  The run is
+    made once for a set of tables; the keys below read what it committed."""
+    if "_placed" not in t._cache:
+        store = commits.Store(t.spark, _run_dir(t, "placed"))
+        opening = T.apply_purchases(t.ingredients, t.purchases)
+        store.commit(store.snapshot(), replace={"ingredients": opening, "orders": t.orders, "order_items": t.order_items})
+        T.commit_orders(store, order_requests(t), t.menu_items, t.recipes, t.employees, batch="carts")
+        t._cache["_placed"] = store
+    return t._cache["_placed"].snapshot()
+
+
+def _new(t, table, key):
+    """Rows of ``table`` that the run added: ids above those that the table had."""
+    had = t.orders if table == "orders" else t.order_items
+    return _placed(t).read(table).filter(F.col(key) > had.select(F.max(key)).scalar())
 
 
 @register("place_orders", _T3_SELECT, extra_ctes=_T3_EXTRA)
 def _place_orders(t):
-    return _placed(t)["outcomes"]
+    return _placed(t).read("outcomes")
 
 
 _T3_IDS = _T3_EXTRA + """,
@@ -138,7 +150,7 @@ SELECT order_id, customer_id,
        ts AS order_date, 'Pending' AS status, CAST(total {D} AS total_amount FROM acc""",
           extra_ctes=_T3_IDS)
 def _place_orders_orders(t):
-    return _placed(t)["orders"]
+    return _new(t, "orders", "order_id")
 
 
 @register("place_orders_lines", f"""
@@ -149,8 +161,8 @@ SELECT (SELECT max(order_item_id) FROM order_items) + row_number() OVER (ORDER B
 FROM acc a JOIN lines l ON l.seq = a.seq JOIN menu_items m ON m.menu_id = l.menu_id""",
           extra_ctes=_T3_IDS)
 def _place_orders_lines(t):
-    return _placed(t)["order_items"].select("order_item_id", "order_id", "menu_id", "quantity",
-                                            "price")
+    return _new(t, "order_items", "order_item_id").select("order_item_id", "order_id", "menu_id", "quantity",
+                                                          "price")
 
 
 @register("place_orders_stock", f"""
@@ -162,7 +174,7 @@ LEFT JOIN (SELECT ingredient_id, sum(quantity) AS q FROM purchases GROUP BY 1) p
 LEFT JOIN (SELECT n.ingredient_id, sum(n.need) AS used FROM needs n JOIN acc ON acc.seq = n.seq
            GROUP BY 1) u ON u.ingredient_id = i.ingredient_id""", extra_ctes=_T3_IDS)
 def _place_orders_stock(t):
-    return _placed(t)["ingredients"].select("ingredient_id", "quantity")
+    return _placed(t).read("ingredients").select("ingredient_id", "quantity")
 
 
 @register("price_as_of", f"""
