@@ -1,19 +1,20 @@
 """Data-quality audits (D1-D6): the database's keys and rules as batch jobs.
 
-Detail functions return violations as ``(table_name, rule, key, detail)``.
-Row-level rules (NOT NULL, CHECK, VARCHAR length) of one table are evaluated
-in a single scan: each row gets the array of rules it breaks, and only rows
-with a non-empty array are exploded.  UNIQUE is a group-by on the key (NULL
-keys exempt); FOREIGN KEY is a left-anti join of non-NULL child keys against
-the parent keys.  ``summary`` gives one row per rule with its count, zero
-included, from one conditional-aggregate scan per table.
+Every table is read once: a row gives one fact per row-level rule that it breaks
+(NOT NULL, CHECK, VARCHAR length), per UNIQUE key that it holds (NULL keys exempt),
+per FOREIGN KEY value that it refers to, and per foreign key that it is a parent of.
+One aggregate over the facts of all tables (a key's facts are added up
+map-side first) tells which keys are held twice and which references have no parent row.
+``summary`` gives one row per rule with its count, zero included; detail functions
+return violations as ``(table_name, rule, key, detail)``.  ``append_violations`` checks a
+batch of new rows against what is stored, before it is appended.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from larder.schemas import ORDER_STATUSES, SCHEMAS, USER_ROLES, VARCHAR_LIMITS
@@ -96,8 +97,7 @@ def _key_text(cols: list[str]) -> Column:
 def row_violations(df: DataFrame, table: str, rules: list[tuple[str, Column]]) -> DataFrame:
     """Violations of row-level rules in one scan of ``df``."""
     if not rules:
-        return df.sparkSession.createDataFrame([], "table_name string, rule string, key string, "
-                                                   "detail string")
+        return df.sparkSession.createDataFrame([], VIOLATIONS)
     broken = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]),
                       lambda x: x.isNotNull())
     pk = PRIMARY_KEY[table]
@@ -107,78 +107,164 @@ def row_violations(df: DataFrame, table: str, rules: list[tuple[str, Column]]) -
                       F.lit(None).cast("string").alias("detail")))
 
 
+VIOLATIONS = "table_name string, rule string, key string, detail string"
+KINDS = ("not_null", "check", "length", "unique", "fk")
+
+
+def _unique_name(key: list[str]) -> str:
+    return "unique:" + ",".join(key)
+
+
+def _fk_name(col: str, parent: str, parent_col: str) -> str:
+    return f"fk:{col}->{parent}.{parent_col}"
+
+
+def rules_of(tables: dict[str, DataFrame], kinds=KINDS) -> list[tuple[str, str]]:
+    """(table, rule) of every rule over the given tables."""
+    out = []
+    for t in tables:
+        if t in SCHEMAS:
+            out += [(t, name) for name, _ in row_rules(t, kinds)]
+            if "unique" in kinds:
+                out += [(t, _unique_name(k)) for k in UNIQUE_KEYS[t]]
+    if "fk" in kinds:
+        out += [(c, _fk_name(col, p, pc)) for c, col, p, pc in FOREIGN_KEYS if c in tables and p in tables]
+    return out
+
+
+def facts(tables: dict[str, DataFrame], kinds=KINDS) -> DataFrame:
+    """(table_name, rule, k, n, parent): what the rows of all tables say about the rules, one scan
+    per table.  ``k`` is the key (columns as text), null for row-level rules."""
+    def fact(table: str, rule: str, k: Column | None, parent: int, when: Column) -> Column:
+        k = F.lit(None).cast("array<string>") if k is None else k
+        return F.when(when, F.struct(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), k.alias("k"),
+                                     F.lit(1 - parent).cast("long").alias("n"), F.lit(parent).alias("parent")))
+
+    def text(cols: list[str]) -> Column:
+        return F.array(*[F.col(c).cast("string") for c in cols])
+    parts = []
+    for t, df in tables.items():
+        if t not in SCHEMAS:
+            continue
+        out = [fact(t, name, None, 0, cond) for name, cond in row_rules(t, kinds)]
+        if "unique" in kinds:
+            out += [fact(t, _unique_name(key), text(key), 0, reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key]))
+                    for key in UNIQUE_KEYS[t]]
+        if "fk" in kinds:
+            for c, col, p, pc in FOREIGN_KEYS:
+                if c in tables and p in tables:
+                    if t == c:
+                        out.append(fact(c, _fk_name(col, p, pc), text([col]), 0, F.col(col).isNotNull()))
+                    if t == p:
+                        out.append(fact(c, _fk_name(col, p, pc), text([pc]), 1, F.col(pc).isNotNull()))
+        if out:
+            said = F.filter(F.array(*out), lambda x: x.isNotNull())
+            parts.append(df.select(F.explode(said).alias("f")).select("f.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _broken(found: DataFrame) -> DataFrame:
+    """Keys that break a UNIQUE or FOREIGN KEY rule, and row-level rules that are broken; ``n`` rows each."""
+    g = found.groupBy("table_name", "rule", "k").agg(F.sum("n").alias("n"), F.max("parent").alias("parent"))
+    unique, fk = F.col("rule").startswith("unique:"), F.col("rule").startswith("fk:")
+    return g.filter(F.when(unique, F.col("n") > 1).when(fk, (F.col("parent") == 0) & (F.col("n") > 0))
+                     .otherwise(F.col("n") > 0))
+
+
+def _key_violations(tables: dict[str, DataFrame], kinds=("unique", "fk")) -> DataFrame:
+    """D2, D4 with their keys: duplicated values once, and every child row without a parent."""
+    bad = _broken(facts(tables, kinds))
+    out = bad.filter(F.col("rule").startswith("unique:")).select(
+        "table_name", "rule", F.concat_ws("|", "k").alias("key"), F.format_string("%d rows", F.col("n")).alias("detail"))
+    refs = []
+    for t, df in tables.items():
+        own = [(_fk_name(col, p, pc), col) for c, col, p, pc in FOREIGN_KEYS if c == t and p in tables]
+        if own and "fk" in kinds:
+            ref = F.filter(F.array(*[F.when(F.col(col).isNotNull(), F.struct(
+                F.lit(name).alias("rule"), F.col(col).cast("string").alias("value"))) for name, col in own]),
+                lambda x: x.isNotNull())
+            refs.append(df.select(F.lit(t).alias("table_name"), _key_text(PRIMARY_KEY[t]).alias("key"),
+                                  F.explode(ref).alias("r")).select("table_name", "key", "r.rule", "r.value"))
+    if not refs:
+        return out
+    dangling = bad.filter(F.col("rule").startswith("fk:")).select("table_name", "rule", F.col("k")[0].alias("value"))
+    rows = reduce(DataFrame.unionByName, refs).join(dangling, ["table_name", "rule", "value"], "left_semi")
+    return out.unionByName(rows.select("table_name", "rule", "key", F.col("value").alias("detail")))
+
+
 def unique_violations(df: DataFrame, table: str, key: list[str]) -> DataFrame:
     """Key values held by more than one row (NULL keys exempt)."""
-    nn = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
-    dup = df.filter(nn).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return dup.select(F.lit(table).alias("table_name"),
-                      F.lit("unique:" + ",".join(key)).alias("rule"),
-                      _key_text(key).alias("key"),
-                      F.format_string("%d rows", F.col("n")).alias("detail"))
+    return _key_violations({table: df}, ("unique",)).filter(F.col("rule") == _unique_name(key))
 
 
 def foreign_key_violations(child: DataFrame, parent: DataFrame, table: str, col: str,
                            parent_table: str, parent_col: str) -> DataFrame:
     """Child rows whose non-NULL reference has no parent row."""
-    p = parent.select(F.col(parent_col).alias(col)).distinct()
-    bad = child.filter(F.col(col).isNotNull()).join(p, col, "left_anti")
-    return bad.select(F.lit(table).alias("table_name"),
-                      F.lit(f"fk:{col}->{parent_table}.{parent_col}").alias("rule"),
-                      _key_text(PRIMARY_KEY[table]).alias("key"),
-                      F.col(col).cast("string").alias("detail"))
+    return _key_violations({table: child, parent_table: parent}, ("fk",)).filter(
+        (F.col("table_name") == table) & (F.col("rule") == _fk_name(col, parent_table, parent_col)))
 
 
 def all_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """Every rule over every table, as one frame of violations."""
     parts = [row_violations(df, t, row_rules(t)) for t, df in tables.items() if t in SCHEMAS]
-    parts += [unique_violations(tables[t], t, k) for t, keys in UNIQUE_KEYS.items()
-              if t in tables for k in keys]
-    parts += [foreign_key_violations(tables[c], tables[p], c, col, p, pc)
-              for c, col, p, pc in FOREIGN_KEYS if c in tables and p in tables]
-    return reduce(DataFrame.unionByName, parts)
-
+    return reduce(DataFrame.unionByName, [*parts, _key_violations(tables)])
 
-# ---- per-rule counts (zero included) ----
 
-def row_rule_summary(df: DataFrame, table: str, rules: list[tuple[str, Column]]) -> DataFrame:
-    """One conditional-aggregate scan -> (table_name, rule, violations) per rule."""
-    aggs = [F.count_if(cond).alias(f"r{i}") for i, (_, cond) in enumerate(rules)]
-    wide = df.agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("n"))
-                      for i, (name, _) in enumerate(rules)])
-    return wide.select(F.explode(pairs).alias("p")).select(
-        F.lit(table).alias("table_name"), "p.rule", F.col("p.n").cast("long").alias("violations"))
+def summary(tables: dict[str, DataFrame], kind: str) -> DataFrame:
+    """Per-rule counts (zero included) for one rule kind: not_null, unique, check, fk, length.
+    A duplicated key value counts once, a dangling reference once per row."""
+    if kind not in KINDS:
+        raise ValueError(kind)
+    rules = rules_of(tables, (kind,))
+    spark = next(iter(tables.values())).sparkSession
+    every = spark.createDataFrame(rules, "table_name string, rule string")     # one row per rule
+    bad = _broken(facts(tables, (kind,)))
+    n = bad.groupBy("table_name", "rule").agg(F.sum(F.lit(1) if kind == "unique" else F.col("n")).alias("n"))
+    return every.join(n, ["table_name", "rule"], "left").select(
+        "table_name", "rule", F.coalesce("n", F.lit(0)).cast("long").alias("violations"))
 
 
-def unique_summary(df: DataFrame, table: str, key: list[str]) -> DataFrame:
-    """Number of duplicated key values for one UNIQUE key."""
-    v = unique_violations(df, table, key)
-    return v.agg(F.count(F.lit(1)).cast("long").alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit("unique:" + ",".join(key)).alias("rule"),
-        "violations")
+# ---- checks at write time ----
 
+def append_violations(new: DataFrame, table: str, stored: dict[str, DataFrame]) -> DataFrame:
+    """Violations that appending ``new`` to ``table`` would add: row-level rules and
+    references of the new rows, and keys that they hold twice or that a stored row holds.
 
-def foreign_key_summary(child, parent, table, col, parent_table, parent_col) -> DataFrame:
-    v = foreign_key_violations(child, parent, table, col, parent_table, parent_col)
-    return v.agg(F.count(F.lit(1)).cast("long").alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit(f"fk:{col}->{parent_table}.{parent_col}")
-        .alias("rule"), "violations")
+    The cost follows the batch: of the stored tables only keys between the batch's
+    least and greatest are read (min and max of row groups skip the rest of a file
+    sorted or appended by key), and of those only keys of the batch are joined.
+    """
+    def near(df: DataFrame, cols: list[str], keys: DataFrame, theirs: list[str]) -> DataFrame:
+        """Key columns of the rows of ``df`` that have a key of the batch."""
+        lo_hi = keys.agg(F.min(theirs[0]), F.max(theirs[0])).first()
+        d = df.select(*cols)
+        d = d.filter(F.lit(False)) if lo_hi[0] is None else d.filter(F.col(cols[0]).between(*lo_hi))
+        k = keys.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(theirs)]).distinct()
+        same = [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(cols)]
+        return d.join(k, reduce(lambda a, b: a & b, same), "left_semi")
+    parts = [row_violations(new, table, row_rules(table))]
+    for key in UNIQUE_KEYS[table]:
+        nn = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+        mine = new.filter(nn)
+        held = mine.select(*key).unionByName(near(stored[table], key, mine, key))
+        dup = held.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        parts.append(dup.select(F.lit(table).alias("table_name"), F.lit(_unique_name(key)).alias("rule"),
+                                _key_text(key).alias("key"), F.format_string("%d rows", F.col("n")).alias("detail")))
+    for c, col, p, pc in FOREIGN_KEYS:
+        if c == table and p in stored:
+            refs = new.filter(F.col(col).isNotNull())
+            there = near(stored[p], [pc], refs, [col]).select(F.col(pc).alias(col)).distinct()
+            bad = refs.join(there, col, "left_anti")
+            parts.append(bad.select(F.lit(table).alias("table_name"), F.lit(_fk_name(col, p, pc)).alias("rule"),
+                                    _key_text(PRIMARY_KEY[table]).alias("key"), F.col(col).cast("string").alias("detail")))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def summary(tables: dict[str, DataFrame], kind: str) -> DataFrame:
-    """Per-rule counts for one rule kind: not_null, unique, check, fk, length."""
-    if kind in ("not_null", "check", "length"):
-        parts = [row_rule_summary(df, t, row_rules(t, (kind,)))
-                 for t, df in tables.items() if t in SCHEMAS and row_rules(t, (kind,))]
-    elif kind == "unique":
-        parts = [unique_summary(tables[t], t, k) for t, keys in UNIQUE_KEYS.items()
-                 if t in tables for k in keys]
-    elif kind == "fk":
-        parts = [foreign_key_summary(tables[c], tables[p], c, col, p, pc)
-                 for c, col, p, pc in FOREIGN_KEYS if c in tables and p in tables]
-    else:
-        raise ValueError(kind)
-    return reduce(DataFrame.unionByName, parts)
+def observed(df: DataFrame, table: str) -> tuple[DataFrame, Observation]:
+    """``df`` with counts of broken row-level rules gathered while it is written, and the observation
+    that has them afterwards (rule -> rows)."""
+    seen = Observation(f"rules-{table}")
+    return df.observe(seen, *[F.count_if(cond).alias(name) for name, cond in row_rules(table)]), seen
 
 
 # ---- D5: form rules on change inputs ----

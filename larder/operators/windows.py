@@ -68,18 +68,17 @@ HOT_ROWS = 1 << 20        # rows of one key that one task's window may sort
 def split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, rows of keys above ``hot_rows`` or None).
 
-    The frame is checkpointed once, the rows per key are counted on that copy
-    (one partial aggregate), and the hot keys (at most rows / ``hot_rows``)
-    split it.  Which way a key goes never changes its result.
+    Rows per key are counted over the pruned key columns (one partial aggregate; nothing of the
+    frame is written), and the hot keys (at most rows / ``hot_rows``) split it.  Without
+    a hot key the frame goes on as it is.  Which way a key goes never changes its result.
     """
     from larder.session import cut_lineage
-    d = cut_lineage(df)
-    hot = cut_lineage(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-                       .filter(F.col("_n") > hot_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
-    if not hot.limit(1).count():
-        return d, None
-    same = [d[k].eqNullSafe(hot[f"_h_{k}"]) for k in keys]
-    return d.join(hot, same, "left_anti"), d.join(hot, same, "left_semi")
+    counts = df.groupBy(*[F.col(k).alias(f"_h_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut_lineage(counts.filter(F.col("_n") > hot_rows).drop("_n"))
+    if hot.isEmpty():
+        return df, None
+    same = [df[k].eqNullSafe(hot[f"_h_{k}"]) for k in keys]
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 
 
 def running_total(df: DataFrame, keys, order: list[str], value, chunk: Column | None = None,
