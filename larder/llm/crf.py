@@ -218,7 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         text_col: str = "text", per_class: int = PER_CLASS, steps: int = 40) -> Model:
     """Fit on labelled rows that are not held out (crc32(id) mod 5 is not 0): the
     ties of features to toxic documents over all of them, the field's weights on
-    a sample bounded by ``per_class`` rows a class (texts up to 64 KB).  Labels of
+    a sample bounded by ``per_class`` rows a class (texts above 64 KB are a stratum of their
+    own, bounded by 8 MB a class).  Labels of
     one class only, or none, give the share of label 1 as every score.
 
     Bias, tag pairs and the weights of the ties are fitted first and then kept, so a
@@ -234,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         return Model(np.zeros(SLOTS, np.float32), 0.0, np.zeros((2, 2)),
                      np.array([0.0, 0.0, np.log(share / (1 - share))]))
     tie = tie_levels(counts, n)
-    arr = pa.array([t.decode() for t in texts], pa.large_string())
+    arr = pa.array([bytes(texts[i]).decode() for i in range(len(texts))], pa.large_string())
+    del texts
     parts, used = [], np.zeros(SLOTS, bool)
     for lo, hi in block_ranges(arr, FIT_TEXT):
         _, _, _, _, bounds, slots = tokens(arr.slice(lo, hi - lo))

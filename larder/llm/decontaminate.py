@@ -10,6 +10,8 @@ part below the limit, so the result is the same at every benchmark size.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,10 +37,11 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
     """Distinct (words, items): each window's words joined by spaces, with the
     sorted ids (as strings) of the items that hold it.
 
-    Items without a word (null, empty, only separators) have no window; a null
-    item id is left out.  Repeated items fold into one.
+    Items without a word (null, empty, only separators) have no window.  An item
+    with a null id has windows like any other (they hit and are removed); only its id is in no
+    list.  Repeated items fold into one.
     """
-    b = only(benchmark, item=F.col(id_col).cast("string"), text=text_col).filter("item is not null")
+    b = only(benchmark, item=F.col(id_col).cast("string"), text=text_col)
     words = b.select("item", F.regexp_extract_all(
         F.translate("text", _UPPER, _LOWER), F.lit(_WORD), F.lit(0)).alias("w")).filter("size(w) > 0")
     at = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
@@ -113,7 +116,7 @@ def scan(docs: DataFrame, windows: DataFrame, text_col: str = "text", out: str =
     spark = docs.sparkSession
     n = windows.count()
     parts = max(1, -(-n // max_windows)) if n <= max_windows else 2 * -(-n // max_windows)
-    names = []
+    names, run = [], uuid.uuid4().hex          # names that no column of the input has
     for p in range(parts):
         part = windows if parts == 1 else windows.filter(F.pmod(F.xxhash64("words"), F.lit(parts)) == p)
         held = spark.sparkContext.broadcast([(r.words, r["items"]) for r in part.collect()])
@@ -121,7 +124,7 @@ def scan(docs: DataFrame, windows: DataFrame, text_col: str = "text", out: str =
         def make(held=held):
             known = _Set(held.value)
             return known.column
-        names.append(f"__hits_{p}")
+        names.append(f"hits_{run}_{p}")
         docs = docs.withColumn(names[-1], block_udf(f"struct<{_ddl(RESULT)}>", make)(F.col(text_col)))
     whole = F.struct(F.col(f"{names[0]}.n_words").alias("n_words"),
                      F.concat(*[F.col(f"{c}.hits") for c in names]).alias("hits"))
@@ -162,7 +165,7 @@ def _n_hit(hits: str):
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                      text_col: str = "text") -> DataFrame:
     """``docs`` without those that hold any benchmark window; columns as they were."""
-    tag = "__contamination"
+    tag = f"contamination_{uuid.uuid4().hex}"
     return scan(docs, benchmark_windows(benchmark, window), text_col, tag).filter(
         F.size(f"{tag}.hits") == 0).drop(tag)
 
@@ -190,7 +193,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 t = (b"".join(keep) + data[at:]).decode()
             out.append(t)
         return pa.array(out, pa.string())
-    tag = "__contamination"
+    tag = f"contamination_{uuid.uuid4().hex}"
     return scan(docs, benchmark_windows(benchmark, window), text_col, tag).withColumn(
         text_col, F.when(F.size(f"{tag}.hits") == 0, F.col(text_col)).otherwise(
             cut(F.col(text_col), F.col(f"{tag}.hits")))).drop(tag)
@@ -203,7 +206,7 @@ def sql(documents: str = "documents", benchmark: str = "benchmark") -> str:
                 rf"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words("coalesce(text, '')")} AS w FROM {documents}),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words("text")} AS w FROM {benchmark} WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words("text")} AS w FROM {benchmark}),
 bw AS (SELECT DISTINCT item, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS x, least(len(w), {WINDOW}) AS k
        FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 ks AS (SELECT DISTINCT k FROM bw),

@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.text import batch_udf, block_ranges, only, remainder, remove
 from larder.session import scratch_path
 
-MAX_TEXT = 1 << 16     # longest text in bytes that the fitting sample takes
+LONG_VALUE = 1 << 16   # sample values above so many bytes are a stratum of their own,
+LONG_BYTES = 8 << 20   # of which a class gives so many bytes (one row at least), by smallest hash
 FILTER_BITS = 1 << 25  # bits of the filter of labelled ids
 
 
@@ -51,8 +52,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     known = known.withColumn("fit", point < share)
     d = only(docs, id=id_col, text=text_col).filter("id is not null")
     d = maybe_labelled(d, known.select("id"))
-    # the texts are not sorted for the join; labels are the small, hashed side
-    return d.join(known.hint("shuffle_hash"), "id").select(
+    return d.join(known, "id").select(
         F.coalesce("text", F.lit("")).alias("text"), "y", "fit")
 
 
@@ -61,7 +61,7 @@ STATS = "slot int, n0 long, n1 long, y int, sample binary"
 
 def statistics(rows: DataFrame, slots: int,
                features: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]],
-               sample: Callable[[pa.Array], list[bytes]]) -> tuple[np.ndarray, np.ndarray, list, list]:
+               sample: Callable[[pa.Array], list[bytes]]) -> tuple[np.ndarray, np.ndarray, list, "_Sample"]:
     """Documents per feature slot and class over all of ``rows`` (one pass), and
     the sample of the rows marked ``fit``.
 
@@ -84,12 +84,12 @@ def statistics(rows: DataFrame, slots: int,
                     counts[c] += np.bincount(slot[of == c], minlength=slots)
                     docs[c] += int((y[lo:hi] == c).sum())
             few = np.flatnonzero(fit)
-            few = [i for i in few.tolist() if len(text[i].as_py().encode()) <= MAX_TEXT]
-            if few:
-                m = len(few)
+            chosen = text.take(pa.array(few))
+            for lo, hi in block_ranges(chosen):
+                m = hi - lo
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
-                     pa.array(y[few], pa.int32()), pa.array(sample(text.take(pa.array(few))), pa.binary())],
+                     pa.array(y[few[lo:hi]], pa.int32()), pa.array(sample(chosen.slice(lo, m)), pa.binary())],
                     names=["slot", "n0", "n1", "y", "sample"])
         at = np.flatnonzero(counts.sum(axis=0))
         slot = np.concatenate([at, [-1]])
@@ -109,10 +109,39 @@ def statistics(rows: DataFrame, slots: int,
     counts = np.zeros((2, slots), np.int64)
     counts[:, slot[slot >= 0]] = n[:, slot >= 0]
     docs = n[:, slot == -1].sum(axis=1)
-    s = out.filter("y is not null").select("y", "sample").toArrow().to_pylist()
-    s.sort(key=lambda r: (r["y"], r["sample"]))      # the order of arrival must not matter
+    few = _Sample(out.filter("y is not null"))
     remove(rows.sparkSession, path)
-    return counts, docs, [r["y"] for r in s], [r["sample"] for r in s]
+    return counts, docs, few.y, few
+
+
+class _Sample:
+    """The sample's values in one flat buffer: no object per row, read where it is used."""
+
+    def __init__(self, rows: DataFrame):
+        """``rows`` (y, sample): all values up to LONG_VALUE bytes, and of the longer ones those
+        with the smallest hashes, LONG_BYTES a class (one row at least).  Their order does
+        not depend on the order of arrival."""
+        r = rows.select("y", "sample", F.octet_length("sample").cast("long").alias("size"),
+                        F.xxhash64("sample").alias("h"))
+        first = Window.partitionBy("y").orderBy("h", "sample")        # at most the sample's rows of a class
+        long = (r.filter(F.col("size") > LONG_VALUE)
+                 .withColumn("k", F.row_number().over(first))
+                 .withColumn("sum", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0)))
+                 .filter((F.col("sum") <= LONG_BYTES) | (F.col("k") == 1)).select(*r.columns))
+        taken = r.filter(F.col("size") <= LONG_VALUE).unionByName(long).orderBy("y", "h", "sample")
+        self.y: list[int] = []
+        data, offs = bytearray(), [0]
+        for y, sample in taken.select("y", "sample").toLocalIterator():
+            self.y.append(y)
+            data += sample
+            offs.append(len(data))
+        self.data, self.offs = data, offs
+
+    def __len__(self) -> int:
+        return len(self.y)
+
+    def __getitem__(self, i: int) -> memoryview:
+        return memoryview(self.data)[self.offs[i]:self.offs[i + 1]]
 
 
 def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:

@@ -10,6 +10,7 @@ before it.  They are hashed into ``SLOTS`` slots.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.labelled import platt, sigmoid, statistics, training_rows
-from larder.llm.text import (LOWER, NON_SPACE, SpanHash, block_udf, mix, only, per_doc, remainder, runs,
+from larder.llm.text import (LOWER, NON_SPACE, SpanHash, block_udf, give_back, mix, only, per_doc, remainder, runs,
                              utf8, window_hash, window_ok)
 
 SLOTS = 1 << 18
@@ -70,7 +71,23 @@ def _pack(arr: pa.Array) -> list[bytes]:
     return [slot[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:])]
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, c: np.ndarray,
+class Cases:
+    """Rows of unit length (slots, values) over a packed sample, made where they are used."""
+
+    def __init__(self, packed, ratio: np.ndarray, only=None):
+        self.packed, self.ratio = packed, ratio
+        self.only = range(len(packed)) if only is None else only
+
+    def __len__(self) -> int:
+        return len(self.only)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.frombuffer(self.packed[self.only[i]], "<i4")
+        x = self.ratio[at].astype(np.float64)
+        return at, x / max(float(np.sqrt(x @ x)), 1e-9)
+
+
+def dual_coordinate_descent(rows, y: np.ndarray, c: np.ndarray,
                             slots: int, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
     """L1-loss linear support vector machine: max over 0 <= alpha_i <= c_i of the
     dual, one coordinate at a time in random order; w is kept up to date.
@@ -116,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     """Fit on the labelled rows that are not held out (crc32(id) mod 5 is not 0).
 
     Log-count ratios use all of them; the hinge-loss weights and the
-    calibration use a sample bounded by ``per_class`` rows a class.  With
+    calibration use a sample bounded by ``per_class`` rows a class (rows with more than 16,384
+    distinct slots are a stratum of their own, bounded by 8 MB of slots a class).  With
     labels of one class only, or none, every score is the share of label 1
     (0.5 without labels).
     """
@@ -128,22 +146,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     if len(set(ys)) < 2:
         share = (n[1] + 1) / (n.sum() + 2)
         return Model(ratio, np.zeros(SLOTS, np.float32), 0.0, np.array([0.0, np.log(share / (1 - share))]))
-    cases = []
-    for b in packed:
-        at = np.frombuffer(b, "<i4")
-        x = ratio[at].astype(np.float64)
-        cases.append((at, x / max(float(np.sqrt(x @ x)), 1e-9)))
-    order = np.random.default_rng(3).permutation(len(cases))
-    test = np.zeros(len(cases), bool)
-    test[order[: len(cases) // 4]] = True                     # calibration rows
+    order = np.random.default_rng(3).permutation(len(packed))
+    test = np.zeros(len(packed), bool)
+    test[order[: len(packed) // 4]] = True                     # calibration rows
     if min(len(set(y[test])), len(set(y[~test]))) < 2:
         test[:] = False
     use = np.flatnonzero(~test)
-    w, bias = dual_coordinate_descent([cases[i] for i in use], y[use], np.ones(len(use)), SLOTS)
+    w, bias = dual_coordinate_descent(Cases(packed, ratio, use), y[use], np.ones(len(use)), SLOTS)
     check = np.flatnonzero(test) if test.any() else use
-    margin = np.array([float(w[at] @ x) + bias for at, x in (cases[i] for i in check)])
+    margin = np.array([float(w[at] @ x) + bias for at, x in (lambda c: (c[i] for i in range(len(c))))(Cases(packed, ratio, check))])
     share = np.array([n[int(v > 0)] / max(1, (y[check] == v).sum()) for v in y[check]])
     scale = platt(margin[:, None], (y[check] > 0).astype(float), share / share.mean())
+    del packed
+    give_back()                                # the sample, on the driver
     return Model(ratio, (w * ratio).astype(np.float32), bias, scale)
 
 
@@ -171,6 +186,6 @@ def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those scored below ``threshold``; columns as they were."""
-    tag = "__quality"
+    tag = f"quality_{uuid.uuid4().hex}"        # a name that no column of the input has
     return score(docs, fit(docs, labels, "quality", id_col, text_col), text_col, tag).filter(
         F.col(tag) >= threshold).drop(tag)

@@ -27,6 +27,8 @@ MAX_REPEAT = 50         # longest repeat in words that a document may hold
 BASE_MIN_WORDS = 50     # base rule: fewer words fail
 BASE_MAX_REPEAT = 0.5   # base rule: larger part in repeated 3-word windows fails
 
+LEVEL_ENTRIES = 1 << 23 # ranks that the levels of prefix doubling may hold; beyond, the LCP comes from the final order
+
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -52,9 +54,12 @@ def suffix_repeats(words: np.ndarray, doc: np.ndarray, stop: np.ndarray) -> np.n
     """Per word position, the longest repeat in its document that starts there.
 
     ``words``: word hashes; ``doc``: document of each word; ``stop``: end of
-    that document.  Prefix doubling keeps, per level k, the rank of every
+    that document.  Prefix doubling gives, per level k, the rank of every
     suffix by its first 2^k words; only suffixes whose rank is shared are
-    sorted again.  The LCP of neighbours follows from the levels, top down.
+    sorted again.  The LCP of neighbours follows from the levels, top down; where they
+    would take more than LEVEL_ENTRIES they are not kept, and the LCP follows
+    from the final order (a suffix shares at least one word less than the one
+    before it), so memory stays in proportion to the words.
     """
     n = len(words)
     best = np.zeros(n, np.int64)
@@ -65,7 +70,7 @@ def suffix_repeats(words: np.ndarray, doc: np.ndarray, stop: np.ndarray) -> np.n
     head = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    levels, step = [rank], 1
+    levels, step, words_of = [rank], 1, rank
     count = np.bincount(rank, minlength=n)
     active = np.flatnonzero(count[rank] > 1)
     while len(active):
@@ -82,11 +87,19 @@ def suffix_repeats(words: np.ndarray, doc: np.ndarray, stop: np.ndarray) -> np.n
         new = rank.copy()
         new[active] = rank[active] + group - base
         rank, step = new, 2 * step
-        levels.append(rank)
+        if levels and (len(levels) + 1) * n <= LEVEL_ENTRIES:
+            levels.append(rank)
+        else:
+            levels = []
         size = np.bincount(group, minlength=len(active))
         active = active[size[group] > 1]
     sa = np.empty(n, np.int64)
     sa[rank] = np.arange(n)
+    if not levels:
+        lcp = neighbour_lcp(sa, rank, words_of, stop)
+        np.maximum.at(best, sa[:-1], lcp)
+        np.maximum.at(best, sa[1:], lcp)
+        return best
     # neighbours that share a first word; longer prefixes level by level
     pair = np.flatnonzero(levels[0][sa[1:]] == levels[0][sa[:-1]])
     a, b = sa[:-1][pair], sa[1:][pair]
@@ -102,6 +115,28 @@ def suffix_repeats(words: np.ndarray, doc: np.ndarray, stop: np.ndarray) -> np.n
     return best
 
 
+def neighbour_lcp(sa: np.ndarray, rank: np.ndarray, word: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Words that each two neighbours of the suffix array share, in text order."""
+    n = len(sa)
+    out = np.zeros(n - 1, np.int64)
+    at, order, w, end, to = (memoryview(np.ascontiguousarray(x)) for x in (sa, rank, word, stop, out))
+    h, last = 0, -1
+    for i in range(n):
+        if end[i] != last:                    # another document
+            h, last = 0, end[i]
+        r = order[i]
+        if r == 0:
+            h = 0
+            continue
+        j = at[r - 1]
+        most = min(end[i] - i, end[j] - j)
+        while h < most and w[i + h] == w[j + h]:
+            h += 1
+        to[r - 1] = h
+        h = max(h - 1, 0)
+    return out
+
+
 def measure(arr: pa.Array, min_words: int = MIN_WORDS) -> pa.Array:
     """Counts and repeated spans of each text (null: no words)."""
     data, offs = utf8(arr)

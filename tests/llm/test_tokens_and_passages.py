@@ -99,9 +99,9 @@ def contamination(docs, items, window=10):
     wins = defaultdict(set)
     for i, t in items:
         w = WORD.findall(lower(t))
-        if i is not None and w:
+        if w:                                     # an item without id hits, but is in no list
             for j in range(max(1, len(w) - window + 1)):
-                wins[tuple(w[j:j + window])].add(str(i))
+                wins[tuple(w[j:j + window])].update([] if i is None else [str(i)])
     sizes = {len(k) for k in wins}
     out = []
     for i, t in docs:
