@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from larder.operators import changes as U
+from larder.operators import referential as R
 from larder.operators import windows as W
 from larder.plans.registry import register
+from larder.schemas import SCHEMAS
 
 D = "AS DOUBLE)"
 _ORDER_OUT = f"""o.order_id, o.customer_id, o.employee_id, o.order_date,
@@ -410,3 +414,49 @@ FROM purchases""")
 def _assign_ids(t):
     return W.assign_ids(t.purchases.select("purchase_id", "purchase_date"),
                         ["purchase_date", "purchase_id"]).select("purchase_id", "id")
+
+
+# ------------------------------------------------------------------ the graph of foreign keys
+
+_GRAPH = (("customers", "customer_id % 9 = 4"), ("orders", "order_id % 11 = 5"), ("suppliers", "supplier_id % 2 = 0"),
+          ("menu_items", "menu_id < 0"))
+
+
+def _state(statement: str, table: str, refs: str, frame: str) -> str:
+    """Rows, and NULLs in a reference column, of a table after a statement."""
+    return (f"SELECT '{statement}' AS statement, '{table}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows, "
+            f"CAST(count(*) - count({refs}) AS BIGINT) AS n_nulls FROM {frame}")
+
+
+@register("delete_graph", "\nUNION ALL\n".join([
+    _state("customers", "customers", "customer_id", "(SELECT * FROM customers WHERE NOT customer_id % 9 = 4)"),
+    _state("customers", "users", "customer_id",
+           "(SELECT * FROM users WHERE customer_id IS NULL OR NOT (customer_id % 9 = 4 AND customer_id IN (SELECT customer_id FROM customers)))"),
+    _state("customers", "orders", "customer_id",
+           "(SELECT CASE WHEN customer_id % 9 = 4 AND customer_id IN (SELECT customer_id FROM customers) THEN NULL "
+           "ELSE customer_id END AS customer_id FROM orders)"),
+    _state("orders", "orders", "order_id", "(SELECT * FROM orders WHERE NOT order_id % 11 = 5)"),
+    _state("orders", "order_items", "order_id",
+           "(SELECT * FROM order_items WHERE NOT (order_id % 11 = 5 AND order_id IN (SELECT order_id FROM orders)))"),
+    # refused if a purchase names one of the suppliers; then nothing changes
+    _state("suppliers", "suppliers", "supplier_id",
+           "(SELECT * FROM suppliers WHERE NOT supplier_id % 2 = 0 OR EXISTS (SELECT 1 FROM purchases WHERE supplier_id % 2 = 0 "
+           "AND supplier_id IN (SELECT supplier_id FROM suppliers)))"),
+    _state("suppliers", "ingredients", "supplier_id",
+           "(SELECT CASE WHEN supplier_id % 2 = 0 AND supplier_id IN (SELECT supplier_id FROM suppliers) AND NOT EXISTS "
+           "(SELECT 1 FROM purchases p WHERE p.supplier_id % 2 = 0 AND p.supplier_id IN (SELECT supplier_id FROM suppliers)) "
+           "THEN NULL ELSE supplier_id END AS supplier_id FROM ingredients)"),
+    _state("menu_items", "menu_items", "menu_id", "menu_items"),
+    _state("menu_items", "recipes", "menu_id", "recipes")]))
+def _delete_graph(t):
+    """Four delete statements, each on the tables as they are; the state of every table that it touches."""
+    tables = {n: getattr(t, n) for n in SCHEMAS}
+    refs = {"customers": "customer_id", "users": "customer_id", "suppliers": "supplier_id",
+            "ingredients": "supplier_id", "menu_items": "menu_id", "recipes": "menu_id", "order_items": "order_id"}
+    parts = []
+    for table, condition in _GRAPH:
+        for name, df in R.delete_where(tables, table, condition).tables.items():
+            ref = "order_id" if name == "orders" and table == "orders" else refs.get(name, "customer_id")
+            parts.append(df.agg(F.lit(table).alias("statement"), F.lit(name).alias("table_name"),
+                                F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(ref).isNull()).alias("n_nulls")))
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from larder.operators import changes as U
+from larder.operators import history as H
 from larder.operators import stock as T
 from larder.plans.oracle_sql import PREFIX
 from larder.plans.registry import SQL, register
@@ -188,9 +189,33 @@ l AS (SELECT oi.order_item_id, oi.menu_id, o.order_date
 v AS (SELECT l.*, (SELECT max(p.valid_from) FROM price_log p
                    WHERE p.menu_id = l.menu_id AND p.valid_from <= l.order_date) AS vf FROM l)""")
 def _price_as_of(t):
-    lines = t.order_items.select("order_item_id", "order_id", "menu_id").join(
-        t.orders.select("order_id", "order_date"), "order_id")
-    return T.price_as_of(lines, t.price_log)
+    return T.price_as_of(_dated_lines(t), t.price_log)
+
+
+def _dated_lines(t):
+    return t.order_items.select("order_item_id", "order_id", "menu_id").join(
+        t.orders.select("order_id", "order_date"), "order_id").drop("order_id")
+
+
+def _history(t):
+    """The price history after three batches of changes, the last of them late."""
+    at = F.year("valid_from")
+    h = H.build_history(t.price_log.filter(at < 1995))
+    for year in (1999, 1997):
+        h = H.merge_history(h, t.price_log.filter(at == year))
+    return h
+
+
+@register("price_history", f"""
+SELECT menu_id, valid_from, lead(valid_from) OVER (PARTITION BY menu_id ORDER BY valid_from) AS valid_to,
+       CAST(price {D} AS price, CAST(discount {D} AS discount, is_available FROM price_log""")
+def _price_history(t):
+    return _history(t)
+
+
+@register("price_from_history", SQL["price_as_of"].removeprefix(PREFIX))
+def _price_from_history(t):
+    return H.price_from_history(_dated_lines(t), _history(t))
 
 
 # ------------------------------------------------------------------ streams over `events`
@@ -357,6 +382,51 @@ def _sql_script(t):
     return results[-1].frame
 
 
+_DML = """
+INSERT INTO menu_items (name, category, price) VALUES ('Fresh Soup', 'Starters', 90), ('Fresh Tea', 'Drinks', 20);
+UPDATE menu_items SET price = price + 1.5, discount = 10 WHERE category LIKE '%BRASS%';
+DELETE FROM orders WHERE order_id % 7 = 3;
+UPDATE menu_items SET price = 0 WHERE menu_id = 1;
+DELETE FROM customers WHERE customer_id % 9 = 4
+"""
+
+
+@register("sql_dml", f"""
+SELECT 'menu_items' AS table_name, count(*) AS n, CAST(sum(price) {D} AS total, CAST(sum(discount) {D} AS other FROM menu_after
+UNION ALL SELECT 'orders', count(*), CAST(sum(total_amount) {D}, CAST(count(customer_id) {D} FROM orders_after
+UNION ALL SELECT 'order_items', count(*), CAST(sum(price) {D}, CAST(sum(quantity) {D} FROM order_items
+  WHERE NOT (order_id % 7 = 3 AND order_id IN (SELECT order_id FROM orders))
+UNION ALL SELECT 'users', count(*), CAST(sum(user_id) {D}, CAST(count(customer_id) {D} FROM users
+  WHERE customer_id IS NULL OR NOT (customer_id % 9 = 4 AND customer_id IN (SELECT customer_id FROM customers))""",
+          extra_ctes=""",
+menu_after AS (
+  SELECT price + CASE WHEN category LIKE '%BRASS%' THEN 1.5 ELSE 0 END AS price,
+         CASE WHEN category LIKE '%BRASS%' THEN 10 ELSE discount END AS discount FROM menu_items
+  UNION ALL SELECT 90, 0 UNION ALL SELECT 20, 0),
+orders_after AS (
+  SELECT total_amount, CASE WHEN customer_id % 9 = 4 AND customer_id IN (SELECT customer_id FROM customers) THEN NULL
+                            ELSE customer_id END AS customer_id FROM orders WHERE NOT order_id % 7 = 3)""")
+def _sql_dml(t):
+    """A script of changes over stored tables; the fourth statement breaks a CHECK and changes
+    nothing.  What the tables hold afterwards."""
+    store = commits.Store(t.spark, _run_dir(t, "dml"))
+    names = ["menu_items", "orders", "order_items", "users", "customers"]
+    # names are unique as the schema asks for (the stand-in menu repeats some)
+    menu = t.menu_items.withColumn("name", F.concat("name", F.lit(" #"), F.col("menu_id").cast("string")))
+    store.commit(store.snapshot(), replace={n: menu if n == "menu_items" else getattr(t, n) for n in names})
+    errors = [r.error for r in catalog.sql_script(t.spark, _DML, store)]
+    if [e is not None for e in errors] != [False, False, False, True, False]:
+        raise RuntimeError(str(errors))
+    s = store.snapshot()
+
+    def state(name, total, other):
+        return s.read(name).agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n"),
+                                F.sum(total).alias("total"), other.cast("decimal(30,2)").alias("other"))
+    return (state("menu_items", "price", F.sum("discount")).unionByName(state("orders", "total_amount", F.count("customer_id")))
+            .unionByName(state("order_items", "price", F.sum("quantity")))
+            .unionByName(state("users", "user_id", F.count("customer_id")).withColumn("total", F.col("total").cast("decimal(30,2)"))))
+
+
 # ------------------------------------------------------------------ S8, S9
 
 RUN_DATE = "2026-01-31"      # the day of the run, an input of the purchase job

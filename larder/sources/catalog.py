@@ -13,7 +13,7 @@ from larder.operators.aggregates import daily_sales
 from larder.operators.joins import low_stock_supplier
 from larder.schemas import DEFAULTS, SCHEMAS, conform
 from larder.session import scratch_path
-from larder.sources import commits, sinks
+from larder.sources import commits, sinks, statements
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -128,9 +128,10 @@ class StatementResult:
     columns: list[str] | None = None
     frame: DataFrame | None = None
     error: str | None = None
+    rows: int | None = None      # of an INSERT, UPDATE or DELETE
 
 
-def sql_script(spark: SparkSession, script: str) -> list[StatementResult]:
+def sql_script(spark: SparkSession, script: str, store: commits.Store | None = None) -> list[StatementResult]:
     """Run ``;``-separated statements; each yields its rows or an error,
     and an error does not stop the later statements.  An empty script is an
     error.
@@ -138,6 +139,10 @@ def sql_script(spark: SparkSession, script: str) -> list[StatementResult]:
     A statement with rows is run at once: its result is written to the shared
     scratch folder and read back, so run-time errors (a division by zero, a
     bad cast) belong to the statement that caused them.
+
+    With a ``store``, statements see its newest tables, and INSERT, UPDATE and DELETE
+    go to the change jobs (``larder.sources.statements``): their result is the table after
+    them and the number of rows.
     """
     stmts = split_statements(script or "")
     if not stmts:
@@ -145,6 +150,13 @@ def sql_script(spark: SparkSession, script: str) -> list[StatementResult]:
     results = []
     for s in stmts:
         try:
+            if store is not None:
+                snap = store.snapshot()
+                register_tables(spark, {t: snap.read(t) for t in snap.tables})
+                if statements.is_change(statements.parse(spark, s)):
+                    done = statements.run(store, s)
+                    results.append(StatementResult(s, done.frame.columns, done.frame, rows=done.rows))
+                    continue
             df = spark.sql(s)
             columns = df.columns
             results.append(StatementResult(sql=s, columns=columns,
