@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Settings that matter at scale:
 # * AQE re-plans joins from runtime sizes (sort-merge -> broadcast when a side
 #   turns out small), coalesces tiny shuffle partitions and splits skewed ones.
-# * The static broadcast threshold stays at Spark's default (10 MB); explicit
-#   broadcast() is used only for tables with a fixed bound (see operators.joins).
+# * The static broadcast threshold stays at Spark's default (10 MB); no table of the
+#   restaurant is hinted: AQE decides from runtime sizes.
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

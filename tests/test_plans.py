@@ -1,7 +1,6 @@
 """Plan properties of the registered queries (what matters at scale):
-no Python UDF in any plan, scans read only the columns a query needs, the
-bounded staff table is the only hinted broadcast, and filters on stored
-columns reach the parquet scan."""
+no Python UDF in any plan, scans read only the columns a query needs, no table
+is hinted to be broadcast, and filters on stored columns reach the parquet scan."""
 
 from __future__ import annotations
 
@@ -18,7 +17,9 @@ SF = "/root/testdata/sf0.001"
 EAGER = {"place_orders", "assign_ids", "menu_insert", "ingredient_change", "stream_stock",
          "stream_daily_sales", "stream_low_stock", "stock_ledger", "price_as_of",
          "apply_menu_changes", "sink_append", "sink_snapshot", "menu_by_category", "sql_script",
-         "order_cancel", "status_fold", "cart_merge", "place_orders_orders", "place_orders_lines", "place_orders_stock", "purchase_outcomes"}
+         "order_cancel", "status_fold", "cart_merge", "place_orders_orders", "place_orders_lines", "place_orders_stock", "purchase_outcomes",
+         "stream_stock_raw", "stream_order_totals", "stream_sales_view", "sql_dml", "price_history",
+         "price_from_history"}
 
 
 def _plan(df) -> str:
