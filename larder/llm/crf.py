@@ -29,6 +29,7 @@ from larder.llm.text import (LOWER, WORD_CHARS, SpanHash, block_ranges, block_ud
 
 SLOTS = 1 << 20
 PER_CLASS = 1500        # rows per class in the fitting sample
+LONG_BYTES = 1 << 20     # of which texts above 64 KB, per class (one text at least)
 FIT_TEXT = 1 << 20      # bytes of the sample's texts in a block, whose gradients are added up
 TIE_STEPS = 24          # levels of a tie's strength for one unit of log-odds
 THRESHOLD = 0.5
@@ -219,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     """Fit on labelled rows that are not held out (crc32(id) mod 5 is not 0): the
     ties of features to toxic documents over all of them, the field's weights on
     a sample bounded by ``per_class`` rows a class (texts above 64 KB are a stratum of their
-    own, bounded by 8 MB a class).  Labels of
+    own, bounded by LONG_BYTES a class).  Labels of
     one class only, or none, give the share of label 1 as every score.
 
     Bias, tag pairs and the weights of the ties are fitted first and then kept, so a
@@ -228,7 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     blocks' gradients are added up.
     """
     rows = training_rows(docs, labels, label, MODULUS, HELD_OUT, per_class, id_col, text_col)
-    counts, n, ys, texts = statistics(rows, SLOTS, features, lambda a: [t.encode() for t in a.to_pylist()])
+    counts, n, ys, texts = statistics(rows, SLOTS, features, lambda a: [t.encode() for t in a.to_pylist()],
+                                       LONG_BYTES)
     y = np.array(ys, np.int64)
     if len(set(ys)) < 2:
         share = (n[1] + 1) / (n.sum() + 2)

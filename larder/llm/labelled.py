@@ -14,7 +14,7 @@ from larder.llm.text import batch_udf, block_ranges, only, remainder, remove
 from larder.session import scratch_path
 
 LONG_VALUE = 1 << 16   # sample values above so many bytes are a stratum of their own,
-LONG_BYTES = 8 << 20   # of which a class gives so many bytes (one row at least), by smallest hash
+LONG_BYTES = 8 << 20   # of which a class gives so many bytes (one row at least), by smallest hash; the default
 FILTER_BITS = 1 << 25  # bits of the filter of labelled ids
 
 
@@ -61,7 +61,7 @@ STATS = "slot int, n0 long, n1 long, y int, sample binary"
 
 def statistics(rows: DataFrame, slots: int,
                features: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]],
-               sample: Callable[[pa.Array], list[bytes]]) -> tuple[np.ndarray, np.ndarray, list, "_Sample"]:
+               sample: Callable[[pa.Array], list[bytes]], long_bytes: int | None = None) -> tuple[np.ndarray, np.ndarray, list, "_Sample"]:
     """Documents per feature slot and class over all of ``rows`` (one pass), and
     the sample of the rows marked ``fit``.
 
@@ -109,7 +109,7 @@ def statistics(rows: DataFrame, slots: int,
     counts = np.zeros((2, slots), np.int64)
     counts[:, slot[slot >= 0]] = n[:, slot >= 0]
     docs = n[:, slot == -1].sum(axis=1)
-    few = _Sample(out.filter("y is not null"))
+    few = _Sample(out.filter("y is not null"), LONG_BYTES if long_bytes is None else long_bytes)
     remove(rows.sparkSession, path)
     return counts, docs, few.y, few
 
@@ -117,9 +117,9 @@ def statistics(rows: DataFrame, slots: int,
 class _Sample:
     """The sample's values in one flat buffer: no object per row, read where it is used."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, long_bytes: int):
         """``rows`` (y, sample): all values up to LONG_VALUE bytes, and of the longer ones those
-        with the smallest hashes, LONG_BYTES a class (one row at least).  Their order does
+        with the smallest hashes, ``long_bytes`` a class (one row at least).  Their order does
         not depend on the order of arrival."""
         r = rows.select("y", "sample", F.octet_length("sample").cast("long").alias("size"),
                         F.xxhash64("sample").alias("h"))
@@ -127,7 +127,7 @@ class _Sample:
         long = (r.filter(F.col("size") > LONG_VALUE)
                  .withColumn("k", F.row_number().over(first))
                  .withColumn("sum", F.sum("size").over(first.rowsBetween(Window.unboundedPreceding, 0)))
-                 .filter((F.col("sum") <= LONG_BYTES) | (F.col("k") == 1)).select(*r.columns))
+                 .filter((F.col("sum") <= long_bytes) | (F.col("k") == 1)).select(*r.columns))
         taken = r.filter(F.col("size") <= LONG_VALUE).unionByName(long).orderBy("y", "h", "sample")
         self.y: list[int] = []
         data, offs = bytearray(), [0]

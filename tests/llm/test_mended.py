@@ -84,10 +84,9 @@ def test_long_labelled_texts_are_learned_from(spark):
 
 def test_sample_is_bounded_and_does_not_depend_on_order(spark, monkeypatch):
     monkeypatch.setattr(labelled, "LONG_VALUE", 8)
-    monkeypatch.setattr(labelled, "LONG_BYTES", 40)
     rows = [(k % 2, bytes([k]) * (4 if k % 3 else 16)) for k in range(60)] + [(1, b"z" * 100)] * 2
     def taken(part):
-        s = labelled._Sample(spark.createDataFrame(part, "y int, sample binary"))
+        s = labelled._Sample(spark.createDataFrame(part, "y int, sample binary"), 40)
         return s.y, [bytes(s[i]) for i in range(len(s))]
     y, got = taken(rows)
     assert (y, got) == taken(rows[::-1])
