@@ -291,22 +291,26 @@ _ALERTS = ("ingredient_id long, ts timestamp_ntz, ref long, before decimal(30,2)
 
 def _cross(key, batches, state):
     """One ingredient's movements of a micro-batch -> crossings, and its new total."""
+    import numpy as np
     import pandas as pd
-    rows = [pdf for pdf in batches if len(pdf)]
-    if not rows:
+    parts = [pdf for pdf in batches if len(pdf)]
+    if not parts:
         return
-    rows = pd.concat(rows).sort_values(["ts", "ref"], kind="stable", na_position="first")
-    opening, level = int(rows["opening"].iloc[0]), rows["level"].iloc[0]
+    ts, ref, delta = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("ts", "ref", "delta"))
+    opening, level = int(parts[0]["opening"].iloc[0]), parts[0]["level"].iloc[0]
+    order = np.lexsort((ref, ts.astype("datetime64[us]").astype(np.int64)))       # a null time comes first
+    ts, ref, delta = ts[order], ref[order], delta[order].astype(np.int64)
     moved = state.get[0] if state.exists else 0
-    after = opening + moved + rows["delta"].cumsum()
-    total = int(after.iloc[-1]) - opening
+    after = opening + moved + np.cumsum(delta)
+    total = int(after[-1]) - opening
     state.update((total,))
-    out = pd.DataFrame({"ingredient_id": key[0], "ts": rows["ts"], "ref": rows["ref"],
-                        "before": after - rows["delta"], "after": after, "level": level, "alert": True})
-    out = out[(out["before"] > level) & (out["after"] <= level)] if not pd.isna(level) else out[:0]
-    last = pd.DataFrame({"ingredient_id": [key[0]], "ts": [pd.NaT], "ref": [0], "before": [0], "after": [total],
-                         "level": [0], "alert": [False]})
-    yield pd.concat([out, last]) if len(out) else last
+    low = np.zeros(0, np.int64) if pd.isna(level) else np.flatnonzero((after - delta > level) & (after <= level))
+    n = len(low)
+    yield pd.DataFrame({
+        "ingredient_id": np.full(n + 1, key[0]), "ts": np.concatenate([ts[low], np.array(["NaT"], ts.dtype)]),
+        "ref": np.concatenate([ref[low], [0]]), "before": np.concatenate([(after - delta)[low], [0]]),
+        "after": np.concatenate([after[low], [total]]),
+        "level": np.full(n + 1, 0 if pd.isna(level) else int(level)), "alert": np.arange(n + 1) < n})
 
 
 def stream_low_stock(moves: DataFrame, levels: DataFrame, opening: DataFrame, state_dir: str,
