@@ -564,3 +564,18 @@ def _scalar_functions(t):
         X.purchase_message("name", F.col("price"), F.col("price") * 2).alias("message"),
         ((F.col("price") * 2 > 1000) & (F.col("discount") >= 10)).alias("flag"),
     )
+
+
+# what a form may hold in a quantity field: numbers, blanks around them, words, nothing
+_FORM_TEXT = """CASE menu_id % 6 WHEN 0 THEN CAST(price AS STRING) WHEN 1 THEN category
+  WHEN 2 THEN concat('  ', CAST(menu_id AS STRING), ' ') WHEN 3 THEN concat('-', CAST(price AS STRING))
+  WHEN 4 THEN '' END"""
+
+
+@register("tolerant_int", f"""
+SELECT menu_id, coalesce(CAST(trunc(TRY_CAST(typed AS DOUBLE)) AS BIGINT), 1) AS qty,
+       coalesce(TRY_CAST(typed AS DOUBLE), 0.0) AS number
+FROM (SELECT menu_id, {_FORM_TEXT} AS typed FROM menu_items)""")
+def _tolerant_int(t):
+    typed = t.menu_items.select("menu_id", F.expr(_FORM_TEXT).alias("typed"))
+    return typed.select("menu_id", X.tolerant_int("typed", 1).alias("qty"), X.tolerant_number("typed").alias("number"))
