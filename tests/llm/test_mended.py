@@ -135,3 +135,60 @@ def test_a_very_long_repeated_word_takes_memory_in_proportion():
     tracemalloc.stop()
     assert (got["n_words"], got["longest_repeat"], got["n_covered"]) == (n, n - 1, n)
     assert peak < 400e6
+
+
+# ------------------------------------------------------------------ 6
+
+def test_languages_of_other_letters_are_told_apart(spark):
+    """Two languages whose letters lie 37 code points apart and follow the same pattern."""
+    rng = np.random.default_rng(6)
+
+    def text(first):
+        return " ".join("".join(chr(first + int(c)) for c in rng.integers(0, 20, 6)) for _ in range(8))
+    rows = [(i, text(0x0561 if i % 2 else 0x0561 - 37 * 5), "xa" if i % 2 else "xb") for i in range(200)]
+    got = {r.doc_id: r for r in langid.report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows)
+
+
+def test_rare_letters_share_a_symbol_and_add_up_to_one():
+    letter = langid.letter_table()
+    point = np.flatnonzero(letter)[1000:1400]
+    a = langid.alphabet(point, np.arange(1, 401), int(letter.sum()))
+    codes = np.concatenate([[0], np.flatnonzero(letter)])
+    symbol, price = langid.translate(codes, a)
+    assert sorted(np.bincount(symbol, minlength=64)[:63].tolist()) == [1] * 63 and symbol[0] == 0
+    assert np.exp(price[symbol == langid.OTHER]).sum() == pytest.approx(1)
+    assert (symbol[np.isin(codes, point[-62:])] < langid.OTHER).all()
+
+
+@pytest.mark.parametrize("letters", [3, 90_000])
+def test_windows_are_those_of_the_texts(letters):
+    """Also with more letters in one block than fit a packed key."""
+    letter = langid.letter_table()
+    pool = [chr(c) for c in np.flatnonzero(letter) if chr(c).lower() == chr(c)][:letters]
+    rng = np.random.default_rng(7)
+    texts = ["".join(pool) + " 1 " + "".join(rng.choice(pool, 500)), None, "", "12", "  " + pool[0] + "-" + pool[1] + "!"]
+    point, bounds, has = langid.characters(texts, letter)
+    codes, cols, at = langid.windows(point, bounds)
+    assert has.tolist() == [True, False, False, False, True]
+    got = codes[cols[::-1, at]].T.tolist()
+    want = []
+    for t in texts:
+        seq = [0] * 3
+        for c in t or "":
+            if c.isalpha():
+                seq.append(ord(c))
+            elif seq[-1]:
+                seq.append(0)
+        want += [seq[i - 3:i + 1] for i in range(3, len(seq))]
+    assert got == want and len(set(map(tuple, cols.T.tolist()))) == cols.shape[1]
+
+
+def test_few_of_a_languages_own_documents_are_rejected_and_junk_is(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    junk = spark.createDataFrame([(10**7 + i, "xq zvkj wqpx jjqz vxkq zzqw qxjv kzxq " * 3, None) for i in range(10)],
+                                 "doc_id long, text string, lang string")
+    rows = langid.report(d.select("doc_id", "text", "lang").unionByName(junk)).collect()
+    assert all(r.rejected for r in rows if r.doc_id >= 10**7)
+    real = [r.rejected for r in rows if r.doc_id < 10**7 and r.lang_pred != "und"]
+    assert sum(real) <= 0.02 * len(real)
