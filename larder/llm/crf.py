@@ -70,73 +70,82 @@ def features(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return key // SLOTS, key % SLOTS
 
 
-def _lanes(x: np.ndarray, fill) -> np.ndarray:
-    """Cut a chain into rows of CHUNK steps: [step, lane, ...]."""
+def _lanes(x: np.ndarray, fill: float) -> np.ndarray:
+    """Cut a chain into lanes of CHUNK steps: [step, lane]."""
     lanes = max(1, -(-len(x) // CHUNK))
-    pad = np.full((lanes * CHUNK - len(x), *x.shape[1:]), fill, x.dtype)
-    return np.swapaxes(np.concatenate([x, pad]).reshape(lanes, CHUNK, *x.shape[1:]), 0, 1)
+    pad = np.full(lanes * CHUNK - len(x), fill)
+    return np.ascontiguousarray(np.concatenate([x, pad]).reshape(lanes, CHUNK).T)
 
 
-def _sweep(step: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Normalised row vectors v_t = v_{t-1} @ step_t of one long chain.
+def _sweep(step: list[np.ndarray], start: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised row vectors v_t = v_{t-1} @ step_t of one long chain; the steps are
+    given by their four entries, row by row.
 
     Lanes of CHUNK steps first multiply out their own matrices, a short loop
     over lanes hands the vector on, then all lanes run from their start.
     """
-    m = _lanes(step, 0.0)
-    whole = np.zeros(m.shape[1:])
-    whole[:, 0, 0] = whole[:, 1, 1] = 1.0
-    pad = len(m) * m.shape[1] - len(step)
-    if pad:                                           # identity for the padding
-        tail = np.unravel_index(np.arange(len(step), len(step) + pad), (m.shape[1], CHUNK))
-        m[tail[1], tail[0]] = np.eye(2)
+    n = len(step[0])
+    m00, m01, m10, m11 = (_lanes(x, fill) for x, fill in zip(step, (1.0, 0.0, 0.0, 1.0)))
+    lanes = m00.shape[1]
+    a, b, c, d = np.ones(lanes), np.zeros(lanes), np.zeros(lanes), np.ones(lanes)
     for t in range(CHUNK):
-        whole = np.stack([whole[:, :, 0] * m[t, :, 0, 0, None] + whole[:, :, 1] * m[t, :, 1, 0, None],
-                          whole[:, :, 0] * m[t, :, 0, 1, None] + whole[:, :, 1] * m[t, :, 1, 1, None]], axis=2)
-        whole /= whole.sum(axis=(1, 2), keepdims=True)
-    first = np.empty((m.shape[1], 2))
-    v = start
-    for i, w in enumerate(whole):
-        first[i] = v
-        v = v @ w
-        v = v / v.sum()
-    out = np.empty((CHUNK, m.shape[1], 2))
-    v = first
+        a, b = a * m00[t] + b * m10[t], a * m01[t] + b * m11[t]
+        c, d = c * m00[t] + d * m10[t], c * m01[t] + d * m11[t]
+        total = a + b + c + d
+        a, b, c, d = a / total, b / total, c / total, d / total
+    x, y = np.empty(lanes), np.empty(lanes)
+    v, w = start
+    for i in range(lanes):
+        x[i], y[i] = v, w
+        v, w = v * a[i] + w * c[i], v * b[i] + w * d[i]
+        v, w = v / (v + w), w / (v + w)
+    out = np.empty((2, CHUNK, lanes))
     for t in range(CHUNK):
-        a = v[:, 0] * m[t, :, 0, 0] + v[:, 1] * m[t, :, 1, 0]
-        b = v[:, 0] * m[t, :, 0, 1] + v[:, 1] * m[t, :, 1, 1]
-        total = a + b
-        v = np.stack([a / total, b / total], axis=1)
-        out[t] = v
-    return np.swapaxes(out, 0, 1).reshape(-1, 2)[: len(step)]
+        x, y = x * m00[t] + y * m10[t], x * m01[t] + y * m11[t]
+        total = x + y
+        x, y = x / total, y / total
+        out[0, t], out[1, t] = x, y
+    return out[0].T.reshape(-1)[:n], out[1].T.reshape(-1)[:n]
 
 
-def marginals(unary: np.ndarray, pair: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(tag 1) per token, and P(tag a at t-1, tag b at t) per token that is not
-    a document's first.  ``unary``: score of tag 1 over tag 0; ``pair``: 2x2 scores."""
+def marginals(unary: np.ndarray, pair: np.ndarray, bounds: np.ndarray,
+              with_pairs: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """P(tag 1) per token, and (if asked for) P(tag a at t-1, tag b at t) per token that
+    is not a document's first.  ``unary``: score of tag 1 over tag 0; ``pair``: 2x2 scores."""
     n = len(unary)
     if n == 0:
         return np.zeros(0), np.zeros((0, 2, 2))
     u = np.clip(unary, -30, 30)
-    node = np.stack([np.exp(-np.maximum(u, 0)), np.exp(np.minimum(u, 0))], axis=1)
+    node = np.exp(-np.maximum(u, 0)), np.exp(np.minimum(u, 0))
     move = np.exp(pair - pair.max())
-    opens = np.zeros(n, bool)
-    opens[bounds[:-1][np.diff(bounds) > 0]] = True
-    step = move[None] * node[:, None, :]
-    step[opens] = node[opens][:, None, :]             # both rows equal: what came before is dropped
-    fwd = _sweep(step, np.array([0.5, 0.5]))
+    first = bounds[:-1][np.diff(bounds) > 0]
+    final = bounds[1:][np.diff(bounds) > 0] - 1
+    step = []
+    for i in (0, 1):
+        for j in (0, 1):
+            x = move[i, j] * node[j]
+            x[first] = node[j][first]                 # both rows equal: what came before is dropped
+            step.append(x)
+    fwd = _sweep(step, (0.5, 0.5))
     # backward: beta_t = step_{t+1} @ beta_{t+1}; a document's last token has beta 1
-    closes = np.zeros(n, bool)
-    closes[bounds[1:][np.diff(bounds) > 0] - 1] = True
-    back = np.empty_like(step)
-    back[:-1] = np.swapaxes(step[1:], 1, 2)
-    back[closes] = 1.0
-    beta = _sweep(back[::-1], np.array([0.5, 0.5]))[::-1]
-    both = fwd * beta
-    p = both[:, 1] / both.sum(axis=1)
+    back = []
+    for k in (0, 2, 1, 3):
+        x = np.empty(n)
+        x[:-1] = step[k][1:]
+        x[final] = 1.0
+        back.append(x[::-1])
+    beta = [x[::-1] for x in _sweep(back, (0.5, 0.5))]
+    on, off = fwd[1] * beta[1], fwd[0] * beta[0]
+    p = on / (off + on)
+    if not with_pairs:
+        return p, None
+    opens = np.zeros(n, bool)
+    opens[first] = True
     inner = np.flatnonzero(~opens)
-    pairs = fwd[inner - 1][:, :, None] * step[inner] * beta[inner][:, None, :]
-    pairs /= pairs.sum(axis=(1, 2), keepdims=True)
+    pairs = np.empty((len(inner), 2, 2))
+    for k in range(4):
+        pairs[:, k >> 1, k & 1] = fwd[k >> 1][inner - 1] * step[k][inner] * beta[k & 1][inner]
+    pairs /= (pairs[:, 0, 0] + pairs[:, 0, 1] + pairs[:, 1, 0] + pairs[:, 1, 1])[:, None, None]
     return p, pairs
 
 
@@ -153,7 +162,7 @@ class Model:
         unary = self.weight[slots].sum(axis=1, dtype=np.float64) + self.bias
         if self.tie is not None:
             unary += tie_features(self.tie, slots) @ self.tie_weight
-        return marginals(unary, self.pair, bounds)[0]
+        return marginals(unary, self.pair, bounds, False)[0]
 
     def column(self, arr: pa.Array) -> pa.Array:
         raw, offs, s, e, bounds, slots = tokens(arr)
@@ -255,8 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     used = np.flatnonzero(used)
     place = np.zeros(SLOTS, np.int32)
     place[used] = np.arange(len(used))
-    for _, slots, _, _, _ in parts:
-        slots[...] = place[slots]
+    parts = [(bounds, np.ascontiguousarray(place[slots].T), *rest) for bounds, slots, *rest in parts]
     scale = max(1.0, sum(tag.sum() for *_, tag, _ in parts))
     # Adam on the log-likelihood: bias, pairs and ties
     few = np.concatenate([[-3.0], np.zeros(6)])
@@ -276,15 +284,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         for bounds, slots, ties, tag, _ in parts:
             unary = ties @ tie_weight + bias
             for k in range(_N):
-                unary += w[slots[:, k]]
-            diff = (marginals(unary, pair, bounds)[0] - tag) / scale
+                unary += w[slots[k]]
+            diff = (marginals(unary, pair, bounds, False)[0] - tag) / scale
             for k in range(_N):
-                g += np.bincount(slots[:, k], weights=diff, minlength=len(used))
+                g += np.bincount(slots[k], weights=diff, minlength=len(used))
         w -= adam.move(g)
     weight = np.zeros(SLOTS, np.float32)
     weight[used] = w
     model = Model(weight, bias, pair, np.zeros(3), tie, tie_weight)
-    x = np.concatenate([aggregate(model.token_probs(used[slots], bounds), bounds) for bounds, slots, *_ in parts])
+    x = np.concatenate([aggregate(model.token_probs(used[slots.T], bounds), bounds) for bounds, slots, *_ in parts])
     share = np.array([n[v] / max(1, (y == v).sum()) for v in y])
     model.scale = platt(x, y.astype(float), share / share.mean(), ridge=0.05)
     return model
