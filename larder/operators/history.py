@@ -11,8 +11,9 @@ from larder.functions import exprs as X
 from larder.operators.windows import asof_last, wall_seconds
 
 VALUES = ["price", "discount", "is_available"]
-# days that a bin of each level takes, and bins that an interval may take at its level
-LEVEL_DAYS = [1, 32, 1024, 32768]
+# days that a bin of each level takes, and bins that an interval may take at its level; a bin of the
+# last level is longer than the calendar, so an open version takes one (two from before 1970)
+LEVEL_DAYS = [1, 32, 1024, 32768, 1 << 22]
 BINS = 33
 _LAST = "9999-12-31 00:00:00"
 
@@ -53,17 +54,11 @@ def merge_history(history: DataFrame, changes: DataFrame) -> DataFrame:
     return rest.unionByName(build_history(old.unionByName(new)))
 
 
-def price_from_history(lines: DataFrame, history: DataFrame) -> DataFrame:
-    """T6 by an interval join: lines (order_item_id, menu_id, order_date) with the version that
-    held at order time; result as ``stock.price_as_of``.
-
-    A version is put into time bins of the finest level at which it takes at most
-    BINS of them; a line looks into its one bin of each level.  The join is on (item, level, bin),
-    so neither a busy item nor a long interval meets more than its bins, and no row
-    is compared with all versions.
-    """
+def version_bins(history: DataFrame) -> DataFrame:
+    """(_item, _level, _bin, valid_from, valid_to, ...): a row per time bin that a version takes, at the
+    finest level at which it takes at most BINS of them."""
     day = F.floor(wall_seconds("valid_from") / 86400)
-    # an open interval ends with the calendar; the top level takes what is longer than BINS of its bins
+    # an open interval ends with the calendar; the last level takes what is longer than BINS bins of the one below
     end = F.coalesce(F.col("valid_to"), F.lit(_LAST).cast("timestamp_ntz"))
     last = F.floor((wall_seconds(end) - 1) / 86400)
     level = F.lit(len(LEVEL_DAYS) - 1)
@@ -71,10 +66,23 @@ def price_from_history(lines: DataFrame, history: DataFrame) -> DataFrame:
         fits = F.floor(last / LEVEL_DAYS[k]) - F.floor(day / LEVEL_DAYS[k]) < BINS
         level = F.when(fits, F.lit(k)).otherwise(level)
     size = F.element_at(F.array(*[F.lit(d) for d in LEVEL_DAYS]), F.col("_level") + 1)
-    versions = (history.withColumn("_end", end).filter(F.col("valid_from") < F.col("_end"))
+    return (history.withColumn("_end", end).filter(F.col("valid_from") < F.col("_end"))
                 .withColumn("_level", level)
                 .withColumn("_bin", F.explode(F.sequence(F.floor(day / size), F.floor(last / size))))
                 .select(F.col("menu_id").alias("_item"), "_level", "_bin", "valid_from", "valid_to", *VALUES))
+
+
+def price_from_history(lines: DataFrame, history: DataFrame) -> DataFrame:
+    """T6 by an interval join: lines (order_item_id, menu_id, order_date) with the version that
+    held at order time; result as ``stock.price_as_of``.
+
+    A version is put into time bins of the finest level at which it takes at most
+    BINS of them; a line looks into its one bin of each level.  The join is on (item, level, bin),
+    so neither a busy item nor a long interval meets more than its bins, and no row
+    is compared with all versions.  Both sides are shuffled: from the size of a compressed
+    history the planner cannot tell that its bins are too many to send to every task.
+    """
+    versions = version_bins(history).hint("merge")
     at = F.floor(wall_seconds("order_date") / 86400)
     looks = lines.select("order_item_id", "menu_id", "order_date", F.explode(F.array(*[
         F.struct(F.lit(k).alias("_level"), F.floor(at / d).alias("_bin")) for k, d in enumerate(LEVEL_DAYS)])).alias("_l"))

@@ -197,3 +197,14 @@ def test_interval_join_equals_as_of(spark):
     got = H.price_from_history(ln, H.build_history(lg))
     assert got.columns == want.columns
     assert everything(got) == everything(want) and want.filter("available").count() > 100
+
+
+def test_open_versions_take_few_bins_and_are_not_sent_whole(spark):
+    old = [(k, dt.datetime(1990, 1, 1) if k else dt.datetime(1900, 1, 1), d(5), d(0), 1) for k in range(50)]
+    h = H.build_history(spark.createDataFrame(old, LOG))
+    assert H.version_bins(h).count() == 51          # 89 a version before; two from before 1970
+    lines = spark.createDataFrame([(1, 3, dt.datetime(2020, 1, 1)), (2, 3, dt.datetime(9999, 12, 30)), (3, 0, dt.datetime(1950, 1, 1))],
+                                  "order_item_id long, menu_id long, order_date timestamp_ntz")
+    got = H.price_from_history(lines, h)
+    assert "Broadcast" not in got._jdf.queryExecution().sparkPlan().toString()
+    assert rows(got.orderBy("order_item_id"), "price") == [(d(5),)] * 3
