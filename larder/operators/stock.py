@@ -13,7 +13,7 @@ from larder.operators.components import components
 from larder.operators.filters import first_waiter
 from larder.operators.windows import (asof_last, assign_ids, next_id_base, running_total,
                                       seq_chunk, wall_seconds)
-from larder.session import cut_lineage
+from larder.session import cut_lineage, stored
 from larder.sources.commits import Store
 
 
@@ -66,8 +66,10 @@ def apply_order_items(ingredients: DataFrame, orders: DataFrame, order_items: Da
 
 # need rows (order x ingredient) that are decided as one component at once
 SERIAL_ROWS = 100_000
-# rounds of bounds at most before the rest is decided by components
+# rounds of bounds at most before the rest is decided by components; more while MANY_OPEN need rows
+# or more are open and two rounds decide a quarter of them
 BOUND_ROUNDS = 4
+MANY_OPEN = 1_000_000
 
 
 def _conflicts(und: DataFrame, serial_rows: int, n_rows: int) -> DataFrame:
@@ -125,6 +127,15 @@ def _decide_in_order(rows: DataFrame) -> DataFrame:
                 .sortWithinPartitions("component", "seq", "ingredient_id").mapInArrow(run, "seq long, st string"))
 
 
+def _rounds_end(opened: list[int]) -> bool:
+    """Whether rounds of bounds no longer pay; ``opened`` has the open need rows at the start of each.  A
+    few rows: after BOUND_ROUNDS rounds, or when one did not halve them.  MANY_OPEN or more are too
+    many for one task, should they all compete: rounds go on until two of them decide less than a quarter."""
+    if opened[-1] < MANY_OPEN:
+        return len(opened) > BOUND_ROUNDS or (len(opened) > 1 and opened[-1] > opened[-2] / 2)
+    return len(opened) > 2 and opened[-1] > 0.75 * opened[-3]
+
+
 def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
                  ingredients: DataFrame, employees: DataFrame, orders: DataFrame,
                  order_items: DataFrame, restocks: DataFrame | None = None,
@@ -148,16 +159,21 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
     certainly rejected when upper − need < 0 for one.  A round is two running
     sums per ingredient (two-level, skew-safe) and an aggregate per order.  After a
     round everything before an ingredient's first undecided order is folded into its
-    opening balance, and ingredients without undecided orders are dropped.  When a round no longer
-    halves what is open (BOUND_ROUNDS at most), the rest is decided at once:
+    opening balance, and ingredients without undecided orders are dropped.  Rounds go on
+    while they pay (``_rounds_end``); then the rest is decided at once:
     orders that compete for an ingredient, directly or through others, are one
-    component, and every component is decided in request order in its own task, so the
-    number of rounds does not grow with the data.  Rounds are checkpointed to the shared folder.
+    component, and every component is decided in request order in its own task.  Orders on
+    many ingredients are often one large component, so rounds have to bring it below
+    MANY_OPEN rows first, in a number that grows with the logarithm of the rows.  Only needs for
+    ingredients that can refuse an order are ever made; the requests are read once, and lines,
+    requests and outcomes are written to the shared folder, as are the rounds.
     """
+    requests = stored(requests.select("seq", "customer_id", "ts", F.transform_values(
+        "cart", lambda _, line: F.struct(line["qty"].alias("qty"))).alias("cart")), "requests")
     lines = cart_lines(requests.withColumnRenamed("seq", "cart_id")) \
         .withColumnRenamed("cart_id", "seq")
     m = menu_items.select("menu_id", "is_available", X.final_price().alias("unit_price"))
-    lj = lines.join(m, "menu_id", "left")
+    lj = stored(lines.join(m, "menu_id", "left"), "request-lines")
     per_req = lj.groupBy("seq").agg(
         F.count_if(F.coalesce(F.col("is_available"), F.lit(0)) != 1).alias("_bad"),
         F.count_if(~F.coalesce(F.col("qty") > 0, F.lit(False))).alias("_neg"),
@@ -166,25 +182,24 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
     reason0 = (F.when(F.col("_bad").isNull(), F.lit("empty cart"))
                 .when(F.col("_bad") > 0, F.lit("item not available"))
                 .when(F.col("_neg") > 0, F.lit("quantity must be above 0")))
-    req = req.withColumn("reason", reason0)
+    req = stored(req.withColumn("reason", reason0).drop("_bad", "_neg"), "requests-checked")
 
     cand = req.filter(F.col("reason").isNull()).select("seq")
-    needs = (lj.join(cand, "seq", "left_semi")
-               .join(recipes, "menu_id")
-               .groupBy("seq", "ingredient_id")
-               .agg(F.sum(F.col("qty_required") * F.col("qty")).alias("need")))
-    needs = cut_lineage(needs)
+    wanted = lj.join(cand, "seq", "left_semi").select("seq", "menu_id", "qty")
     rs = (restocks.select("seq", "ingredient_id", F.col("quantity").alias("q"))
           if restocks is not None else None)
 
     # ingredients that can refuse an order
-    demand = needs.select("ingredient_id", F.col("need").alias("_d"))
+    demand = recipe_use(wanted.withColumnRenamed("qty", "quantity"), recipes).select(
+        "ingredient_id", F.col("used").alias("_d"))
     if rs is not None:
         demand = demand.unionByName(rs.select("ingredient_id", F.greatest(-F.col("q"), F.lit(0)).alias("_d")))
     demand = demand.groupBy("ingredient_id").agg(F.sum("_d").alias("_d"))
     scarce = (demand.join(ingredients.select("ingredient_id", "quantity"), "ingredient_id", "left")
                     .filter(F.col("_d") > F.coalesce("quantity", F.lit(0))).select("ingredient_id"))
-    contended = cut_lineage(needs.join(scarce, "ingredient_id", "left_semi"))
+    contended = cut_lineage(wanted.join(recipes.join(scarce, "ingredient_id", "left_semi"), "menu_id")
+                                  .groupBy("seq", "ingredient_id")
+                                  .agg(F.sum(F.col("qty_required") * F.col("qty")).alias("need")))
 
     # open movements (kind 0 restock, 1 order need), U undecided / A accepted / S stock
     kind = "decimal(20,4)"
@@ -200,12 +215,13 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
     # an order that competes for nothing is accepted
     done = cand.join(contended.select("seq").distinct(), "seq", "left_anti").select(
         "seq", F.lit("A").alias("st"))
-    rounds, before = [], None
+    rounds, opened = [], []
     while True:
         n, n_open = state.agg(F.count(F.lit(1)), F.count_if(F.col("st") == "U")).first()
         if not n_open:
             break
         rounds.append(n)
+        opened.append(n_open)
         run = running_total(
             state.withColumn("v_up", F.when(F.col("st") == "U", F.lit(0).cast(kind))
                              .otherwise(F.col("v"))),
@@ -215,13 +231,12 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
             "seq", "ingredient_id", (-F.col("v")).alias("need"),
             (F.col("base") + F.col("low_run")).alias("low"),          # own need included
             (F.col("base") + F.col("up_run")).alias("up"))            # before the own need
-        if n_open <= serial_rows or len(rounds) > BOUND_ROUNDS or (before is not None and n_open > before / 2):
+        if n_open <= serial_rows or _rounds_end(opened):
             und = cut_lineage(und)
             rest = cut_lineage(_decide_in_order(_conflicts(und, serial_rows, n_open)))
             free = und.select("seq").distinct().join(rest, "seq", "left_anti")
             done = done.unionByName(rest).unionByName(free.select("seq", F.lit("A").alias("st")))
             break
-        before = n_open
         verdict = und.groupBy("seq").agg(F.min("low").alias("_lo"),
                                          F.min(F.col("up") - F.col("need")).alias("_up"))
         decided = cut_lineage(verdict.select(
@@ -243,12 +258,10 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
                    .select("ingredient_id",
                            (F.col("base") + F.coalesce("_v", F.lit(0))).cast(kind).alias("base")))
         state = state.filter(F.col("seq") >= F.col("_f")).drop("_f")
-    status = cut_lineage(done)
-
-    outcome = (req.join(status, "seq", "left")
-                  .withColumn("reason", F.coalesce(
-                      "reason", F.when(F.col("st") == "R", F.lit("not enough stock"))))
-                  .withColumn("accepted", F.col("reason").isNull()))
+    outcome = stored(req.join(done, "seq", "left")
+                        .withColumn("reason", F.coalesce(
+                            "reason", F.when(F.col("st") == "R", F.lit("not enough stock"))))
+                        .withColumn("accepted", F.col("reason").isNull()).drop("st"), "outcomes")
     acc = outcome.filter("accepted")
     acc = assign_ids(acc, ["seq"], out="order_id",
                      start=next_id_base(orders, "order_id") if first_order_id is None else first_order_id)
@@ -269,8 +282,8 @@ def place_orders(requests: DataFrame, menu_items: DataFrame, recipes: DataFrame,
                           else first_line_id).drop("seq")
 
     def stock_after():
-        used = (needs.join(acc.select("seq"), "seq", "left_semi")
-                     .groupBy("ingredient_id").agg(F.sum("need").alias("_u")))
+        taken = lj.join(acc.select("seq"), "seq", "left_semi").select("menu_id", F.col("qty").alias("quantity"))
+        used = recipe_use(taken, recipes).withColumnRenamed("used", "_u")
         st = ingredients.join(used, "ingredient_id", "left")
         if rs is not None:
             st = st.join(rs.groupBy("ingredient_id").agg(F.sum("q").alias("_r")),

@@ -130,9 +130,10 @@ def _placed(t):
 
 
 def _new(t, table, key):
-    """Rows of ``table`` that the run added: ids above those that the table had."""
-    had = t.orders if table == "orders" else t.order_items
-    return _placed(t).read(table).filter(F.col(key) > had.select(F.max(key)).scalar())
+    """Rows of ``table`` that the run added: ids above those that the table had in the first commit."""
+    now = _placed(t)
+    had = t._cache["_placed"].snapshot(0).read(table)
+    return now.read(table).filter(F.col(key) > had.select(F.max(key)).scalar())
 
 
 @register("place_orders", _T3_SELECT, extra_ctes=_T3_EXTRA)
