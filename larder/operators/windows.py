@@ -65,15 +65,19 @@ def with_chunks(df: DataFrame, keys: list[str], order: list[str],
 HOT_ROWS = 1 << 20        # rows of one key that one task's window may sort
 
 
-def split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+def split_hot(df: DataFrame, keys: list[str], hot_rows: int,
+              counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary keys, rows of keys above ``hot_rows`` or None).
 
     Rows per key are counted over the pruned key columns (one partial aggregate; nothing of the
     frame is written), and the hot keys (at most rows / ``hot_rows``) split it.  Without
-    a hot key the frame goes on as it is.  Which way a key goes never changes its result.
+    a hot key the frame goes on as it is.  Which way a key goes never changes its result, so
+    ``counts`` (keys, _n), an upper bound that is cheaper to get, may stand for the count.
     """
     from larder.session import cut_lineage
-    counts = df.groupBy(*[F.col(k).alias(f"_h_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_n")
     hot = cut_lineage(counts.filter(F.col("_n") > hot_rows).drop("_n"))
     if hot.isEmpty():
         return df, None
@@ -82,20 +86,20 @@ def split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame,
 
 
 def running_total(df: DataFrame, keys, order: list[str], value, chunk: Column | None = None,
-                  out=None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  out=None, hot_rows: int = HOT_ROWS, counts: DataFrame | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` (one name or a list) per ``keys`` in
     ``order``; result columns ``out`` (default ``running`` / ``<v>_run``).
 
     ``chunk`` must be monotone in ``order`` (a coarser version of it); None
     takes a plain window for keys up to ``hot_rows`` rows and range-partition chunks
-    (see ``with_chunks``) for the others.
+    (see ``with_chunks``) for the others; ``counts`` as in ``split_hot``.
     """
     keys = _as_list(keys)
     values = _as_list(value)
     outs = _as_list(out) if out is not None else (
         ["running"] if len(values) == 1 else [f"{v}_run" for v in values])
     if chunk is None:
-        plain, hot = split_hot(df, keys, hot_rows)
+        plain, hot = split_hot(df, keys, hot_rows, counts)
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         done = plain.select("*", *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(o)
@@ -197,7 +201,8 @@ def movements(purchases: DataFrame, order_items: DataFrame, orders: DataFrame,
     recipe use Σ qty_required × quantity per ingredient (at the order time).
 
     Sales are pre-aggregated per (order, ingredient) before anything else,
-    so one row per order and ingredient enters the ledger.
+    so one row per order and ingredient enters the ledger.  Lines are dealt by order
+    once, for the aggregate and for the join with the order's time.
     """
     buys = purchases.select(
         "ingredient_id", F.col("purchase_date").cast("timestamp_ntz").alias("ts"),
@@ -205,6 +210,7 @@ def movements(purchases: DataFrame, order_items: DataFrame, orders: DataFrame,
         F.col("quantity").cast("decimal(20,2)").alias("delta"))
     use = (order_items.select("order_id", "menu_id", "quantity")
            .join(recipes, "menu_id")
+           .repartition("order_id")
            .groupBy("order_id", "ingredient_id")
            .agg(F.sum(F.col("qty_required") * F.col("quantity")).alias("used")))
     sales = (use.join(orders.select("order_id", "order_date"), "order_id")
@@ -214,18 +220,28 @@ def movements(purchases: DataFrame, order_items: DataFrame, orders: DataFrame,
     return buys.unionByName(sales)
 
 
-def stock_ledger(opening: DataFrame, moves: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
+def most_movements(purchases: DataFrame, order_items: DataFrame, recipes: DataFrame) -> DataFrame:
+    """(ingredient_id, _n): at least as many as an ingredient has ``movements``, from sums per menu
+    item instead of the movements themselves (orders with an id of their own)."""
+    sold = order_items.groupBy("menu_id").agg(F.count(F.lit(1)).alias("_n"))
+    return (purchases.groupBy("ingredient_id").agg(F.count(F.lit(1)).alias("_n"))
+            .unionByName(sold.join(recipes, "menu_id").select("ingredient_id", "_n"))
+            .groupBy("ingredient_id").agg(F.sum("_n").alias("_n")))
+
+
+def stock_ledger(opening: DataFrame, moves: DataFrame, bucket_seconds: int | None = None,
+                 counts: DataFrame | None = None) -> DataFrame:
     """Stock before -> after each movement, per ingredient.
 
     ``opening`` (ingredient_id, quantity) is the stock before the first
     movement; ``moves`` (ingredient_id, ts, kind, ref, delta).  Order within
     an ingredient: ts, then purchases (kind 0) before sales (kind 1), then
     ref.  Chunks are range partitions (``bucket_seconds`` None) or time
-    buckets.
+    buckets.  ``counts``: an upper bound of the movements per ingredient (see ``split_hot``).
     """
     chunk = None if bucket_seconds is None else time_chunk("ts", bucket_seconds)
     run = running_total(moves, "ingredient_id", ["ts", "kind", "ref"], "delta", chunk,
-                        out="moved")
+                        out="moved", counts=counts)
     o = opening.select("ingredient_id", F.col("quantity").alias("opening"))
     j = run.join(o, "ingredient_id", "left")
     base = F.coalesce(F.col("opening"), F.lit(0))

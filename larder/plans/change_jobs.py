@@ -405,7 +405,7 @@ run AS (SELECT *, sum(delta) OVER (PARTITION BY ingredient_id ORDER BY ts, kind,
         FROM mv)""")
 def _stock_ledger(t):
     moves = W.movements(t.purchases, t.order_items, t.orders, t.recipes)
-    return W.stock_ledger(t.ingredients, moves)
+    return W.stock_ledger(t.ingredients, moves, counts=W.most_movements(t.purchases, t.order_items, t.recipes))
 
 
 @register("assign_ids", """

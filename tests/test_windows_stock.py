@@ -427,22 +427,22 @@ def test_rounds_go_on_while_many_rows_are_open(spark, seed, monkeypatch):
     assert not T._rounds_end([8 * big, 6 * big]) and not T._rounds_end([9 * big, 7 * big, 6 * big, 5 * big, 4 * big, 3 * big])
     assert T._rounds_end([8 * big, 7 * big, 7 * big])                 # a chain: by components
     assert T._rounds_end([8, 5]) and not T._rounds_end([8, 4]) and T._rounds_end([64, 32, 16, 8, 4])
-    # one component of many orders: rounds bring it down, and decide as a serial loop does
-    monkeypatch.setattr(T, "MANY_OPEN", 20)
-    rnd = random.Random(17)
-    n = 40
-    menu = load_rows(spark, "menu_items", [dict(menu_id=i, name=f"m{i}", category="c", price=d(1)) for i in range(n)])
-    rec_rows = [(i, (i * 7 + j) % n, d(1 + j)) for i in range(n) for j in range(3)]
-    rec = spark.createDataFrame(rec_rows, "menu_id long, ingredient_id long, qty_required decimal(10,2)")
-    opening = {i: Decimal(rnd.randrange(20, 60)) for i in range(n)}
-    ing = load_rows(spark, "ingredients", [dict(ingredient_id=i, name=f"i{i}", unit="kg", quantity=opening[i],
-                                                unit_price=d(1)) for i in range(n)])
-    reqs = _random_requests(rnd, 300, list(range(n)))
-    req = spark.createDataFrame(
-        [(s, 1, dt.datetime(2026, 8, 5), {m: (str(m), q) for m, q in c.items()} or None) for s, c in reqs],
-        "seq long, customer_id long, ts timestamp, cart map<long, struct<name string, qty int>>")
-    want, want_stock = _serial_place(reqs, [(i, 1, d(1)) for i in range(n)], rec_rows, dict(opening), [])
+    # rounds after BOUND_ROUNDS decide as the others do
+    monkeypatch.setattr(T, "MANY_OPEN", 1)
+    menu, rec, ing, req = _chains(spark, 3, 6)
     res = T.place_orders(req, menu, rec, ing, seed["employees"], seed["orders"], seed["order_items"], serial_rows=0)
-    assert {r.seq: (r.accepted, r.reason) for r in res["outcomes"].collect()} == want
-    assert dict(rows(res["ingredients"], "ingredient_id", "quantity")) == want_stock
-    assert len(res["rounds"]) > T.BOUND_ROUNDS + 1
+    assert {r.seq: r.accepted for r in res["outcomes"].collect()} == {i * 3 + c: i % 2 == 0 for c in range(3) for i in range(6)}
+    assert len(res["rounds"]) > T.BOUND_ROUNDS
+
+
+def test_ledger_counts_movements_from_above_without_making_them(spark, seed):
+    made = W.movements(seed["purchases"], seed["order_items"], seed["orders"], seed["recipes"])
+    most = W.most_movements(seed["purchases"], seed["order_items"], seed["recipes"])
+    n = {r.ingredient_id: r["count"] for r in made.groupBy("ingredient_id").count().collect()}
+    bound = dict(rows(most, "ingredient_id", "_n"))
+    assert n and all(bound[i] >= k for i, k in n.items())
+    want = sorted(tuple(r) for r in W.stock_ledger(seed["ingredients"], made).collect())
+    led = W.stock_ledger(seed["ingredients"], made, counts=most)
+    assert sorted(tuple(r) for r in led.collect()) == want
+    _, hot = W.split_hot(made, ["ingredient_id"], 3, most)
+    assert hot.count() == sum(k for i, k in n.items() if bound[i] > 3)
