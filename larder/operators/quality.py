@@ -98,13 +98,10 @@ def row_violations(df: DataFrame, table: str, rules: list[tuple[str, Column]]) -
     """Violations of row-level rules in one scan of ``df``."""
     if not rules:
         return df.sparkSession.createDataFrame([], VIOLATIONS)
-    broken = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]),
-                      lambda x: x.isNotNull())
+    said = F.array(*[F.when(cond, F.lit(name)) for name, cond in rules])
     pk = PRIMARY_KEY[table]
-    return (df.select(_key_text(pk).alias("key"), broken.alias("broken"))
-              .filter(F.size("broken") > 0)
-              .select(F.lit(table).alias("table_name"), F.explode("broken").alias("rule"), "key",
-                      F.lit(None).cast("string").alias("detail")))
+    return (df.select(_key_text(pk).alias("key"), F.explode(said).alias("rule")).filter(F.col("rule").isNotNull())
+              .select(F.lit(table).alias("table_name"), "rule", "key", F.lit(None).cast("string").alias("detail")))
 
 
 VIOLATIONS = "table_name string, rule string, key string, detail string"
@@ -158,8 +155,8 @@ def facts(tables: dict[str, DataFrame], kinds=KINDS) -> DataFrame:
                     if t == p:
                         out.append(fact(c, _fk_name(col, p, pc), text([pc]), 1, F.col(pc).isNotNull()))
         if out:
-            said = F.filter(F.array(*out), lambda x: x.isNotNull())
-            parts.append(df.select(F.explode(said).alias("f")).select("f.*"))
+            # filtered after the explode: a filter within the array is not compiled
+            parts.append(df.select(F.explode(F.array(*out)).alias("f")).filter(F.col("f").isNotNull()).select("f.*"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -180,11 +177,10 @@ def _key_violations(tables: dict[str, DataFrame], kinds=("unique", "fk")) -> Dat
     for t, df in tables.items():
         own = [(_fk_name(col, p, pc), col) for c, col, p, pc in FOREIGN_KEYS if c == t and p in tables]
         if own and "fk" in kinds:
-            ref = F.filter(F.array(*[F.when(F.col(col).isNotNull(), F.struct(
-                F.lit(name).alias("rule"), F.col(col).cast("string").alias("value"))) for name, col in own]),
-                lambda x: x.isNotNull())
-            refs.append(df.select(F.lit(t).alias("table_name"), _key_text(PRIMARY_KEY[t]).alias("key"),
-                                  F.explode(ref).alias("r")).select("table_name", "key", "r.rule", "r.value"))
+            ref = F.array(*[F.when(F.col(col).isNotNull(), F.struct(
+                F.lit(name).alias("rule"), F.col(col).cast("string").alias("value"))) for name, col in own])
+            refs.append(df.select(F.lit(t).alias("table_name"), _key_text(PRIMARY_KEY[t]).alias("key"), F.explode(ref).alias("r"))
+                          .filter(F.col("r").isNotNull()).select("table_name", "key", "r.rule", "r.value"))
     if not refs:
         return out
     dangling = bad.filter(F.col("rule").startswith("fk:")).select("table_name", "rule", F.col("k")[0].alias("value"))
