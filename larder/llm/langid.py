@@ -9,7 +9,7 @@ language: sorted arrays of window keys with their probabilities, and of
 contexts with their back-off weights.  A text's cross-entropy per character is
 compared between the languages; the lowest wins.  A text whose best
 cross-entropy lies above what all but a stated share of its language's
-documents show is marked as rejected.
+learning documents show is marked as rejected.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.text import (block_ranges, block_udf, only, per_doc, remainder, struct_array)
-from larder.session import cut_lineage
+from larder.operators.windows import running_total
+from larder.session import cut_lineage, stored
 
 ORDER = 4                 # symbols in a window: at most 64^4 distinct windows per language
 BITS = 6
 SPACE, OTHER = 0, 63      # symbols 1..62 are the most frequent letters of a language
 MODULUS, HELD_OUT = 4, 2
-CALIBRATE = 4000          # documents per language in the calibration sample
 FALSE_REJECT = 0.005      # share of a language's own documents that its limit rejects
 
 RESULT = "lang:string,score:double,entropy:double,rejected:boolean"
@@ -260,16 +260,28 @@ class Model:
                             rejected=~ok | (low > limit))
 
 
+def learning(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(id, text, lang) of the documents that models and limits are learned from."""
+    return only(docs, id=id_col, text=text_col, lang=lang_col).filter("id is not null and lang is not null").filter(
+        remainder("id", MODULUS) != HELD_OUT)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Models of all languages of the documents that are not held out (crc32(id) mod 4
-    is not 2) and have a language and an id.  The window counts use every such
+    is not 2) and have a language and an id.  Window counts and limits use every such
     document; a table has at most 64^4 windows and an alphabet of all letters there
     are per language whatever the input.  The rejection limit of a language is
-    the cross-entropy that a share of FALSE_REJECT of its documents exceeds, over a
-    sample of about CALIBRATE of them.
+    the cross-entropy that a share of FALSE_REJECT of its documents exceeds.
     """
-    d = only(docs, id=id_col, text=text_col, lang=lang_col).filter("id is not null and lang is not null").filter(
-        remainder("id", MODULUS) != HELD_OUT)
+    d = learning(docs, id_col, text_col, lang_col)
+    model = fit_windows(d)
+    own = stored(score(d, model, "text", "l").filter("l.lang = lang").select("lang", "l.entropy"), "entropies")
+    model.limits += limits(own, model.langs)
+    return model
+
+
+def fit_windows(d: DataFrame) -> Model:
+    """The model of ``learning`` documents, its limits still 0."""
     point = cut_lineage(letter_counts(d)).toArrow()
     lang = np.array(point.column("lang").to_pylist(), object)
     langs = sorted(set(lang.tolist()))
@@ -284,18 +296,29 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     lang = np.array(counts.column("lang").to_pylist(), object)
     key, n = counts.column("key").to_numpy(), counts.column("n").to_numpy()
     model.tables += [kneser_ney(key[lang == x], n[lang == x]) for x in langs]
-    size = {r.lang: r.n for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(CALIBRATE / max(1, size[k])))])
-    point = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    few = d.filter(point < share[F.col("lang")])
-    model.limits += np.inf
-    stats = score(few, model, "text", "l").filter("l.lang = lang").groupBy("lang").agg(
-        F.percentile("l.entropy", F.lit(1 - FALSE_REJECT)).alias("limit")).collect()
-    for r in stats:
-        model.limits[langs.index(r.lang)] = r.limit
     return model
 
 
+def limits(own: DataFrame, langs: list[str]) -> np.ndarray:
+    """Per language the entropy that a share of FALSE_REJECT of its rows in ``own`` (lang, entropy)
+    exceeds, between the two nearest as SQL's percentile; infinite without a row.  Equal entropies are
+    one row with their number, and ranks come from running sums in chunks of the entropy, so
+    no task gets a language whole."""
+    values = own.groupBy("lang", "entropy").agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_total(values, "lang", ["entropy"], "n", F.floor(F.col("entropy") * 1024), out="upto")
+    size = own.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    at = (F.col("size") - 1) * F.lit(1 - FALSE_REJECT)
+    near = ranked.join(size, "lang").filter((F.col("upto") > F.floor(at)) & (F.col("upto") - F.col("n") <= F.ceil(at)))
+    out = np.full(len(langs), np.inf)
+    ends: dict[str, list] = {}
+    for r in near.select("lang", "entropy", at.alias("at")).collect():
+        ends.setdefault(r.lang, [r.at, []])[1].append(r.entropy)
+    for lang, (rank, found) in ends.items():
+        lo, hi = min(found), max(found)
+        out[langs.index(lang)] = lo if lo == hi else (np.ceil(rank) - rank) * lo + (rank - np.floor(rank)) * hi
+    return out
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with a struct column ``out``: lang (``und`` for null texts and texts
     without a letter, also when nothing was learned), score (0 to 1), entropy
@@ -310,8 +333,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lan
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, rejected.  Null ids are not
-    held out and not learned from; repeated rows stay."""
-    model = fit(docs, id_col, text_col, lang_col)
-    d = score(only(docs, doc_id=id_col, text=text_col), model)
-    return d.select("doc_id", F.coalesce(remainder("doc_id", MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"),
-                    F.col("language.lang").alias("lang_pred"), "language.score", "language.rejected")
+    held out and not learned from; repeated rows stay.  Every text is scored once; the limits
+    come from the scores of the learning documents."""
+    model = fit_windows(learning(docs, id_col, text_col, lang_col))
+    d = score(only(docs, doc_id=id_col, text=text_col, lang=lang_col), model)
+    d = stored(d.select("doc_id", "lang", F.coalesce(remainder("doc_id", MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"),
+                        F.col("language.lang").alias("lang_pred"), "language.score", "language.entropy"), "languages")
+    own = d.filter("doc_id is not null and not held_out and lang_pred = lang").select("lang", "entropy")
+    limit = zip(model.langs, limits(own, model.langs).tolist())
+    most = F.create_map(*[F.lit(x) for pair in limit for x in pair])[F.col("lang_pred")] if model.langs else F.lit(0.0)
+    # a score of 0: no letter, or nothing learned
+    return d.select("doc_id", "held_out", "lang_pred", "score",
+                    ((F.col("score") == 0) | F.coalesce(F.col("entropy") > most, F.lit(False))).alias("rejected"))
