@@ -7,7 +7,8 @@ known of this byte.  For a word's first byte the contexts are the last bytes of
 the word before.  Each model looks up how often the bit was 0 and 1 in its
 context over the whole learning corpus.  Their stretched probabilities are
 combined by weights that a gate selects, learned online by gradient steps on
-coding cost, and the result is refined by an adaptive probability map.  The sum
+coding cost, and the result is refined by an adaptive probability map; every word and
+first byte of the learning corpus takes part.  The sum
 of the bits' costs is the text's coding length (bits per byte).
 
 Contexts inside a word depend on the word only, so each distinct word of the
@@ -36,8 +37,7 @@ SLOTS = sum(SIZES)
 BACK = 4                  # bytes of the word before that a first byte's contexts see
 END = 0x00                # end symbol; also what stands before a text
 MODULUS, HELD_OUT = 10, 0
-FIT_TOP, FIT_WORDS, FIT_KEYS = 8000, 20_000, 40_000   # most frequent words, other words and
-                          # first-byte keys (by smallest hash) that the mixing weights are fitted on
+PASS_WORDS = 200_000      # words that all passes of learning take together at least (4 passes at most)
 BUCKET_BYTES = 12 << 20   # text per bucket of the word lookup
 MAP_BINS = 33
 GATES = [1, 2, 4, 16, 64, 400]          # cases seen in a context, as classes for the gate
@@ -213,18 +213,34 @@ class Model:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def learn(counts: np.ndarray, byte: np.ndarray, contexts: list[np.ndarray], n: np.ndarray,
-          rate: float = 0.05, batch: int = 128, passes: int = 2) -> Model:
-    """Online pass over cases in the given order.  Each case's own bit is taken out
-    of its contexts once, so a context is not trusted for what only it has shown;
-    the map follows the mixed probability with its own small steps."""
-    weight = np.full((8 * (len(GATES) + 1) ** 2, 2 * MODELS + 1), 0.08)
-    weight[:, -3:-1] = 0.25
-    weight[:, -1] = 0.0
-    speed = np.full(weight.shape, 1.0)
-    spread = np.linspace(-_STRETCH, _STRETCH, MAP_BINS)
-    refine = np.tile(1 / (1 + np.exp(-spread)), (256, 1))
-    for _ in range(passes):
+@dataclass
+class Mixer:
+    """What is learned online: mixing weights, the squared steps of each so far, and the map; ``seen`` counts the
+    steps of each entry of the map in the last pass."""
+
+    weight: np.ndarray
+    speed: np.ndarray
+    refine: np.ndarray
+    seen: np.ndarray
+
+    @staticmethod
+    def new() -> Mixer:
+        weight = np.full((8 * (len(GATES) + 1) ** 2, 2 * MODELS + 1), 0.08)
+        weight[:, -3:-1] = 0.25
+        weight[:, -1] = 0.0
+        spread = np.linspace(-_STRETCH, _STRETCH, MAP_BINS)
+        refine = np.tile(1 / (1 + np.exp(-spread)), (256, 1))
+        return Mixer(weight, np.full(weight.shape, 1.0), refine, np.zeros(refine.shape))
+
+    def copy(self) -> Mixer:
+        return Mixer(self.weight.copy(), self.speed.copy(), self.refine.copy(), np.zeros(self.seen.shape))
+
+    def learn(self, counts: np.ndarray, byte: np.ndarray, contexts: list[np.ndarray], n: np.ndarray,
+              batch: int, rate: float = 0.05) -> None:
+        """Online pass over cases in the given order.  Each case's own bit is taken out
+        of its contexts once, so a context is not trusted for what only it has shown;
+        the map follows the mixed probability with its own small steps."""
+        weight, refine = self.weight, self.refine
         for lo in range(0, len(byte), batch):
             part = slice(lo, lo + batch)
             m = n[part].astype(np.float64)
@@ -239,13 +255,41 @@ def learn(counts: np.ndarray, byte: np.ndarray, contexts: list[np.ndarray], n: n
                 flat = np.concatenate([x.transpose(1, 0, 2).reshape(len(err), -1), np.ones((len(err), 1))], axis=1)
                 g = np.zeros_like(weight)
                 np.add.at(g, gate, flat * err[:, None])
-                speed += g * g
-                weight += rate * g / np.sqrt(speed)
+                self.speed += g * g
+                weight += rate * g / np.sqrt(self.speed)
                 b, frac = Model.bins(st)
-                at = np.where(frac > 0.5, b + 1, b)
-                np.add.at(refine, (node, at), 0.02 * (bit - refine[node, at]))
+                at = (node, np.where(frac > 0.5, b + 1, b))
+                np.add.at(refine, at, 0.02 * (bit - refine[at]))
+                np.add.at(self.seen, at, 1.0)
                 np.clip(refine, 0.0005, 0.9995, out=refine)
-    return Model(Model.stretched(counts).astype(np.float16), weight.astype(np.float32), refine.astype(np.float32))
+
+    def moves(self, start: Mixer) -> tuple[np.ndarray, np.ndarray]:
+        """Per entry (weights, then the map): how far it moved since ``start`` times how much it
+        was used, and that use."""
+        use = np.concatenate([(self.speed - start.speed).ravel(), self.seen.ravel()])
+        far = np.concatenate([(self.weight - start.weight).ravel(), (self.refine - start.refine).ravel()])
+        return far * use, use
+
+    def moved(self, far: np.ndarray, use: np.ndarray, tasks: int) -> Mixer:
+        """After the moves of ``tasks`` tasks, added up: every entry moves by their mean, by use."""
+        step = far / np.maximum(use, 1e-300)
+        k = self.weight.size
+        return Mixer(self.weight + step[:k].reshape(self.weight.shape),
+                     self.speed + use[:k].reshape(self.speed.shape) / max(1, tasks),
+                     self.refine + step[k:].reshape(self.refine.shape), use[k:].reshape(self.seen.shape))
+
+    def model(self, counts: np.ndarray) -> Model:
+        return Model(Model.stretched(counts).astype(np.float16), self.weight.astype(np.float32),
+                     self.refine.astype(np.float32))
+
+
+def learn(counts: np.ndarray, byte: np.ndarray, contexts: list[np.ndarray], n: np.ndarray,
+          batch: int = 128, passes: int = 2) -> Model:
+    """The model learned from the given cases in one process."""
+    mixer = Mixer.new()
+    for _ in range(passes):
+        mixer.learn(counts, byte, contexts, n, batch)
+    return mixer.model(counts)
 
 
 def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -309,6 +353,10 @@ def corpus_words(docs: DataFrame) -> DataFrame:
         run, "bucket int, word long, n long, word_text string")
 
 
+def _tasks(df: DataFrame) -> int:
+    return max(6, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
 def context_counts(vocabulary: DataFrame, firsts: DataFrame) -> np.ndarray:
     """[SLOTS, 2]: how often a 0 and a 1 followed each hashed context, from the corpus
     counts of words(word_text, c) and first-byte keys(word, c)."""
@@ -335,7 +383,7 @@ def context_counts(vocabulary: DataFrame, firsts: DataFrame) -> np.ndarray:
             key, n = b.column(0).to_numpy(), b.column(1).to_numpy()
             add_counts(total, key & 0xFF, first_contexts(key), n)
         yield from slot_rows(total)
-    tasks = max(6, int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+    tasks = _tasks(vocabulary)
     kind = "slot int, zero double, one double"
     rows = vocabulary.coalesce(tasks).mapInArrow(of_words, kind).union(firsts.coalesce(tasks).mapInArrow(of_firsts, kind))
     table = rows.groupBy("slot").agg(F.sum("zero").alias("zero"),
@@ -346,26 +394,60 @@ def context_counts(vocabulary: DataFrame, firsts: DataFrame) -> np.ndarray:
     return counts
 
 
+def mixed_pass(vocabulary: DataFrame, firsts: DataFrame, start: Mixer, counts, batch: int) -> Mixer:
+    """``start`` after one pass over all words and first-byte keys: every task learns from its own, and their
+    moves are added up by entry.  ``counts``: broadcast context counts."""
+    held = vocabulary.sparkSession.sparkContext.broadcast(start)
+
+    def entries(mine: Mixer) -> pa.RecordBatch:
+        far, use = mine.moves(held.value)
+        at = np.flatnonzero(use)
+        return pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(far[at], 0.0)),
+                                           pa.array(np.append(use[at], 1.0))], names=["entry", "far", "used"])
+
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = held.value.copy()
+        for b in batches:
+            text, n = b.column(0).cast(pa.large_string()), b.column(1).to_numpy()
+            for lo, hi in block_ranges(text, 1 << 18):
+                byte, contexts, at, word = distinct_cases(text.slice(lo, hi - lo))
+                many = np.bincount(at, weights=n[lo:hi][word], minlength=len(byte))
+                order = np.random.default_rng(5).permutation(len(byte))
+                mine.learn(counts.value, byte[order], [c[order] for c in contexts], many[order], batch)
+            give_back()
+        yield entries(mine)
+
+    def of_firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = held.value.copy()
+        for b in batches:
+            key, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            order = np.random.default_rng(5).permutation(len(key))
+            key = key[order]
+            mine.learn(counts.value, key & 0xFF, first_contexts(key), n[order], batch)
+        yield entries(mine)
+    tasks, kind = _tasks(vocabulary), "entry long, far double, used double"
+    rows = vocabulary.coalesce(tasks).mapInArrow(of_words, kind).union(firsts.coalesce(tasks).mapInArrow(of_firsts, kind))
+    got = rows.groupBy("entry").agg(F.sum("far").alias("far"), F.sum("used").alias("used")).toArrow()
+    at = got.column("entry").to_numpy()
+    far, use = np.zeros((2, start.weight.size + start.refine.size))
+    ok = at >= 0
+    far[at[ok]], use[at[ok]] = got.column("far").to_numpy()[ok], got.column("used").to_numpy()[ok]
+    return start.moved(far, use, int(got.column("used").to_numpy()[~ok].sum()))
+
+
 def fit(vocabulary: DataFrame, firsts: DataFrame) -> Model:
-    """The model of a corpus given by its word counts and first-byte keys.  Context counts
-    use all of them (a table of SLOTS slots at most); the mixing weights and the map
-    are fitted on a bounded sample (FIT_TOP, FIT_WORDS, FIT_KEYS)."""
+    """The model of a corpus given by its word counts and first-byte keys, all of which go into
+    the context counts (a table of SLOTS slots at most), the mixing weights and the map.  A small
+    corpus is gone through more than once (PASS_WORDS)."""
+    spark = vocabulary.sparkSession
     counts = context_counts(vocabulary, firsts)
-
-    top = vocabulary.orderBy(F.desc("c"), "word_text").limit(FIT_TOP)
-    few = vocabulary.orderBy(F.xxhash64("word_text"), "word_text").limit(FIT_WORDS)
-    held = {r.word_text: r.c for r in [*top.collect(), *few.collect()]}
-    words = sorted(held)
-    n = np.array([held[w] for w in words], np.int64)
-    byte, contexts, word = inner_cases(pa.array(words, pa.large_string()))
-    n = n[word]
-    t = firsts.orderBy(F.xxhash64("word"), "word").limit(FIT_KEYS).toArrow()
-    key, m = t.column("word").to_numpy(), t.column("c").to_numpy()
-    byte = np.concatenate([byte, key & 0xFF])
-    contexts = [np.concatenate(x) for x in zip(contexts, first_contexts(key))]
-    n = np.concatenate([n, m])
-    order = np.random.default_rng(5).permutation(len(byte))
-    return learn(counts, byte[order], [c[order] for c in contexts], n[order])
+    words = vocabulary.count()
+    held = spark.sparkContext.broadcast(counts)
+    mixer = Mixer.new()
+    for _ in range(min(4, -(-PASS_WORDS // max(1, words)))):
+        mixer = mixed_pass(vocabulary, firsts, mixer, held, int(np.clip(words // 500, 128, 2048)))
+    held.unpersist()
+    return mixer.model(counts)
 
 
 RESULT = ("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "

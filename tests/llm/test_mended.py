@@ -192,3 +192,31 @@ def test_few_of_a_languages_own_documents_are_rejected_and_junk_is(spark):
     assert all(r.rejected for r in rows if r.doc_id >= 10**7)
     real = [r.rejected for r in rows if r.doc_id < 10**7 and r.lang_pred != "und"]
     assert sum(real) <= 0.02 * len(real)
+
+
+def test_mixing_weights_learn_from_every_word_and_key(spark):
+    words = [f"{k:x}" for k in range(30_000)]                # more than the sample of before
+    v = spark.createDataFrame([(w, 1) for w in words], "word_text string, c long").coalesce(1)
+    keys = spark.createDataFrame([(97 + k % 26 + (k << 8), 2) for k in range(1000)], "word long, c long").coalesce(1)
+    counts = np.zeros((mixing.SLOTS, 2), np.float32)
+    got = mixing.mixed_pass(v, keys, mixing.Mixer.new(), spark.sparkContext.broadcast(counts), 2048)
+    byte, *_ = mixing.distinct_cases(pa.array(words, pa.large_string()))
+    assert got.seen.sum() >= 8 * (len(byte) + 1000)          # beginnings in two batches count twice
+    assert np.isfinite(got.weight).all() and (got.speed >= 1).all() and (got.refine > 0).all() and (got.refine < 1).all()
+    # one task alone moves as it does by itself; of two the moves are averaged by use
+    alone, start = mixing.Mixer.new(), mixing.Mixer.new()
+    key = np.array([97, 98 | 97 << 8], np.int64)
+    alone.learn(counts, key & 0xFF, mixing.first_contexts(key), np.array([3, 1]), 128)
+    far, use = alone.moves(start)
+    assert np.allclose(start.moved(far, use, 1).weight, alone.weight)
+    assert np.allclose(start.moved(far + far, use + use, 2).refine, alone.refine)
+
+
+def test_language_limits_come_from_all_documents(spark):
+    rng = np.random.default_rng(3)
+    values = {"x": np.round(rng.gamma(3, 1, 9000), 3), "y": np.full(5000, 2.5), "z": np.array([1.0, 4.0])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v]
+    own = spark.createDataFrame(rows, "lang string, entropy double")
+    got = langid.limits(own, ["w", "x", "y", "z"])
+    want = [np.quantile(values[k], 1 - langid.FALSE_REJECT) for k in "xyz"]
+    assert np.isinf(got[0]) and np.allclose(got[1:], want, rtol=1e-12)
