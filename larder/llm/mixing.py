@@ -38,6 +38,7 @@ BACK = 4                  # bytes of the word before that a first byte's context
 END = 0x00                # end symbol; also what stands before a text
 MODULUS, HELD_OUT = 10, 0
 PASS_WORDS = 200_000      # words that all passes of learning take together at least (4 passes at most)
+TASK_WORDS = 50_000       # words that a task learns from at least: a mean of very many short walks goes less far
 BUCKET_BYTES = 12 << 20   # text per bucket of the word lookup
 MAP_BINS = 33
 GATES = [1, 2, 4, 16, 64, 400]          # cases seen in a context, as classes for the gate
@@ -229,7 +230,7 @@ class Mixer:
         weight[:, -3:-1] = 0.25
         weight[:, -1] = 0.0
         spread = np.linspace(-_STRETCH, _STRETCH, MAP_BINS)
-        refine = np.tile(1 / (1 + np.exp(-spread)), (256, 1))
+        refine = np.clip(np.tile(1 / (1 + np.exp(-spread)), (256, 1)), 0.0005, 0.9995)
         return Mixer(weight, np.full(weight.shape, 1.0), refine, np.zeros(refine.shape))
 
     def copy(self) -> Mixer:
@@ -394,7 +395,7 @@ def context_counts(vocabulary: DataFrame, firsts: DataFrame) -> np.ndarray:
     return counts
 
 
-def mixed_pass(vocabulary: DataFrame, firsts: DataFrame, start: Mixer, counts, batch: int) -> Mixer:
+def mixed_pass(vocabulary: DataFrame, firsts: DataFrame, start: Mixer, counts, batch: int, tasks: int) -> Mixer:
     """``start`` after one pass over all words and first-byte keys: every task learns from its own, and their
     moves are added up by entry.  ``counts``: broadcast context counts."""
     held = vocabulary.sparkSession.sparkContext.broadcast(start)
@@ -425,7 +426,7 @@ def mixed_pass(vocabulary: DataFrame, firsts: DataFrame, start: Mixer, counts, b
             key = key[order]
             mine.learn(counts.value, key & 0xFF, first_contexts(key), n[order], batch)
         yield entries(mine)
-    tasks, kind = _tasks(vocabulary), "entry long, far double, used double"
+    kind = "entry long, far double, used double"
     rows = vocabulary.coalesce(tasks).mapInArrow(of_words, kind).union(firsts.coalesce(tasks).mapInArrow(of_firsts, kind))
     got = rows.groupBy("entry").agg(F.sum("far").alias("far"), F.sum("used").alias("used")).toArrow()
     at = got.column("entry").to_numpy()
@@ -444,8 +445,9 @@ def fit(vocabulary: DataFrame, firsts: DataFrame) -> Model:
     words = vocabulary.count()
     held = spark.sparkContext.broadcast(counts)
     mixer = Mixer.new()
+    tasks = max(1, min(_tasks(vocabulary), words // TASK_WORDS))
     for _ in range(min(4, -(-PASS_WORDS // max(1, words)))):
-        mixer = mixed_pass(vocabulary, firsts, mixer, held, int(np.clip(words // 500, 128, 2048)))
+        mixer = mixed_pass(vocabulary, firsts, mixer, held, int(np.clip(words // 500, 128, 2048)), tasks)
     held.unpersist()
     return mixer.model(counts)
 

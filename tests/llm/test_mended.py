@@ -199,7 +199,7 @@ def test_mixing_weights_learn_from_every_word_and_key(spark):
     v = spark.createDataFrame([(w, 1) for w in words], "word_text string, c long").coalesce(1)
     keys = spark.createDataFrame([(97 + k % 26 + (k << 8), 2) for k in range(1000)], "word long, c long").coalesce(1)
     counts = np.zeros((mixing.SLOTS, 2), np.float32)
-    got = mixing.mixed_pass(v, keys, mixing.Mixer.new(), spark.sparkContext.broadcast(counts), 2048)
+    got = mixing.mixed_pass(v, keys, mixing.Mixer.new(), spark.sparkContext.broadcast(counts), 2048, 2)
     byte, *_ = mixing.distinct_cases(pa.array(words, pa.large_string()))
     assert got.seen.sum() >= 8 * (len(byte) + 1000)          # beginnings in two batches count twice
     assert np.isfinite(got.weight).all() and (got.speed >= 1).all() and (got.refine > 0).all() and (got.refine < 1).all()
