@@ -43,6 +43,11 @@ BUCKET_BYTES = 12 << 20   # text per bucket of the word lookup
 MAP_BINS = 33
 GATES = [1, 2, 4, 16, 64, 400]          # cases seen in a context, as classes for the gate
 _GATE_AT = np.minimum(1.0, np.log1p(np.array(GATES)) / np.log1p(GATES[-1])) - 1e-3
+_SIDE = len(GATES) + 1                  # classes of one confidence; a depth has _SIDE ** 2 weight sets
+_CONFIDENCE = np.minimum(1.0, np.log1p(np.arange(GATES[-1] + 1)) / np.log1p(GATES[-1]))     # by cases seen
+_CLASS = np.searchsorted(_GATE_AT, _CONFIDENCE, side="right")
+_CLASS16 = np.searchsorted(_GATE_AT, np.arange(0x3C01, dtype=np.uint16).view(np.float16).astype(np.float32),
+                           side="right")        # by the bits of a confidence (0 to 1) kept in 16 bits
 _STRETCH = 8.0
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = np.arange(MODELS + 1, dtype=np.uint64) * _SEED
@@ -170,17 +175,19 @@ class Model:
         return np.stack([p, np.minimum(1.0, np.log1p(zero + one) / np.log1p(GATES[-1]))], axis=-1)
 
     @staticmethod
-    def mixed(x: np.ndarray, weight: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Mixed stretched probability, and the weight set the gate chose: by depth
-        and by the confidence of the word so far and of the longest byte context."""
-        word = np.searchsorted(_GATE_AT, x[-1, :, 1], side="right")
-        order = np.searchsorted(_GATE_AT, x[-2, :, 1], side="right")
-        gate = (depth * (len(GATES) + 1) + word) * (len(GATES) + 1) + order
-        w = weight[gate]
-        st = w[:, -1].copy()
-        for m in range(len(x)):
-            st += x[m, :, 0] * (w[:, 2 * m] + x[m, :, 1] * w[:, 2 * m + 1])
-        return np.clip(st, -_STRETCH, _STRETCH), gate
+    def mixed(p: np.ndarray, sure: np.ndarray, weight: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """Mixed stretched probability of p[model, case] with confidences ``sure``; ``weight``: a depth's
+        weight sets as [inputs, set], of which ``gate`` chose one a case, by the confidence of the word so
+        far and of the longest byte context."""
+        st = weight[-1].take(gate)
+        for m in range(len(p)):
+            st += p[m] * (weight[2 * m].take(gate) + sure[m] * weight[2 * m + 1].take(gate))
+        return np.clip(st, -_STRETCH, _STRETCH)
+
+    @staticmethod
+    def sets(weight: np.ndarray, depth: int) -> np.ndarray:
+        """The weight sets of a depth, as a view."""
+        return weight[depth * _SIDE ** 2:(depth + 1) * _SIDE ** 2]
 
     @staticmethod
     def bins(st: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,14 +198,19 @@ class Model:
     def cost(self, byte: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each case's byte."""
         out = np.zeros(len(byte))
-        for lo in range(0, len(byte), 1 << 14):
-            part = slice(lo, lo + (1 << 14))
+        pairs, refine = self.table.view(np.uint32).reshape(-1), self.refine.reshape(-1)
+        weights = [np.ascontiguousarray(self.sets(self.weight, depth).T) for depth in range(8)]
+        for lo in range(0, len(byte), 1 << 12):
+            part = slice(lo, lo + (1 << 12))
             p = np.ones(len(byte[part]))
             for depth, node, bit, slots in bits_of(byte[part], [c[part] for c in contexts]):
-                st, _ = self.mixed(self.table[slots].astype(np.float32), self.weight, depth)
+                x = pairs.take(slots).view(np.uint16).reshape(*slots.shape, 2)     # a slot's pair is fetched at once
+                gate = _CLASS16.take(x[-1, :, 1]) * _SIDE + _CLASS16.take(x[-2, :, 1])
+                x = x.view(np.float16)
+                st = self.mixed(x[..., 0].astype(np.float32), x[..., 1].astype(np.float32), weights[depth], gate)
                 b, frac = self.bins(st)
-                one = 0.5 / (1 + np.exp(-st)) + 0.5 * (
-                    self.refine[node, b] * (1 - frac) + self.refine[node, b + 1] * frac)
+                b += node * MAP_BINS
+                one = 0.5 / (1 + np.exp(-st)) + 0.5 * (refine.take(b) * (1 - frac) + refine.take(b + 1) * frac)
                 one = np.clip(one, 1e-5, 1 - 1e-5)
                 p *= np.where(bit == 1, one, 1 - one)
             out[part] = np.log10(p)
@@ -241,28 +253,34 @@ class Mixer:
         """Online pass over cases in the given order.  Each case's own bit is taken out
         of its contexts once, so a context is not trusted for what only it has shown;
         the map follows the mixed probability with its own small steps."""
-        weight, refine = self.weight, self.refine
+        pairs = np.ascontiguousarray(counts, np.float32).view(np.complex64).reshape(-1)
+        refine, seen = self.refine.reshape(-1), self.seen.reshape(-1)
         for lo in range(0, len(byte), batch):
             part = slice(lo, lo + batch)
             m = n[part].astype(np.float64)
             for depth, node, bit, slots in bits_of(byte[part], [c[part] for c in contexts]):
-                c = counts[slots].astype(np.float64)
-                c[..., 0] = np.maximum(c[..., 0] - (1 - bit), 0.0)
-                c[..., 1] = np.maximum(c[..., 1] - bit, 0.0)
-                x = Model.stretched(c)
-                st, gate = Model.mixed(x, weight, depth)
+                c = pairs.take(slots)                      # a slot's two counts are fetched at once
+                zero = np.maximum(c.real.astype(np.float64) - (1 - bit), 0.0)
+                one = np.maximum(c.imag.astype(np.float64) - bit, 0.0)
+                cases = np.minimum(zero + one, GATES[-1]).astype(np.int64)
+                p = np.clip(np.log((one + 0.05) / (zero + 0.05)), -_STRETCH, _STRETCH)
+                sure = _CONFIDENCE.take(cases)
+                gate = _CLASS.take(cases[-1]) * _SIDE + _CLASS.take(cases[-2])
+                weight, speed = Model.sets(self.weight, depth), Model.sets(self.speed, depth)
+                st = Model.mixed(p, sure, np.ascontiguousarray(weight.T), gate)
                 err = (bit - 1 / (1 + np.exp(-st))) * m
-                x[..., 1] *= x[..., 0]
-                flat = np.concatenate([x.transpose(1, 0, 2).reshape(len(err), -1), np.ones((len(err), 1))], axis=1)
-                g = np.zeros_like(weight)
-                np.add.at(g, gate, flat * err[:, None])
-                self.speed += g * g
-                weight += rate * g / np.sqrt(self.speed)
+                sure *= p
+                g = np.empty_like(weight)
+                for k, x in enumerate([*np.stack([p, sure], axis=1).reshape(-1, len(err)), 1.0]):
+                    g[:, k] = np.bincount(gate, weights=x * err, minlength=len(g))
+                speed += g * g
+                weight += rate * g / np.sqrt(speed)
                 b, frac = Model.bins(st)
-                at = (node, np.where(frac > 0.5, b + 1, b))
-                np.add.at(refine, at, 0.02 * (bit - refine[at]))
-                np.add.at(self.seen, at, 1.0)
-                np.clip(refine, 0.0005, 0.9995, out=refine)
+                at = node * MAP_BINS + np.where(frac > 0.5, b + 1, b)
+                np.add.at(refine, at, 0.02 * (bit - refine.take(at)))
+                own = slice(MAP_BINS << depth, MAP_BINS << depth + 1)       # of the nodes at this depth
+                seen[own] += np.bincount(at - own.start, minlength=own.stop - own.start)
+                np.clip(refine[own], 0.0005, 0.9995, out=refine[own])
 
     def moves(self, start: Mixer) -> tuple[np.ndarray, np.ndarray]:
         """Per entry (weights, then the map): how far it moved since ``start`` times how much it
@@ -324,7 +342,7 @@ def corpus_words(docs: DataFrame) -> DataFrame:
         for b in batches:
             text, bucket = b.column(0).cast(pa.large_string()), b.column(1).to_numpy()
             learned = b.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi in block_ranges(text):
+            for lo, hi in block_ranges(text, 1 << 20):
                 block = Words(text.slice(lo, hi - lo))
                 doc = np.repeat(np.arange(lo, hi), block.n)
                 flat = block.data.tobytes()
@@ -472,10 +490,10 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     n = max(1, -(-total // BUCKET_BYTES))
     d = d.withColumn("learn", F.coalesce(remainder("doc_id", MODULUS) != HELD_OUT, F.lit(True))).withColumn(
         "bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    found = stored(corpus_words(d.repartition(max(n, 6), "bucket")), "words")
+    found = stored(corpus_words(d.repartition(max(n, 6), "bucket")), "words", "zstd")
     words = found.filter("bucket is not null")
-    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c"), F.min("word_text").alias("word_text")), "counts")
-    firsts = stored(found.filter("bucket is null").groupBy("word").agg(F.sum("n").alias("c")), "firsts")
+    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c"), F.min("word_text").alias("word_text")), "counts", "zstd")
+    firsts = stored(found.filter("bucket is null").groupBy("word").agg(F.sum("n").alias("c")), "firsts", "zstd")
     ends = firsts.filter(F.col("word").bitwiseAND(F.lit(0xFF)) == END).agg(F.sum("c")).first()[0] or 0
     kinds = counts.filter("c > 0").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).first()
     train_tokens = (kinds.n or 0) + ends

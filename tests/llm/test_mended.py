@@ -1,6 +1,7 @@
 """Odd columns, odd texts and bounds of the operators that are tested elsewhere for their results."""
 
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -220,3 +221,56 @@ def test_language_limits_come_from_all_documents(spark):
     got = langid.limits(own, ["w", "x", "y", "z"])
     want = [np.quantile(values[k], 1 - langid.FALSE_REJECT) for k in "xyz"]
     assert np.isinf(got[0]) and np.allclose(got[1:], want, rtol=1e-12)
+
+
+def learned_plainly(mixer, counts, byte, contexts, n, batch, rate=0.05):
+    """``Mixer.learn`` written out: one table row, weight row and map entry a case."""
+    at_gate = np.log1p(np.array(mixing.GATES)) / np.log1p(mixing.GATES[-1]) - 1e-3
+    side = len(mixing.GATES) + 1
+    for lo in range(0, len(byte), batch):
+        part = slice(lo, lo + batch)
+        m = n[part].astype(np.float64)
+        for depth, node, bit, slots in mixing.bits_of(byte[part], [c[part] for c in contexts]):
+            c = counts[slots].astype(np.float64)
+            c[..., 0] = np.maximum(c[..., 0] - (1 - bit), 0.0)
+            c[..., 1] = np.maximum(c[..., 1] - bit, 0.0)
+            x = mixing.Model.stretched(c)
+            word, order = (np.searchsorted(at_gate, x[k, :, 1], side="right") for k in (-1, -2))
+            gate = (depth * side + word) * side + order
+            w = mixer.weight[gate]
+            st = w[:, -1] + (x[..., 0] * (w[:, :-1:2].T + x[..., 1] * w[:, 1:-1:2].T)).sum(axis=0)
+            st = np.clip(st, -8, 8)
+            err = (bit - 1 / (1 + np.exp(-st))) * m
+            x[..., 1] *= x[..., 0]
+            flat = np.concatenate([x.transpose(1, 0, 2).reshape(len(err), -1), np.ones((len(err), 1))], axis=1)
+            g = np.zeros_like(mixer.weight)
+            np.add.at(g, gate, flat * err[:, None])
+            mixer.speed += g * g
+            mixer.weight += rate * g / np.sqrt(mixer.speed)
+            b, frac = mixing.Model.bins(st)
+            at = (node, np.where(frac > 0.5, b + 1, b))
+            np.add.at(mixer.refine, at, 0.02 * (bit - mixer.refine[at]))
+            np.add.at(mixer.seen, at, 1.0)
+            np.clip(mixer.refine, 0.0005, 0.9995, out=mixer.refine)
+
+
+def test_mixing_learns_the_same_in_half_the_time():
+    rng = np.random.default_rng(9)
+    words = pa.array(["".join(rng.choice(list("etaoinshrdlu"), rng.integers(1, 9))) for _ in range(6000)], pa.large_string())
+    byte, ctx, at, word = mixing.distinct_cases(words)
+    many = np.bincount(at, weights=rng.integers(1, 3000, len(words))[word], minlength=len(byte))
+    counts = np.zeros((mixing.SLOTS, 2))
+    mixing.add_counts(counts, byte, ctx, many)
+    counts = counts.astype(np.float32)
+    took, made = [], []
+    for f in (learned_plainly, mixing.Mixer.learn):
+        best = np.inf
+        for _ in range(3):
+            mixer, began = mixing.Mixer.new(), time.process_time()
+            f(mixer, counts, byte, ctx, many, 2048)
+            best = min(best, time.process_time() - began)
+        took.append(best)
+        made.append(mixer)
+    for k in ("weight", "speed", "refine", "seen"):
+        assert np.allclose(getattr(made[0], k), getattr(made[1], k), rtol=1e-9), k
+    assert took[1] < 0.5 * took[0], took
