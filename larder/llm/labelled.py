@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.text import batch_udf, block_ranges, only, remainder, remove
+from larder.llm.text import HASHED_BYTES, batch_udf, block_ranges, give_back, only, remainder, remove
 from larder.session import scratch_path
 
 LONG_VALUE = 1 << 16   # sample values above so many bytes are a stratum of their own,
@@ -52,7 +52,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     known = known.withColumn("fit", point < share)
     d = only(docs, id=id_col, text=text_col).filter("id is not null")
     d = maybe_labelled(d, known.select("id"))
-    return d.join(known, "id").select(
+    # never a broadcast: the filter's Python worker and the one that reads the texts would then
+    # run in one stage, two workers for each task
+    return d.join(known.hint("merge"), "id").select(
         F.coalesce("text", F.lit("")).alias("text"), "y", "fit")
 
 
@@ -76,7 +78,7 @@ def statistics(rows: DataFrame, slots: int,
         for b in batches:
             text = b.column(0).cast(pa.large_string())
             y, fit = b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi in block_ranges(text):
+            for lo, hi in block_ranges(text, HASHED_BYTES):
                 part = text.slice(lo, hi - lo)
                 doc, slot = features(part)
                 of = y[lo:hi][doc]
@@ -85,12 +87,13 @@ def statistics(rows: DataFrame, slots: int,
                     docs[c] += int((y[lo:hi] == c).sum())
             few = np.flatnonzero(fit)
             chosen = text.take(pa.array(few))
-            for lo, hi in block_ranges(chosen):
+            for lo, hi in block_ranges(chosen, HASHED_BYTES):
                 m = hi - lo
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
                      pa.array(y[few[lo:hi]], pa.int32()), pa.array(sample(chosen.slice(lo, m)), pa.binary())],
                     names=["slot", "n0", "n1", "y", "sample"])
+            give_back()
         at = np.flatnonzero(counts.sum(axis=0))
         slot = np.concatenate([at, [-1]])
         n0, n1 = (np.concatenate([counts[c][at], [docs[c]]]) for c in (0, 1))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.text import (LOWER, NON_SPACE, SpanHash, block_ranges, give_back, mix, only, per_doc,
+from larder.llm.text import (HASHED_BYTES, LOWER, NON_SPACE, SpanHash, block_ranges, give_back, mix, only, per_doc,
                              remainder, runs, stored, utf8)
 
 ORDERS = 5
@@ -342,7 +342,7 @@ def corpus_words(docs: DataFrame) -> DataFrame:
         for b in batches:
             text, bucket = b.column(0).cast(pa.large_string()), b.column(1).to_numpy()
             learned = b.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi in block_ranges(text, 1 << 20):
+            for lo, hi in block_ranges(text):
                 block = Words(text.slice(lo, hi - lo))
                 doc = np.repeat(np.arange(lo, hi), block.n)
                 flat = block.data.tobytes()
@@ -519,7 +519,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         scale = np.log10(train_tokens + 0.1 * (distinct + 1))
         whole = []
         text = pa.concat_arrays(texts.column("text").chunks).cast(pa.large_string())
-        for lo, hi in block_ranges(text):
+        for lo, hi in block_ranges(text, HASHED_BYTES):
             block = Words(text.slice(lo, hi - lo))
             at = np.searchsorted(word, block.hash)
             seen, wb = c[at], block.bounds

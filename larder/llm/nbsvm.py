@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.labelled import platt, sigmoid, statistics, training_rows
-from larder.llm.text import (LOWER, NON_SPACE, SpanHash, block_udf, give_back, mix, only, per_doc, remainder, runs,
-                             utf8, window_hash, window_ok)
+from larder.llm.text import (HASHED_BYTES, LOWER, NON_SPACE, SpanHash, block_udf, give_back, mix, only, per_doc,
+                             remainder, runs, utf8, window_hash, window_ok)
 
 SLOTS = 1 << 18
 PER_CLASS = 4000        # rows per class in the fitting sample
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     def make():
         m = Model(**held.value)
         return lambda arr: pa.array(m.scores(arr), pa.float64())
-    return docs.withColumn(out, block_udf("double", make)(F.col(text_col)))
+    return docs.withColumn(out, block_udf("double", make, HASHED_BYTES)(F.col(text_col)))
 
 
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

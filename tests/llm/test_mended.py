@@ -2,6 +2,7 @@
 
 import math
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from larder.llm import (bpe, crf, decontaminate, labelled, langid, mixing, nbsvm, repetition, secrets, sharding,
-                        simhash)
+                        simhash, text)
 
 CLASH = ["__winner", "__hits_0", "__contamination", "__quality", "score", "hits", "r", "fp", "low", "root", "bucket",
          "learn", "word", "n", "c", "cost", "id", "y", "fit", "slot", "sample", "shard", "law", "size", "spans",
@@ -274,3 +275,27 @@ def test_mixing_learns_the_same_in_half_the_time():
     for k in ("weight", "speed", "refine", "seen"):
         assert np.allclose(getattr(made[0], k), getattr(made[1], k), rtol=1e-9), k
     assert took[1] < 0.5 * took[0], took
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labelled_join_keeps_the_python_stages_apart(spark, docs):
+    labels = spark.createDataFrame([(r.doc_id, r.doc_id % 2) for r in docs.select("doc_id").collect()],
+                                   "doc_id long, quality int")
+    rows = labelled.training_rows(docs, labels, "quality", 5, 0, 4000)
+    rows.collect()
+    assert "BroadcastHashJoin" not in plan_of(rows) and "SortMergeJoin" in plan_of(rows)
+    assert rows.count() == labels.filter("crc32(cast(doc_id as string)) % 5 != 0").count()
+
+
+def test_blocks_of_texts_take_little_memory():
+    arr = pa.array(["a few words of text, told apart by 123 " * 50] * 4000, pa.large_string())      # 8 MB
+    for f, most in ((nbsvm.features, 32), (lambda a: mixing.Words(a).first_keys(), 32), (simhash.fingerprints, 96)):
+        tracemalloc.start()
+        for part in text.blocks(arr, text.HASHED_BYTES):
+            f(part)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most << 20, peak
